@@ -8,27 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import exact_dedup, simhash
-from graphloom.llm.base import materialise
+from graphloom.llm.base import materialise, sized_broadcast
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of equal texts. Rows that repeat a doc_id and text stay once; rows of a
-    null doc_id stay only where no row of their text has an id."""
-    groups = exact_dedup.exact_groups(docs)
-    kept = groups.where("kept").select(F.col("id").alias("keep"), "digest").distinct()
-    text = exact_dedup.sha256(exact_dedup.normalised(F.col("text")))
-    found = docs.withColumn("__digest", text).join(kept, F.col("doc_id").eqNullSafe(F.col("keep")) & (F.col("__digest") == F.col("digest")), "left_semi")
-    return found.drop("__digest").dropDuplicates()
+    """Keeps one row of each group of equal texts, that of the smallest doc_id."""
+    return exact_dedup.deduplicate(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each component of near-duplicates: sets of five-word shingles, similarity 0.8 or
     more. Rows with a null doc_id are in no component and stay."""
     found = simhash.near_duplicates(docs)
-    gone = found.where("id <> component").select(F.col("id").alias("gone")).distinct()
-    return docs.join(gone, docs.doc_id == gone.gone, "left_anti")
+    gone = materialise(found.where("id <> component").select(F.col("id").alias("gone")).distinct(), "near-gone")
+    return docs.join(sized_broadcast(gone, gone.count()), docs.doc_id == gone.gone, "left_anti")
 
 
 STAGES: list[tuple[str, Stage]] = [

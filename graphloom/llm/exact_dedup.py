@@ -10,14 +10,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from graphloom.llm.base import materialise, scratch, sized_broadcast
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STORE = "spark.sql.streaming.stateStore.providerClass"
-MEMORY = {"spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200"}
+#: All stores of an executor share this memory; buffers are small, since an executor holds many stores.
+MEMORY = {
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "2",
+    "spark.sql.streaming.stateStore.rocksdb.maxWriteBufferNumber": "2",
+}
+#: Rows for each state store, and stores at least. Their number is fixed when a stream begins.
+STORE_ROWS, STORES = 1_000_000, 12
 
 
 def normalised(text: Column) -> Column:
@@ -29,10 +38,8 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def digest_state(content: str, schema: str, files_per_batch: int) -> DataFrame:
+def digest_state(content: str, schema: StructType, files_per_batch: int, stores: int) -> DataFrame:
     """(digest, keep_id, at, group_size) after the stream has read the whole content table, in batches of its files."""
-    from pyspark.sql import SparkSession
-
     spark = SparkSession.active()
     updates, marks = scratch(spark, "dedup-updates"), scratch(spark, "dedup-stream")
 
@@ -40,12 +47,13 @@ def digest_state(content: str, schema: str, files_per_batch: int) -> DataFrame:
         # a batch that runs again after a failure writes its own folder anew
         batch.write.mode("overwrite").parquet(f"{updates}/batch={number}")
 
-    kept = {k: spark.conf.get(k, None) for k in (STORE, *MEMORY)}
-    for k, v in {STORE: ROCKSDB, **MEMORY}.items():
+    settings = {STORE: ROCKSDB, **MEMORY, "spark.sql.shuffle.partitions": str(stores)}
+    kept = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
         spark.conf.set(k, v)
     try:
         rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(content)
-        rows = rows.select("digest", "id", F.struct(F.coalesce("id", F.lit(2**63 - 1)).alias("first"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("at"))
+        rows = rows.select("digest", "id", F.struct(F.coalesce("id", F.lit(2**63 - 1)).alias("first"), "rid").alias("at"))
         state = rows.groupBy("digest").agg(F.min("id").alias("keep_id"), F.min("at").alias("at"), F.count("*").alias("group_size"))
         stream = state.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", marks).trigger(availableNow=True).start()
         stream.awaitTermination()
@@ -55,52 +63,73 @@ def digest_state(content: str, schema: str, files_per_batch: int) -> DataFrame:
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
-    empty = "digest string, keep_id long, at struct<first: long, file: string, row: long>, group_size long"
+    empty = "digest string, keep_id long, at struct<first: long, rid: long>, group_size long"
     if not stream.lastProgress and not stream.recentProgress:
         return spark.createDataFrame([], empty)
     seen = spark.read.schema(f"{empty}, batch int").parquet(updates)
     return seen.groupBy("digest").agg(F.max_by(F.struct("keep_id", "at", "group_size"), "batch").alias("s")).select("digest", "s.*")
 
 
-def exact_groups(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    digest: Callable[[Column], Column] = sha256,
-    files_per_batch: int = 32,
-) -> DataFrame:
+class Groups:
+    """Rows of docs in a content table, the state of their digests, and the digests that different texts share."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column], files_per_batch: int, carry: list[str]) -> None:
+        spark = docs.sparkSession
+        path = scratch(spark, "dedup-content")
+        text = F.col(text_col)
+        rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), digest(normalised(text)).alias("digest"), F.struct(*carry, F.lit(0).alias("__")).alias("carried"), F.monotonically_increasing_id().alias("rid"))
+        rows.write.option("compression", "zstd").parquet(path)
+        schema = rows.schema
+        self.content = spark.read.schema(schema).parquet(path)
+        stores = max(STORES, -(-self.content.count() // STORE_ROWS))
+        self.state = materialise(digest_state(path, schema, files_per_batch, stores), "dedup-state")
+        # hits: rows of a digest that more than one row has; only their texts move
+        repeated = self.state.where("group_size > 1").select("digest", F.col("at.rid").alias("first"))
+        self.repeated = repeated.count()
+        hits = self.content.join(sized_broadcast(repeated, self.repeated), "digest").withColumn("norm", normalised(F.col("text")))
+        keeper = hits.where("rid = first").select("digest", F.col("norm").alias("kept_norm"))
+        self.later = hits.where("rid <> first")
+        wrong = self.later.select("digest", "norm").join(keeper, "digest").where("norm <> kept_norm").select("digest").distinct()
+        self.wrong = materialise(wrong, "dedup-collisions")
+        self.collisions = self.wrong.count()
+
+    def without_collisions(self, rows: DataFrame) -> DataFrame:
+        return rows.join(sized_broadcast(self.wrong, self.collisions), "digest", "left_anti") if self.collisions else rows
+
+    def collided(self) -> DataFrame:
+        """Rows of shared digests with what their own text's group keeps."""
+        rows = self.content.join(sized_broadcast(self.wrong, self.collisions), "digest").withColumn("norm", normalised(F.col("text")))
+        at = F.struct(F.coalesce("id", F.lit(2**63 - 1)).alias("first"), "rid")
+        sizes = rows.groupBy("digest", "norm").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"), F.min(at).alias("at"))
+        return rows.join(sizes, ["digest", "norm"])
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, files_per_batch: int = 32) -> DataFrame:
     """(id, digest, keep_id, group_size, kept) of every row.
 
     Equal texts (after normalised()) are one group; its smallest id stays. Null texts count as empty. A null id never
-    stays while its group has another; in a group of null ids only, keep_id is null and one cannot be told from another:
-    all are kept. Rows that repeat an id and text are all kept or all dropped, and each counts in group_size. digest may
-    be any function of the text; equal digests of different texts are told apart by their bytes.
+    stays while its group has another; in a group of null ids only, keep_id is null and all are kept, as they cannot be
+    told apart. Rows that repeat an id and text are all kept or all dropped, and each counts in group_size. digest may be
+    any function of the text; equal digests of different texts are told apart by their bytes.
+    """
+    found = Groups(docs, id_col, text_col, digest, files_per_batch, [])
+    columns = ["id", "digest", "keep_id", "group_size"]
+    out = found.content.select("id", "digest").join(found.state.select("digest", "keep_id", "group_size"), "digest")
+    out = found.without_collisions(out).select(*columns)
+    if found.collisions:
+        out = out.unionByName(found.collided().select(*columns))
+    return out.select(*columns, F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, files_per_batch: int = 32) -> DataFrame:
+    """docs with one row of each group of equal texts: that of the smallest id, of rows that repeat it just one.
+
+    Nulls are as in exact_groups(), but of a group of null ids only, one row stays too.
     """
-    spark = docs.sparkSession
-    text = normalised(F.col(text_col))
-    path = scratch(spark, "dedup-content")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("norm")).withColumn("digest", digest(F.col("norm")))
-    rows.write.option("compression", "zstd").parquet(path)
-    schema = "id long, norm string, digest string"
-    content = spark.read.schema(schema).parquet(path)
-    state = materialise(digest_state(path, schema, files_per_batch), "dedup-state")
-
-    # hits: rows of a digest that more than one row has; only their texts move
-    repeated = state.where("group_size > 1").select("digest", "keep_id", F.col("at.file").alias("file"), F.col("at.row").alias("row"))
-    n = repeated.count()
-    here = content.select("*", F.col("_metadata.file_path").alias("file_"), F.col("_metadata.row_index").alias("row_"))
-    hits = here.join(sized_broadcast(repeated, n), "digest")
-    keeper = hits.where("file_ = file and row_ = row").select("digest", F.col("norm").alias("kept_norm"))
-    others = hits.where("not (file_ = file and row_ = row)").select("digest", "id", "norm")
-    wrong = others.join(keeper, "digest").where("norm <> kept_norm").select("digest").distinct()
-    wrong = materialise(wrong, "dedup-collisions")
-
-    out = content.select("id", "digest").join(state.select("digest", "keep_id", "group_size"), "digest")
-    bad = wrong.count()
-    if bad:
-        # different texts under one digest: group those by their bytes
-        apart = content.join(sized_broadcast(wrong, bad), "digest")
-        sizes = apart.groupBy("digest", "norm").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
-        apart = apart.join(sizes, ["digest", "norm"]).select("id", "digest", "keep_id", "group_size")
-        out = out.join(sized_broadcast(wrong, bad), "digest", "left_anti").select("id", "digest", "keep_id", "group_size").unionByName(apart)
-    return out.select("id", "digest", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"))
+    found = Groups(docs, id_col, text_col, digest, files_per_batch, docs.columns)
+    gone = found.without_collisions(found.later.select("digest", "rid")).select("rid")
+    if found.collisions:
+        gone = gone.unionByName(found.collided().where("rid <> at.rid").select("rid"))
+    gone = materialise(gone, "dedup-gone")
+    kept = found.content.join(sized_broadcast(gone, gone.count()), "rid", "left_anti")
+    return kept.select(*[F.col("carried").getField(c).alias(c) for c in docs.columns])
