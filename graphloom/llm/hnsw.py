@@ -21,7 +21,7 @@ from graphloom.llm.base import Links, components, materialise
 #: Vectors in a shard, on average at most.
 SHARD = 8192
 #: Neighbours a node chooses in a layer (twice as many in the lowest), and the beam that finds them.
-CHOSEN, BUILD_BEAM = 12, 48
+CHOSEN, BUILD_BEAM = 12, 40
 #: The first beam of a search, audited queries in each meeting of a block and a shard, and the recall asked of them.
 BEAM, AUDITED, RECALL = 24, 48, 1.0
 #: How far below the threshold a search still follows neighbours.

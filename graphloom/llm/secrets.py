@@ -130,7 +130,7 @@ def signed_token(text: str) -> bool:
     return isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(claims, dict) and (header["alg"].lower() == "none" or bool(_b64(signature)))
 
 
-def _der_in(run: str, decode_to: int) -> tuple[int, int] | None:
+def _der_in(run: str) -> tuple[int, int] | None:
     """The first private key in a base64 run as (start, end); decodes no more than an outer length asks for."""
     for m in B64_AT.finditer(run):
         at = m.start()
@@ -155,7 +155,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of the base kinds, leftmost and non-overlapping per kind."""
     out = []
     low = text.lower()
-    if any(w in low for w in WORDS) or not text.isascii() and ASSIGN.search(text):
+    if any(w in low for w in WORDS):
         out += [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     if "AKIA" in text:
         out += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
@@ -175,7 +175,7 @@ def structural_spans(text: str) -> list[tuple[str, int, int]]:
                 out.append(("pem", m.start(), m.end()))
     for m in B64_DER.finditer(text):
         at = 0
-        while found := _der_in(m[0][at:], 0):
+        while found := _der_in(m[0][at:]):
             out.append(("der", m.start() + at + found[0], m.start() + at + found[1]))
             at += found[1]
     for m in HEX_DER.finditer(text):
