@@ -18,12 +18,14 @@ from graphloom.llm.base import materialise, scratch, sized_broadcast
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STORE = "spark.sql.streaming.stateStore.providerClass"
-#: All stores of an executor share this memory; buffers are small, since an executor holds many stores.
+#: All stores of an executor share this memory; buffers and files are small, since an executor holds many stores.
 MEMORY = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
     "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "2",
     "spark.sql.streaming.stateStore.rocksdb.maxWriteBufferNumber": "2",
+    # else every store sets 4 MB of disk aside
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 #: Rows for each state store, and stores at least. Their number is fixed when a stream begins.
 STORE_ROWS, STORES = 1_000_000, 12
