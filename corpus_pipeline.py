@@ -7,12 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import exact_dedup, simhash
+from graphloom.llm import exact_dedup, langid, mixing, packing, simhash
 from graphloom.llm.base import materialise, sized_broadcast
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+#: A document goes if no language reaches this pooled probability, or if it has no letter.
+LEAST_SCORE = 0.35
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a letter (null and empty ones too) and those of no language that the model knows."""
+    found = langid.annotate(docs, langid.fit(docs), names=("__lang", "__score"))
+    return found.where((F.col("__lang") != langid.UNDETERMINED) & (F.col("__score") >= LEAST_SCORE)).drop("__lang", "__score")
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of equal texts, that of the smallest doc_id."""
     return exact_dedup.deduplicate(docs)
@@ -26,12 +36,27 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(sized_broadcast(gone, gone.count()), docs.doc_id == gone.gone, "left_anti")
 
 
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats documents of the smaller languages towards tempered target weights; none is read less than once."""
+    labelled = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("domain"))
+    return mixing.mixed(docs, labelled, temperature=0.7, floor=1.0)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document goes: doc_id, piece, start, n_tokens, bucket, bucket_len, batch, slot."""
+    rows = docs.select(F.col("doc_id").alias("id"), mixing.tokens(F.col("text")).alias("length"))
+    return packing.pack(materialise(rows, "lengths")).withColumnRenamed("id", "doc_id")
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language),
     ("exact_dedup", exact),
     ("simhash_near_dedup", near),
+    ("mixing", mix),
+    ("packing", pack),
 ]
 
-#: Near-duplicate components over hashed fingerprints are not expressible in SQL: tested against brute force.
+#: A trained network and components over hashed fingerprints are not expressible in SQL: tested against brute force.
 ORACLE_SQL = None
 
 

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from graphloom.llm.base import held_out
 
@@ -205,15 +206,27 @@ def predict(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
     return out
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score) of every row's whole text; und and 0 for texts that are null, empty or without a letter.
+def annotate(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the predicted language and its probability of every row's whole text, as two more columns of these names.
 
-    Only the text is looked at. Rows that repeat are all returned; a null id is returned as it is.
+    Only the text is looked at. Texts that are null, empty or without a letter get und and 0. Rows that repeat are all
+    returned. A name that docs has already raises ValueError.
     """
+    if set(names) & set(docs.columns):
+        raise ValueError(f"docs has a column of {names}")
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = predict(model, batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["id", "lang_pred", "score"])
+            got = predict(model, batch.column(at).to_pylist())
+            more = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *names])
+
+    schema = StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
+    return docs.mapInArrow(run, schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, lang_pred string, score double")
+
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, lang_pred, score) of every row; a null id is returned as it is. See annotate()."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return annotate(rows, model).drop("text")

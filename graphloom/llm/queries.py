@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import exact_dedup, hnsw, langid, quality, secrets, simhash, url_rules, warc
-from graphloom.llm.base import held_out
+from graphloom.llm import exact_dedup, hnsw, langid, mixing, packing, quality, secrets, simhash, url_rules, warc
+from graphloom.llm.base import held_out, materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,18 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("vec_id"), "n_links", component, F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select(F.col("doc_id").alias("id"), mixing.tokens(F.col("text")).alias("length"))
+    return packing.pack(materialise(rows, "lengths")).withColumnRenamed("id", "doc_id")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labelled = docs.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id"), F.col("lang").alias("domain"))
+    return mixing.rates(docs, labelled).withColumnRenamed("id", "doc_id")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s.kind.isin(*secrets.BASE))
@@ -79,6 +91,8 @@ QUERIES: dict[str, Query] = {
     "op2_simhash": op2_simhash,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_embedding_dedup": op4_embedding_dedup,
+    "op5_packing": op5_packing,
+    "op6_mixing": op6_mixing,
     "op7_secret_scan": op7_secret_scan,
     "op8_quality": op8_quality,
     "op9_warc": op9_warc,
