@@ -25,6 +25,8 @@ from graphloom.llm.base import materialise, scratch, sized_broadcast
 CHUNK = 1 << 18
 #: Bytes of payload after which a task begins another archive.
 ARCHIVE_BYTES = 1 << 30
+#: Reading tasks at most; with more archives, each reads several.
+TASKS = 20_000
 CRLF = b"\r\n"
 
 
@@ -215,7 +217,9 @@ def read(manifest: DataFrame, folder: str, payload: bool = True) -> DataFrame:
                 if rows:
                     yield batch(rows)
 
-    return manifest.select("archive").repartition(F.col("archive")).mapInArrow(run, schema)
+    # a task for each archive: a number given to repartition() is kept, where a key alone would be coalesced by its few bytes
+    archives = manifest.count()
+    return manifest.select("archive").repartition(max(1, min(archives, TASKS))).mapInArrow(run, schema)
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
