@@ -24,6 +24,8 @@ SHARD = 8192
 CHOSEN, BUILD_BEAM = 12, 40
 #: The first beam of a search, audited queries in each meeting of a block and a shard, and the recall asked of them.
 BEAM, AUDITED, RECALL = 24, 48, 1.0
+#: Tasks at most in a stage that builds or asks.
+TASKS = 20_000
 #: How far below the threshold a search still follows neighbours.
 SLACK = 0.06
 
@@ -186,7 +188,10 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, id_col: str = "vec_id"
     big = float(np.finfo(np.float64).max)
     sound = F.forall("vector", lambda c: c.isNotNull() & (F.abs(c) <= big) & ~F.isnan(c)) & F.exists("vector", lambda c: c != 0)
     good = rows.where(F.col("label").isNotNull() & F.col("vector").isNotNull() & sound).withColumn("dim", F.size("vector"))
-    sizes = good.groupBy("label", "dim").count().withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("count") / shard)).cast("int"))
+    sizes = materialise(good.groupBy("label", "dim").count().withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("count") / shard)).cast("int")), "hnsw-sizes")
+    shards, meetings = sizes.agg(F.sum("shards"), F.sum(F.col("shards") * (F.col("shards") + 1) / 2)).first()
+    # work, not bytes, is to be spread: numbers given to repartition() are kept, where keys alone would be coalesced
+    tasks = lambda n: int(min(max(1, 4 * (n or 0)), TASKS))
     good = good.join(sizes.select("label", "dim", "shards"), ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("rid"), F.col("shards")).cast("int"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -196,7 +201,7 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, id_col: str = "vec_id"
         return pd.DataFrame({"group": [pdf.group.iloc[0]], "shard": [pdf.shard.iloc[0]], "shards": [pdf.shards.iloc[0]], "rids": [pdf.rid.to_numpy(np.int64).tobytes()], "dim": [v.shape[1]], "vectors": [v.tobytes()], "graph": [Graph(v).dump()]})
 
     group = F.concat_ws("\x00", F.col("label").cast("string"), F.col("dim").cast("string")).alias("group")
-    index = good.select(group, "rid", "vector", "shard", "shards").groupBy("group", "shard").applyInPandas(build, "group string, shard int, shards int, rids binary, dim int, vectors binary, graph binary")
+    index = good.select(group, "rid", "vector", "shard", "shards").repartition(tasks(shards), "group", "shard").groupBy("group", "shard").applyInPandas(build, "group string, shard int, shards int, rids binary, dim int, vectors binary, graph binary")
     index = materialise(index, "hnsw-index")
 
     # a meeting is of the queries of one shard and the graph of another or the same; each pair of shards meets once
@@ -226,7 +231,7 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, id_col: str = "vec_id"
         x, y = links.folded()
         return pd.DataFrame({"a": np.concatenate([ends, x]), "b": np.concatenate([np.full(len(ends), -1), y]), "n": np.concatenate([counts, np.zeros(len(x), np.int64)])})
 
-    met = graphs.unionByName(asks).groupBy("group", "q", "x").applyInPandas(meet, "a long, b long, n long")
+    met = graphs.unionByName(asks).repartition(tasks(meetings), "group", "q", "x").groupBy("group", "q", "x").applyInPandas(meet, "a long, b long, n long")
     met = materialise(met, "hnsw-links")
     counts = met.where("b = -1").groupBy(F.col("a").alias("rid")).agg(F.sum("n").alias("n_links"))
     roots = components(met.where("b <> -1").select("a", "b"))
