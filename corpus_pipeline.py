@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import exact_dedup, langid, mixing, packing, simhash
+from graphloom.llm import exact_dedup, langid, mixing, packing, simhash, tokens
 from graphloom.llm.base import materialise, sized_broadcast
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -44,8 +44,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document goes: doc_id, piece, start, n_tokens, bucket, bucket_len, batch, slot."""
-    rows = docs.select(F.col("doc_id").alias("id"), mixing.tokens(F.col("text")).alias("length"))
-    return packing.pack(materialise(rows, "lengths")).withColumnRenamed("id", "doc_id")
+    return packing.pack(materialise(tokens.token_counts(docs), "lengths")).withColumnRenamed("id", "doc_id")
 
 
 STAGES: list[tuple[str, Stage]] = [

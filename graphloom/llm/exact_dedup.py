@@ -29,6 +29,8 @@ MEMORY = {
 }
 #: Rows for each state store, and stores at least. Their number is fixed when a stream begins.
 STORE_ROWS, STORES = 1_000_000, 12
+#: Rows of a group whose bytes one task compares, on average at most.
+SALTED = 1000
 
 
 def normalised(text: Column) -> Column:
@@ -86,12 +88,13 @@ class Groups:
         stores = max(STORES, -(-self.content.count() // STORE_ROWS))
         self.state = materialise(digest_state(path, schema, files_per_batch, stores), "dedup-state")
         # hits: rows of a digest that more than one row has; only their texts move
-        repeated = self.state.where("group_size > 1").select("digest", F.col("at.rid").alias("first"))
+        repeated = self.state.where("group_size > 1").select("digest", F.col("at.rid").alias("first"), F.ceil(F.col("group_size") / SALTED).alias("salts"))
         self.repeated = repeated.count()
         hits = self.content.join(sized_broadcast(repeated, self.repeated), "digest").withColumn("norm", normalised(F.col("text")))
-        keeper = hits.where("rid = first").select("digest", F.col("norm").alias("kept_norm"))
+        # a kept text meets its hits in as many tasks as the group has thousands of rows
+        keeper = hits.where("rid = first").select("digest", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("norm").alias("kept_norm"))
         self.later = hits.where("rid <> first")
-        wrong = self.later.select("digest", "norm").join(keeper, "digest").where("norm <> kept_norm").select("digest").distinct()
+        wrong = self.later.select("digest", F.pmod("rid", "salts").alias("salt"), "norm").join(keeper, ["digest", "salt"]).where("norm <> kept_norm").select("digest").distinct()
         self.wrong = materialise(wrong, "dedup-collisions")
         self.collisions = self.wrong.count()
 

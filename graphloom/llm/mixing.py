@@ -70,12 +70,23 @@ class Mix:
         return r
 
 
+def largest_eigenvalue(gram: list[list[float]], rounds: int = 200) -> float:
+    """Of a matrix without negative entries, by powers; a little more, as steps must not be too long."""
+    v = [1.0] * len(gram)
+    size = 0.0
+    for _ in range(rounds):
+        w = [sum(a * b for a, b in zip(row, v, strict=True)) for row in gram]
+        size = max(w)
+        v = [x / size for x in w]
+    return 1.001 * size
+
+
 def _columns(k: int) -> list[str]:
-    return [f"p{i}" for i in range(k)]
+    return [f"__p{i}" for i in range(k)]
 
 
 def with_posteriors(df: DataFrame, mix: Mix, seen: str) -> DataFrame:
-    """df with p0, p1, ...: normalised posteriors from the counts in column seen."""
+    """df with __p0, __p1, ...: normalised posteriors from the counts in column seen."""
     raw = df.withColumn("__raw", F.array(*mix.posterior(F.col(seen))))
     raw = raw.withColumn("__sum", F.aggregate("__raw", F.lit(0.0), lambda a, x: a + x))
     return raw.withColumns({n: F.get("__raw", F.lit(i)) / F.col("__sum") for i, n in enumerate(_columns(len(mix.domains)))}).drop("__raw", "__sum")
@@ -101,7 +112,7 @@ def learn(seen: DataFrame, labelled: DataFrame, features: list[str]) -> Mix:
 
 
 def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict | None = None, temperature: float = 0.7, total: float | None = None, floor: float = 0.0, features: list[str] = FEATURES) -> tuple[Mix, DataFrame]:
-    """The fitted mix, and (id, n, p0, p1, ..., rate, done) of every row, rate being that after done steps.
+    """The fitted mix, and (id, n, __p0, __p1, ..., rate, done) of every row, rate being that after done steps.
 
     targets: a weight for each domain (those left out get none); without it, weights are as the domains' present tokens
     to the power of temperature. total: tokens wanted in all; without it as many as there are, or with a floor above zero
@@ -135,7 +146,7 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
     gram = [[0.0] * k for _ in range(k)]
     for i, j in pairs:
         gram[i][j] = gram[j][i] = (first[f"g{i}_{j}"] or 0.0) / scale[i] / scale[j]
-    steep = max(sum(abs(x) for x in row) for row in gram)  # at least the largest eigenvalue
+    steep = largest_eigenvalue(gram)
     now = list(mix.totals)
     done = 0
     for step in range(STEPS):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import exact_dedup, hnsw, langid, mixing, packing, quality, secrets, simhash, url_rules, warc
+from graphloom.llm import exact_dedup, hnsw, langid, mixing, packing, quality, secrets, simhash, tokens, url_rules, warc
 from graphloom.llm.base import held_out, materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,8 +41,7 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    rows = docs.select(F.col("doc_id").alias("id"), mixing.tokens(F.col("text")).alias("length"))
-    return packing.pack(materialise(rows, "lengths")).withColumnRenamed("id", "doc_id")
+    return packing.pack(materialise(tokens.token_counts(docs), "lengths")).withColumnRenamed("id", "doc_id")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
