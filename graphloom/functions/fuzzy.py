@@ -75,7 +75,7 @@ def token_set_of(a: str, b: str, by=ratio_of) -> float:
     if by is partial_of:
         return 100.0 if both else by(left, right)
     one, two = f"{both} {left}".strip(), f"{both} {right}".strip()
-    return max(by(one, two), *((by(both, one), by(both, two)) if both else ()))
+    return max([by(one, two), *([by(both, one), by(both, two)] if both else [])])
 
 
 #: Weights of the combined ratio: of scores on sorted or common words, and of windows by how the lengths compare.

@@ -113,11 +113,10 @@ def clip(x: Column, low: float = 0.0, high: float = 10.0) -> Column:
 
 
 def json_object(text: Column) -> Column:
-    """The JSON object of a model's answer: without code fence as it is, else from the first { to the last }; else {}."""
+    """The JSON object of a model's answer: without code fence, from the first { to the last }; {} if that is none."""
     plain = F.regexp_replace(F.replace(F.replace(blank(text), F.lit("```json"), F.lit("")), F.lit("```"), F.lit("")), r"^\s+|\s+$", "")
     inner = F.regexp_extract(plain, r"(?s)\{.*\}", 0)
-    good = lambda c: F.try_parse_json(c).isNotNull() & c.startswith("{")
-    return F.when(good(plain), plain).when(good(inner), inner).otherwise(F.lit("{}"))
+    return F.when(F.try_parse_json(inner).isNotNull(), inner).otherwise(F.lit("{}"))
 
 
 # --- extractors -------------------------------------------------------------------------------------------------------

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as X
 from graphloom.functions import values as V
 from graphloom.operators.ports import Embedder, Expander
+from graphloom.sources.scratch import materialise
 
 #: Queries in a batch are broadcast up to so many rows; a larger batch is cut by the caller or shuffled.
 QUERIES = 10_000
@@ -218,10 +219,10 @@ def search(queries: DataFrame, nodes: DataFrame, embedder: Embedder, top_k: int
     """
     live = queries.where((F.trim(X.blank(F.col("query"))) != "") & ~X.low_signal(F.col("query")))
     each = max(3 * top_k, 20)
-    parts = expansions(live, expander).select(F.struct("query_id", "part").alias("query_id"), "query")
+    parts = materialise(expansions(live, expander).select(F.struct("query_id", "part").alias("query_id"), "query"), "wordings")
     index = index or FullText(nodes, ["name", "description", "external_id"])
-    vector = _joined(vector_search(embed(parts, embedder, "query"), nodes, each))
-    text = _joined(index.search(parts, each))
+    vector = materialise(_joined(vector_search(materialise(embed(parts, embedder, "query"), "vectors"), nodes, each)), "vector-leg")
+    text = materialise(_joined(index.search(parts, each)), "text-leg")
     ids, names = exact_ids(live, nodes), exact_names(live, nodes)
     exact = top(ids.withColumn("__leg", F.lit(0)).unionByName(names.withColumn("__leg", F.lit(1))).withColumnRenamed("pos", "__pos"), None, [F.asc("__leg"), F.asc("__pos")]).drop("__leg", "__pos")
     requested = live.select("query_id", X.node_types(F.col("query"), in_search=True).alias("types"))

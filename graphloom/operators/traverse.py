@@ -1,7 +1,7 @@
 """Neighbourhoods of nodes, declared as a table of paths.
 
-Each path is an inner join of its hops and is aggregated by itself, so branches never multiply; where a path is not there,
-the list is empty. One union of all paths and one aggregate answer all types of nodes at once.
+Paths are followed each by itself, so branches never multiply; where a path is not there, the list is empty. All paths of
+all types of nodes take their steps together: one join a step, and one aggregate in the end.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import empty_strings
+from graphloom.sources.scratch import materialise
 
 
 @dataclass(frozen=True)
@@ -92,29 +93,51 @@ PATHS = _paths()
 SHOWN = {"Technique": ["platforms", "is_subtechnique"], "Actor": ["aliases"], "Malware": ["platforms", "aliases"], "Tool": ["platforms", "aliases"], "Mitigation": [], "Tactic": ["shortname"], "Campaign": ["first_seen", "last_seen"], "DetectionStrategy": [], "Analytic": ["platforms"], "DataComponent": ["log_sources"]}
 
 
-def follow(starts: DataFrame, nodes: DataFrame, edges: DataFrame, path: Path) -> DataFrame:
-    """(start, value) of every way along a path from starts(id, node_type)."""
-    at = starts.where(F.col("node_type") == path.start).select(F.col("id").alias("start"), F.col("id").alias("at"))
-    middle = path.value.startswith("analytic_")
-    for i, (rel, way, kind) in enumerate(path.hops):
-        a, b = ("src", "dst") if way == "out" else ("dst", "src")
-        step = edges.where(F.col("rel") == rel).select(F.col(a).alias("at"), F.col(b).alias("next"))
-        last = i == len(path.hops) - 1
-        seen = [F.col(path.value.removeprefix("analytic_")).alias("value")] if (middle and kind == "Analytic") or (last and not middle) else []
-        reached = nodes.where(F.col("node_type") == kind).select(F.col("id").alias("next"), *seen)
-        keep = ["value"] if "value" in at.columns else []
-        at = at.join(step, "at").join(reached, "next").select("start", F.col("next").alias("at"), *keep, *(["value"] if seen else []))
-    return at.select("start", "value")
+def steps(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Every edge from either end: (at, rel, way, kind, next) with the values of the next node."""
+    ends = nodes.select(F.col("id").alias("next"), F.col("node_type").alias("kind"), "name", *[c for c in ("description",) if c in nodes.columns])
+    out = edges.select(F.col("src").alias("at"), "rel", F.lit("out").alias("way"), F.col("dst").alias("next"))
+    back = edges.select(F.col("dst").alias("at"), "rel", F.lit("in").alias("way"), F.col("src").alias("next"))
+    return out.unionByName(back).join(ends, "next")
+
+
+def follow(starts: DataFrame, nodes: DataFrame, edges: DataFrame, paths: list[Path]) -> DataFrame:
+    """(start, field, value) of every way along the paths from starts(id, node_type).
+
+    All paths take a step together: one join for each step of the longest path, whatever the number of paths.
+    """
+    spark = starts.sparkSession
+    table = []
+    for p in paths:
+        early = p.value.startswith("analytic_")  # the value is that of the analytic on the way
+        hop = next(i for i, h in enumerate(p.hops) if h[2] == "Analytic") if early else len(p.hops) - 1
+        table.append((p.start, p.field, [{"rel": r, "way": w, "kind": k} for r, w, k in p.hops], p.value.removeprefix("analytic_"), hop))
+    schema = "node_type string, field string, hops array<struct<rel: string, way: string, kind: string>>, column string, value_hop int"
+    known = F.broadcast(spark.createDataFrame(table, schema))  # a row for each path
+    at = starts.select(F.col("id").alias("start"), "node_type").join(known, "node_type").drop("node_type")
+    at = at.withColumn("at", F.col("start")).withColumn("value", F.lit(None).cast("string"))
+    edge = steps(nodes, edges)
+    seen = F.when(F.col("column") == "id", F.col("next"))
+    for c in ("name", "description"):
+        if c in edge.columns:
+            seen = seen.when(F.col("column") == c, F.col(c))
+    out = None
+    for i in range(max(len(p.hops) for p in paths)):
+        hop = F.get("hops", F.lit(i))
+        now = at.where(F.size("hops") > i).withColumns({"rel": hop.rel, "way": hop.way, "kind": hop.kind})
+        now = now.join(edge, ["at", "rel", "way", "kind"])
+        value = F.when(F.col("value_hop") == i, seen).otherwise(F.col("value"))
+        at = now.select("start", "field", "hops", "column", "value_hop", F.col("next").alias("at"), value.alias("value"))
+        done = at.where(F.size("hops") == i + 1).select("start", "field", "value")
+        out = done if out is None else out.unionByName(done)
+    return out
 
 
 def neighbourhoods(starts: DataFrame, nodes: DataFrame, edges: DataFrame, paths: list[Path] | None = None) -> DataFrame:
     """(id, and a sorted list of distinct values for each field) of starts(id, node_type); null values are left out."""
     paths = PATHS if paths is None else paths
     fields = sorted({p.field for p in paths})
-    out = None
-    for p in paths:
-        one = follow(starts, nodes, edges, p).select("start", F.lit(p.field).alias("field"), "value")
-        out = one if out is None else out.unionByName(one)
+    out = follow(starts, nodes, edges, paths)
     lists = out.groupBy("start").agg(*[F.sort_array(F.collect_set(F.when(F.col("field") == f, F.col("value")))).alias(f) for f in fields])
     joined = starts.select("id").distinct().join(lists, F.col("id") == F.col("start"), "left")
     return joined.select("id", *[F.coalesce(f, empty_strings()).alias(f) for f in fields])
@@ -128,6 +151,7 @@ def traverse(hits: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     parent by name. Lists are sorted. Order stays that of pos.
     """
     types = [*SHOWN]
+    hits = materialise(hits, "hits")
     known = hits.select("id", "node_type").distinct()
     found = known.join(nodes, ["id", "node_type"])
     about = neighbourhoods(known.where(F.col("node_type").isin(types)), nodes, edges)

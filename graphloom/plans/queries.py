@@ -350,7 +350,7 @@ def traverse_optional_vs_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     starts = nodes.where("node_type = 'Customer'")
     one = traverse.Path("Customer", "o", (("PLACED", "out", "Order"),), "id")
     # the middle node of a path whose last hop must be there
-    placed = traverse.follow(starts, nodes, edges, one)
+    placed = traverse.follow(starts, nodes, edges, [one])
     with_part = edges.where("rel = 'HAS_PART'").select(F.col("src").alias("value"), F.lit(1).alias("there")).distinct()
     return placed.join(with_part, "value", "left").groupBy(F.col("start").alias("id")).agg(F.count("*").alias("optional_steps"), F.count("there").alias("one_path"))
 

@@ -62,7 +62,12 @@ def read_bundle(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A parsed table stored as one JSON array or as JSON lines."""
+    """A parsed table stored as JSON lines; see read_array() for one JSON array."""
+    return spark.read.schema(schema).json(path)
+
+
+def read_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A parsed table stored as one JSON array a file."""
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
