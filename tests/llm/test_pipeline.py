@@ -47,6 +47,16 @@ def test_stages(spark):
     assert now.agg(F.max("n_tokens")).first()[0] <= 2048
 
 
+def test_short_uncertain_documents_stay(spark, monkeypatch):
+    rows = [(i, " ".join(["the of and"] * 9 if i % 2 else ["der und ist"] * 9), "en" if i % 2 else "de", "s", 1) for i in range(40)]
+    rows += [(100, "x", None, "s", 1), (101, "of und", None, "s", 1), (102, "?!", None, "s", 1), (103, None, None, "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    # with a threshold that no text reaches, only length and letters decide
+    monkeypatch.setattr(corpus_pipeline, "LEAST_SCORE", 1.1)
+    monkeypatch.setattr(corpus_pipeline, "LEAST_BYTES", 50)
+    assert sorted(r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()) == [100, 101]
+
+
 @needs_tables
 def test_queries(spark):
     for name, run in queries.QUERIES.items():
