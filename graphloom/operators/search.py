@@ -17,12 +17,18 @@ from graphloom.operators.ports import Embedder, Expander
 from graphloom.sources.scratch import materialise
 
 #: Queries in a batch are broadcast up to so many rows; a larger batch is cut by the caller or shuffled.
-QUERIES = 10_000
+QUERIES = 10_000  # checked by a count before the hint is given
+#: Shares that nodes are dealt into for a larger batch of vectors.
+SHARES = 512
 
 
-def _sized(queries: DataFrame) -> DataFrame:
-    """queries, broadcast if a count finds them few enough."""
-    return F.broadcast(queries) if queries.limit(QUERIES + 1).count() <= QUERIES else queries
+def few(queries: DataFrame) -> bool:
+    return queries.limit(QUERIES + 1).count() <= QUERIES
+
+
+def sized(queries: DataFrame) -> DataFrame:
+    """Rows of a batch, with a broadcast hint if a count finds them few enough."""
+    return F.broadcast(queries) if few(queries) else queries
 
 
 def top(rows: DataFrame, k: int | None, order: list[Column], by: str = "query_id") -> DataFrame:
@@ -54,7 +60,13 @@ def vector_search(queries: DataFrame, nodes: DataFrame, k: int = 10, normalized:
     """
     q = with_norm(queries.select("query_id", F.col("embedding").alias("__q")), "__q").withColumnRenamed("__norm", "__qn")
     n = with_norm(nodes.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("__v")), "__v")
-    pairs = n.where("__norm > 0").join(_sized(q.where("__qn > 0")), F.size("__v") == F.size("__q"))
+    n, q = n.where("__norm > 0"), q.where("__qn > 0")
+    if few(q):
+        pairs = n.join(F.broadcast(q), F.size("__v") == F.size("__q"))
+    else:  # all rows have the one length as key: nodes are dealt over shares, and every share gets the queries
+        shares = n.withColumn("__share", F.pmod(F.xxhash64("id"), F.lit(SHARES)).cast("int"))
+        each = q.withColumn("__share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+        pairs = shares.join(each, "__share").where(F.size("__v") == F.size("__q"))
     scored = pairs.select("query_id", "id", (dot(F.col("__v"), F.col("__q")) / (F.col("__norm") * F.col("__qn"))).alias("score"))
     found = top(scored, k, [F.desc("score"), F.asc("id")])
     return found.withColumn("score", (1 + F.col("score")) / 2) if normalized else found
@@ -108,13 +120,13 @@ class FullText:
         Only the terms of the batch leave the postings: they are filtered before they are counted.
         """
         asked = queries.select("query_id", F.explode(F.array_distinct(terms(X.full_text_query(F.col("query"))))).alias("term"))
-        only = _sized(asked.select("term").distinct())
+        only = sized(asked.select("term").distinct())
         hit = self.docs.select("id", "field", "dl", F.explode("terms").alias("term")).join(only, "term", "left_semi").groupBy("id", "field", "dl", "term").agg(F.count("*").alias("tf"))
         df = hit.groupBy("field", "term").agg(F.count("*").alias("df"))
         idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
         weighed = hit.join(F.broadcast(self.totals), "field").join(df, ["field", "term"]).select("id", "term", part.alias("part"))
-        scored = weighed.join(_sized(asked), "term").groupBy("query_id", "id").agg(F.sum("part").alias("score"))
+        scored = weighed.join(sized(asked), "term").groupBy("query_id", "id").agg(F.sum("part").alias("score"))
         # sums in another order differ in their last digits, which must not decide between equal texts
         return top(scored, k, [F.desc(F.round("score", 9)), F.asc("id")])
 
@@ -123,7 +135,7 @@ class FullText:
 def exact_ids(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     """Nodes whose external identifier a query names, by identifier; no limit."""
     asked = queries.select("query_id", F.explode(X.external_ids(F.col("query"))).alias("key"))
-    found = nodes.select("id", F.upper("external_id").alias("key")).join(_sized(asked), "key")
+    found = nodes.select("id", F.upper("external_id").alias("key")).join(sized(asked), "key")
     return top(found.select("query_id", "id", "key", F.lit(1.0).alias("score")), None, [F.asc("key"), F.asc("id")]).drop("key")
 
 
@@ -131,10 +143,10 @@ def exact_names(queries: DataFrame, nodes: DataFrame, k: int = 10) -> DataFrame:
     """Nodes whose name (3 characters or more) is part of a query, or one of whose aliases is a word of it; the first k by
     id. The words are an equi-join; names, which may begin inside a word, are looked for in each broadcast query."""
     asked = queries.select("query_id", F.lower("query").alias("__low"))
-    named = nodes.where("length(name) >= 3").select("id", F.lower("name").alias("__name")).join(_sized(asked), F.contains("__low", "__name"))
+    named = nodes.where("length(name) >= 3").select("id", F.lower("name").alias("__name")).join(sized(asked), F.contains("__low", "__name"))
     word = queries.select("query_id", F.explode(F.array_distinct(F.transform(X.find_all(F.col("query"), "[A-Za-z0-9_.-]+"), F.lower))).alias("key"))
     alias = nodes.select("id", F.explode(X.or_empty(F.col("aliases"))).alias("alias")).where("length(alias) >= 3")
-    called = alias.select("id", F.lower("alias").alias("key")).join(_sized(word), "key")
+    called = alias.select("id", F.lower("alias").alias("key")).join(sized(word), "key")
     both = named.select("query_id", "id").unionByName(called.select("query_id", "id")).distinct()
     return top(both.withColumn("score", F.lit(1.0)), k, [F.asc("id")])
 
@@ -227,6 +239,6 @@ def search(queries: DataFrame, nodes: DataFrame, embedder: Embedder, top_k: int
     exact = top(ids.withColumn("__leg", F.lit(0)).unionByName(names.withColumn("__leg", F.lit(1))).withColumnRenamed("pos", "__pos"), None, [F.asc("__leg"), F.asc("__pos")]).drop("__leg", "__pos")
     requested = live.select("query_id", X.node_types(F.col("query"), in_search=True).alias("types"))
     fused = fuse([("vector", vector), ("text", text), ("exact", exact)], nodes, requested).withColumnRenamed("pos", "__pos")
-    found = fused.join(nodes.select("id", "name", "external_id", "node_type"), "id").join(_sized(live.select("query_id", "query")), "query_id")
+    found = fused.join(nodes.select("id", "name", "external_id", "node_type"), "id").join(sized(live.select("query_id", "query")), "query_id")
     found = found.where(~partial_match(F.col("query"), F.col("name"), F.col("external_id")))
     return top(found, top_k, [F.asc("__pos")]).select("query_id", "id", "name", "external_id", "node_type", "source_score", "rrf_score", "pos")

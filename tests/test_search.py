@@ -78,6 +78,15 @@ def test_legs(spark, nodes):
 
 
 
+def test_large_batches_are_not_broadcast(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(60)] + [(98, [0.0, 0.0, 0.0]), (99, [1.0])], "id int, embedding array<float>")
+    asked_ = rows.where("id < 5").withColumnRenamed("id", "query_id")
+    want = sorted(map(tuple, search.vector_search(asked_, rows, 4).collect()))
+    monkeypatch.setattr(search, "QUERIES", 2)
+    monkeypatch.setattr(search, "SHARES", 3)
+    assert sorted(map(tuple, search.vector_search(asked_, rows, 4).collect())) == want and len(want) == 20
+
+
 def test_fusion_adds_ranks(spark):
     leg = lambda rows: spark.createDataFrame([(0, i, s, p) for i, s, p in rows], "query_id int, id string, score double, pos int")
     types = spark.createDataFrame([("a", "T"), ("b", "U"), ("c", "T")], "id string, node_type string")
