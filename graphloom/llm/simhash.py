@@ -3,12 +3,15 @@
 Distinct fingerprints are dealt into tiles by a cell number (population count, or a band of lengths). Only tiles whose
 cells are within reach meet; inside a meeting, blocks whose population counts differ beyond the radius are skipped, and
 the others are compared with exclusive-or and bit counts. A meeting emits a spanning forest of its links, never pairs.
+
+Near-duplicates take such links as candidates only: inside each group that candidates connect, sets of shingles are
+compared, and only pairs whose own similarity is high enough link.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import batched
 
 import numpy as np
@@ -18,23 +21,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.base import Links, blocks_for, components, materialise
+from graphloom.llm.base import Links, blocks_for, components, materialise, sized_broadcast
 
 SEED = 42
 #: Distinct fingerprints in a tile, on average at most.
 TILE = 262_144
 #: Fingerprints in a block inside a meeting of two tiles, and those that a block is compared with at a time.
 BLOCK, WIDE = 64, 4096
+#: Standard deviations by which the radius of candidates is wider than a similarity is expected to need.
+WIDER = 4
+#: Texts, and shingles in them, that are confirmed at a time, on average at most.
+CHUNK, SHINGLES = 4096, 1 << 20
 
 
-def fingerprint(text: bytes, words: int, bits: int, distinct: bool = False) -> tuple[int, bytes]:
-    """(number of shingles, fingerprint as bits/8 bytes, high bit first) of a UTF-8 text; A-Z counts as a-z.
-
-    distinct: each different shingle counts once, so that a line repeated in a text does not outvote the rest of it.
-    """
+def _shingles(text: bytes, words: int) -> tuple[bytes, Iterable[tuple[int, int]]]:
+    """The text in lower case with single spaces, and where in it each shingle starts and ends."""
     norm = b" ".join(text.lower().split())
     if not norm:
-        return 0, bytes(bits // 8)
+        return norm, []
     gaps = np.flatnonzero(np.frombuffer(norm, np.uint8) == 32)
     starts = np.concatenate([[0], gaps + 1]).tolist()
     ends = np.concatenate([gaps, [len(norm)]]).tolist()
@@ -42,8 +46,24 @@ def fingerprint(text: bytes, words: int, bits: int, distinct: bool = False) -> t
         starts, ends = starts[: len(starts) - words + 1], ends[words - 1 :]
     else:
         starts, ends = [0], [len(norm)]
+    return norm, zip(starts, ends, strict=True)
+
+
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """The set of a whole text's shingles, as sorted 64-bit hashes."""
+    norm, spans = _shingles(text, words)
+    return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(norm[a:b], SEED) for a, b in spans]), np.uint64))
+
+
+def fingerprint(text: bytes, words: int, bits: int, distinct: bool = False) -> tuple[int, bytes]:
+    """(number of shingles, fingerprint as bits/8 bytes, high bit first) of a UTF-8 text; A-Z counts as a-z.
+
+    distinct: each different shingle counts once, so that a line repeated in a text does not outvote the rest of it.
+    """
+    norm, spans = _shingles(text, words)
+    if not norm:
+        return 0, bytes(bits // 8)
     digest = xxhash.xxh64_digest if bits == 64 else xxhash.xxh3_128_digest
-    spans = zip(starts, ends, strict=True)
     if distinct:
         spans = {norm[a:b]: (a, b) for a, b in spans}.values()
     ones, total = np.zeros(bits, np.int64), 0
@@ -170,18 +190,104 @@ class _Ratio:
 
 
 def radius_for(similarity: float, bits: int) -> int:
-    """Differing bits expected at a Jaccard similarity, and one standard deviation more."""
+    """Differing bits expected at a Jaccard similarity, and WIDER standard deviations more."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(bits * share + math.sqrt(bits * share * (1 - share)))
+    return int(bits * share + WIDER * math.sqrt(bits * share * (1 - share)))
+
+
+def confirmed(sets: list[np.ndarray], least: float, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) between sets of a Jaccard similarity of least or more that connect all that such pairs connect.
+
+    With first, only the first so many sets are compared with the others. Sets that links connect already are not
+    compared, so a group of copies takes about a comparison for each member. Empty sets are equal.
+    """
+    m, sizes = len(sets), np.array([len(x) for x in sets], np.int64)
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1] if sizes.any() else np.zeros(0, np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    held = np.zeros(len(codes) + 1, bool)
+    root, out = np.arange(m), []
+    for a in range(first or m):
+        own = codes[starts[a] : starts[a + 1]]
+        held[own] = True
+        others = np.arange(first or a + 1, m)
+        n = sizes[others]
+        others = others[(root[others] != root[a]) & (np.minimum(n, sizes[a]) >= least * np.maximum(n, sizes[a]))]
+        # a few of each connected part first: one link spares the rest of it
+        others = others[np.argsort(root[others], kind="stable")]
+        of = root[others]
+        rank = np.arange(len(of)) - np.searchsorted(of, of)
+        low, high = 0, 4
+        while len(others) and low <= rank.max():
+            b = others[(rank >= low) & (rank < high) & (root[others] != root[a])]
+            low, high = high, high * 8
+            if not len(b):
+                continue
+            n = sizes[b]
+            if sizes[a]:
+                at = np.cumsum(n) - n
+                both = np.add.reduceat(held[codes[np.arange(n.sum()) + np.repeat(starts[b] - at, n)]], at, dtype=np.int64)
+                b = b[both / (sizes[a] + n - both) >= least]
+            if len(b):
+                out.append((np.full(len(b), a), b))
+                root[np.isin(root, root[b])] = root[a]
+        held[own] = False
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+
+
+def confirmed_components(docs: DataFrame, candidates: DataFrame, similarity: float, words: int) -> DataFrame:
+    """docs(id, text binary), candidates(id, component, shingles) -> (node, root), linking texts of a component whose sets of shingles are of that similarity or more.
+
+    Large components are dealt into chunks of which each two meet; small ones are confirmed many at a time. candidates
+    must be a table that can be read again cheaply.
+    """
+    sizes = candidates.groupBy("component").agg(F.count("*").alias("m"), F.sum("shingles").alias("s")).where("m > 1")
+    sizes = materialise(sizes.withColumn("chunks", F.ceil(F.greatest(F.col("m") / CHUNK, F.col("s") / SHINGLES)).cast("int")), "near-sizes")
+    groups, members, shingles = sizes.agg(F.count("*"), F.sum("m"), F.sum("s")).first()
+    batches = max((members or 0) // CHUNK, (shingles or 0) // SHINGLES) + 1
+    # a batch of small components, or a large one by itself
+    sizes = sizes.select("component", F.greatest("chunks", F.lit(1)).alias("chunks"))
+    batch = F.when(F.col("chunks") > 1, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(batches)))
+    chosen = candidates.join(sized_broadcast(sizes, groups), "component").select("id", "component", "chunks", batch.alias("batch"), (F.col("chunks") > 1).alias("large")).distinct()
+    chosen = materialise(chosen, "near-candidates")
+    rows = docs.join(sized_broadcast(chosen, members or 0), "id").select("id", "component", "chunks", "batch", "large", "text")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([shingle_set(x.as_py() or b"", words).tobytes() for x in batch.column(5)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], found], ["id", "component", "chunks", "batch", "large", "shingles"])
+
+    rows = materialise(rows.mapInArrow(hashed, "id long, component long, chunks int, batch long, large boolean, shingles binary"), "near-sets")
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.select("id", "component", "batch", "large", "shingles", F.least("chunk", "other").alias("t1"), F.greatest("chunk", "other").alias("t2"), (F.col("chunk") > F.col("other")).alias("second"))
+
+    def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
+        links, apart = Links(), pdf.t1.iloc[0] != pdf.t2.iloc[0]
+        for _, part in pdf.sort_values(["component", "second", "id"]).groupby("component", sort=False):
+            first = int((~part.second).sum()) if apart else 0
+            if apart and first in (0, len(part)):
+                continue
+            ids = part.id.to_numpy()
+            a, b = confirmed([np.frombuffer(x, np.uint64) for x in part.shingles], similarity, first)
+            links.add(ids[a], ids[b])
+        a, b = links.folded()
+        return pd.DataFrame({"a": a, "b": b})
+
+    return components(rows.groupBy("large", "batch", "t1", "t2").applyInPandas(confirm, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 128) -> DataFrame:
-    """(id, component) of every document, linking texts whose estimated similarity on sets of word shingles is that much or more.
+    """(id, component) of every document, linking texts whose Jaccard similarity on sets of word shingles is that much or more.
 
-    Null and empty texts have no shingle and link with each other. A null id links with nothing and keeps a null component.
+    Fingerprints give candidates, of which each link is confirmed on the whole sets (as 64-bit hashes). Null and empty
+    texts have no shingle and link with each other. A null id links with nothing and keeps a null component.
     """
     prints = materialise(fingerprints(docs, id_col, text_col, words, bits, distinct=True), "simhash")
-    return link_components(prints, radius_for(similarity, bits), similarity).select("id", "component")
+    candidates = link_components(prints, radius_for(similarity, bits), similarity).where("id is not null").select("id", "component", "shingles")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    roots = confirmed_components(rows, materialise(candidates, "near-linked"), similarity, words)
+    return prints.select("id").join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
 def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:

@@ -91,6 +91,64 @@ def test_near_duplicates(spark):
     assert got[900] == got[901] == 900
 
 
+def near_pairs():
+    """Texts in pairs on both sides of a similarity of 0.8, and a chain of which only neighbours are near."""
+    rows, r = [], random.Random(8)
+    for k in range(150):
+        text = words(200, 1000 + k, 100_000)
+        other = list(text)
+        for at in r.sample(range(0, 195, 6), k % 9 + 1):
+            other[at] = f"other{k}x{at}"
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(other))]
+    chain = words(200, 77, 100_000)
+    for k in range(8):
+        rows.append((500 + k, " ".join(chain)))
+        chain[20 * k + 7], chain[20 * k + 17] = f"one{k}", f"two{k}"
+    return rows + [(600, "a b c d e f g h"), (601, "a b c d e f g h i"), (602, None), (603, " ")]
+
+
+def brute_components(rows):
+    sets = {i: {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for i, t in rows}
+    roots = Roots(sets)
+    for a in sets:
+        for b in sets:
+            if a < b and (sets[a] | sets[b] == set() or sets[a] | sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8):
+                roots.join(a, b)
+    return {i: roots.find(i) for i in sets}
+
+
+@pytest.mark.parametrize("chunk", [4, simhash.CHUNK])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, chunk):
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    rows = near_pairs()
+    want = brute_components(rows)
+    assert 40 < sum(want[2 * k] == want[2 * k + 1] for k in range(150)) < 110 and want[507] == 500 and want[601] == 600
+    docs = spark.createDataFrame([*rows, (None, rows[0][1])], "doc_id long, text string")
+    got = simhash.near_duplicates(docs).collect()
+    assert len(got) == len(rows) + 1 and {r.id: r.component for r in got} == want | {None: None}
+
+
+def test_confirmed_on_either_side():
+    r = np.random.default_rng(6)
+    sets = [np.unique(r.integers(0, 60, 40).astype(np.uint64)) for _ in range(60)] + [np.zeros(0, np.uint64)] * 2
+    sets += [np.arange(100, 135, dtype=np.uint64), np.arange(107, 135, dtype=np.uint64)]  # 28 of 35: 0.8 itself
+    for least in (0.5, 0.6, 0.8):
+        for first in (0, 30):
+            n, pairs = len(sets), []
+            for a in range(n):
+                for b in range(a + 1, n):
+                    union = len(np.union1d(sets[a], sets[b]))
+                    if (not first or a < first <= b) and (not union or len(np.intersect1d(sets[a], sets[b])) / union >= least):
+                        pairs.append((a, b))
+            want, got = Roots(range(n)), Roots(range(n))
+            for a, b in pairs:
+                want.join(a, b)
+            for a, b in zip(*simhash.confirmed(sets, least, first), strict=True):
+                assert (a, b) in pairs
+                got.join(int(a), int(b))
+            assert [got.find(x) for x in range(n)] == [want.find(x) for x in range(n)]
+
+
 def test_a_repeated_line_does_not_link(spark):
     line = "the very same line that is everywhere in these texts "
     rows = [(i, line * 60 + " ".join(words(200, 500 + i, 100_000))) for i in range(6)]
