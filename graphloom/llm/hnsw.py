@@ -1,8 +1,9 @@
 """Embedding near-duplicates over hierarchical navigable small-world graphs.
 
 Vectors of a label are dealt into shards of bounded size, each with a graph of its own, kept as a table. Every vector
-queries the graph of every shard of its label. A search widens its beam until an audit of some queries against all
-vectors of the shard finds nothing missed; every link is verified by its cosine in double precision.
+queries the graph of every shard of its label. Equal vectors of a shard are one node with a weight. A search widens its
+beam until an audit of queries against all vectors of the shard, which goes on until it knows of enough true links, finds
+nothing missed; every link is verified by its cosine in double precision.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from graphloom.llm.base import Links, components, materialise
 SHARD = 8192
 #: Neighbours a node chooses in a layer (twice as many in the lowest), and the beam that finds them.
 CHOSEN, BUILD_BEAM = 12, 40
-#: The first beam of a search, audited queries in each meeting of a block and a shard, and the recall asked of them.
+#: The first beam of a search, queries that an audit of a meeting starts with, and the recall asked of them.
 BEAM, AUDITED, RECALL = 24, 48, 1.0
+#: True links that an audit must know of, those of a node with itself aside; it goes on until then or to the last query.
+WANTED = 1000
 #: Tasks at most in a stage that builds or asks.
 TASKS = 20_000
 #: How far below the threshold a search still follows neighbours.
@@ -147,23 +150,41 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def links_between(graph: Graph, vectors: np.ndarray, queries: np.ndarray, least: float, beam: int = BEAM, recall: float = RECALL) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) of cosine least or more, vectors and queries being double unit vectors.
+    """(query, node) of cosine least or more, vectors and queries being double unit vectors. See audited_links()."""
+    return audited_links(graph, vectors, queries, least, beam, recall)[:2]
 
-    The beam doubles until the audited queries miss no more than recall allows; at a beam of the whole shard the
-    remaining way is to compare the queries with all its vectors.
+
+def audited_links(graph: Graph, vectors: np.ndarray, queries: np.ndarray, least: float, beam: int = BEAM, recall: float = RECALL, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(query, node) of cosine least or more, and how many true links the audit knew of and the search found of these.
+
+    The audit begins with AUDITED queries spread over all and as many of the heaviest nodes of copies, and takes more until
+    it has WANTED true links; if it has come to compare all queries, these comparisons are the result. The beam doubles until the audited
+    queries miss no more than recall allows; at a beam of the whole shard the remaining way is to compare all, too.
     """
     slack = 1e-5  # of single against double precision
-    audited = np.unique(np.linspace(0, len(queries) - 1, AUDITED).astype(int))
-    truth = [np.flatnonzero(vectors @ queries[k] >= least) for k in audited]
-    want = sum(map(len, truth))
+    n = len(queries)
+    heavy = np.zeros(0, int) if weights is None else np.argsort(-weights, kind="stable")[:AUDITED]
+    begin = np.unique(np.concatenate([np.linspace(0, n - 1, AUDITED).astype(int), heavy[weights[heavy] > 1] if len(heavy) else heavy]))
+    rest = np.random.default_rng(n).permutation(n)
+    order = np.concatenate([begin, rest[~np.isin(rest, begin)]])
+    itself = vectors is queries
+    truth, want, take = [], 0, len(begin)
+    while len(truth) < n and want < WANTED:
+        for k in order[len(truth) : len(truth) + take]:
+            truth.append(np.flatnonzero(vectors @ queries[k] >= least))
+            want += len(truth[-1]) - itself
+        take = len(truth)
     single = queries.astype(np.float32)
-    while beam < len(vectors):
-        got = [graph.within(single[k], least - slack, beam) for k in audited]
-        if sum(len(np.intersect1d(a, b)) for a, b in zip(truth, got, strict=True)) >= recall * want:
+    found = None
+    while len(truth) < n and beam < len(vectors):
+        got = [graph.within(single[k], least - slack, beam) for k in order[: len(truth)]]
+        hits = sum(len(np.intersect1d(a, b)) for a, b in zip(truth, got, strict=True)) - itself * sum(k in b for k, b in zip(order, got, strict=False))
+        if hits >= recall * want:
             found = [graph.within(q, least - slack, beam) for q in single]
             break
         beam *= 2
-    else:
+    if found is None:
+        hits = want
         found = [np.flatnonzero(vectors @ q >= least) for q in queries]
     x = np.repeat(np.arange(len(queries)), [len(f) for f in found])
     y = np.concatenate([*found, np.zeros(0, np.int64)]).astype(np.int64)
@@ -171,16 +192,17 @@ def links_between(graph: Graph, vectors: np.ndarray, queries: np.ndarray, least:
     for k in range(0, len(x), 1 << 18):
         part = slice(k, k + (1 << 18))
         ok[part] = np.einsum("ij,ij->i", queries[x[part]], vectors[y[part]]) >= least
-    return x[ok], y[ok]
+    return x[ok], y[ok], want, hits
 
 
-def near_duplicates(rows: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", shard: int = SHARD) -> DataFrame:
+def near_duplicates(rows: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", shard: int = SHARD, report: dict | None = None) -> DataFrame:
     """(id, n_links, component) of every row: how many other rows of its label have a cosine of least or more to it, and
     the smallest id that links reach, its own included.
 
     Vectors that are null, empty, zero or hold null or non-finite components, vectors under a null label, and vectors of
     different lengths link with nothing. Rows that repeat an id are vectors of their own. A row with a null id links like
-    others but names no component; the component is null if no row of it has an id.
+    others but names no component; the component is null if no row of it has an id. A report is given the number of true
+    links that the audits knew of as "wanted", how many of them the searches found as "found", and their ratio as "recall".
     """
     x = F.col(vector_col).cast("array<double>")
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), x.alias("vector"), F.monotonically_increasing_id().alias("rid"))
@@ -198,43 +220,57 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, id_col: str = "vec_id"
         pdf = pdf.sort_values("rid")
         v = np.stack(pdf.vector.to_numpy())
         v = unit(v / np.abs(v).max(axis=1, keepdims=True))
-        return pd.DataFrame({"group": [pdf.group.iloc[0]], "shard": [pdf.shard.iloc[0]], "shards": [pdf.shards.iloc[0]], "rids": [pdf.rid.to_numpy(np.int64).tobytes()], "dim": [v.shape[1]], "vectors": [v.tobytes()], "graph": [Graph(v).dump()]})
+        # equal vectors are one node; rows stand in the order of their nodes
+        _, first, node, weights = np.unique(v, axis=0, return_index=True, return_inverse=True, return_counts=True)
+        rids = pdf.rid.to_numpy(np.int64)[np.argsort(node.ravel(), kind="stable")]
+        v = v[first]
+        return pd.DataFrame({"group": [pdf.group.iloc[0]], "shard": [pdf.shard.iloc[0]], "shards": [pdf.shards.iloc[0]], "rids": [rids.tobytes()], "weights": [weights.astype(np.int64).tobytes()], "dim": [v.shape[1]], "vectors": [v.tobytes()], "graph": [Graph(v).dump()]})
 
     group = F.concat_ws("\x00", F.col("label").cast("string"), F.col("dim").cast("string")).alias("group")
-    index = good.select(group, "rid", "vector", "shard", "shards").repartition(tasks(shards), "group", "shard").groupBy("group", "shard").applyInPandas(build, "group string, shard int, shards int, rids binary, dim int, vectors binary, graph binary")
+    index = good.select(group, "rid", "vector", "shard", "shards").repartition(tasks(shards), "group", "shard").groupBy("group", "shard").applyInPandas(build, "group string, shard int, shards int, rids binary, weights binary, dim int, vectors binary, graph binary")
     index = materialise(index, "hnsw-index")
 
     # a meeting is of the queries of one shard and the graph of another or the same; each pair of shards meets once
-    graphs = index.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("shard")))).select("group", "q", F.col("shard").alias("x"), "rids", "dim", "vectors", "graph")
+    graphs = index.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("shard")))).select("group", "q", F.col("shard").alias("x"), "rids", "weights", "dim", "vectors", "graph")
     asks = index.where("shard < shards - 1").withColumn("x", F.explode(F.sequence(F.col("shard") + 1, F.col("shards") - 1)))
-    asks = asks.select("group", F.col("shard").alias("q"), "x", "rids", "dim", "vectors", F.lit(None).cast("binary").alias("graph"))
+    asks = asks.select("group", F.col("shard").alias("q"), "x", "rids", "weights", "dim", "vectors", F.lit(None).cast("binary").alias("graph"))
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         held = {r.graph is not None: r for r in pdf.itertuples()}
         mine = held[True]
-        v = np.frombuffer(mine.vectors).reshape(-1, mine.dim)
-        rids = np.frombuffer(mine.rids, np.int64)
+        opened = lambda r: (np.frombuffer(r.vectors).reshape(-1, r.dim), np.frombuffer(r.rids, np.int64), np.frombuffer(r.weights, np.int64))
+        v, rids, weights = opened(mine)
         asked = held.get(False)
-        qv, qr = (v, rids) if asked is None else (np.frombuffer(asked.vectors).reshape(-1, asked.dim), np.frombuffer(asked.rids, np.int64))
-        a, b = links_between(Graph.load(mine.graph), v, qv, least)
+        qv, qr, qw = (v, rids, weights) if asked is None else opened(asked)
+        a, b, want, hits = audited_links(Graph.load(mine.graph), v, qv, least, weights=qw)
+        first, q_first = np.cumsum(weights) - weights, np.cumsum(qw) - qw
+        links = Links()
         if asked is None:  # one shard: a link found from either end counts once for each end
             pairs = np.unique(np.minimum(a, b) * len(v) + np.maximum(a, b))
             a, b = pairs // len(v), pairs % len(v)
             a, b = a[a != b], b[a != b]
-            counts = np.bincount(a, minlength=len(v)) + np.bincount(b, minlength=len(v))
+            counts = np.bincount(a, weights[b], len(v)) + np.bincount(b, weights[a], len(v))
+            if least <= 1:  # rows of a node link with each other
+                counts += weights - 1
+                links.add(np.repeat(rids[first], weights), rids)
+            counts = np.repeat(counts.astype(np.int64), weights)
             ends, counts = rids[counts > 0], counts[counts > 0]
         else:
-            n, m = np.bincount(a, minlength=len(qv)), np.bincount(b, minlength=len(v))
+            n, m = np.bincount(a, weights[b], len(qv)), np.bincount(b, qw[a], len(v))
+            n, m = np.repeat(n.astype(np.int64), qw), np.repeat(m.astype(np.int64), weights)
             ends, counts = np.concatenate([qr[n > 0], rids[m > 0]]), np.concatenate([n[n > 0], m[m > 0]])
-        links = Links()
-        links.add(qr[a], rids[b])
+        links.add(qr[q_first[a]], rids[first[b]])
         x, y = links.folded()
-        return pd.DataFrame({"a": np.concatenate([ends, x]), "b": np.concatenate([np.full(len(ends), -1), y]), "n": np.concatenate([counts, np.zeros(len(x), np.int64)])})
+        # -1 marks counts of links, -2 an audit
+        return pd.DataFrame({"a": np.concatenate([ends, x, [want]]), "b": np.concatenate([np.full(len(ends), -1), y, [-2]]), "n": np.concatenate([counts, np.zeros(len(x), np.int64), [hits]])})
 
     met = graphs.unionByName(asks).repartition(tasks(meetings), "group", "q", "x").groupBy("group", "q", "x").applyInPandas(meet, "a long, b long, n long")
     met = materialise(met, "hnsw-links")
     counts = met.where("b = -1").groupBy(F.col("a").alias("rid")).agg(F.sum("n").alias("n_links"))
-    roots = components(met.where("b <> -1").select("a", "b"))
+    roots = components(met.where("b >= 0").select("a", "b"))
+    if report is not None:
+        wanted, found = met.where("b = -2").agg(F.sum("a"), F.sum("n")).first()
+        report |= {"wanted": wanted or 0, "found": found or 0, "recall": found / wanted if wanted else None}
     named = rows.select("rid", "id").join(roots, F.col("rid") == F.col("node"), "left").select("rid", "id", F.coalesce("root", "rid").alias("root"))
     least_id = named.groupBy("root").agg(F.min("id").alias("component"))
     out = named.join(least_id, "root").join(counts, "rid", "left")

@@ -282,3 +282,30 @@ def test_a_narrow_beam_widens():
     graph.near[0][:] = -1
     a, b = hnsw.links_between(graph, v, v, 0.9)
     assert len(a) == len(x)
+
+
+def test_an_audit_without_links_does_not_pass():
+    # two shards that share one pair of vectors, which no few queries meet; the graph finds nothing by itself
+    rng = np.random.default_rng(9)
+    v, q = hnsw.unit(rng.standard_normal((400, 32))), hnsw.unit(rng.standard_normal((400, 32)))
+    q[211] = v[97]
+    graph = hnsw.Graph(v)
+    graph.count[0][:] = 0
+    graph.near[0][:] = -1
+    a, b = hnsw.links_between(graph, v, q, 0.93)
+    assert (211, 97) in set(zip(a.tolist(), b.tolist(), strict=True))
+
+
+def test_equal_vectors_over_shards(spark):
+    rng = np.random.default_rng(3)
+    groups = rng.standard_normal((3, 16))
+    rows = [(k, rng.standard_normal(16).tolist(), 1) for k in range(300)]
+    rows += [(1000 + k, groups[k % 3].tolist(), 1) for k in range(330)]
+    report = {}
+    got = hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), 0.93, shard=160, report=report).collect()
+    v = hnsw.unit(np.array([r[1] for r in rows]))
+    near = v @ v.T >= 0.93
+    at = {r[0]: k for k, r in enumerate(rows)}
+    assert all(r.n_links == near[at[r.id]].sum() - 1 for r in got)
+    assert all(r.component == min(rows[k][0] for k in np.flatnonzero(near[at[r.id]])) for r in got)
+    assert report["recall"] == 1.0 and report["wanted"] > 0
