@@ -35,6 +35,7 @@ B64_DER = re.compile(r"M[A-Za-z0-9+/_-]{31,}={0,2}")
 B64_AT = re.compile(r"M")
 B64_SSH = re.compile(r"b3BlbnNzaC1rZXktdjE[A-Za-z0-9+/_-]*={0,2}")
 HEX_DER = re.compile(r"30[0-9A-Fa-f]{46,}")
+JSON_AT = re.compile(rb"\{[ \t\r\n]*(\"|$)")
 JWT = re.compile(r"e[wy][A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 SSH_MAGIC = b"openssh-key-v1\x00"
 
@@ -151,6 +152,30 @@ def _der_in(run: str) -> tuple[int, int] | None:
     return None
 
 
+def _hex_der_in(run: str) -> tuple[int, int] | None:
+    """The first private key in a hex run as (start, end), as _der_in."""
+    at = run.find("30")
+    while 0 <= at <= len(run) - 48:
+        head = binascii.unhexlify(run[at : at + 12])
+        n = head[1]
+        total = 2 + n if n < 128 else 2 + (k := n & 127) + int.from_bytes(head[2 : 2 + k]) if 1 <= (n & 127) <= 4 else 0
+        if 24 <= total and at + 2 * total <= len(run) and der_key(binascii.unhexlify(run[at : at + 2 * total])) == total:
+            return at, at + 2 * total
+        at = run.find("30", at + 1)
+    return None
+
+
+def _tokens_in(text: str) -> Iterator[tuple[int, int]]:
+    """Signed tokens; where one does not parse, the next start may be inside of it."""
+    at = 0
+    while m := JWT.search(text, at):
+        if JSON_AT.match(_b64(m[0][:8]) or b"") and signed_token(m[0]):
+            yield m.span()
+            at = m.end()
+        else:
+            at = m.start() + 1
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of the base kinds, leftmost and non-overlapping per kind."""
     out = []
@@ -179,14 +204,14 @@ def structural_spans(text: str) -> list[tuple[str, int, int]]:
             out.append(("der", m.start() + at + found[0], m.start() + at + found[1]))
             at += found[1]
     for m in HEX_DER.finditer(text):
-        run = m[0]
-        total = der_key(binascii.unhexlify(run[: len(run) // 2 * 2]))
-        if total:
-            out.append(("der", m.start(), m.start() + 2 * total))
+        at = 0
+        while found := _hex_der_in(m[0][at:]):
+            out.append(("der", m.start() + at + found[0], m.start() + at + found[1]))
+            at += found[1]
     for m in B64_SSH.finditer(text):
         if openssh_key(_b64(m[0]) or b""):
             out.append(("openssh", m.start(), m.end()))
-    out += [("jwt", m.start(), m.end()) for m in JWT.finditer(text) if signed_token(m[0])]
+    out += [("jwt", a, b) for a, b in _tokens_in(text)]
     return out
 
 

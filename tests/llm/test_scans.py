@@ -214,3 +214,14 @@ def test_token_counts(spark):
     docs = spark.createDataFrame([(1, text, 0), (2, None, 0), (3, "", 0), (4, " " * 500_000, 0), (None, "x" * 300_000, 0)], "doc_id long, text string, length int")
     got = {x.id: x.length for x in tokens.token_counts(docs).collect()}
     assert got[1] == len(encoder.encode_ordinary(text)) and got[2] == got[3] == 0 and min(got[4], got[None]) > 0
+
+
+def test_keys_and_tokens_behind_a_false_start():
+    part = lambda x: base64.urlsafe_b64encode(x).decode().rstrip("=")
+    token = f"{part(b'{"alg":"HS256"}')}.{part(b'{"sub":"1"}')}.{part(bytes(32))}"
+    for before in ("jwt_key_", "api-key-", "eyes.", "eyeyeyeyeyey", "monkey.hockey_more."):
+        assert ("jwt", len(before), len(before) + len(token)) in secrets.structural_spans(before + token)
+    key = "3027020101" + "0420" + "11" * 32 + "00" * 0
+    key = key.replace("3027", f"30{len(key) // 2 - 2:02x}")
+    for before in ("30", "30aa30", "3", "a30b"):
+        assert secrets.structural_spans(f"x {before}{key}{key}") == [("der", 2 + len(before) + k * len(key), 2 + len(before) + (k + 1) * len(key)) for k in range(2)]
