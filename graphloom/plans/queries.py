@@ -145,13 +145,20 @@ def rrf_type_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- exact ------------------------------------------------------------------------------------------------------------
+def _named_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, external_id) of every part; keys of fewer than four digits are padded."""
+    key = F.col("p_partkey").cast("string")
+    padded = F.lpad(key, F.greatest(F.lit(4), F.length(key)), F.lit("0"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("T"), padded).alias("external_id"))
+
+
 @query("""SELECT s_suppkey::INT AS query_id, 'T' || lpad(p_partkey::VARCHAR, 4, '0') AS external_id, p_partkey AS id FROM supplier
           JOIN part ON p_partkey < 10000 AND list_contains(list_transform(regexp_extract_all('see T000' || (s_suppkey % 10) || ' and s0001, t00' || (10 + s_suppkey % 80),
                '(?i)\\b(?:[GMSTC]A?\\d{4}(?:\\.\\d{3})?|AN\\d{4}|DET\\d{4}|DC\\d{4})\\b'), lambda x: upper(x)), 'T' || lpad(p_partkey::VARCHAR, 4, '0'))""")
 def exact_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("s_suppkey")
     asked = table(spark, sf_dir, "supplier").select(key.cast("int").alias("query_id"), F.concat(F.lit("see T000"), (key % 10).cast("string"), F.lit(" and s0001, t00"), (10 + key % 80).cast("string")).alias("query"))
-    parts = table(spark, sf_dir, "part").where("p_partkey < 10000").select(F.col("p_partkey").alias("id"), F.concat(F.lit("T"), F.lpad(F.col("p_partkey").cast("string"), 4, "0")).alias("external_id"))
+    parts = _named_parts(spark, sf_dir)
     return search.exact_ids(asked, parts).join(parts, "id").select("query_id", "external_id", "id")
 
 

@@ -40,3 +40,10 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 10
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_exact_id_searches_all_parts(spark, tmp_path):
+    keys = [7, 9999, 10_000, 123_456]
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+    got = queries._named_parts(spark, str(tmp_path)).collect()
+    assert {(r.id, r.external_id) for r in got} == {(7, "T0007"), (9999, "T9999"), (10_000, "T10000"), (123_456, "T123456")}
