@@ -13,16 +13,18 @@ from graphloom.llm.base import materialise, sized_broadcast
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-#: A document goes if it has no letter, or is of so many bytes and no language reaches this pooled probability. Of fewer
-#: bytes a low probability says little, and clean short documents stay.
+#: A document goes if it has no letter, or if no language reaches a pooled probability that grows with its bytes: from
+#: what chance gives (one by the number of languages) to this one at so many bytes, as few bytes say little.
 LEAST_SCORE, LEAST_BYTES = 0.35, 400
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter (null and empty ones too) and longer ones of no language that the model knows."""
-    found = langid.annotate(docs, langid.fit(docs), names=("__lang", "__score"))
-    told = (F.col("__score") >= LEAST_SCORE) | (F.octet_length("text") < LEAST_BYTES)
-    return found.where((F.col("__lang") != langid.UNDETERMINED) & told).drop("__lang", "__score")
+    """Drops documents without a letter (null and empty ones too) and those of no language that the model knows."""
+    model = langid.fit(docs)
+    found = langid.annotate(docs, model, names=("__lang", "__score"))
+    chance = 1 / len(model.languages)
+    least = chance + (LEAST_SCORE - chance) * F.least(F.lit(1.0), F.octet_length("text") / LEAST_BYTES)
+    return found.where((F.col("__lang") != langid.UNDETERMINED) & (F.col("__score") >= least)).drop("__lang", "__score")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,6 +57,16 @@ def test_short_uncertain_documents_stay(spark, monkeypatch):
     assert sorted(r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()) == [100, 101]
 
 
+def test_short_documents_are_judged(spark, monkeypatch):
+    rows = [(i, " ".join(["the of and"] * 9 if i % 2 else ["der und ist"] * 9), "en" if i % 2 else "de", "s", 1) for i in range(40)]
+    rows += [(100, "the of and der und ist " * 16, None, "s", 1), (101, "the of and der und ist", None, "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    # of 368 bytes in two languages the probability asked is almost the whole, of 22 little more than chance
+    monkeypatch.setattr(corpus_pipeline, "LEAST_SCORE", 0.95)
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()}
+    assert 100 not in kept and kept >= {*range(40)}
+
+
 @needs_tables
 def test_queries(spark):
     for name, run in queries.QUERIES.items():
