@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import uuid
 
 import numpy as np
@@ -11,12 +12,19 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only up to so many rows of at most about 100 bytes; beyond, it is shuffled.
 BROADCAST_ROWS = 200_000
+#: Rows of a key, at least, that make it a heavy one: those of a join that must not all go to one task.
+HEAVY = 10_000
+#: Characters of a document that training takes at most, and the pieces, evenly spread, that it takes of a longer one.
+TRAINED, PIECES = 65_536, 16
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local master (tests) gets
+    a folder of our own; any other raises, as executors would each write to a disk of their own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file:///tmp/checkpoints/graphloom"
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -41,11 +49,44 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
+def trained_part(text: Column, most: int = TRAINED, pieces: int = PIECES) -> Column:
+    """A text of at most so many characters; of a longer one, evenly spread pieces with so many characters in all."""
+    at = lambda i: F.floor((F.length(text) - most // pieces) * i / max(1, pieces - 1)).cast("int") + 1
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(*[F.substr(text, at(i), F.lit(most // pieces)) for i in range(pieces)]))
+
+
 def sized_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if its counted rows are within BROADCAST_ROWS, else as it is (a shuffled join)."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores after it as far as df has a column of that name (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def heavy_from(rows: int) -> int:
+    """Rows of a key that make it heavy in a table of so many: then at most BROADCAST_ROWS keys are, whatever the table."""
+    return max(HEAVY, -(-rows // BROADCAST_ROWS))
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """rows joined with keyed, which has one row for each key and, as count, how many of the total rows have that key.
+
+    Heavy keys are broadcast, so that their rows stay where they are; only rows of the others are shuffled by the key.
+    Both must be cheap to read again.
+    """
+    least = heavy_from(total)
+    if total < least:
+        return rows.join(keyed.drop(count), key)
+    heavy = F.broadcast(keyed.where(F.col(count) >= least).drop(count))  # at most BROADCAST_ROWS by the bound above
+    light = rows.join(heavy.select(key), key, "left_anti").join(keyed.where(F.col(count) < least).drop(count), key)
+    return light.unionByName(rows.join(heavy, key))
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links a-b as a spanning star forest: (node, smallest node of its component) for every node but the roots."""
     nodes, index = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -89,11 +130,13 @@ class Links:
         return forest(np.concatenate([p[0] for p in self.parts]), np.concatenate([p[1] for p in self.parts]))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """edges(a long, b long) -> (node, root): the smallest node that each linked node reaches.
 
-    Alternating large-star and small-star rounds: equi-joins and map-side combined minima only, so a hub is never one
-    task's group; every round is written to the shared folder. Loops and null ends link nothing.
+    Alternating large-star and small-star rounds of equi-joins and map-side combined minima. The neighbours of a hub are
+    shuffled by it only up to heavy_from() of them; those of a larger one stay where they are and get its minimum by
+    broadcast. Every round is written to the shared folder; rounds go on until one changes nothing, about the logarithm
+    of the nodes. Loops and null ends link nothing.
     """
     edge = F.struct(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     now = materialise(edges.where("a <> b").select(edge.alias("e")).select("e.a", "e.b").distinct(), "edges")
@@ -101,22 +144,24 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
 
+    def with_least(df: DataFrame, least: Column, rows: int) -> DataFrame:
+        by_node = df.groupBy("a").agg(least.alias("m"), F.count("*").alias("n"))
+        return join_counted(df, materialise(by_node, "least") if rows >= HEAVY else by_node, "a", "n", rows)
+
     last = mark(now)
-    if not last[0]:
-        return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    for _ in range(max_rounds):
+    while last[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = small.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        now = materialise(small, "stars")
+        large = with_least(both, F.least(F.min("b"), F.first("a")), 2 * last[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        if last[0] >= HEAVY:
+            large = materialise(large, "large-stars")
+        least = large.groupBy("a").agg(F.min("b").alias("b"))
+        small = with_least(large, F.min("b"), last[0]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now = materialise(small.unionByName(least).distinct(), "stars")
         seen = mark(now)
         if seen == last:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            break
         last = seen
-    raise RuntimeError(f"components have not settled in {max_rounds} rounds")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def blocks_for(count: int, size: int) -> int:

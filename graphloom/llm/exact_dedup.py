@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from graphloom.llm.base import materialise, scratch, sized_broadcast
+from graphloom.llm.base import join_counted, materialise, scratch, sized_broadcast
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -43,30 +43,25 @@ def sha256(text: Column) -> Column:
 
 
 def digest_state(content: str, schema: StructType, files_per_batch: int, stores: int) -> DataFrame:
-    """(digest, keep_id, at, group_size) after the stream has read the whole content table, in batches of its files."""
+    """(digest, keep_id, at, group_size) after the stream has read the whole content table, in batches of its files.
+
+    The stream runs in a session of its own, so that its settings are seen by no other query.
+    """
     spark = SparkSession.active()
+    own = spark.newSession()
     updates, marks = scratch(spark, "dedup-updates"), scratch(spark, "dedup-stream")
 
     def put(batch: DataFrame, number: int) -> None:
         # a batch that runs again after a failure writes its own folder anew
         batch.write.mode("overwrite").parquet(f"{updates}/batch={number}")
 
-    settings = {STORE: ROCKSDB, **MEMORY, "spark.sql.shuffle.partitions": str(stores)}
-    kept = {k: spark.conf.get(k, None) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
-    try:
-        rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(content)
-        rows = rows.select("digest", "id", F.struct(F.coalesce("id", F.lit(2**63 - 1)).alias("first"), "rid").alias("at"))
-        state = rows.groupBy("digest").agg(F.min("id").alias("keep_id"), F.min("at").alias("at"), F.count("*").alias("group_size"))
-        stream = state.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", marks).trigger(availableNow=True).start()
-        stream.awaitTermination()
-    finally:
-        for k, v in kept.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
+    for k, v in {STORE: ROCKSDB, **MEMORY, "spark.sql.shuffle.partitions": str(stores)}.items():
+        own.conf.set(k, v)
+    rows = own.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(content)
+    rows = rows.select("digest", "id", F.struct(F.coalesce("id", F.lit(2**63 - 1)).alias("first"), "rid").alias("at"))
+    state = rows.groupBy("digest").agg(F.min("id").alias("keep_id"), F.min("at").alias("at"), F.count("*").alias("group_size"))
+    stream = state.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", marks).trigger(availableNow=True).start()
+    stream.awaitTermination()
     empty = "digest string, keep_id long, at struct<first: long, rid: long>, group_size long"
     if not stream.lastProgress and not stream.recentProgress:
         return spark.createDataFrame([], empty)
@@ -85,12 +80,12 @@ class Groups:
         rows.write.option("compression", "zstd").parquet(path)
         schema = rows.schema
         self.content = spark.read.schema(schema).parquet(path)
-        stores = max(STORES, -(-self.content.count() // STORE_ROWS))
+        self.rows = self.content.count()
+        stores = max(STORES, -(-self.rows // STORE_ROWS))
         self.state = materialise(digest_state(path, schema, files_per_batch, stores), "dedup-state")
         # hits: rows of a digest that more than one row has; only their texts move
-        repeated = self.state.where("group_size > 1").select("digest", F.col("at.rid").alias("first"), F.ceil(F.col("group_size") / SALTED).alias("salts"))
-        self.repeated = repeated.count()
-        hits = self.content.join(sized_broadcast(repeated, self.repeated), "digest").withColumn("norm", normalised(F.col("text")))
+        repeated = self.state.where("group_size > 1").select("digest", "group_size", F.col("at.rid").alias("first"), F.ceil(F.col("group_size") / SALTED).alias("salts"))
+        hits = join_counted(self.content, repeated, "digest", "group_size", self.rows).withColumn("norm", normalised(F.col("text")))
         # a kept text meets its hits in as many tasks as the group has thousands of rows
         keeper = hits.where("rid = first").select("digest", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("norm").alias("kept_norm"))
         self.later = hits.where("rid <> first")
@@ -103,7 +98,8 @@ class Groups:
 
     def collided(self) -> DataFrame:
         """Rows of shared digests with what their own text's group keeps."""
-        rows = self.content.join(sized_broadcast(self.wrong, self.collisions), "digest").withColumn("norm", normalised(F.col("text")))
+        counted = self.state.join(sized_broadcast(self.wrong, self.collisions), "digest").select("digest", "group_size")
+        rows = join_counted(self.content, counted, "digest", "group_size", self.rows).withColumn("norm", normalised(F.col("text")))
         at = F.struct(F.coalesce("id", F.lit(2**63 - 1)).alias("first"), "rid")
         sizes = rows.groupBy("digest", "norm").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"), F.min(at).alias("at"))
         return rows.join(sizes, ["digest", "norm"])
@@ -119,7 +115,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     found = Groups(docs, id_col, text_col, digest, files_per_batch, [])
     columns = ["id", "digest", "keep_id", "group_size"]
-    out = found.content.select("id", "digest").join(found.state.select("digest", "keep_id", "group_size"), "digest")
+    state = found.state.select("digest", "keep_id", "group_size", F.col("group_size").alias("n"))
+    out = join_counted(found.content.select("id", "digest"), state, "digest", "n", found.rows)
     out = found.without_collisions(out).select(*columns)
     if found.collisions:
         out = out.unionByName(found.collided().select(*columns))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.base import Links, components, materialise
 
 #: Vectors in a shard, on average at most.
-SHARD = 8192
+SHARD = 4096
 #: Neighbours a node chooses in a layer (twice as many in the lowest), and the beam that finds them.
 CHOSEN, BUILD_BEAM = 12, 40
 #: The first beam of a search, queries that an audit of a meeting starts with, and the recall asked of them.
@@ -48,14 +48,15 @@ class Graph:
             self._insert(i)
 
     def dump(self) -> bytes:
+        """The graph without its vectors."""
         out = io.BytesIO()
-        np.savez(out, v=self.v, top=[self.entry, self.top], **{f"near{k}": x for k, x in enumerate(self.near)}, **{f"count{k}": x for k, x in enumerate(self.count)})
+        np.savez(out, top=[self.entry, self.top], **{f"near{k}": x for k, x in enumerate(self.near)}, **{f"count{k}": x for k, x in enumerate(self.count)})
         return out.getvalue()
 
     @classmethod
-    def load(cls, data: bytes) -> Graph:
+    def load(cls, data: bytes, vectors: np.ndarray) -> Graph:
         held, self = np.load(io.BytesIO(data)), cls.__new__(cls)
-        self.v, (self.entry, self.top) = held["v"], held["top"].tolist()
+        self.v, (self.entry, self.top) = np.ascontiguousarray(vectors, np.float32), held["top"].tolist()
         layers = sum(k.startswith("near") for k in held.files)
         self.near, self.count = [held[f"near{k}"] for k in range(layers)], [held[f"count{k}"] for k in range(layers)]
         self.seen, self.mark = np.zeros(len(self.v), np.int32), 0
@@ -149,6 +150,15 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
+def exact(vectors: np.ndarray, queries: np.ndarray, least: float, block: int = 256) -> list[np.ndarray]:
+    """For each query the nodes of cosine least or more, by products of blocks."""
+    out = []
+    for k in range(0, len(queries), block):
+        x, y = np.nonzero(queries[k : k + block] @ vectors.T >= least)
+        out += np.split(y, np.searchsorted(x, np.arange(1, len(queries[k : k + block]))))
+    return out
+
+
 def links_between(graph: Graph, vectors: np.ndarray, queries: np.ndarray, least: float, beam: int = BEAM, recall: float = RECALL) -> tuple[np.ndarray, np.ndarray]:
     """(query, node) of cosine least or more, vectors and queries being double unit vectors. See audited_links()."""
     return audited_links(graph, vectors, queries, least, beam, recall)[:2]
@@ -170,9 +180,9 @@ def audited_links(graph: Graph, vectors: np.ndarray, queries: np.ndarray, least:
     itself = vectors is queries
     truth, want, take = [], 0, len(begin)
     while len(truth) < n and want < WANTED:
-        for k in order[len(truth) : len(truth) + take]:
-            truth.append(np.flatnonzero(vectors @ queries[k] >= least))
-            want += len(truth[-1]) - itself
+        more = exact(vectors, queries[order[len(truth) : len(truth) + take]], least - 1e-9)
+        truth += more
+        want += sum(map(len, more)) - itself * len(more)
         take = len(truth)
     single = queries.astype(np.float32)
     found = None
@@ -185,7 +195,7 @@ def audited_links(graph: Graph, vectors: np.ndarray, queries: np.ndarray, least:
         beam *= 2
     if found is None:
         hits = want
-        found = [np.flatnonzero(vectors @ q >= least) for q in queries]
+        found = exact(vectors, queries, least - 1e-9)
     x = np.repeat(np.arange(len(queries)), [len(f) for f in found])
     y = np.concatenate([*found, np.zeros(0, np.int64)]).astype(np.int64)
     ok = np.zeros(len(x), bool)
@@ -242,7 +252,7 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, id_col: str = "vec_id"
         v, rids, weights = opened(mine)
         asked = held.get(False)
         qv, qr, qw = (v, rids, weights) if asked is None else opened(asked)
-        a, b, want, hits = audited_links(Graph.load(mine.graph), v, qv, least, weights=qw)
+        a, b, want, hits = audited_links(Graph.load(mine.graph, v), v, qv, least, weights=qw)
         first, q_first = np.cumsum(weights) - weights, np.cumsum(qw) - qw
         links = Links()
         if asked is None:  # one shard: a link found from either end counts once for each end

@@ -16,12 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from graphloom.llm.base import held_out
+from graphloom.llm.base import fresh, held_out, trained_part
 
 #: Bytes in a window; the symbol that fills the last one; hidden units in each direction.
 WINDOW, PAD, HIDDEN = 64, 256, 8
-#: Documents that training takes of each language at most, and languages at most.
-SAMPLE, LANGUAGES = 160, 64
+#: Documents that training takes of each language at most, and of all languages (but at least one of each).
+SAMPLE, SAMPLE_ALL = 160, 10_240
 #: Windows in a training step, steps, and windows read at a time afterwards.
 BATCH, STEPS, READ = 256, 260, 4096
 #: The language of a text that is null or has no letter.
@@ -88,7 +88,8 @@ def windows_of(text: bytes) -> np.ndarray:
 
 
 def train(texts: list[bytes], labels: list[str], steps: int = STEPS, seed: int = 1) -> Model:
-    """A model of the labels' languages; each language has the same share of the windows in every step."""
+    """A model of the labels' languages; each language has the same share of the windows in every step. Without labels it
+    knows no language, and a single one is certain."""
     languages = sorted(set(labels))
     rng = np.random.default_rng(seed)
     of = {k: np.concatenate([windows_of(t) for t, y in zip(texts, labels, strict=True) if y == k] or [np.zeros((0, WINDOW), np.int16)]) for k in languages}
@@ -98,7 +99,7 @@ def train(texts: list[bytes], labels: list[str], steps: int = STEPS, seed: int =
     m = Model(languages, [draw(257, 3 * h, s=0.3) for _ in range(2)], [draw(h, 3 * h, s=0.3) for _ in range(2)], draw(2 * h, k, s=0.3), np.zeros(k, np.float32))
     params = [*m.inputs, *m.recurrent, m.out, m.bias]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    for step in range(1, steps + 1):
+    for step in range(1, steps + 1 if k > 1 else 1):
         y = np.arange(BATCH) % k
         rows = np.stack([of[languages[c]][rng.integers(len(of[languages[c]]))] for c in y])
         x = np.ascontiguousarray(rows.T)
@@ -148,19 +149,19 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     """Train on at most sample documents of each language among rows with a label and a text that are not held out.
 
     The sample is by hash of the identifier, so it depends neither on partitions nor on order: for each language and each
-    of sample buckets the row with the smallest hash. More than LANGUAGES labels raise ValueError.
+    of its buckets the row with the smallest hash. The buckets of a language are sample, or fewer where SAMPLE_ALL does not
+    go round. Of rows that repeat an id and label, the smallest text counts; of a long text, trained_part(). Without a
+    labelled text the model knows no language.
     """
     mark = F.xxhash64(F.lit("langid"), F.col(id_col))
     rows = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    few = rows.groupBy(F.col(label_col).alias("__label"), F.pmod(mark, F.lit(sample)).alias("__bucket")).agg(F.min(mark).alias("__mark"))
-    few = few.limit(LANGUAGES * sample + 1).select("__label", "__mark").collect()
-    if len({r[0] for r in few}) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    if not few:
-        raise ValueError("no labelled text to learn from")
-    picked = docs.sparkSession.createDataFrame(few, f"__label {docs.schema[label_col].dataType.simpleString()}, __mark long")
-    got = rows.join(F.broadcast(picked), (mark == F.col("__mark")) & (F.col(label_col) == F.col("__label"))).select(F.col(text_col), F.col(label_col).cast("string")).collect()
-    got = sorted((str(y), t.encode("utf-8", "replace")) for t, y in got)
+    rows = rows.select(F.col(label_col).cast("string").alias("label"), mark.alias("mark"), F.col(text_col).alias("text"))
+    found = rows.agg(F.countDistinct("label")).first()[0]
+    buckets = max(1, min(sample, SAMPLE_ALL // max(1, found)))
+    few = rows.groupBy("label", F.pmod("mark", F.lit(buckets)).alias("bucket")).agg(F.min("mark").alias("mark")).select("label", "mark")
+    # a row for each bucket of a language: SAMPLE_ALL, or a row for each language
+    picked = rows.join(F.broadcast(few), ["label", "mark"]).groupBy("label", "mark").agg(F.min(trained_part(F.col("text"))).alias("text"))
+    got = sorted((r.label, r.text.encode("utf-8", "replace")) for r in picked.collect())
     return train([t for _, t in got], [y for y, _ in got])
 
 
@@ -168,10 +169,15 @@ def _letter(text: str) -> bool:
     return any(c.isalpha() for c in text)
 
 
-def predict(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
-    """(language, pooled probability) of each text: the mean of its positions' probabilities."""
-    out: list[tuple[str, float]] = [(UNDETERMINED, 0.0)] * len(texts)
-    sums, sizes = np.zeros((len(texts), len(model.languages))), np.ones(len(texts))
+def predict(model: Model, texts: list[str | None]) -> list[tuple[str, float, float]]:
+    """(language, pooled probability, its standard error) of each text: the mean of its positions' probabilities, and what
+    that of its windows tells of it, to which one window of the most variance possible is added. A model without languages
+    tells none."""
+    out: list[tuple[str, float, float]] = [(UNDETERMINED, 0.0, 0.0)] * len(texts)
+    if not model.languages:
+        return out
+    sums, sizes, windows = np.zeros((len(texts), len(model.languages))), np.ones(len(texts)), np.zeros(len(texts))
+    squares = np.zeros_like(sums)
     held, owners, count = [], [], 0
 
     def flush() -> None:
@@ -179,9 +185,12 @@ def predict(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
         if held:
             w, own = np.concatenate(held), np.concatenate(owners)
             for k in range(0, len(w), READ):
-                part = w[k : k + READ]
-                p = model.probabilities(part)
-                np.add.at(sums, own[k : k + READ], np.einsum("nts,nt->ns", p, (part != PAD).astype(np.float32)))
+                part, of = w[k : k + READ], own[k : k + READ]
+                real = (part != PAD).astype(np.float32)
+                found = np.einsum("nts,nt->ns", model.probabilities(part), real)
+                np.add.at(sums, of, found)
+                np.add.at(squares, of, found**2 / real.sum(axis=1)[:, None])
+                np.add.at(windows, of, 1)
         held.clear()
         owners.clear()
         count = 0
@@ -201,28 +210,30 @@ def predict(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
     pooled = sums / sizes[:, None]
     for i, text in enumerate(texts):
         if pooled[i].any():
-            best = int(pooled[i].argmax())
-            out[i] = (model.languages[best], float(min(1.0, pooled[i, best])))
+            best, n = int(pooled[i].argmax()), windows[i]
+            p = float(min(1.0, pooled[i, best]))
+            variance = max(0.0, squares[i, best] / sizes[i] - p * p) + p * (1 - p) / n
+            out[i] = (model.languages[best], p, float(np.sqrt(variance / n)))
     return out
 
 
-def annotate(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """docs with the predicted language and its probability of every row's whole text, as two more columns of these names.
+def annotate(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the predicted language of every row's whole text, its probability and, with a third name, that one's
+    standard error, as more columns of these names.
 
     Only the text is looked at. Texts that are null, empty or without a letter get und and 0. Rows that repeat are all
-    returned. A name that docs has already raises ValueError.
+    returned. A name that docs has already, in any case, gets underscores after it; columns of docs stay as they are.
     """
-    if set(names) & set(docs.columns):
-        raise ValueError(f"docs has a column of {names}")
+    names = tuple(fresh(docs, n) for n in names)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = predict(model, batch.column(at).to_pylist())
-            more = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
+            more = [pa.array([g[k] for g in got], pa.float64() if k else pa.string()) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *names])
 
-    schema = StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
+    schema = StructType([*docs.schema.fields, *[StructField(n, DoubleType() if k else StringType()) for k, n in enumerate(names)]])
     return docs.mapInArrow(run, schema)
 
 

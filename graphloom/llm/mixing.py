@@ -11,18 +11,25 @@ is an expression of the document's own text: no join brings it back.
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.base import materialise
-
-#: Substrings that the classifier counts (in text as it is, not lower-cased); any list of strings will do.
-FEATURES = ["a", "c", "e", "h", "i", "k", "o", "q", "t", "u", "w", "z", "é", "ñ", "ó", "ü", "ß", "ch"]
-#: Domains at most; counts that speak for a domain at most, so that long texts stay soft; steps of the fit at most, those
-#: between two written tables, and the largest relative miss of a target at which it ends.
-DOMAINS, EVIDENCE, STEPS, WRITTEN, MISS = 64, 60.0, 48, 8, 1e-3
+from graphloom.llm.base import materialise, trained_part
+
+#: Character n-grams that the classifier counts, and their lengths.
+FEATURES, GRAMS = 20, (1, 2, 3)
+#: Labelled documents that the classifier learns from: of each domain at most, and of all (but at least one of each); and
+#: characters of each at most.
+SAMPLE, SAMPLE_ALL, TRAINED = 256, 8192, 1024
+#: Counts' worth of doubt that every text has, so that short ones stay near the prior.
+DOUBT = 20.0
+#: Steps of the fit at most, and those between two written tables.
+STEPS, WRITTEN = 64, 8
+#: The fit ends at this largest relative miss of a target, or when a step takes less than this share off the squares.
+MISS, GAIN = 1e-3, 5e-3
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -32,32 +39,37 @@ def tokens(text: Column) -> Column:
 
 
 def counts(text: Column, features: list[str]) -> Column:
-    """How often each feature is in the text, as an array of doubles."""
-    text = F.coalesce(text, F.lit(""))
+    """How often each feature is in the text in lower case, as an array of doubles."""
+    text = F.lower(F.coalesce(text, F.lit("")))
     size = F.octet_length(text)
     return F.array(*[((size - F.octet_length(F.replace(text, F.lit(f), F.lit("")))) / len(f.encode())).cast("double") for f in features])
 
 
 @dataclass
 class Mix:
-    """Domains, their log-probabilities of features and priors, and the fit: gradients of the steps so far, floor."""
+    """Features, domains, for each the weights of features and its prior, how much evidence counts, and the fit: gradients
+    of the steps so far, floor, and the domains' tokens: present, wanted and reached."""
 
     features: list[str]
     domains: list
     weights: list[list[float]]
     priors: list[float]
+    scale: float = 1.0
     floor: float = 0.0
     steps: list[list[float]] = field(default_factory=list)
     totals: list[float] = field(default_factory=list)
     targets: list[float] = field(default_factory=list)
     reached: list[float] = field(default_factory=list)
 
-    def posterior(self, seen: Column) -> list[Column]:
-        """Posterior of each domain given the counts: naive Bayes on at most EVIDENCE counts' worth of evidence."""
-        total = F.aggregate(seen, F.lit(0.0), lambda a, x: a + x)
-        share = F.least(F.lit(EVIDENCE), total) / F.greatest(F.lit(1.0), total)
+    def evidence(self, seen: Column) -> list[Column]:
+        """For each domain the mean weight of all that counts() has found, DOUBT more speaking for none."""
+        total = F.aggregate(seen, F.lit(DOUBT), lambda a, x: a + x)
         told = lambda w: F.aggregate(F.zip_with(seen, F.array(*map(F.lit, w)), lambda c, x: c * x), F.lit(0.0), lambda a, x: a + x)
-        logits = [told(w) * share + F.lit(math.log(p)) for w, p in zip(self.weights, self.priors, strict=True)]
+        return [told(w) / total for w in self.weights]
+
+    def posterior(self, seen: Column) -> list[Column]:
+        """Posterior of each domain given the counts, but for a factor that all have."""
+        logits = [e * self.scale + math.log(p) for e, p in zip(self.evidence(seen), self.priors, strict=True)]
         most = F.array_max(F.array(*logits))
         return [F.exp(x - most) for x in logits]
 
@@ -70,17 +82,6 @@ class Mix:
         return r
 
 
-def largest_eigenvalue(gram: list[list[float]], rounds: int = 200) -> float:
-    """Of a matrix without negative entries, by powers; a little more, as steps must not be too long."""
-    v = [1.0] * len(gram)
-    size = 0.0
-    for _ in range(rounds):
-        w = [sum(a * b for a, b in zip(row, v, strict=True)) for row in gram]
-        size = max(w)
-        v = [x / size for x in w]
-    return 1.001 * size
-
-
 def _columns(k: int) -> list[str]:
     return [f"__p{i}" for i in range(k)]
 
@@ -92,43 +93,104 @@ def with_posteriors(df: DataFrame, mix: Mix, seen: str) -> DataFrame:
     return raw.withColumns({n: F.get("__raw", F.lit(i)) / F.col("__sum") for i, n in enumerate(_columns(len(mix.domains)))}).drop("__raw", "__sum")
 
 
-def learn(seen: DataFrame, labelled: DataFrame, features: list[str]) -> Mix:
-    """seen(id, n, counts) and labelled(id, domain) -> a classifier; null ids and domains teach nothing.
+def _scale(rows: list[tuple[int, list[float]]], priors: list[float]) -> float:
+    """How much evidence is to count so that rows (domain, evidence) are likeliest: by halving the range that has it."""
+
+    def loss(scale: float) -> float:
+        out = 0.0
+        for y, m in rows:
+            logits = [math.log(p) + scale * x for p, x in zip(priors, m, strict=True)]
+            most = max(logits)
+            out += most + math.log(sum(math.exp(x - most) for x in logits)) - logits[y]
+        return out
+
+    low, high = 0.0, 10.0  # of the logarithm with base 2
+    for _ in range(24):
+        a, b = low + (high - low) / 3, high - (high - low) / 3
+        low, high = (low, b) if loss(2**a) <= loss(2**b) else (a, high)
+    return 2 ** ((low + high) / 2)
 
-    Without any labelled text there is one domain, null, that all documents are in. More than DOMAINS raise ValueError.
+
+def grams(text: Column) -> Column:
+    """All character n-grams of a short text, as an array."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    runs = [chars]
+    for n in range(1, max(GRAMS)):
+        runs.append(F.zip_with(runs[-1], F.slice(chars, n + 1, F.greatest(F.size(chars), F.lit(1))), lambda a, b: F.concat(a, b)))
+    return F.concat(*[F.filter(runs[n - 1], lambda g: g.isNotNull()) for n in GRAMS])
+
+
+def learn(docs: DataFrame, labelled: DataFrame, most: int = FEATURES) -> Mix:
+    """docs(id, text) and labelled(id, domain) -> a classifier; null ids and domains teach nothing.
+
+    Of each domain at most SAMPLE labelled documents are learned from, chosen by hash of the id; of an id's several texts
+    the smallest, of a long text trained_part(). Features are the n-grams whose share of a text tells most of its domain.
+    Half of the documents give the features and their weights (logarithms of shares, against their mean over domains), the
+    other half how much weights are to count. Without any labelled text there is one domain, null, that all are in.
     """
-    known = seen.join(labelled.where("id is not null and domain is not null").distinct(), "id")
-    sums = known.groupBy("domain").agg(F.count("*").alias("docs"), *[F.sum(F.get("counts", F.lit(i))).alias(f"c{i}") for i in range(len(features))])
-    rows = sorted(sums.limit(DOMAINS + 1).collect(), key=lambda r: str(r.domain))
-    if len(rows) > DOMAINS:
-        raise ValueError(f"more than {DOMAINS} domains")
-    if not rows:
-        return Mix(features, [None], [[0.0] * len(features)], [1.0])
-    weights, docs = [], sum(r.docs for r in rows)
+    known = labelled.where("id is not null and domain is not null").select("id", "domain")
+    mark = F.xxhash64(F.lit("mix"), F.col("id"))
+    sample = max(1, min(SAMPLE, SAMPLE_ALL // max(1, known.agg(F.countDistinct("domain")).first()[0])))
+    few = known.groupBy("domain", F.pmod(mark, F.lit(sample)).alias("slot")).agg(F.min_by("id", mark).alias("id"))
+    # SAMPLE_ALL rows, or one for each domain
+    picked = docs.where("text is not null").join(F.broadcast(few), "id").groupBy("id", "domain", "slot").agg(F.min(trained_part(F.col("text"), TRAINED)).alias("text"))
+    picked = materialise(picked.withColumn("teaches", F.col("slot") % 2 == 0), "mix-sample")
+    halves = picked.groupBy("domain").agg(F.sum(F.col("teaches").cast("int")).alias("n")).collect()  # a row for each domain
+    if not halves:
+        return Mix([], [None], [[]], [1.0])
+    domains = sorted((r.domain for r in halves), key=str)
+    if alone := [r.domain for r in halves if not r.n]:  # all in the other half
+        picked = picked.withColumn("teaches", F.col("teaches") | F.col("domain").isin(alone))
+    priors = _priors(known, domains)
+    told = picked.where("teaches").select("domain", F.explode(grams(F.lower("text"))).alias("gram")).groupBy("gram", "domain").agg(F.count("*").alias("n"))
+    told = materialise(told, "mix-grams")
+    sums = told.groupBy("domain").agg(F.sum("n").alias("total"))
+    shares = told.join(F.broadcast(sums), "domain").withColumn("share", F.col("n") / F.col("total"))  # sums: a row for each domain
+    # share * log(share / mean share) over domains: what a character of the text tells, if it is this n-gram
+    mean = F.sum("share") / len(domains)
+    tells = (F.sum(F.col("share") * F.log("share")) - F.sum("share") * F.log(mean)).alias("tells")
+    best = shares.groupBy("gram").agg(tells).orderBy(F.desc(F.round("tells", 12)), "gram").limit(most)
+    features = sorted(r.gram for r in best.collect())
+    found = picked.select("domain", "teaches", counts(F.col("text"), features).alias("c"))
+    rows = found.where("teaches").groupBy("domain").agg(*[F.sum(F.get("c", F.lit(i))).alias(f"c{i}") for i in range(len(features))]).collect()
+    logs = {}
     for r in rows:
         c = [r[f"c{i}"] + 1.0 for i in range(len(features))]
-        weights.append([math.log(x / sum(c)) for x in c])
-    return Mix(features, [r.domain for r in rows], weights, [r.docs / docs for r in rows])
+        logs[r.domain] = [math.log(x / sum(c)) for x in c]
+    means = [sum(x) / len(logs) for x in zip(*logs.values(), strict=True)]
+    mix = Mix(features, domains, [[x - m for x, m in zip(logs[d], means, strict=True)] for d in domains], priors)
+    place = {d: i for i, d in enumerate(domains)}
+    judged = found.where("not teaches").select("domain", F.array(*mix.evidence(F.col("c"))).alias("e")).collect()  # SAMPLE_ALL rows at most
+    if judged and len(domains) > 1:
+        mix.scale = _scale([(place[r.domain], list(r.e)) for r in judged], priors)
+    return mix
 
 
-def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict | None = None, temperature: float = 0.7, total: float | None = None, floor: float = 0.0, features: list[str] = FEATURES) -> tuple[Mix, DataFrame]:
+def _priors(known: DataFrame, domains: list) -> list[float]:
+    """Shares of the domains among all labelled rows."""
+    count = {r.domain: r["count"] for r in known.groupBy("domain").count().collect()}
+    total = sum(count[d] for d in domains)
+    return [count[d] / total for d in domains]
+
+
+def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict | None = None, temperature: float = 0.7, total: float | None = None, floor: float = 0.0, most: int = FEATURES) -> tuple[Mix, DataFrame]:
     """The fitted mix, and (id, n, __p0, __p1, ..., rate, done) of every row, rate being that after done steps.
 
     targets: a weight for each domain (those left out get none); without it, weights are as the domains' present tokens
     to the power of temperature. total: tokens wanted in all; without it as many as there are, or with a floor above zero
     so many that no domain shrinks. Null and empty texts have no tokens and the prior as posterior; their rate follows
-    their posterior and changes nothing. Rows that repeat count as often as they are there.
+    their posterior and changes nothing. Rows that repeat count as often as they are there. Targets that no rates meet, as
+    posteriors are soft and rates not negative, are missed by as little as least squares can; a miss is a warning.
     """
-    text = F.col(text_col)
-    seen = materialise(docs.select(F.col(id_col).alias("id"), tokens(text).alias("n"), counts(text, features).alias("counts")), "mix-counts")
-    mix = learn(seen, labelled, features)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    mix = learn(texts, labelled, most)
     mix.floor = floor
     k = len(mix.domains)
     names = _columns(k)
-    rows = with_posteriors(seen.where("true"), mix, "counts").select("id", "n", *names, F.lit(1.0).alias("rate"), F.lit(0).alias("done"))
+    seen = materialise(texts.select("id", tokens(F.col("text")).alias("n"), counts(F.col("text"), mix.features).cast("array<double>").alias("seen")), "mix-counts")
+    rows = with_posteriors(seen, mix, "seen").select("id", "n", *names, F.lit(1.0).alias("rate"), F.lit(0).alias("done"))
     rows = materialise(rows, "mix-posteriors")
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    first = rows.agg(*[F.sum(F.col("n") * F.col(c)).alias(c) for c in names], *[F.sum(F.col("n") * F.col(names[i]) * F.col(names[j])).alias(f"g{i}_{j}") for i, j in pairs]).first()
+    first = rows.agg(*[F.sum(F.col("n") * F.col(c)).alias(c) for c in names]).first()
     mix.totals = [first[c] or 0.0 for c in names]
     all_ = sum(mix.totals)
     if not all_:
@@ -143,10 +205,10 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
     mix.targets = [w * total for w in weight]
     # misses are relative to the target (to the present tokens, if nothing is wanted), so that domains count alike
     scale = [b if b > 0 else max(t, 1.0) for b, t in zip(mix.targets, mix.totals, strict=True)]
-    gram = [[0.0] * k for _ in range(k)]
-    for i, j in pairs:
-        gram[i][j] = gram[j][i] = (first[f"g{i}_{j}"] or 0.0) / scale[i] / scale[j]
-    steep = largest_eigenvalue(gram)
+    # no eigenvalue of the relative misses' matrix is above its largest sum of a row, so steps by that are never too long
+    spread = sum((F.col(c) / x for c, x in zip(names, scale, strict=True)), F.lit(0.0))
+    sums = rows.withColumn("__s", F.col("n") * spread).agg(*[(F.sum(F.col("__s") * F.col(c)) / x).alias(c) for c, x in zip(names, scale, strict=True)]).first()
+    steep = max(sums[c] for c in names)
     now = list(mix.totals)
     done = 0
     for step in range(STEPS):
@@ -156,15 +218,19 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
         mix.steps.append([m / s / steep for m, s in zip(miss, scale, strict=True)])
         if len(mix.steps) - done > WRITTEN:
             at = len(mix.steps) - 1
-            held = Mix(mix.features, mix.domains, mix.weights, mix.priors, floor, mix.steps[:at])
+            held = Mix(mix.features, mix.domains, mix.weights, mix.priors, mix.scale, floor, mix.steps[:at])
             rows = materialise(rows.withColumn("rate", held.rate([F.col(c) for c in names], F.col("rate"), done)).withColumn("done", F.lit(at)), "mix-rates")
             done = at
         rate = mix.rate([F.col(c) for c in names], F.col("rate"), done)
         got = rows.withColumn("__r", rate * F.col("n")).agg(*[F.sum(F.col("__r") * F.col(c)).alias(c) for c in names]).first()
         before, now = now, [got[c] for c in names]
-        if max(abs(a - b) / s for a, b, s in zip(before, now, scale, strict=True)) < MISS / 100:
+        squares = [sum(((a - b) / s) ** 2 for a, b, s in zip(x, mix.targets, scale, strict=True)) for x in (before, now)]
+        if squares[1] > (1 - GAIN) * squares[0]:
             break
     mix.reached = now
+    missed = {d: a / b for d, a, b, s in zip(mix.domains, now, mix.targets, scale, strict=True) if abs(a - b) > 10 * MISS * s and b}
+    if missed:
+        warnings.warn(f"the mix has these shares of its targets: {missed}", stacklevel=2)
     rows = rows.withColumn("rate", mix.rate([F.col(c) for c in names], F.col("rate"), done)).withColumn("done", F.lit(len(mix.steps)))
     return mix, rows
 
@@ -182,10 +248,10 @@ def mixed(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
     """docs with each row as often as its rate says: the whole part, and once more with the rest as probability, which a
     hash of the identifier decides. Text and the other columns do not move between machines."""
     mix, _ = fit(docs, labelled, id_col, text_col, **options)
-    rows = docs.withColumn("__seen", counts(F.col(text_col), mix.features))
-    names = _columns(len(mix.domains))
-    rows = with_posteriors(rows, mix, "__seen").withColumn("__rate", mix.rate([F.col(c) for c in names]))
-    unit = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col).cast("string")), F.lit(1 << 30)) / float(1 << 30)
-    copies = (F.floor("__rate") + (unit < F.col("__rate") - F.floor("__rate")).cast("int")).cast("int")
-    rows = rows.withColumn("__copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))))
-    return rows.select(*docs.columns)
+    row = F.struct(*[F.col(c) for c in docs.columns], F.lit(0).alias("__"))
+    rows = docs.select(row.alias("row"), counts(F.col(text_col), mix.features).cast("array<double>").alias("seen"))
+    rows = with_posteriors(rows, mix, "seen").withColumn("rate", mix.rate([F.col(c) for c in _columns(len(mix.domains))]))
+    unit = F.pmod(F.xxhash64(F.lit(seed), F.col("row").getField(id_col).cast("string")), F.lit(1 << 30)) / float(1 << 30)
+    copies = (F.floor("rate") + (unit < F.col("rate") - F.floor("rate")).cast("int")).cast("int")
+    rows = rows.withColumn("copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))))
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

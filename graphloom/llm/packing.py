@@ -10,10 +10,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.base import sized_broadcast
+from graphloom.llm.base import materialise, sized_broadcast
 
-#: Longest piece, buckets, tokens in a batch with its padding, pieces that one task numbers.
-LONGEST, BUCKETS, BUDGET, SHARE = 2048, 8, 65_536, 100_000
+#: Longest piece, buckets, tokens in a batch with its padding, pieces that one task numbers, equal rows that one task writes.
+LONGEST, BUCKETS, BUDGET, SHARE, COPIES = 2048, 8, 65_536, 100_000, 100_000
 
 
 def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
@@ -60,13 +60,21 @@ def pack(rows: DataFrame, id_col: str = "id", length_col: str = "length", longes
 
     A batch holds pieces of one bucket only, as many as its budget has room for at the bucket's length, one at least;
     all batches of a bucket but its last are full. A null or negative length counts as none; a row without tokens is one
-    empty piece in the first bucket. Rows that repeat are packed as often as they are there.
+    empty piece in the first bucket. Rows that repeat are packed as often as they are there. Pieces stand in the order of
+    a hash of id, length, piece and the number of the copy, so copies of a row are spread over a bucket's batches, and the
+    result depends on neither partitions nor order.
     """
     if longest < 1 or buckets < 1 or budget < longest:
         raise ValueError("longest and buckets are at least 1 and the budget takes the longest piece")
     spark = rows.sparkSession
     length = F.greatest(F.coalesce(F.col(length_col), F.lit(0)), F.lit(0)).cast("long")
-    rows = rows.select(F.col(id_col).alias("id"), length.alias("length"))
+    # equal rows are counted first, and written out in parts, as one id (or null) may have very many
+    counted = rows.select(F.col(id_col).alias("id"), length.alias("length")).groupBy("id", "length").agg(F.count("*").alias("n"))
+    parts = counted.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES))))
+    if (counted.agg(F.max("n")).first()[0] or 0) > COPIES:
+        parts = parts.repartition("id", "length", "part")
+    copies = F.sequence(F.col("part") * COPIES, F.least(F.col("n"), (F.col("part") + 1) * COPIES) - 1)
+    rows = materialise(parts.select("id", "length", F.explode(copies).alias("copy")), "pack-rows")
     # at most a row for each length up to longest; long rows add whole pieces to the last one
     whole = F.floor(F.col("length") / longest)
     hist = rows.select(F.explode(F.array(F.struct((F.col("length") % longest).alias("l"), F.when((F.col("length") % longest > 0) | (F.col("length") == 0), 1).otherwise(0).alias("c")), F.struct(F.lit(longest).alias("l"), whole.alias("c")))).alias("x"))
@@ -82,16 +90,16 @@ def pack(rows: DataFrame, id_col: str = "id", length_col: str = "length", longes
     of = F.broadcast(spark.createDataFrame(made, "bucket int, bucket_len long, capacity long, shares long"))  # a row for each bucket
     last = F.greatest(F.ceil(F.col("length") / longest) - 1, F.lit(0)).cast("int")
     pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), last))).withColumn("start", F.col("piece").cast("long") * longest)
-    pieces = pieces.select("id", "piece", "start", F.least(F.col("length") - F.col("start"), F.lit(longest)).cast("long").alias("n_tokens"))
+    pieces = pieces.select("id", "length", "copy", "piece", "start", F.least(F.col("length") - F.col("start"), F.lit(longest)).cast("long").alias("n_tokens"))
     bucket = F.lit(0)
     for end in ends[:-1]:
         bucket = bucket + (F.col("n_tokens") > end).cast("int")
-    mark = F.xxhash64(F.col("id").cast("string"), F.col("piece"))
+    mark = F.xxhash64(F.col("id").cast("string"), F.col("length"), F.col("piece"), F.col("copy"))
     pieces = pieces.withColumn("bucket", bucket).join(of, "bucket").withColumn("mark", mark).withColumn("share", F.pmod("mark", "shares"))
     sizes = pieces.groupBy("bucket", "share").count()
     offset = F.expr("coalesce(sum(count) over (partition by bucket order by share rows between unbounded preceding and 1 preceding), 0)")
     sizes = sizes.select("bucket", "share", offset.alias("offset"))
-    numbered = pieces.withColumn("rn", F.expr("row_number() over (partition by bucket, share order by mark, id, piece)"))
+    numbered = pieces.withColumn("rn", F.expr("row_number() over (partition by bucket, share order by mark, id, length, piece, copy)"))
     numbered = numbered.join(sized_broadcast(sizes, sum(m[3] for m in made)), ["bucket", "share"])
     at = F.col("offset") + F.col("rn") - 1
     return numbered.select("id", "piece", "start", "n_tokens", "bucket", "bucket_len", F.floor(at / F.col("capacity")).cast("long").alias("batch"), (at % F.col("capacity")).cast("int").alias("slot"))

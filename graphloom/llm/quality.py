@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.base import held_out
+from graphloom.llm.base import held_out, trained_part
 
 #: Hash buckets (a power of two of them), vector length, lengths of character n-grams.
 BITS, DIM, GRAMS = 18, 8, (3, 5)
@@ -95,7 +95,10 @@ def _bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 3) -> Model:
-    """Learn vectors and softmax weights for two classes, one document at a time."""
+    """Learn vectors and softmax weights for two classes, one document at a time. With texts of one class or none there is
+    nothing to tell apart, and the bias is that of the labels' shares with one more of each."""
+    if len(set(labels)) < 2:
+        return Model(np.zeros(BUCKETS, np.float32), math.log((1 + sum(labels)) / (1 + len(labels) - sum(labels))))
     rng = np.random.default_rng(seed)
     vectors = ((rng.random((BUCKETS, DIM)) - 0.5) / DIM).astype(np.float32)
     weights, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
@@ -123,19 +126,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Train on at most sample rows that are labelled and not held out.
 
     The sample is by hash of the identifier: of each of sample buckets the row with the smallest hash. Labels other than
-    0 and 1 are not learned from; an identifier with both labels, or none at all to learn from, raises ValueError.
+    0 and 1, and identifiers with both, are not learned from; of rows that repeat an identifier the smallest text counts,
+    and of a long text trained_part(). Where only one label is left to learn from, or none, all texts get the prior.
     """
-    mark = F.xxhash64(F.lit("quality"), F.col(id_col))
+    mark = lambda c: F.xxhash64(F.lit("quality"), F.col(c))
     marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    marked = marked.groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).alias("__label"), F.max(label_col).alias("__most"))
-    marked = marked.where("__label = __most").withColumn("__mark", F.xxhash64(F.lit("quality"), F.col("__id")))
-    few = marked.groupBy(F.pmod("__mark", F.lit(sample))).agg(F.min("__mark").alias("__mark")).select("__mark")
-    few = marked.join(F.broadcast(few), "__mark").select("__id", F.col("__label").cast("int").alias("__label"))  # at most sample rows
-    got = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(few), F.col(id_col) == F.col("__id")).select(mark.alias("m"), F.col(text_col), "__label").collect()
-    got = sorted((m, t, y) for m, t, y in got)
-    if len({y for _, _, y in got}) < 2:
-        raise ValueError("texts of both labels are needed to learn from")
-    return train([t for _, t, _ in got], [y for _, _, y in got])
+    marked = marked.groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.min(label_col).alias("low"), F.max(label_col).alias("high"))
+    few = marked.where("low = high").groupBy(F.pmod(mark("__id"), F.lit(sample)).alias("__bucket")).agg(F.min_by(F.struct("__id", F.col("low").cast("int").alias("label")), mark("__id")).alias("r")).select("r.__id", "r.label")
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text"))
+    rows = rows.join(F.broadcast(few), "__id").groupBy("__id", "label").agg(F.min(trained_part(F.col("text"))).alias("text"))  # at most sample rows
+    got = sorted((r.text, r.label) for r in rows.collect())
+    return train([t for t, _ in got], [y for _, y in got])
 
 
 def score_text(text: str | None, model: Model) -> float:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import exact_dedup, hnsw, langid, mixing, packing, quality, secrets, simhash, tokens, url_rules, warc
-from graphloom.llm.base import held_out, materialise
+from graphloom.llm.base import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,7 +41,7 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return packing.pack(materialise(tokens.token_counts(docs), "lengths")).withColumnRenamed("id", "doc_id")
+    return packing.pack(tokens.token_counts(docs)).withColumnRenamed("id", "doc_id")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +81,7 @@ URL_RULES = [
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
+    rules = spark.sql("SELECT * FROM VALUES " + ", ".join(map(str, URL_RULES)) + " AS t(verdict, host, path)")
     return url_rules.judge(table(spark, sf_dir, "pages"), rules, carry=("page_id",))
 
 

@@ -29,7 +29,8 @@ WORDS = ("passw", "secret", "token", "apikey", "api_key")
 HEX_CLASS = bytes(104 if chr(c) in "0123456789abcdef" else 46 for c in range(256))
 HEX_RUN = re.compile(r"[0-9a-f]{24,}")
 
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\:,-]*?)-----END \1-----")
+PEM_MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{0,64}PRIVATE KEY)-----")
+PEM_BODY = re.compile(r"[A-Za-z0-9+/=\s\\:,-]*")
 #: Where base64 of a DER sequence (30 ..) or of OpenSSH's magic may begin, and hex of a DER sequence.
 B64_DER = re.compile(r"M[A-Za-z0-9+/_-]{31,}={0,2}")
 B64_AT = re.compile(r"M")
@@ -193,11 +194,13 @@ def structural_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans whose decoded content parses."""
     out = []
     if "PRIVATE KEY-----" in text:
-        for m in PEM.finditer(text):
-            body = re.sub(r"\\[nr]|\s", "", re.sub(r"(?m)^[A-Za-z-]+:.*$", "", m[2]))
-            data = _b64(body) or b""
-            if der_key(data) == len(data) > 0 or openssh_key(data):
-                out.append(("pem", m.start(), m.end()))
+        marks = list(PEM_MARK.finditer(text))
+        for m, n in zip(marks, marks[1:], strict=False):
+            if m[1] == "BEGIN" and n[1] == "END" and m[2] == n[2] and PEM_BODY.fullmatch(text, m.end(), n.start()):
+                body = re.sub(r"\\[nr]|\s", "", re.sub(r"(?m)^[A-Za-z-]+:.*$", "", text[m.end() : n.start()]))
+                data = _b64(body) or b""
+                if der_key(data) == len(data) > 0 or openssh_key(data):
+                    out.append(("pem", m.start(), n.end()))
     for m in B64_DER.finditer(text):
         at = 0
         while found := _der_in(m[0][at:]):
@@ -209,8 +212,13 @@ def structural_spans(text: str) -> list[tuple[str, int, int]]:
             out.append(("der", m.start() + at + found[0], m.start() + at + found[1]))
             at += found[1]
     for m in B64_SSH.finditer(text):
-        if openssh_key(_b64(m[0]) or b""):
-            out.append(("openssh", m.start(), m.end()))
+        run = m[0].rstrip("=")
+        # what does not fill a group of four may be of the text behind a key: without it, groups decode by themselves
+        if used := openssh_key(_b64(run) or _b64(run[: len(run) // 4 * 4]) or b""):
+            end = -(-used * 4 // 3)
+            while end < len(m[0]) and m[0][end] == "=" and end % 4:
+                end += 1
+            out.append(("openssh", m.start(), m.start() + end))
     out += [("jwt", a, b) for a, b in _tokens_in(text)]
     return out
 

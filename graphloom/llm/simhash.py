@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from graphloom.llm.base import Links, blocks_for, components, materialise, sized_broadcast
 
 SEED = 42
-#: Distinct fingerprints in a tile, on average at most.
-TILE = 262_144
+#: Distinct fingerprints in a tile, on average at most; and at least, where a table is dealt into TILES of them.
+TILE, LEAST_TILE, TILES = 262_144, 2048, 96
 #: Fingerprints in a block inside a meeting of two tiles, and those that a block is compared with at a time.
 BLOCK, WIDE = 64, 4096
 #: Standard deviations by which the radius of candidates is wider than a similarity is expected to need.
@@ -128,12 +128,13 @@ def meet(a: _Tile, b: _Tile, radius: int, links: Links | _Ratio) -> None:
             links.add(ids[x], b.ids[part[y]])
 
 
-def link_components(prints: DataFrame, radius: int = 4, min_ratio: float | None = None, tile: int = TILE) -> DataFrame:
+def link_components(prints: DataFrame, radius: int = 4, min_ratio: float | None = None, tile: int | None = None) -> DataFrame:
     """prints(id, shingles, ones, fp) -> (id, fp, component): the smallest id reachable over links, itself included.
 
     min_ratio: link only rows whose shingle counts are in this ratio at least, as similarity of so much needs; cells are
     then bands of that ratio, else population counts. Rows with equal fingerprints (and, with min_ratio, equal counts)
-    are one node. prints must be a table that can be read again cheaply.
+    are one node. prints must be a table that can be read again cheaply. tile: fingerprints in a tile, on average at most;
+    each fingerprint is sent to the tiles of its own cell and of those in reach, once each.
     """
     spark = prints.sparkSession
     key = ["fp"] if min_ratio is None else ["fp", "shingles"]
@@ -144,16 +145,17 @@ def link_components(prints: DataFrame, radius: int = 4, min_ratio: float | None
         cell, reach = F.floor(F.log(F.greatest("shingles", F.lit(1))) / math.log(1 / min_ratio)).cast("int"), 1
     nodes = materialise(nodes.where("id is not null").withColumn("cell", cell), "simhash-nodes")
     counts = {r.cell: r["count"] for r in nodes.groupBy("cell").count().collect()}  # a row for each cell: few
-    first, total = {}, 0
+    size = tile or min(TILE, max(LEAST_TILE, sum(counts.values()) // TILES))
+    first, ends = {}, {}
     for c in sorted(counts):
-        first[c] = total
-        total += blocks_for(counts[c], tile)
-    of = {c: list(range(first[c], first[c] + blocks_for(counts[c], tile))) for c in counts}
-    schema = "cell int, first int, blocks int, partners array<int>"
-    deal = [(c, first[c], len(of[c]), [t for o in sorted(of) if abs(o - c) <= reach for t in of[o]]) for c in of]
-    dealt = nodes.join(F.broadcast(spark.createDataFrame(deal, schema)), "cell")  # at most a row for each cell
+        first[c] = max(ends.values(), default=0)
+        ends[c] = first[c] + blocks_for(counts[c], size)
+    # tiles are numbered by cell, so those in reach of a cell are one range of numbers
+    near = {c: [o for o in counts if abs(o - c) <= reach] for c in counts}
+    deal = [(c, first[c], ends[c] - first[c], min(first[o] for o in near[c]), max(ends[o] for o in near[c]) - 1) for c in counts]
+    dealt = nodes.join(F.broadcast(spark.createDataFrame(deal, "cell int, first int, blocks int, low int, high int")), "cell")  # a row of numbers for each cell
     dealt = dealt.withColumn("tile", F.col("first") + F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("id", "fp", *([] if min_ratio is None else ["shingles"]), "tile", F.explode("partners").alias("other"))
+    dealt = dealt.select("id", "fp", *([] if min_ratio is None else ["shingles"]), "tile", F.explode(F.sequence("low", "high")).alias("other"))
     dealt = dealt.select("id", "fp", *([] if min_ratio is None else ["shingles"]), F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), (F.col("tile") > F.col("other")).alias("second"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:

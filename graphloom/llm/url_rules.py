@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.base import sized_broadcast
+from graphloom.llm.base import BROADCAST_ROWS, materialise, sized_broadcast
 
 #: Hex digits of a digest that the equi-join sees.
 SHORT = 8
@@ -28,8 +28,12 @@ def _digest(host: Column, path: Column) -> Column:
     return F.sha2(F.concat(host, F.lit("\x00"), path), 256)
 
 
+OWN = ("host", "path", "rule", "verdict")
+
+
 def judge(urls: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow", carry: tuple[str, ...] = ()) -> DataFrame:
-    """urls with host, path, rule and verdict; the columns named in carry come along.
+    """urls with host, path, rule and verdict; the columns named in carry come along, one that is named like any of these
+    four as source_host and so on.
 
     rules(verdict, host, path): a rule fits its host and all subdomains if the path starts with its path; of those that
     fit, the one with the longest host and path together wins, then the longer host, then the smaller text and verdict.
@@ -38,6 +42,7 @@ def judge(urls: DataFrame, rules: DataFrame, url_col: str = "url", default: str
 
     A URL is expanded into its host suffixes of as many labels as some rule has, times its path prefixes of as many
     characters as some rule has; both sets are as small as the rules make them, and no other expression could match.
+    Rules that are too many to broadcast are first narrowed to those that some URL's expressions meet.
     """
     rules = rules.select(F.col("verdict").alias("r_verdict"), F.lower("host").alias("r_host"), F.col("path").alias("r_path"))
     rules = rules.where("r_host is not null and r_path is not null")
@@ -47,19 +52,30 @@ def judge(urls: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     table = rules.select("r_verdict", "r_host", "r_path", digest.alias("r_digest"), F.substring(digest, 1, SHORT).alias("short"))
 
     host, path = host_and_path(F.col(url_col))
-    rows = urls.select(*carry, host.alias("host"), path.alias("path"))
+    carried = F.struct(*[F.col(c).alias(f"source_{c}" if c.lower() in OWN else c) for c in carry], F.lit(0).alias("__"))
+    rows = urls.select(carried.alias("carried"), host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("rid"))
     labels, chars = sorted(shapes.labels), sorted(shapes.chars)
     # suffixes: the last k labels, where the host has so many
     parts = F.split("host", r"\.")
-    suffixes = F.filter(F.array(*[F.when(F.size(parts) >= k, F.substring_index("host", ".", -k)) for k in labels] or [F.lit(None).cast("string")]), lambda x: x.isNotNull())
-    prefixes = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in chars] or [F.lit(None).cast("string")]), lambda x: x.isNotNull())
-    keys = rows.select("host", "path").distinct()
-    tried = keys.withColumn("suffix", F.explode(suffixes)).withColumn("prefix", F.explode(prefixes))
-    tried = tried.withColumn("digest", _digest(F.col("suffix"), F.col("prefix"))).withColumn("short", F.substring("digest", 1, SHORT))
-    hits = tried.join(sized_broadcast(table, shapes.n), "short").where("digest = r_digest and suffix = r_host and prefix = r_path")
-    rank = F.struct((F.length("r_host") + F.length("r_path")).alias("l"), F.length("r_host").alias("h"))
-    best = hits.groupBy("host", "path").agg(F.max(rank).alias("best"), F.collect_set(F.struct(rank.alias("rank"), "r_host", "r_path", "r_verdict")).alias("all"))
-    won = F.array_min(F.filter("all", lambda x: x.rank == F.col("best")))
-    best = best.withColumn("won", won).select("host", "path", F.concat("won.r_host", "won.r_path").alias("rule"), F.col("won.r_verdict").alias("verdict"))
-    out = rows.join(best, ["host", "path"], "left")
-    return out.select(*carry, "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    none = F.lit(None).cast("string")
+    suffixes = F.filter(F.array(none, *[F.when(F.size(parts) >= k, F.substring_index("host", ".", -k)) for k in labels]), lambda x: x.isNotNull())
+    prefixes = F.filter(F.array(none, *[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in chars]), lambda x: x.isNotNull())
+
+    def expressions(urls: DataFrame) -> DataFrame:
+        tried = urls.withColumn("suffix", F.explode_outer(suffixes)).withColumn("prefix", F.explode_outer(prefixes))
+        tried = tried.withColumn("digest", _digest(F.col("suffix"), F.col("prefix")))
+        return tried.withColumn("short", F.substring("digest", 1, SHORT))
+
+    if shapes.n > BROADCAST_ROWS:
+        met = expressions(rows.where("host <> ''").select("host", "path").distinct()).select("short").distinct()
+        table = materialise(table.join(met, "short", "left_semi"), "url-rules")
+        table = sized_broadcast(table, table.count())
+    else:
+        table = F.broadcast(table)  # at most BROADCAST_ROWS rows
+    hits = expressions(rows).join(table, "short", "left")
+    hits = hits.withColumn("fits", F.expr("digest = r_digest and suffix = r_host and prefix = r_path"))
+    # a URL's expressions are together, so all but one of its rows go before the shuffle; no key has more than one URL
+    rank = F.struct((-F.length("r_host") - F.length("r_path")).alias("l"), (-F.length("r_host")).alias("h"), "r_host", "r_path", "r_verdict")
+    best = hits.groupBy("rid").agg(F.min(F.when(F.col("fits"), rank)).alias("won"), F.first("carried").alias("carried"), F.first("host").alias("host"), F.first("path").alias("path"))
+    columns = [F.col("carried").getField(f.name).alias(f.name) for f in best.schema["carried"].dataType.fields if f.name != "__"]
+    return best.select(*columns, "host", "path", F.concat("won.r_host", "won.r_path").alias("rule"), F.coalesce("won.r_verdict", F.lit(default)).alias("verdict"))

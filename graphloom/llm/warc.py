@@ -1,7 +1,8 @@
 """WARC archives as a chunked record table.
 
-Payloads travel as rows (record, chunk number, bytes), never as whole records: the writer streams the chunks of a record
-into an archive, the reader streams an archive into chunks, each with the digest of the payload so far.
+Payloads travel as rows (record, chunk number, bytes), never as whole records: a payload is walked once into a table of
+chunks, each with the digests of the payload so far; the writer streams the chunks of a record into an archive, the reader
+streams an archive into chunks, each with the digest so far again.
 """
 
 from __future__ import annotations
@@ -9,20 +10,25 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import json
 import re
 import uuid
 from collections.abc import Iterator
-from urllib.parse import quote, unquote
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.base import materialise, scratch, sized_broadcast
+from graphloom.llm.base import join_counted, materialise, scratch, sized_broadcast
 
-#: Characters in a chunk on the way in; bytes in a chunk on the way out.
-CHUNK = 1 << 18
+#: Bytes in a chunk, and bytes of chunks in a batch of rows.
+CHUNK, HELD = 1 << 18, 1 << 23
+#: Bytes of payload that a writing task gets, on average at most.
+TASK_BYTES = 1 << 26
+#: Records that a writing task gets, on average at most.
+TASK_RECORDS = 4000
 #: Bytes of payload after which a task begins another archive.
 ARCHIVE_BYTES = 1 << 30
 #: Reading tasks at most; with more archives, each reads several.
@@ -30,10 +36,18 @@ TASKS = 20_000
 CRLF = b"\r\n"
 
 
+#: Names that Hadoop has for file systems, and Arrow's.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "abfss": "abfss", "wasbs": "abfss"}
+
+
 def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a folder and its path there: any scheme that Arrow knows, or a local path."""
+    """The file system of a folder and its path there: any scheme that Arrow knows or that is another name of one, or a
+    local path."""
+    scheme, _, rest = uri.partition(":")
+    if scheme == "dbfs":  # a mount on every machine
+        return pafs.LocalFileSystem(), "/dbfs/" + rest.lstrip("/")
     if "://" in uri:
-        return pafs.FileSystem.from_uri(uri)
+        return pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
     return pafs.LocalFileSystem(), uri.removeprefix("file:")
 
 
@@ -50,7 +64,9 @@ def _head(row: dict) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {row['bytes']}\r\n\r\n".encode()
     size = len(http) + (row["bytes"] if row["type"] == "response" else 0)
     lines = ["WARC/1.1", f"WARC-Type: {row['type']}", f"WARC-Record-ID: {record_id(row['id'])}", "WARC-Date: 1970-01-01T00:00:00Z"]
-    lines += [f"WARC-Target-URI: {quote(row['url'] or '', safe=':/?#[]@!$&()*+,;=%~')}", f"WARC-Payload-Digest: sha1:{base32(row['sha1'])}"]
+    target = quote(row["url"] or "", safe=":/?#[]@!$&()*+,;=%~'")
+    lines += [f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{base32(row['sha1'])}"]
+    lines += [f"X-Url: {json.dumps(row['url'])}"] if target != row["url"] else []  # null, or not as a header may hold it
     lines += [f"X-Record-Number: {row['id']}"] if row["id"] is not None else []
     if row["type"] == "revisit":
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(row['refers_to'])}"]
@@ -59,35 +75,79 @@ def _head(row: dict) -> bytes:
     return "\r\n".join(lines).encode() + CRLF + CRLF + http
 
 
-def records(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> DataFrame:
-    """(id, url, payload, bytes, sha1, type, refers_to): of equal payloads the one with the largest id is the response.
+CHUNKS = "rid long, id long, url string, chunk int, data binary, bytes long, sha1 string, sha256 string, last boolean"
+CHUNK_FIELDS = [("rid", pa.int64()), ("id", pa.int64()), ("url", pa.string()), ("chunk", pa.int32()), ("data", pa.binary()), ("bytes", pa.int64()), ("sha1", pa.string()), ("sha256", pa.string()), ("last", pa.bool_())]
+
+
+def chunks(pages: DataFrame, id_col: str, url_col: str, payload_col: str, size: int = CHUNK) -> DataFrame:
+    """The chunked record table of pages: rid (a number for each row), id, url, chunk number, data, and bytes, SHA-1 and
+    SHA-256 (hex) of the payload so far; the last chunk of a record is marked. An empty payload is one empty chunk.
+
+    A payload is walked once, in slices of its Arrow buffer; no more than HELD bytes and a chunk are copied at a time.
+    """
+    payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
+    rows = pages.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
+
+    def table(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*out, strict=True), CHUNK_FIELDS, strict=True)], [n for n, _ in CHUNK_FIELDS])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, held = [], 0
+            for i in range(batch.num_rows):
+                rid, number, url = (batch.column(k)[i].as_py() for k in range(3))
+                view = memoryview(batch.column(3)[i].as_buffer() or b"")
+                one, two = hashlib.sha1(), hashlib.sha256()
+                for k in range(max(1, -(-len(view) // size))):
+                    data = view[k * size : (k + 1) * size]
+                    one.update(data)
+                    two.update(data)
+                    seen = min(len(view), (k + 1) * size)
+                    out.append((rid, number, url if k == 0 else None, k, bytes(data), seen, one.hexdigest(), two.hexdigest(), seen == len(view)))
+                    held += len(data)
+                    if held >= HELD or len(out) >= 2000:
+                        yield table(out)
+                        out, held = [], 0
+            if out:
+                yield table(out)
+
+    return rows.mapInArrow(run, CHUNKS)
+
+
+def records(parts: DataFrame) -> DataFrame:
+    """(rid, id, bytes, sha1, type, refers_to) of chunks(): of equal payloads the one with the largest id is the response.
 
-    Payloads are equal if length, SHA-1 and SHA-256 are. Only small columns are grouped and joined; the payload of a row
-    moves with it only where repeated digests are too many to broadcast.
+    Payloads are equal if length, SHA-1 and SHA-256 are. Only the last chunks' numbers are read, grouped and joined.
     """
-    payload = F.coalesce(F.col(payload_col), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
-    raw = F.col("payload").cast("binary")
-    rows = rows.withColumns({"bytes": F.octet_length("payload").cast("long"), "sha1": F.sha1(raw), "sha256": F.sha2(raw, 256)})
-    groups = rows.groupBy("sha256", "sha1", "bytes").agg(F.max("id").alias("refers_to"), F.count("*").alias("n"))
-    groups = materialise(groups.where("n > 1").drop("n"), "warc-repeats")
-    rows = rows.join(sized_broadcast(groups, groups.count()), ["sha256", "sha1", "bytes"], "left")
-    revisit = F.col("refers_to").isNotNull() & ~F.col("id").eqNullSafe(F.col("refers_to"))
-    rows = rows.withColumn("type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")))
-    return rows.withColumn("refers_to", F.when(revisit, F.col("refers_to")))
+    rows = parts.where("last").select("rid", "id", "bytes", "sha1", "sha256")
+    groups = rows.groupBy("sha256", "sha1", "bytes").agg(F.max("id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
+    groups = materialise(groups, "warc-repeats")
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    key = F.struct("sha256", "sha1", "bytes")
+    repeats = groups.select(key.alias("key"), "refers_to", "n")
+    known = join_counted(rows.withColumn("key", key).select("key", "rid", "id"), repeats, "key", "n", total) if total else rows.select("rid", "id").withColumn("refers_to", F.lit(None).cast("long")).limit(0)
+    revisits = known.where(F.col("refers_to").isNotNull() & ~F.col("id").eqNullSafe(F.col("refers_to"))).select("rid", "refers_to")
+    out = rows.join(sized_broadcast(revisits, total), "rid", "left")
+    return out.select("rid", "id", "bytes", "sha1", F.when(F.col("refers_to").isNotNull(), F.lit("revisit")).otherwise(F.lit("response")).alias("type"), "refers_to")
 
 
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write a record for each row into gzipped archives under folder; (archive, records) of those that are complete.
 
     Archives have names of their own for each attempt of a task; only those that the returned table lists count. Null
-    payloads are empty. Rows that repeat an id and a payload are all responses, if that id is the largest.
+    payloads are empty. Rows that repeat an id and a payload are all responses, if that id is the largest. A record's
+    chunks come to one task in order, which streams them; a revisit's chunks but the first stay behind.
     """
-    rows = records(pages, id_col, url_col, payload_col)
-    numbers = F.when(F.col("type") == "response", F.greatest(F.lit(0), F.ceil(F.length("payload") / CHUNK).cast("int") - 1)).otherwise(F.lit(0))
-    rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), numbers)))
-    text = F.when(F.col("type") == "response", F.substr("payload", F.col("chunk") * CHUNK + 1, F.lit(CHUNK))).otherwise(F.lit(""))
-    rows = rows.select("id", "url", "type", "refers_to", "sha1", "bytes", "chunk", text.cast("binary").alias("data"))
+    parts = materialise(chunks(pages, id_col, url_col, payload_col), "warc-chunks")
+    about = materialise(records(parts), "warc-records")
+    # what a record's first chunk needs to know of the whole
+    about = about.select("rid", "type", "refers_to", F.col("sha1").alias("whole_sha1"), F.col("bytes").alias("whole"))
+    size, count = about.agg(F.sum(F.when(F.col("type") == "response", F.col("whole")).otherwise(0)), F.count("*")).first()
+    tasks = max(-(-(size or 0) // TASK_BYTES), -(-count // TASK_RECORDS), 1)
+    rows = parts.select("rid", "id", "url", "chunk", "data").join(sized_broadcast(about, count), "rid").where("type = 'response' or chunk = 0")
+    data = F.when(F.col("type") == "response", F.col("data")).otherwise(F.lit(b""))
+    rows = rows.select("id", "url", "type", "refers_to", F.col("whole_sha1").alias("sha1"), F.col("whole").alias("bytes"), "rid", "chunk", data.alias("data"))
+    rows = rows.repartition(min(tasks, TASKS), "rid").sortWithinPartitions("rid", "chunk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = open_folder(folder)
@@ -167,7 +227,7 @@ def parse(stream: gzip.GzipFile, chunk: int = CHUNK) -> Iterator[dict]:
             http[name.strip().lower()] = value.strip()
         left -= http_bytes
         number = head.get("x-record-number")
-        row = {"record": head["warc-record-id"], "id": int(number) if number else None, "url": unquote(head.get("warc-target-uri", "")), "type": head["warc-type"]}
+        row = {"record": head["warc-record-id"], "id": int(number) if number else None, "url": json.loads(head["x-url"]) if "x-url" in head else head.get("warc-target-uri", ""), "type": head["warc-type"]}
         stated, refers = head["warc-payload-digest"].removeprefix("sha1:"), head.get("x-refers-to-number")
         row["refers_to"] = int(refers) if refers and re.fullmatch(r"-?\d+", refers) else None
         if row["type"] == "revisit":

@@ -272,7 +272,7 @@ def test_embeddings_empty(spark):
 def test_a_narrow_beam_widens():
     rng = np.random.default_rng(4)
     v = hnsw.unit(np.repeat(rng.standard_normal((30, 16)), 20, axis=0) + rng.standard_normal((600, 16)) * 0.15)
-    graph = hnsw.Graph.load(hnsw.Graph(v).dump())
+    graph = hnsw.Graph.load(hnsw.Graph(v).dump(), v)
     a, b = hnsw.links_between(graph, v, v, 0.9, beam=1)
     x, y = np.nonzero(v @ v.T >= 0.9)
     assert len(set(zip(a.tolist(), b.tolist(), strict=True)) & set(zip(x.tolist(), y.tolist(), strict=True))) >= 0.99 * len(x)
@@ -309,3 +309,53 @@ def test_equal_vectors_over_shards(spark):
     assert all(r.n_links == near[at[r.id]].sum() - 1 for r in got)
     assert all(r.component == min(rows[k][0] for k in np.flatnonzero(near[at[r.id]])) for r in got)
     assert report["recall"] == 1.0 and report["wanted"] > 0
+
+
+def test_rare_links_between_large_shards_are_all_found():
+    # as many vectors as a shard has, and no more links than an audit by few queries would meet
+    rng = np.random.default_rng(12)
+    v, q = hnsw.unit(rng.standard_normal((hnsw.SHARD, 24))), hnsw.unit(rng.standard_normal((hnsw.SHARD, 24)))
+    for k in range(90):
+        noise = rng.standard_normal(24)
+        q[37 * k] = hnsw.unit((v[41 * k] + 0.078 * noise)[None])[0]
+    x, y = np.nonzero(q @ v.T >= 0.93)
+    graph = hnsw.Graph(v[:50])  # never asked here: with so few links all queries are compared
+    graph.v = v.astype(np.float32)
+    a, b, want, hits = hnsw.audited_links(graph, v, q, 0.93)
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == sorted(zip(x.tolist(), y.tolist(), strict=True)) and want == hits == len(x) > 50
+
+
+def test_components_with_heavy_hubs(spark, monkeypatch):
+    from graphloom.llm import base
+
+    rng = np.random.default_rng(2)
+    edges = [(7, int(k)) for k in range(100, 180)] + [(900, int(k)) for k in range(200, 280)] + [(179, 200), (5, 6), (6, 4), (3, 3), (None, 1)]
+    edges += [(int(a), int(b)) for a, b in rng.integers(1000, 1200, (120, 2))]
+    roots = Roots({x for e in edges if None not in e for x in e})
+    for a, b in edges:
+        if a is not None:
+            roots.join(a, b)
+    least = {}
+    for a, b in edges:
+        for x in (a, b) if a is not None and a != b else ():
+            least[roots.find(x)] = min(x, least.get(roots.find(x), 10**9))
+    want = {x: least[roots.find(x)] for a, b in edges if a is not None and a != b for x in (a, b)}
+    df = spark.createDataFrame(edges, "a long, b long")
+    for heavy in (base.HEAVY, 10):
+        monkeypatch.setattr(base, "HEAVY", heavy)
+        got = {r.node: r.root for r in base.components(df).collect()}
+        assert {k: got.get(k, k) for k in want} == want
+
+
+def test_groups_of_many_copies(spark, monkeypatch):
+    from graphloom.llm import base
+
+    monkeypatch.setattr(base, "HEAVY", 20)
+    rows = [(i, "hot  text") for i in range(60)] + [(100 + i, f"other {i // 2}") for i in range(40)] + [(None, "hot text"), (7, "hot text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = exact_dedup.exact_groups(docs).collect()
+    assert sorted((str(r.id), r.keep_id, r.group_size) for r in got) == sorted((str(i), 0 if t.startswith("hot") else i - i % 2, 62 if t.startswith("hot") else 2) for i, t in rows)
+    # all digests equal: groups are of the bytes
+    got = exact_dedup.exact_groups(docs, digest=lambda t: F.lit("x")).collect()
+    assert sorted((str(r.id), r.keep_id, r.group_size) for r in got) == sorted((str(i), 0 if t.startswith("hot") else i - i % 2, 62 if t.startswith("hot") else 2) for i, t in rows)
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")

@@ -47,24 +47,21 @@ def test_stages(spark):
     assert now.agg(F.max("n_tokens")).first()[0] <= 2048
 
 
-def test_short_uncertain_documents_stay(spark, monkeypatch):
-    rows = [(i, " ".join(["the of and"] * 9 if i % 2 else ["der und ist"] * 9), "en" if i % 2 else "de", "s", 1) for i in range(40)]
-    rows += [(100, "x", None, "s", 1), (101, "of und", None, "s", 1), (102, "?!", None, "s", 1), (103, None, None, "s", 1)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    # with a threshold that no text reaches, only length and letters decide
-    monkeypatch.setattr(corpus_pipeline, "LEAST_SCORE", 1.1)
-    monkeypatch.setattr(corpus_pipeline, "LEAST_BYTES", 50)
-    assert sorted(r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()) == [100, 101]
-
-
-def test_short_documents_are_judged(spark, monkeypatch):
-    rows = [(i, " ".join(["the of and"] * 9 if i % 2 else ["der und ist"] * 9), "en" if i % 2 else "de", "s", 1) for i in range(40)]
-    rows += [(100, "the of and der und ist " * 16, None, "s", 1), (101, "the of and der und ist", None, "s", 1)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    # of 368 bytes in two languages the probability asked is almost the whole, of 22 little more than chance
-    monkeypatch.setattr(corpus_pipeline, "LEAST_SCORE", 0.95)
-    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()}
-    assert 100 not in kept and kept >= {*range(40)}
+def test_texts_of_no_language_go_whatever_their_length(spark):
+    rows = [(i, " ".join(["the of and"] * 9 if i % 2 else ["der und ist"] * 9), "en" if i % 2 else "de", "s", 1, "own") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, __lang string")
+    model = corpus_pipeline.langid.fit(docs)
+    odd = [(100, "x"), (101, "of und"), (102, "?!"), (103, None), (104, "der und ist the of and " * 40), (105, "")]
+    docs = docs.unionByName(spark.createDataFrame([(i, t, None, "s", 1, "own") for i, t in odd], docs.schema))
+    out = corpus_pipeline.language(spark, docs, "")
+    kept = {r.doc_id for r in out.collect()}
+    assert out.columns == docs.columns and kept >= {*range(40)} and not kept & {102, 103, 105}
+    # the rule by hand
+    for i, t in odd:
+        lang, p, error = corpus_pipeline.langid.predict(model, [t])[0]
+        assert (i in kept) == (lang != "und" and p + corpus_pipeline.SURE * error >= 0.5 + corpus_pipeline.LEAST * 0.5)
+    # without a language to learn from, letters decide
+    assert {r.doc_id for r in corpus_pipeline.language(spark, docs.where("lang is null"), "").collect()} == {100, 101, 104}
 
 
 @needs_tables
@@ -74,11 +71,22 @@ def test_queries(spark):
         assert rows.count() > 0, name
 
 
-def test_empty_documents(spark, tmp_path):
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
-    spark.createDataFrame([(i, f"some text {i}", "en", "s", 1) for i in range(4)], schema).limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+EMPTY = {
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+    "pages": "page_id long, url string, html string",
+    "labels": "doc_id long, quality int, toxic int",
+}
+
+
+def test_empty_tables(spark, tmp_path):
+    for name, schema in EMPTY.items():
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for name, query in queries.QUERIES.items():
+        assert query(spark, str(tmp_path)).count() == 0, name
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    for name, stage in corpus_pipeline.STAGES[1:]:
+    for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, str(tmp_path))
         assert out.count() == 0, name
         docs = out if name != "packing" else docs
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -87,7 +87,7 @@ def test_round_trip(spark, monkeypatch):
     pages = [(1, "https://a.example/ä?x y", same), (2, None, same), (7, "http://b", same), (3, "u", None), (4, "u", ""), (5, "u\r\nX: y", "ÿ" * 25_001), (6, "u", "one\r\n\r\nWARC/1.1\r\n"), (None, "n", same), (None, "n", "alone")]
     df = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, digest string").repartition(2)
     folder = base.scratch(spark, "warc-test")
-    manifest = warc.write(df, folder, archive_bytes=2000)
+    manifest = warc.write(df, folder, archive_bytes=200)
     assert manifest.agg(F.sum("records")).first()[0] == len(pages) and manifest.count() > 2
     chunks = [r.asDict() for r in warc.read(manifest, folder).collect()]
     for number, url, html in pages:
@@ -108,6 +108,25 @@ def test_round_trip(spark, monkeypatch):
     assert warc.round_trip(df.limit(0)).count() == 0 and warc.round_trip(df).count() == len(pages)
 
 
+def test_urls_and_schemes(spark):
+    urls = ["http://a/x%20y%2Fz", "http://a/x y", "http://ä/ü?q=1&r=%C3%A4", "", None, "u\r\nX: y", "http://a/'q'", "\ud800".encode("utf-8", "replace").decode()]
+    df = spark.createDataFrame([(i, u, "p") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    assert {r.id: r.url for r in warc.round_trip(df).collect()} == dict(enumerate(urls))
+    assert warc.open_folder("/a/b")[1] == "/a/b" and warc.open_folder("file:/a/b")[1] == "/a/b" and warc.open_folder("dbfs:/a")[1] == "/dbfs/a"
+    assert warc.SCHEMES["s3a"] == "s3"
+
+
+def test_long_payloads_in_chunks(spark):
+    text = "éa" * (3 * warc.CHUNK)
+    df = spark.createDataFrame([(1, "u", text), (2, "v", None), (3, "w", text)], "page_id long, url string, html string")
+    rows = sorted(warc.chunks(df, "page_id", "url", "html").where("id = 1").collect(), key=lambda r: r.chunk)
+    raw = text.encode()
+    assert b"".join(bytes(r.data) for r in rows) == raw and max(len(r.data) for r in rows) == warc.CHUNK and [r.last for r in rows] == [False] * (len(rows) - 1) + [True]
+    assert all(r.sha1 == hashlib.sha1(raw[: r.bytes]).hexdigest() and r.sha256 == hashlib.sha256(raw[: r.bytes]).hexdigest() for r in rows)
+    got = {r.id: (r.bytes, r.type, r.refers_to) for r in warc.round_trip(df).collect()}
+    assert got == {1: (len(raw), "revisit", 3), 2: (0, "response", None), 3: (len(raw), "response", None)}
+
+
 def record(payload, digest=None, size=None, kind="response"):
     http = f"HTTP/1.1 200 OK\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     stated = digest or base64.b32encode(hashlib.sha1(payload).digest()).decode()
@@ -152,6 +171,18 @@ def test_rules_equal_brute_force(spark):
     assert got == {i: judge_plainly(u, RULES) for i, u in enumerate(urls)}
     assert url_rules.judge(df, rules.limit(0), default="block").where("verdict = 'block' and rule is null").count() == len(urls)
     assert url_rules.judge(df.limit(0), rules).count() == 0
+    named = url_rules.judge(df, rules, carry=("page_id", "host", "rule"))
+    assert named.columns == ["page_id", "source_host", "source_rule", "host", "path", "rule", "verdict"]
+    assert {(x.source_host, x.source_rule) for x in named.collect()} == {("clash", "clash")} and {x.page_id: x.rule for x in named.collect()} == {i: got[i][2] for i in got}
+
+
+def test_many_rules(spark, monkeypatch):
+    monkeypatch.setattr(url_rules, "BROADCAST_ROWS", 2)
+    urls = ["http://a.com/de/", "http://x.example.org/es/1", "http://none/", None, "http://org/x"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = spark.createDataFrame(RULES, "verdict string, host string, path string")
+    got = {x.page_id: (x.host, x.path, x.rule, x.verdict) for x in url_rules.judge(df, rules, carry=("page_id",)).collect()}
+    assert got == {i: judge_plainly(u, RULES) for i, u in enumerate(urls)}
 
 
 # --- packing ----------------------------------------------------------------------------------------------------------
@@ -191,6 +222,12 @@ def test_packing(spark, monkeypatch):
         assert sorted(batches) == list(range(len(batches)))
         assert all(sorted(v) == list(range(len(v))) and len(v) * size <= 200 for v in batches.values())
         assert all(len(v) == room for b, v in batches.items() if b < len(batches) - 1)
+    # batches in number by brute force, and the same whatever the order of the rows
+    for (b, size), batches in slots.items():
+        pieces = sum(x.bucket == b for x in out)
+        assert len(batches) == -(-pieces // (200 // max(1, size)))
+    again = packing.pack(df.orderBy(F.desc("length")).repartition(3), longest=64, buckets=4, budget=200).collect()
+    assert sorted(map(str, again)) == sorted(map(str, out))
     ends = sorted({x.bucket_len for x in out})
     count = {}
     for x in out:
@@ -202,6 +239,13 @@ def test_packing(spark, monkeypatch):
     assert json.dumps(ends)
 
 
+def test_copies_are_spread(spark):
+    df = spark.createDataFrame([(i, 5) for i in range(50) for _ in range(4)] + [(None, 5)] * 300, "id long, length int")
+    out = sorted(packing.pack(df, longest=8, buckets=1, budget=50).collect(), key=lambda x: (x.batch, x.slot))
+    near = sum(a.id == b.id for a, b in zip(out, out[1:], strict=False) if a.id is not None)
+    assert len(out) == 500 and near < 20
+
+
 @pytest.mark.skipif(not os.path.isfile(tokens.VOCABULARY), reason="the vocabulary is not here")
 def test_token_counts(spark):
     encoder = tokens.encoding()
@@ -213,6 +257,11 @@ def test_token_counts(spark):
     assert sum(len(encoder.encode_ordinary(p)) for p in tokens.pieces(text, 200)) == len(encoder.encode_ordinary(text))
     docs = spark.createDataFrame([(1, text, 0), (2, None, 0), (3, "", 0), (4, " " * 500_000, 0), (None, "x" * 300_000, 0)], "doc_id long, text string, length int")
     got = {x.id: x.length for x in tokens.token_counts(docs).collect()}
+    assert got[4] == 500_000 and got[None] == len(encoder.encode_ordinary("x" * 300_000))
+    for run in ("x" + "\n" * 90_000 + " y", " \u3000" * 60_000, "a" + " " * 70_000 + "b"):
+        assert tokens.count(run, encoder) == len(encoder.encode_ordinary(run))
+    with pytest.raises(FileNotFoundError, match="every machine"):
+        tokens.encoding("/nowhere/x.tiktoken")
     assert got[1] == len(encoder.encode_ordinary(text)) and got[2] == got[3] == 0 and min(got[4], got[None]) > 0
 
 
@@ -225,3 +274,36 @@ def test_keys_and_tokens_behind_a_false_start():
     key = key.replace("3027", f"30{len(key) // 2 - 2:02x}")
     for before in ("30", "30aa30", "3", "a30b"):
         assert secrets.structural_spans(f"x {before}{key}{key}") == [("der", 2 + len(before) + k * len(key), 2 + len(before) + (k + 1) * len(key)) for k in range(2)]
+
+
+def test_keys_end_where_they_end():
+    for extra in ("", "A", "AB", "ABC", "ABCD", "ABCDE"):
+        text = b64(SSH).rstrip("=")
+        found = [(k, a, b) for k, a, b in secrets.structural_spans(f"{text}{extra}") if k == "openssh"]
+        if len(SSH) % 3 == 0 or not extra:
+            assert found == [("openssh", 0, len(text))]
+    many = "-----BEGIN RSA PRIVATE KEY-----\n" * 20_000
+    body = "\n".join(re.findall(".{1,64}", b64(RSA)))
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    assert [x for x in secrets.structural_spans(many + pem) if x[0] == "pem"] == [("pem", len(many), len(many) + len(pem))]
+
+
+def every_start(text):
+    """Hex and base64 DER keys by trying every start, straight on; keys of one kind do not overlap."""
+    out = []
+    for m in re.finditer("[0-9A-Fa-f]+", text):
+        at = m.start()
+        while at < m.end():
+            n = (m.end() - at) // 2 * 2
+            used = secrets.der_key(bytes.fromhex(text[at : at + n])) if n >= 48 and text[at : at + 2] == "30" else 0
+            if used:
+                out.append(("der", at, at + 2 * used))
+            at += 2 * used if used else 1
+    return out
+
+
+def test_hex_keys_equal_trying_every_start():
+    r = random.Random(11)
+    for _ in range(60):
+        text = "".join(r.choice(["30", "3", "0", "ab", "ff", " ", "x", "3082", RSA.hex(), PKCS8.hex(), PKCS8.hex().upper(), PUBLIC.hex()]) for _ in range(12))
+        assert [x for x in secrets.structural_spans(text) if x[0] == "der"] == every_start(text)
