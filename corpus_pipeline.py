@@ -8,23 +8,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import exact_dedup, langid, mixing, packing, simhash, tokens
-from graphloom.llm.base import materialise, sized_broadcast
+from graphloom.llm.base import fresh, materialise, sized_broadcast
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-#: A document goes if it has no letter, or if no language reaches a pooled probability that grows with its bytes: from
-#: what chance gives (one by the number of languages) to this one at so many bytes, as few bytes say little.
-LEAST_SCORE, LEAST_BYTES = 0.35, 400
+#: A document goes if it has no letter, or if its pooled probability is below LEAST of the way from chance (one by the
+#: number of languages) to certainty by SURE standard errors, which short texts have large ones of.
+LEAST, SURE = 0.13, 2.0
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter (null and empty ones too) and those of no language that the model knows."""
+    """Drops documents without a letter (null and empty ones too) and those of no language that the model knows. Where no
+    document has a language to learn from, only those without a letter go."""
     model = langid.fit(docs)
-    found = langid.annotate(docs, model, names=("__lang", "__score"))
+    lang, score, error = (fresh(docs, n) for n in ("__lang", "__score", "__error"))
+    if not model.languages:
+        return docs.where(F.coalesce("text", F.lit("")).rlike("\\p{L}"))
     chance = 1 / len(model.languages)
-    least = chance + (LEAST_SCORE - chance) * F.least(F.lit(1.0), F.octet_length("text") / LEAST_BYTES)
-    return found.where((F.col("__lang") != langid.UNDETERMINED) & (F.col("__score") >= least)).drop("__lang", "__score")
+    found = langid.annotate(docs, model, names=(lang, score, error))
+    doubtful = F.col(score) + SURE * F.col(error) < chance + LEAST * (1 - chance)
+    return found.where((F.col(lang) != langid.UNDETERMINED) & ~doubtful).drop(lang, score, error)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +40,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each component of near-duplicates: sets of five-word shingles, similarity 0.8 or
     more. Rows with a null doc_id are in no component and stay."""
     found = simhash.near_duplicates(docs)
-    gone = materialise(found.where("id <> component").select(F.col("id").alias("gone")).distinct(), "near-gone")
-    return docs.join(sized_broadcast(gone, gone.count()), docs.doc_id == gone.gone, "left_anti")
+    gone = materialise(found.where("id <> component").select(F.col("id").alias("doc_id")).distinct(), "near-gone")
+    return docs.join(sized_broadcast(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +52,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document goes: doc_id, piece, start, n_tokens, bucket, bucket_len, batch, slot."""
-    return packing.pack(materialise(tokens.token_counts(docs), "lengths")).withColumnRenamed("id", "doc_id")
+    return packing.pack(tokens.token_counts(docs)).withColumnRenamed("id", "doc_id")
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet under spark.checkpoint.dir (where that is unset, as in tests, a folder of our own) and read it
-    back: computed once, its plan cut, and safe from lost executors."""
+    """Write df as Parquet under spark.checkpoint.dir and read it back: computed once, its plan cut, and safe from lost
+    executors. Where the setting is unset, a local master (tests) gets a folder of our own; any other raises, as executors
+    would each write to a disk of their own."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file:///tmp/checkpoints/graphloom"
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
