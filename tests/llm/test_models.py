@@ -61,7 +61,8 @@ def test_the_sample_is_bounded(spark, monkeypatch):
     from graphloom.llm.base import trained_part
 
     df = spark.createDataFrame([("0123456789" * 10,), ("short",)], "text string")
-    assert [r[0] for r in df.select(trained_part(F.col("text"), 20, 4)).collect()] == ["01234" + "12345" + "34567"[:0] + df.first()[0][63:68] + df.first()[0][95:], "short"] or True
+    text = "0123456789" * 10
+    assert df.select(trained_part(F.col("text"), 20, 4)).first()[0] == "".join(text[a : a + 5] for a in (0, 31, 63, 95))
     assert [len(r[0]) for r in df.select(trained_part(F.col("text"), 20, 4)).collect()] == [20, 5]
 
 
@@ -237,6 +238,6 @@ def test_mixing_odd_rows(spark):
     names = spark.createDataFrame([(1, "aaa", 1, 2, 3)], "doc_id long, text string, __seen int, __rate int, __p0 int")
     assert mixing.mixed(names, labelled, floor=1.0).collect()[0].asDict() == names.first().asDict()
     many = spark.createDataFrame([(i, f"text {i}", f"domain {i}") for i in range(80)], "doc_id long, text string, lang string")
-    assert len({r.domain for r in mixing.rates(many, many.select(F.col("doc_id").alias("id"), F.col("lang").alias("domain"))).collect()}) > 1
+    assert len(mixing.learn(many.select(F.col("doc_id").alias("id"), "text"), many.select(F.col("doc_id").alias("id"), F.col("lang").alias("domain"))).domains) == 80
     with pytest.raises(ValueError, match="weights"):
         mixing.rates(docs, labelled, targets={"q": 1.0})
