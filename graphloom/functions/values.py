@@ -37,11 +37,18 @@ QUALIFIER_TYPES = [
 ]
 
 # --- fixed values: word lists -----------------------------------------------------------------------------------------
-STOPWORDS = """show what which tell give list does did use uses used using for from with about the and or me all are is in
-on of to run runs ran tool tools malware actor actors campaign campaigns operation operations technique techniques tactic
-tactics access bear spider panda kitten typhoon blizzard tempest tiger dragon windows macos linux android ios esxi iaas
-saas containers kubernetes""".split()
-STRUCTURAL = "tool tools malware actor actors campaign campaigns operation operations technique techniques tactic tactics platform platforms".split()
+STOPWORDS = [
+    "show", "what", "which", "tell", "give", "list", "does", "did", "use", "uses", "used", "using", "for", "from",
+    "with", "about", "the", "and", "or", "me", "all", "are", "is", "in", "on", "of", "to", "run", "runs", "ran",
+    "tool", "tools", "malware", "actor", "actors", "campaign", "campaigns", "operation", "operations", "technique",
+    "techniques", "tactic", "tactics", "access", "bear", "spider", "panda", "kitten", "typhoon", "blizzard",
+    "tempest", "tiger", "dragon", "windows", "macos", "linux", "android", "ios", "esxi", "iaas", "saas", "containers",
+    "kubernetes",
+]
+STRUCTURAL = [
+    "tool", "tools", "malware", "actor", "actors", "campaign", "campaigns", "operation", "operations", "technique",
+    "techniques", "tactic", "tactics", "platform", "platforms",
+]
 TACTICS = ["Reconnaissance", "Resource Development", "Initial Access", "Execution", "Persistence", "Privilege Escalation", "Defense Evasion", "Credential Access", "Discovery", "Lateral Movement", "Collection", "Command and Control", "Exfiltration", "Impact"]
 PLATFORM_TERMS = ["windows", "linux", "macos", "office suite", "saas", "iaas", "containers", "network devices", "esxi", "identity provider"]
 COMPARISON_TERMS = ["compare", "comparison", "similar", "similarities", "different", "differences"]
@@ -54,7 +61,9 @@ FALLBACK_FIELDS = ["threat_actor", "malware", "tool", "campaign", "tactic", "mit
 # --- fixed values: numbers --------------------------------------------------------------------------------------------
 RRF_K, TYPE_BONUS, EXPANSIONS = 60, 0.08, 4
 DESCRIPTION_CHARS, FIELD_CHARS, COMPARED_ITEMS = 400, 1600, 5
-#: Messages of refusals and empty answers.
+
+# --- fixed values: messages -------------------------------------------------------------------------------------------
+#: Of refusals and empty answers.
 BLOCKED = {
     "clearly_offtopic": "I'm a cybersecurity assistant focused on threat intelligence and MITRE ATT&CK. I can't help with general topics.",
     "jailbreak": "This request has been blocked. I only assist with cybersecurity analysis.",

@@ -7,9 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.functions import text as X
 from graphloom.functions import values as V
@@ -20,6 +23,10 @@ from graphloom.sources.scratch import materialise
 QUERIES = 10_000  # checked by a count before the hint is given
 #: Shares that nodes are dealt into for a larger batch of vectors.
 SHARES = 512
+#: Queries that are multiplied with a batch of nodes at a time, and digits of a score that count when scores are compared.
+BLOCK, DIGITS = 512, 12
+#: Folders that a written full-text index deals its terms into.
+TERM_BUCKETS = 64
 
 
 def few(queries: DataFrame) -> bool:
@@ -33,10 +40,10 @@ def sized(queries: DataFrame) -> DataFrame:
 
 def top(rows: DataFrame, k: int | None, order: list[Column], by: str = "query_id") -> DataFrame:
     """Rows with pos from 0 in the given order within by, the first k of them."""
-    from pyspark.sql import Window
-
-    rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1)
-    return rows if k is None else rows.where(F.col("pos") < k)
+    rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+    # a bound on the row number itself is one that each task can apply before the shuffle
+    rows = rows if k is None else rows.where(F.col("pos") <= k)
+    return rows.withColumn("pos", F.col("pos") - 1)
 
 
 # --- vectors ----------------------------------------------------------------------------------------------------------
@@ -52,22 +59,66 @@ def with_norm(rows: DataFrame, vector: str) -> DataFrame:
     return rows.withColumn("__norm", norm(F.col(vector)))
 
 
+class _Best:
+    """The k best (score, id) of each query that a task has seen."""
+
+    def __init__(self, vectors: np.ndarray, k: int) -> None:
+        self.q, self.k = vectors, k
+        self.held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, object))] * len(vectors)
+
+    def add(self, rows: np.ndarray, ids: np.ndarray) -> None:
+        for at in range(0, len(self.q), BLOCK):
+            scores = np.round(self.q[at : at + BLOCK] @ rows.T, DIGITS)
+            last = np.partition(scores, -self.k, axis=1)[:, -self.k] if scores.shape[1] > self.k else np.full(len(scores), -np.inf)
+            for j, (row, low) in enumerate(zip(scores, last, strict=True), at):
+                near = np.flatnonzero(row >= low)
+                score, of = np.concatenate([self.held[j][0], row[near]]), np.concatenate([self.held[j][1], ids[near]])
+                order = np.lexsort((of, -score))[: self.k]
+                self.held[j] = score[order], of[order]
+
+
 def vector_search(queries: DataFrame, nodes: DataFrame, k: int = 10, normalized: bool = False, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
-    """The k nodes of greatest cosine for each query(query_id, embedding): an exact scan, ties by id.
+    """The k nodes of greatest cosine for each query(query_id, embedding): an exact scan, ties (to DIGITS digits) by id.
 
     Nodes without an embedding, or with a zero one or one of another length, are not found. normalized gives
-    (1 + cosine) / 2. Norms are computed once a row; each task keeps only its own first k before the shuffle.
+    (1 + cosine) / 2. Nodes are read once: a batch of them is multiplied with all queries of their length, and each task
+    keeps its own first k for a query. A batch of more than QUERIES queries is joined instead.
     """
     q = with_norm(queries.select("query_id", F.col("embedding").alias("__q")), "__q").withColumnRenamed("__norm", "__qn")
     n = with_norm(nodes.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("__v")), "__v")
-    n, q = n.where("__norm > 0"), q.where("__qn > 0")
-    if few(q):
-        pairs = n.join(F.broadcast(q), F.size("__v") == F.size("__q"))
+    n, q = n.where("__norm > 0 and not isnan(__norm)"), q.where("__qn > 0 and not isnan(__qn)")
+    asked = q.limit(QUERIES + 1).collect()
+    if len(asked) <= QUERIES:
+        by_size: dict[int, list[int]] = {}
+        for i, r in enumerate(asked):
+            by_size.setdefault(len(r["__q"]), []).append(i)
+        tables = {d: np.array([asked[i]["__q"] for i in at], np.float64) / np.array([[asked[i]["__qn"]] for i in at]) for d, at in by_size.items()}
+        spark, schema = nodes.sparkSession, nodes.schema[id_col].dataType.simpleString()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = {d: _Best(t, k) for d, t in tables.items()}
+            ids_type = None
+            for batch in batches:
+                ids_type = batch.column(0).type
+                ids, vectors = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+                sizes = vectors.value_lengths().to_numpy(zero_copy_only=False)
+                for d in set(sizes.tolist()) & set(best):
+                    at = np.flatnonzero(sizes == d)
+                    rows = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), d)
+                    best[d].add(rows / batch.column(2).to_numpy()[at][:, None], ids[at])
+            out = [(by_size[d][j], score, of) for d, b in best.items() for j, (score, of) in enumerate(b.held)]
+            if ids_type is not None and out:
+                which = np.concatenate([np.full(len(s), j, np.int32) for j, s, _ in out])
+                yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(np.concatenate([o for *_, o in out]).tolist(), ids_type), pa.array(np.concatenate([s for _, s, _ in out]))], ["query", "id", "score"])
+
+        found = n.select("id", "__v", "__norm").mapInArrow(run, f"query int, id {schema}, score double")
+        named = spark.createDataFrame([(i, r["query_id"]) for i, r in enumerate(asked)], T.StructType([T.StructField("query", T.IntegerType()), T.StructField("query_id", queries.schema["query_id"].dataType)]))
+        scored = found.join(F.broadcast(named), "query").select("query_id", "id", "score")  # named: at most QUERIES rows
     else:  # all rows have the one length as key: nodes are dealt over shares, and every share gets the queries
         shares = n.withColumn("__share", F.pmod(F.xxhash64("id"), F.lit(SHARES)).cast("int"))
         each = q.withColumn("__share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
         pairs = shares.join(each, "__share").where(F.size("__v") == F.size("__q"))
-    scored = pairs.select("query_id", "id", (dot(F.col("__v"), F.col("__q")) / (F.col("__norm") * F.col("__qn"))).alias("score"))
+        scored = pairs.select("query_id", "id", F.round(dot(F.col("__v"), F.col("__q")) / (F.col("__norm") * F.col("__qn")), DIGITS).alias("score"))
     found = top(scored, k, [F.desc("score"), F.asc("id")])
     return found.withColumn("score", (1 + F.col("score")) / 2) if normalized else found
 
@@ -103,34 +154,59 @@ def terms(text: Column) -> Column:
 
 
 class FullText:
-    """Postings and statistics of an index over fields of rows: postings(id, field, term, tf, dl), df(field, term, df),
-    totals(field, n, avgdl)."""
+    """An index over fields of rows: postings(id, field, term, tf, dl) and totals(field, n, avgdl).
+
+    It is worked out of the rows in each search, or written once and read by searches after that: postings lie in folders
+    by a hash of their term, so that a search reads the folders of its own terms.
+    """
 
     def __init__(self, rows: DataFrame, fields: list[str], id_col: str = "id") -> None:
         each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), terms(F.col(f)).alias("terms")) for f in fields])).alias("x")
         docs = rows.select(F.col(id_col).alias("id"), each).select("id", "x.field", "x.terms").where("size(terms) > 0")
-        self.docs = docs.withColumn("dl", F.size("terms"))
-        self.totals = self.docs.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-        self.postings = self.docs.select("id", "field", "dl", F.explode("terms").alias("term")).groupBy("id", "field", "dl", "term").agg(F.count("*").alias("tf"))
-        self.df = self.postings.groupBy("field", "term").agg(F.count("*").alias("df"))
+        docs = docs.withColumn("dl", F.size("terms"))
+        self.totals = docs.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+        self.words = docs.select("id", "field", "dl", F.explode("terms").alias("term")).withColumn("bucket", _bucket("term"))
+        self.counted = False
+
+    def write(self, folder: str) -> FullText:
+        """Write the index under folder; the written one."""
+        spark = self.words.sparkSession
+        counted = self.words.groupBy("bucket", "id", "field", "dl", "term").agg(F.count("*").alias("tf"))
+        counted.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+        self.totals.write.mode("overwrite").parquet(f"{folder}/totals")
+        return FullText.read(spark, folder)
+
+    @classmethod
+    def read(cls, spark: SparkSession, folder: str) -> FullText:
+        """An index that write() has left under folder."""
+        self = cls.__new__(cls)
+        self.words, self.totals, self.counted = spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/totals"), True
+        return self
 
     def search(self, queries: DataFrame, k: int | None = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
         """BM25 of query(query_id, query), summed over fields and the query's distinct terms; the k best, ties by id.
 
-        Only the terms of the batch leave the postings: they are filtered before they are counted.
+        Only the terms of the batch leave the rows, which are read once for them; what they leave is kept.
         """
         asked = queries.select("query_id", F.explode(F.array_distinct(terms(X.full_text_query(F.col("query"))))).alias("term"))
-        only = sized(asked.select("term").distinct())
-        hit = self.docs.select("id", "field", "dl", F.explode("terms").alias("term")).join(only, "term", "left_semi").groupBy("id", "field", "dl", "term").agg(F.count("*").alias("tf"))
+        only = sized(asked.select("term", _bucket("term").alias("bucket")).distinct())
+        hit = self.words.join(only, ["bucket", "term"])
+        if not self.counted:
+            hit = hit.groupBy("id", "field", "dl", "term").agg(F.count("*").alias("tf"))
+        hit = materialise(hit.select("id", "field", "dl", "term", F.col("tf").cast("long").alias("tf")), "postings")
         df = hit.groupBy("field", "term").agg(F.count("*").alias("df"))
         idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-        weighed = hit.join(F.broadcast(self.totals), "field").join(df, ["field", "term"]).select("id", "term", part.alias("part"))
+        weighed = hit.join(F.broadcast(self.totals), "field").join(df, ["field", "term"]).select("id", "term", part.alias("part"))  # totals: a row for each field
         scored = weighed.join(sized(asked), "term").groupBy("query_id", "id").agg(F.sum("part").alias("score"))
         # sums in another order differ in their last digits, which must not decide between equal texts
         return top(scored, k, [F.desc(F.round("score", 9)), F.asc("id")])
 
 
+def _bucket(term: str) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
+
+
 # --- exact ------------------------------------------------------------------------------------------------------------
 def exact_ids(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     """Nodes whose external identifier a query names, by identifier; no limit."""
@@ -166,7 +242,7 @@ def fuse(legs: list[tuple[str, DataFrame]], types: DataFrame | None = None, requ
         rows = rows.unionByName(d)
     fused = rows.groupBy("query_id", "id").agg(F.sum("part").alias("rrf_score"), F.min_by(F.struct(F.col("score").alias("s")), F.struct("leg", "pos")).getField("s").alias("source_score"), F.min(F.struct("leg", "pos")).alias("__first"))
     if types is not None and requested is not None:
-        fused = fused.join(types.select("id", "node_type"), "id", "left").join(F.broadcast(requested.select("query_id", F.col("types").alias("__types"))), "query_id", "left")
+        fused = fused.join(types.select("id", "node_type"), "id", "left").join(sized(requested.select("query_id", F.col("types").alias("__types"))), "query_id", "left")
         fused = fused.withColumn("rrf_score", F.col("rrf_score") + F.when(F.array_contains("__types", F.col("node_type")), F.lit(bonus)).otherwise(F.lit(0.0))).drop("__types", "node_type")
     return top(fused, None, [F.desc("rrf_score"), F.asc("__first"), F.asc("id")]).drop("__first")
 

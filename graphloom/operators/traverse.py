@@ -17,12 +17,14 @@ from graphloom.sources.scratch import materialise
 
 @dataclass(frozen=True)
 class Path:
-    """From a start type over hops (relation, out or in, type) to a value of the last node, under a field's name."""
+    """From a start type over hops (relation, out or in, type) to a value, under a field's name: that of the last node, or
+    of the one that so many hops lead to; all hops have to be there even then."""
 
     start: str
     field: str
     hops: tuple[tuple[str, str, str], ...]
     value: str = "name"
+    after: int | None = None
 
 
 def _paths() -> list[Path]:
@@ -41,7 +43,7 @@ def _paths() -> list[Path]:
         Path("Technique", "campaigns", uses("in", "Campaign")),
         Path("Technique", "detections", (detects,)),
         # here an analytic without a data component does not count, as both hops are one path
-        Path("Technique", "analytics", (detects, analytic, component), "analytic_description"),
+        Path("Technique", "analytics", (detects, analytic, component), "description", 2),
         Path("Technique", "log_source_names", (detects, analytic, component)),
         Path("Technique", "parent_techniques", (("SUBTECHNIQUE_OF", "out", "Technique"),)),
         Path("Technique", "subtechniques", (("SUBTECHNIQUE_OF", "in", "Technique"),)),
@@ -93,36 +95,37 @@ PATHS = _paths()
 SHOWN = {"Technique": ["platforms", "is_subtechnique"], "Actor": ["aliases"], "Malware": ["platforms", "aliases"], "Tool": ["platforms", "aliases"], "Mitigation": [], "Tactic": ["shortname"], "Campaign": ["first_seen", "last_seen"], "DetectionStrategy": [], "Analytic": ["platforms"], "DataComponent": ["log_sources"]}
 
 
-def steps(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Every edge from either end: (at, rel, way, kind, next) with the values of the next node."""
-    ends = nodes.select(F.col("id").alias("next"), F.col("node_type").alias("kind"), "name", *[c for c in ("description",) if c in nodes.columns])
-    out = edges.select(F.col("src").alias("at"), "rel", F.lit("out").alias("way"), F.col("dst").alias("next"))
-    back = edges.select(F.col("dst").alias("at"), "rel", F.lit("in").alias("way"), F.col("src").alias("next"))
-    return out.unionByName(back).join(ends, "next")
+def steps(nodes: DataFrame, edges: DataFrame, hops: set[tuple[str, str, str]]) -> DataFrame:
+    """(at, rel, way, kind, next) of the edges that hops may take, with the values of the next node: relations and ways
+    that none takes are not read."""
+    values = [c for c in ("name", "description") if c in nodes.columns]
+    ends = nodes.where(F.col("node_type").isin(sorted({k for *_, k in hops}))).select(F.col("id").alias("next"), F.col("node_type").alias("kind"), *values)
+    sides = []
+    for way, a, b in (("out", "src", "dst"), ("in", "dst", "src")):
+        if rels := sorted({r for r, w, _ in hops if w == way}):
+            sides.append(edges.where(F.col("rel").isin(rels)).select(F.col(a).alias("at"), "rel", F.lit(way).alias("way"), F.col(b).alias("next")))
+    return (sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1])).join(ends, "next")
 
 
 def follow(starts: DataFrame, nodes: DataFrame, edges: DataFrame, paths: list[Path]) -> DataFrame:
     """(start, field, value) of every way along the paths from starts(id, node_type).
 
-    All paths take a step together: one join for each step of the longest path, whatever the number of paths.
+    All paths take a step together: one join for each step of the longest path, whatever the number of paths. Nodes and
+    edges should be written tables, edges in folders by relation.
     """
     spark = starts.sparkSession
-    table = []
-    for p in paths:
-        early = p.value.startswith("analytic_")  # the value is that of the analytic on the way
-        hop = next(i for i, h in enumerate(p.hops) if h[2] == "Analytic") if early else len(p.hops) - 1
-        table.append((p.start, p.field, [{"rel": r, "way": w, "kind": k} for r, w, k in p.hops], p.value.removeprefix("analytic_"), hop))
+    table = [(p.start, p.field, [{"rel": r, "way": w, "kind": k} for r, w, k in p.hops], p.value, (p.after or len(p.hops)) - 1) for p in paths]
     schema = "node_type string, field string, hops array<struct<rel: string, way: string, kind: string>>, column string, value_hop int"
     known = F.broadcast(spark.createDataFrame(table, schema))  # a row for each path
     at = starts.select(F.col("id").alias("start"), "node_type").join(known, "node_type").drop("node_type")
     at = at.withColumn("at", F.col("start")).withColumn("value", F.lit(None).cast("string"))
-    edge = steps(nodes, edges)
-    seen = F.when(F.col("column") == "id", F.col("next"))
-    for c in ("name", "description"):
-        if c in edge.columns:
-            seen = seen.when(F.col("column") == c, F.col(c))
     out = None
     for i in range(max(len(p.hops) for p in paths)):
+        edge = steps(nodes, edges, {p.hops[i] for p in paths if len(p.hops) > i})
+        seen = F.when(F.col("column") == "id", F.col("next"))
+        for c in ("name", "description"):
+            if c in edge.columns:
+                seen = seen.when(F.col("column") == c, F.col(c))
         hop = F.get("hops", F.lit(i))
         now = at.where(F.size("hops") > i).withColumns({"rel": hop.rel, "way": hop.way, "kind": hop.kind})
         now = now.join(edge, ["at", "rel", "way", "kind"])

@@ -15,7 +15,7 @@ from graphloom.functions import fuzzy
 from graphloom.functions import text as X
 from graphloom.functions import values as V
 from graphloom.operators import context, entities, guard, rerank, search, traverse
-from graphloom.sources import bundle
+from graphloom.sources import bundle, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -94,7 +94,10 @@ def vector_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- full text --------------------------------------------------------------------------------------------------------
 WORDS = [(0, "the thing of erwh and mail"), (1, "la que todo"), (2, "sch (und) der!"), (3, "+++")]
-BM25 = f"""a(query_id, query) AS (VALUES {", ".join(f"({i}, {_literal(t)})" for i, t in WORDS)}),
+
+
+def _bm25_sql(asked: str) -> str:
+    return f"""a(query_id, query) AS ({asked}),
     w AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM a),
     d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS terms FROM documents),
     l AS (SELECT id, terms, len(terms) AS dl FROM d WHERE len(terms) > 0),
@@ -107,41 +110,56 @@ BM25 = f"""a(query_id, query) AS (VALUES {", ".join(f"({i}, {_literal(t)})" for
     b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id)::INT - 1 AS pos FROM m)"""
 
 
-def _bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    index = search.FullText(table(spark, sf_dir, "documents"), ["text"], "doc_id")
-    return index.search(spark.createDataFrame(WORDS, "query_id int, query string"), k)
+BM25 = _bm25_sql("VALUES " + ", ".join(f"({i}, {_literal(t)})" for i, t in WORDS))
+
+
+def _bm25(spark: SparkSession, sf_dir: str, asked: DataFrame, k: int) -> DataFrame:
+    return search.FullText(table(spark, sf_dir, "documents"), ["text"], "doc_id").search(asked, k)
 
 
 @query(f"WITH {BM25} SELECT query_id, id AS doc_id, round(score, 6) AS score, pos FROM b WHERE pos < 10")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bm25(spark, sf_dir, 10).select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "pos")
+    found = _bm25(spark, sf_dir, spark.createDataFrame(WORDS, "query_id int, query string"), 10)
+    return found.select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "pos")
+
+
+@query(f"WITH {BM25} SELECT query_id, id AS doc_id, round(score, 6) AS score, pos FROM b WHERE pos < 10")
+def bm25_written_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from an index that is written first and then read by the search."""
+    index = search.FullText(table(spark, sf_dir, "documents"), ["text"], "doc_id").write(scratch.folder(spark, "full-text"))
+    found = index.search(spark.createDataFrame(WORDS, "query_id int, query string"), 10)
+    return found.select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "pos")
 
 
-FUSED = f"""{BM25},
+#: One of the texts above for each vector that is a query.
+FUSED = f"""{_bm25_sql("SELECT vec_id::INT, CASE (vec_id // 50) % 4 " + " ".join(f"WHEN {i} THEN {_literal(t)}" for i, t in WORDS) + " END FROM embeddings WHERE vec_id % 50 = 0")},
     v AS (SELECT query_id, vec_id AS id, pos FROM (SELECT q.vec_id::INT AS query_id, e.vec_id,
               row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE} DESC, e.vec_id)::INT - 1 AS pos
-              FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 3) q) WHERE pos < 20),
+              FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q) WHERE pos < 20),
     u AS (SELECT query_id, id, 1.0::DOUBLE / (61 + pos) AS part FROM v UNION ALL SELECT query_id, id, 1.0::DOUBLE / (61 + pos) FROM b WHERE pos < 20),
     x AS (SELECT query_id, id, sum(part) AS s FROM u GROUP BY ALL)"""
 
 
-def _legs(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame]]:
+def _legs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[tuple[str, DataFrame]]]:
+    """The queries, and the two legs that answer them."""
     rows = table(spark, sf_dir, "embeddings")
-    asked = rows.where("vec_id < 3").select(F.col("vec_id").cast("int").alias("query_id"), "embedding")
-    return [("vector", search.vector_search(asked, rows, 20, id_col="vec_id")), ("text", _bm25(spark, sf_dir, 20))]
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").cast("int").alias("query_id"), "embedding")
+    words = F.get(F.array(*[F.lit(t) for _, t in WORDS]), (F.floor(F.col("query_id") / 50) % 4).cast("int"))
+    return asked, [("vector", search.vector_search(asked, rows, 20, id_col="vec_id")), ("text", _bm25(spark, sf_dir, asked.select("query_id", words.alias("query")), 20))]
 
 
 @query(f"WITH {FUSED} SELECT query_id, id, round(s, 6) AS rrf_score FROM x")
 def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.fuse(_legs(spark, sf_dir)).select("query_id", "id", F.round("rrf_score", 6).alias("rrf_score"))
+    return search.fuse(_legs(spark, sf_dir)[1]).select("query_id", "id", F.round("rrf_score", 6).alias("rrf_score"))
 
 
 @query(f"""WITH {FUSED} SELECT query_id, id, round(s + CASE WHEN d.lang IN ('de', 'fr') THEN 0.08 ELSE 0 END, 6) AS rrf_score
            FROM x LEFT JOIN documents d ON d.doc_id = x.id""")
 def rrf_type_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
     types = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("node_type"))
-    wanted = spark.createDataFrame([(i, ["de", "fr"]) for i in range(4)], "query_id int, types array<string>")
-    return search.fuse(_legs(spark, sf_dir), types, wanted).select("query_id", "id", F.round("rrf_score", 6).alias("rrf_score"))
+    asked, legs = _legs(spark, sf_dir)
+    wanted = asked.select("query_id", F.array(F.lit("de"), F.lit("fr")).alias("types"))
+    return search.fuse(legs, types, wanted).select("query_id", "id", F.round("rrf_score", 6).alias("rrf_score"))
 
 
 # --- exact ------------------------------------------------------------------------------------------------------------
@@ -152,9 +170,9 @@ def _named_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("T"), padded).alias("external_id"))
 
 
-@query("""SELECT s_suppkey::INT AS query_id, 'T' || lpad(p_partkey::VARCHAR, 4, '0') AS external_id, p_partkey AS id FROM supplier
-          JOIN part ON p_partkey < 10000 AND list_contains(list_transform(regexp_extract_all('see T000' || (s_suppkey % 10) || ' and s0001, t00' || (10 + s_suppkey % 80),
-               '(?i)\\b(?:[GMSTC]A?\\d{4}(?:\\.\\d{3})?|AN\\d{4}|DET\\d{4}|DC\\d{4})\\b'), lambda x: upper(x)), 'T' || lpad(p_partkey::VARCHAR, 4, '0'))""")
+@query("""SELECT s_suppkey::INT AS query_id, 'T' || CASE WHEN p_partkey < 10000 THEN lpad(p_partkey::VARCHAR, 4, '0') ELSE p_partkey::VARCHAR END AS external_id, p_partkey AS id FROM supplier
+          JOIN part ON list_contains(list_transform(regexp_extract_all('see T000' || (s_suppkey % 10) || ' and s0001, t00' || (10 + s_suppkey % 80),
+               '(?i)\\b(?:[GMSTC]A?\\d{4}(?:\\.\\d{3})?|AN\\d{4}|DET\\d{4}|DC\\d{4})\\b'), lambda x: upper(x)), 'T' || CASE WHEN p_partkey < 10000 THEN lpad(p_partkey::VARCHAR, 4, '0') ELSE p_partkey::VARCHAR END)""")
 def exact_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("s_suppkey")
     asked = table(spark, sf_dir, "supplier").select(key.cast("int").alias("query_id"), F.concat(F.lit("see T000"), (key % 10).cast("string"), F.lit(" and s0001, t00"), (10 + key % 80).cast("string")).alias("query"))
@@ -175,6 +193,18 @@ def exact_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.exact_names(asked, nodes).select("query_id", "id", "pos")
 
 
+@query("""WITH a AS (SELECT s_suppkey::INT AS query_id, lower('about al-' || (s_suppkey % 7) || ', AL-' || (s_suppkey % 50) || '.x and nobody') AS query FROM supplier),
+          w AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(query, '[a-z0-9_.-]+')) AS word FROM a),
+          n AS (SELECT c_custkey AS id, unnest(['Al-' || (c_custkey % 60), 'x']) AS alias FROM customer)
+          SELECT DISTINCT query_id, id, dense_rank() OVER (PARTITION BY query_id ORDER BY id)::INT - 1 AS pos FROM w JOIN n ON length(alias) >= 3 AND lower(alias) = word
+          QUALIFY pos < 10""")
+def exact_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("s_suppkey")
+    asked = table(spark, sf_dir, "supplier").select(key.cast("int").alias("query_id"), F.concat(F.lit("about al-"), (key % 7).cast("string"), F.lit(", AL-"), (key % 50).cast("string"), F.lit(".x and nobody")).alias("query"))
+    nodes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lit("no such name").alias("name"), F.array(F.concat(F.lit("Al-"), (F.col("c_custkey") % 60).cast("string")), F.lit("x")).alias("aliases"))
+    return search.exact_names(asked, nodes).select("query_id", "id", "pos")
+
+
 # --- questions --------------------------------------------------------------------------------------------------------
 def _sql_all(pattern: str, column: str = "query") -> str:
     return f"regexp_extract_all({column}, {_literal(pattern)})"
@@ -226,14 +256,14 @@ def filter_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.pattern_entities(questions(spark))
 
 
+# in SQL a letter beside a token has to be of ASCII to count as one
 @query(f"""SELECT doc_id, list_aggregate(list_sort(list_distinct(list_transform(list_filter({_sql_all(V.ENTITY_REFERENCE, "text")},
                lambda t: NOT regexp_full_match(t, {_literal(V.EXTERNAL_ID)}) AND NOT regexp_full_match(t, {_literal(V.CVE_ID)})),
-               lambda t: regexp_replace(lower(t), '[^a-z0-9]+', '', 'g')))), 'string_agg', '|') AS tokens FROM documents
-           WHERE regexp_matches(text, '[0-9]') AND NOT regexp_matches(text, '[^\\x00-\\x7F]')""")
+               lambda t: regexp_replace(lower(t), '[^a-z0-9]+', '', 'g')))), 'string_agg', '|') AS tokens
+           FROM (SELECT doc_id, regexp_replace(text, '[À-ÖØ-öø-ɏ]', '_', 'g') AS text FROM documents)""")
 def reference_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where(F.col("text").rlike("[0-9]") & ~F.col("text").rlike("[^\\x00-\\x7F]"))
     found = X.reference_tokens(F.col("text"))
-    return rows.select("doc_id", F.when(F.size(found) > 0, joined(found)).alias("tokens"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.size(found) > 0, joined(found)).alias("tokens"))
 
 
 # --- text -------------------------------------------------------------------------------------------------------------
@@ -244,11 +274,12 @@ def compact_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", X.compact(F.col("p_name")).alias("compact"), X.normalize(spaced).alias("normal"))
 
 
-@query("""WITH b AS (SELECT item_id, regexp_extract_all(lower(substr(text, 1, 200)), '[a-z0-9]+') AS w FROM (SELECT item_id, regexp_replace(text, '[^A-Za-z0-9 ]', ' ', 'g') AS text FROM benchmark)),
-               g AS (SELECT item_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS gram FROM b, range(1, 4) r(n), range(1, 400) s(i) WHERE i + n - 1 <= len(w))
-          SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY n, i)::INT - 1 AS pos, gram FROM g""")
+@query("""WITH b AS (SELECT item_id, regexp_extract_all(lower(regexp_replace(text, '[^A-Za-z0-9 ]', ' ', 'g')), '[a-z0-9]+') AS w FROM benchmark),
+               r AS (SELECT item_id, w, unnest([1, 2, 3]) AS n FROM b),
+               g AS (SELECT item_id, n, w, unnest(generate_series(1, len(w) - n + 1)) AS i FROM r)
+          SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY n, i)::INT - 1 AS pos, array_to_string(w[i : i + n - 1], ' ') AS gram FROM g""")
 def ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = F.substring(F.regexp_replace("text", "[^A-Za-z0-9 ]", " "), 1, 200)
+    plain = F.regexp_replace("text", "[^A-Za-z0-9 ]", " ")
     return table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(X.ngrams(plain, 3)).alias("pos", "gram"))
 
 
@@ -300,14 +331,23 @@ def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     pairs = [("nation", "N", "n_nationkey", "IN_REGION", "R", "n_regionkey"), ("customer", "C", "c_custkey", "IN_NATION", "N", "c_nationkey"), ("supplier", "S", "s_suppkey", "IN_NATION", "N", "s_nationkey"), ("orders", "C", "o_custkey", "PLACED", "O", "o_orderkey"), ("lineitem", "O", "l_orderkey", "HAS_PART", "P", "l_partkey"), ("lineitem", "S", "l_suppkey", "SUPPLIES", "P", "l_partkey")]
     nodes = [t(name).select(key(a, c).alias("id"), F.lit(kind).alias("node_type"), F.col(label).alias("name")) for name, a, c, kind, label in kinds]
     stated = [t(name).select(key(a, c).alias("src"), F.lit(rel).alias("rel"), key(b, d).alias("dst")) for name, a, c, rel, b, d in pairs]
-    union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
     return union(nodes), union(stated)
 
 
+def union(parts: list[DataFrame]) -> DataFrame:
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
+
+
+def written_graph(nodes: DataFrame, stated: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and the edges that pairs resolve to, each written once, as ingestion leaves them."""
+    nodes = scratch.materialise(nodes, "nodes", "node_type")
+    return nodes, scratch.materialise(bundle.resolve(stated, nodes), "edges", "rel")
+
+
 @query(f"WITH {GRAPH} SELECT rel, count(*) AS edges, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets FROM e GROUP BY rel")
 def edges_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, stated = graph(spark, sf_dir)
-    return bundle.resolve(stated, nodes).groupBy("rel").agg(F.count("*").alias("edges"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"))
+    _, edges = written_graph(*graph(spark, sf_dir))
+    return edges.groupBy("rel").agg(F.count("*").alias("edges"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"))
 
 
 NATION_PATHS = [
@@ -325,8 +365,8 @@ NATION_PATHS = [
     (SELECT string_agg(DISTINCT p.name, '|' ORDER BY p.name) FROM e JOIN n b ON b.id = e.src AND b.node_type = 'Supplier' JOIN e f ON f.src = b.id AND f.rel = 'SUPPLIES' JOIN n p ON p.id = f.dst WHERE e.dst = a.id AND e.rel = 'IN_NATION') AS parts
     FROM n a WHERE a.node_type = 'Nation'""")
 def traverse_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, stated = graph(spark, sf_dir)
-    found = traverse.neighbourhoods(nodes.where("node_type = 'Nation'"), nodes, bundle.resolve(stated, nodes), NATION_PATHS)
+    nodes, edges = written_graph(*graph(spark, sf_dir))
+    found = traverse.neighbourhoods(nodes.where("node_type = 'Nation'"), nodes, edges, NATION_PATHS)
     return found.select("id", *[F.when(F.size(c) > 0, joined(F.col(c))).alias(c) for c in ("regions", "customers", "suppliers", "parts")])
 
 
@@ -344,22 +384,177 @@ CUSTOMER_PATHS = [
     (SELECT count(DISTINCT e.dst) FROM e WHERE e.src = a.id AND e.rel = 'PLACED') AS orders
     FROM n a WHERE a.node_type = 'Customer'""")
 def traverse_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, stated = graph(spark, sf_dir)
-    found = traverse.neighbourhoods(nodes.where("node_type = 'Customer'"), nodes, bundle.resolve(stated, nodes), CUSTOMER_PATHS)
+    nodes, edges = written_graph(*graph(spark, sf_dir))
+    found = traverse.neighbourhoods(nodes.where("node_type = 'Customer'"), nodes, edges, CUSTOMER_PATHS)
     return found.select("id", F.when(F.size("nations") > 0, joined(F.col("nations"))).alias("nations"), *[F.size(c).cast("long").alias(c) for c in ("orders_with_parts", "orders")])
 
 
 @query(f"""WITH {GRAPH}, o AS (SELECT e.src AS id, e.dst AS o FROM e WHERE rel = 'PLACED'), w AS (SELECT DISTINCT src FROM e WHERE rel = 'HAS_PART')
     SELECT id, count(*) AS optional_steps, count(*) FILTER (o IN (SELECT src FROM w)) AS one_path FROM o GROUP BY id""")
 def traverse_optional_vs_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, stated = graph(spark, sf_dir)
-    edges = bundle.resolve(stated, nodes)
-    starts = nodes.where("node_type = 'Customer'")
-    one = traverse.Path("Customer", "o", (("PLACED", "out", "Order"),), "id")
-    # the middle node of a path whose last hop must be there
-    placed = traverse.follow(starts, nodes, edges, [one])
-    with_part = edges.where("rel = 'HAS_PART'").select(F.col("src").alias("value"), F.lit(1).alias("there")).distinct()
-    return placed.join(with_part, "value", "left").groupBy(F.col("start").alias("id")).agg(F.count("*").alias("optional_steps"), F.count("there").alias("one_path"))
+    nodes, edges = written_graph(*graph(spark, sf_dir))
+    order, part = ("PLACED", "out", "Order"), ("HAS_PART", "out", "Part")
+    # an order by itself, and one that counts only with a part behind it
+    paths = [traverse.Path("Customer", "optional_steps", (order,), "id"), traverse.Path("Customer", "one_path", (order, part), "id", 1)]
+    found = traverse.neighbourhoods(nodes.where("node_type = 'Customer'"), nodes, edges, paths)
+    return found.select("id", *[F.size(p.field).cast("long").alias(p.field) for p in paths]).where("optional_steps > 0")
+
+
+# --- every type of node -----------------------------------------------------------------------------------------------
+#: A stand-in with all ten types of nodes and all relations: (id, type, name, description, external id, list, text, flag).
+KINDS_SQL = """n(id, node_type, name, description, external_id, listed, told, flag) AS (
+    SELECT 'T' || p_partkey, 'Technique', p_name || ' ' || p_partkey, p_type, 'T' || p_partkey, [p_brand, 'Linux'], NULL, p_partkey % 10 <> 0 FROM part
+    UNION ALL SELECT 'G' || s_suppkey, 'Actor', s_name, 'supplier', 'G' || s_suppkey, ['A' || s_suppkey], NULL, NULL FROM supplier
+    UNION ALL SELECT 'S' || c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'Malware' ELSE 'Tool' END, c_name, c_mktsegment, 'S' || c_custkey, ['L' || c_mktsegment], NULL, NULL FROM customer
+    UNION ALL SELECT 'M' || p_brand, 'Mitigation', 'use ' || p_brand, 'brand', 'M' || p_brand, NULL, NULL, NULL FROM (SELECT DISTINCT p_brand FROM part)
+    UNION ALL SELECT 'TA' || r_regionkey, 'Tactic', r_name, 'region', 'TA' || r_regionkey, NULL, lower(r_name), NULL FROM region
+    UNION ALL SELECT 'C' || n_nationkey, 'Campaign', n_name, 'nation', 'C' || n_nationkey, NULL, '20' || n_nationkey, NULL FROM nation
+    UNION ALL SELECT 'DET' || p_type, 'DetectionStrategy', 'see ' || p_type, 'hidden', 'DET' || p_type, NULL, NULL, NULL FROM (SELECT DISTINCT p_type FROM part)
+    UNION ALL SELECT 'AN' || p_size, 'Analytic', 'size ' || p_size, 'size is ' || p_size, 'AN' || p_size, ['P' || p_size], NULL, NULL FROM (SELECT DISTINCT p_size FROM part)
+    UNION ALL SELECT DISTINCT 'DC' || (p_size % 7), 'DataComponent', 'log ' || (p_size % 7), 'rest', 'DC' || (p_size % 7), NULL, 'source ' || (p_size % 7), NULL FROM part)"""
+RELATIONS_SQL = """s(src, rel, dst) AS (
+    SELECT 'G' || l_suppkey, 'USES', 'T' || l_partkey FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT 'S' || c_custkey, 'USES', 'T' || (c_custkey % 97 + 1) FROM customer
+    UNION ALL SELECT 'G' || (o_orderkey % 50 + 1), 'USES', 'S' || o_custkey FROM orders UNION ALL SELECT 'C' || (p_partkey % 25), 'USES', 'T' || p_partkey FROM part
+    UNION ALL SELECT 'C' || c_nationkey, 'USES', 'S' || c_custkey FROM customer UNION ALL SELECT 'C' || s_nationkey, 'ATTRIBUTED_TO', 'G' || s_suppkey FROM supplier
+    UNION ALL SELECT 'M' || p_brand, 'MITIGATES', 'T' || p_partkey FROM part UNION ALL SELECT 'T' || p_partkey, 'BELONGS_TO_TACTIC', 'TA' || (p_size % 6) FROM part
+    UNION ALL SELECT 'T' || p_partkey, 'SUBTECHNIQUE_OF', 'T' || (p_partkey - p_partkey % 10) FROM part WHERE p_partkey % 10 <> 0
+    UNION ALL SELECT 'DET' || p_type, 'DETECTS', 'T' || p_partkey FROM part UNION ALL SELECT 'DET' || p_type, 'HAS_ANALYTIC', 'AN' || p_size FROM part
+    UNION ALL SELECT 'AN' || p_size, 'USES_DATA_COMPONENT', 'DC' || (p_size % 7) FROM part WHERE p_size % 3 <> 0),
+    e AS (SELECT DISTINCT s.* FROM s JOIN n a ON a.id = s.src JOIN n b ON b.id = s.dst)"""
+
+
+def typed_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and stated pairs of the stand-in with all types."""
+    t = lambda name: table(spark, sf_dir, name)
+    key = lambda letter, c: F.concat(F.lit(letter), (F.col(c) if isinstance(c, str) else c).cast("string"))
+    null = F.lit(None).cast("string")
+    none = F.lit(None).cast("array<string>")
+
+    def rows(df: DataFrame, kind, own, name, description, platforms=none, aliases=none, **more) -> DataFrame:
+        scalars = [more.get(c, null).alias(c) for c in ("shortname", "first_seen", "last_seen", "log_sources")]
+        kind = F.lit(kind) if isinstance(kind, str) else kind
+        return df.select(own.alias("id"), kind.alias("node_type"), name.alias("name"), description.alias("description"), own.alias("external_id"), platforms.alias("platforms"), aliases.alias("aliases"), more.get("flag", F.lit(None).cast("boolean")).alias("is_subtechnique"), *scalars)
+
+    part, size, seven = t("part"), F.col("p_size"), F.col("p_size") % 7
+    listed = F.array(F.concat(F.lit("L"), "c_mktsegment"))
+    nodes = [
+        rows(part, "Technique", key("T", "p_partkey"), F.concat_ws(" ", "p_name", "p_partkey"), F.col("p_type"), F.array(F.col("p_brand"), F.lit("Linux")), flag=F.col("p_partkey") % 10 != 0),
+        rows(t("supplier"), "Actor", key("G", "s_suppkey"), F.col("s_name"), F.lit("supplier"), aliases=F.array(key("A", "s_suppkey"))),
+        rows(t("customer"), F.when(F.col("c_custkey") % 2 == 0, "Malware").otherwise("Tool"), key("S", "c_custkey"), F.col("c_name"), F.col("c_mktsegment"), listed, listed),
+        rows(part.select("p_brand").distinct(), "Mitigation", key("M", "p_brand"), F.concat(F.lit("use "), "p_brand"), F.lit("brand")),
+        rows(t("region"), "Tactic", key("TA", "r_regionkey"), F.col("r_name"), F.lit("region"), shortname=F.lower("r_name")),
+        rows(t("nation"), "Campaign", key("C", "n_nationkey"), F.col("n_name"), F.lit("nation"), first_seen=key("20", "n_nationkey"), last_seen=key("20", "n_nationkey")),
+        rows(part.select("p_type").distinct(), "DetectionStrategy", key("DET", "p_type"), F.concat(F.lit("see "), "p_type"), F.lit("hidden")),
+        rows(part.select("p_size").distinct(), "Analytic", key("AN", "p_size"), key("size ", "p_size"), key("size is ", "p_size"), F.array(key("P", "p_size"))),
+        rows(part.select(seven.alias("s")).distinct(), "DataComponent", key("DC", "s"), key("log ", "s"), F.lit("rest"), log_sources=key("source ", "s")),
+    ]
+    pair = lambda df, src, rel, dst: df.select(src.alias("src"), F.lit(rel).alias("rel"), dst.alias("dst"))
+    p, c = F.col("p_partkey"), F.col("c_custkey")
+    stated = [
+        pair(t("lineitem").where("l_linenumber = 1"), key("G", "l_suppkey"), "USES", key("T", "l_partkey")),
+        pair(t("customer"), key("S", c), "USES", key("T", c % 97 + 1)),
+        pair(t("orders"), key("G", F.col("o_orderkey") % 50 + 1), "USES", key("S", "o_custkey")),
+        pair(part, key("C", p % 25), "USES", key("T", p)),
+        pair(t("customer"), key("C", "c_nationkey"), "USES", key("S", c)),
+        pair(t("supplier"), key("C", "s_nationkey"), "ATTRIBUTED_TO", key("G", "s_suppkey")),
+        pair(part, key("M", "p_brand"), "MITIGATES", key("T", p)),
+        pair(part, key("T", p), "BELONGS_TO_TACTIC", key("TA", size % 6)),
+        pair(part.where("p_partkey % 10 <> 0"), key("T", p), "SUBTECHNIQUE_OF", key("T", p - p % 10)),
+        pair(part, key("DET", "p_type"), "DETECTS", key("T", p)),
+        pair(part, key("DET", "p_type"), "HAS_ANALYTIC", key("AN", size)),
+        pair(part.where("p_size % 3 <> 0"), key("AN", size), "USES_DATA_COMPONENT", key("DC", seven)),
+    ]
+    return union(nodes), union(stated)
+
+
+#: For each type: its scalar columns in SQL, and its lists, each as the FROM of distinct values v by start a.
+_TO = lambda rel, kind, at="a.id", to="x": f"JOIN e {to}e ON {to}e.src = {at} AND {to}e.rel = '{rel}' JOIN n {to} ON {to}.id = {to}e.dst AND {to}.node_type = '{kind}'"
+_BY = lambda rel, kind, at="a.id", to="x": f"JOIN e {to}e ON {to}e.dst = {at} AND {to}e.rel = '{rel}' JOIN n {to} ON {to}.id = {to}e.src AND {to}.node_type = '{kind}'"
+_THEN = lambda one, two, three="": f"{one} {two} {three}"
+TYPES = {
+    "Technique": {
+        "tactics": _TO("BELONGS_TO_TACTIC", "Tactic"), "mitigations": _BY("MITIGATES", "Mitigation"), "actors": _BY("USES", "Actor"), "malware": _BY("USES", "Malware"),
+        "tools": _BY("USES", "Tool"), "campaigns": _BY("USES", "Campaign"), "detections": _BY("DETECTS", "DetectionStrategy"),
+        "analytics": _THEN(_BY("DETECTS", "DetectionStrategy", to="w"), _TO("HAS_ANALYTIC", "Analytic", "w.id"), _TO("USES_DATA_COMPONENT", "DataComponent", "x.id", "y")),
+        "log_source_names": _THEN(_BY("DETECTS", "DetectionStrategy", to="w"), _TO("HAS_ANALYTIC", "Analytic", "w.id", "y"), _TO("USES_DATA_COMPONENT", "DataComponent", "y.id")),
+        "parent_technique": _TO("SUBTECHNIQUE_OF", "Technique"), "subtechniques": _BY("SUBTECHNIQUE_OF", "Technique"),
+    },
+    "Actor": {
+        "techniques": _TO("USES", "Technique"), "malware": _TO("USES", "Malware"), "tools": _TO("USES", "Tool"), "campaigns": _BY("ATTRIBUTED_TO", "Campaign"),
+        "tactics": _THEN(_TO("USES", "Technique", to="y"), _TO("BELONGS_TO_TACTIC", "Tactic", "y.id")),
+    },
+    **{
+        kind: {
+            "techniques": _TO("USES", "Technique"), "actors": _BY("USES", "Actor"), "campaigns": _BY("USES", "Campaign"),
+            "tactics": _THEN(_TO("USES", "Technique", to="y"), _TO("BELONGS_TO_TACTIC", "Tactic", "y.id")), "mitigations": _THEN(_TO("USES", "Technique", to="y"), _BY("MITIGATES", "Mitigation", "y.id")),
+        }
+        for kind in ("Malware", "Tool")
+    },
+    "Mitigation": {
+        "techniques": _TO("MITIGATES", "Technique"), "tactics": _THEN(_TO("MITIGATES", "Technique", to="y"), _TO("BELONGS_TO_TACTIC", "Tactic", "y.id")),
+        "actors": _THEN(_TO("MITIGATES", "Technique", to="y"), _BY("USES", "Actor", "y.id")),
+    },
+    "Tactic": {
+        "techniques": _BY("BELONGS_TO_TACTIC", "Technique"), "actors": _THEN(_BY("BELONGS_TO_TACTIC", "Technique", to="y"), _BY("USES", "Actor", "y.id")),
+        "mitigations": _THEN(_BY("BELONGS_TO_TACTIC", "Technique", to="y"), _BY("MITIGATES", "Mitigation", "y.id")),
+    },
+    "Campaign": {
+        "techniques": _TO("USES", "Technique"), "malware": _TO("USES", "Malware"), "tools": _TO("USES", "Tool"), "actors": _TO("ATTRIBUTED_TO", "Actor"),
+        "tactics": _THEN(_TO("USES", "Technique", to="y"), _TO("BELONGS_TO_TACTIC", "Tactic", "y.id")),
+    },
+    "DetectionStrategy": {
+        "techniques": _TO("DETECTS", "Technique"), "analytics": _TO("HAS_ANALYTIC", "Analytic"),
+        "log_source_names": _THEN(_TO("HAS_ANALYTIC", "Analytic", to="y"), _TO("USES_DATA_COMPONENT", "DataComponent", "y.id")), "tactics": _THEN(_TO("DETECTS", "Technique", to="y"), _TO("BELONGS_TO_TACTIC", "Tactic", "y.id")),
+    },
+    "Analytic": {
+        "log_source_names": _TO("USES_DATA_COMPONENT", "DataComponent"), "detection_strategies": _BY("HAS_ANALYTIC", "DetectionStrategy"),
+        "techniques": _THEN(_BY("HAS_ANALYTIC", "DetectionStrategy", to="y"), _TO("DETECTS", "Technique", "y.id")),
+    },
+    "DataComponent": {
+        "analytics": _BY("USES_DATA_COMPONENT", "Analytic"), "detection_strategies": _THEN(_BY("USES_DATA_COMPONENT", "Analytic", to="y"), _BY("HAS_ANALYTIC", "DetectionStrategy", "y.id")),
+        "techniques": _THEN(_BY("USES_DATA_COMPONENT", "Analytic", to="z"), _BY("HAS_ANALYTIC", "DetectionStrategy", "z.id", "y"), _TO("DETECTS", "Technique", "y.id")),
+    },
+}
+LISTS = sorted({f for fields in TYPES.values() for f in fields})
+SCALARS = {"platforms": ("listed", ["Technique", "Malware", "Tool", "Analytic"]), "aliases": ("listed", ["Actor", "Malware", "Tool"]), "is_subtechnique": ("flag", ["Technique"]), "shortname": ("told", ["Tactic"]), "first_seen": ("told", ["Campaign"]), "last_seen": ("told", ["Campaign"]), "log_sources": ("told", ["DataComponent"])}
+
+
+def _typed_sql(kind: str) -> str:
+    described = lambda f: kind in ("Technique", "DetectionStrategy") and f == "analytics"
+    value = lambda f: "x.description" if described(f) else "x.name"
+    lists = [f"l_{f} AS (SELECT a.id, {'min' if f == 'parent_technique' else 'string_agg'}(DISTINCT {value(f)}{'' if f == 'parent_technique' else f""", '|' ORDER BY {value(f)}"""}) AS v FROM n a {joins} WHERE a.node_type = '{kind}' GROUP BY a.id)" for f, joins in TYPES[kind].items()]
+    scalars = [(f"{'array_to_string(a.listed, ' + chr(39) + '|' + chr(39) + ')' if c == 'listed' else 'a.' + c}" if kind in kinds else "NULL") + f"::VARCHAR AS {f}" for f, (c, kinds) in SCALARS.items()]
+    columns = [f"l_{f}.v AS {f}" if f in TYPES[kind] else f"NULL::VARCHAR AS {f}" for f in LISTS]
+    description = "NULL" if kind == "DetectionStrategy" else "a.description"
+    return f"WITH {KINDS_SQL}, {RELATIONS_SQL}, {', '.join(lists)} SELECT a.id AS node_id, a.name, {description} AS description, a.external_id, {', '.join(scalars + columns)} FROM n a " + " ".join(f"LEFT JOIN l_{f} ON l_{f}.id = a.id" for f in TYPES[kind]) + f" WHERE a.node_type = '{kind}'"
+
+
+def _typed(kind: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        nodes, edges = written_graph(*typed_graph(spark, sf_dir))
+        hits = nodes.where(F.col("node_type") == kind).select(F.col("id").alias("query_id"), F.lit(0).alias("pos"), "id", "node_type")
+        out = traverse.traverse(hits, nodes, edges)
+        text = lambda c: F.when(F.size(c) > 0, joined(F.col(c))) if out.schema[c].dataType.typeName() == "array" else F.col(c).cast("string")
+        return out.select("node_id", "name", "description", "external_id", *[text(c).alias(c) for c in [*SCALARS, *LISTS]])
+
+    run.__name__ = f"traverse_{kind.lower()}"
+    run.__doc__ = f"All that surrounds every {kind} of the stand-in."
+    return run
+
+
+for _kind in TYPES:
+    query(_typed_sql(_kind))(_typed(_kind))
+
+
+@query("""SELECT 'q' || s_suppkey AS query_id, s_suppkey AS pos, 'S' || s_suppkey AS node_id, s_name AS name, 'of ' || s_name AS description,
+             CASE WHEN s_suppkey % 2 = 0 THEN 'given' ELSE 'own' END AS external_id FROM supplier WHERE s_suppkey % 5 <> 0""")
+def traverse_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of a type without paths show name and description; hits that do not exist, or not as that type, are dropped."""
+    rows, key = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    nodes = rows.select(F.concat(F.lit("S"), "s_suppkey").alias("id"), F.lit("Group").alias("node_type"), F.col("s_name").alias("name"), F.concat(F.lit("of "), "s_name").alias("description"), F.lit("own").alias("external_id"))
+    hits = rows.select(F.concat(F.lit("q"), "s_suppkey").alias("query_id"), key.alias("pos"), F.concat(F.when(key % 10 == 0, "X").otherwise("S"), "s_suppkey").alias("id"), F.when(key % 10 == 5, "Actor").otherwise("Group").alias("node_type"), F.when(key % 2 == 0, "given").alias("external_id"))
+    edges = spark.createDataFrame([], "src string, rel string, dst string")
+    return traverse.traverse(hits, nodes, edges).select("query_id", "pos", "node_id", "name", "description", "external_id")
 
 
 @query("""WITH w AS (SELECT user_id, event_type, value, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
@@ -393,19 +588,25 @@ def generic_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.generic_words(parts)
 
 
-@query("""WITH b AS (SELECT n_name AS name, list_distinct(regexp_extract_all(lower(n_name || ' ' || string_agg(s_name, ' ' ORDER BY s_suppkey)), '[a-z0-9]{3,}')) AS w
-                     FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name),
-               t AS (SELECT name, unnest(w) AS token FROM b), d AS (SELECT token, count(*) AS df FROM t GROUP BY 1)
-          SELECT t.name, count(*) AS rare FROM t JOIN d USING (token) WHERE df <= greatest(2, (SELECT count(*) // 4 FROM b)) GROUP BY t.name""")
+@query("""WITH t AS (SELECT DISTINCT n_name AS name, unnest(regexp_extract_all(lower(c_name), '[a-z0-9]{3,}')) AS token FROM nation JOIN customer ON c_nationkey = n_nationkey),
+               d AS (SELECT token, count(*) AS df FROM t GROUP BY 1),
+               r AS (SELECT t.name, t.token FROM t JOIN d USING (token) WHERE df <= greatest(2, (SELECT count(DISTINCT name) // 4 FROM t))),
+               f AS (SELECT *, min(c_custkey) OVER (PARTITION BY c_nationkey) AS first FROM customer),
+               q AS (SELECT a.c_custkey AS query_id, 'tell of ' || lower(a.c_name) || ' and ' || lower(b.c_name) AS query FROM f a JOIN f b ON b.c_custkey = CASE WHEN a.c_custkey % 3 = 0 THEN a.c_custkey + 1 ELSE a.first END),
+               h AS (SELECT query_id, query, name, count(*) AS score FROM q JOIN r ON list_contains(regexp_extract_all(query, '[a-z0-9]{3,}'), token) GROUP BY ALL HAVING count(*) >= 2)
+          SELECT query_id, name AS value, score::DOUBLE AS score FROM h QUALIFY score = max(score) OVER (PARTITION BY query_id) AND count(*) OVER (PARTITION BY query_id, score) = 1""")
 def context_df_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation, supplier = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
-    told = supplier.join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.sort_array(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("s"))
-    text = F.concat_ws(" ", "n_name", F.transform("s", lambda x: x.s_name))
-    words = told.select(F.col("n_name").alias("name"), F.explode(F.array_distinct(X.tokens(text))).alias("token"))
-    df = words.groupBy("token").agg(F.count("*").alias("df"))
-    n = told.agg(F.greatest(F.lit(2), F.floor(F.count("*") / 4)).alias("most"))
-    rare = df.join(F.broadcast(n), F.col("df") <= F.col("most")).select("token")
-    return words.join(rare, "token").groupBy("name").agg(F.count("*").alias("rare"))
+    """Nations as tactics, described by their customers; a question names a customer and the first of its nation, or the
+    next one of any nation."""
+    nation, customer = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
+    told = customer.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.array_join(F.sort_array(F.collect_list("c_name")), " ").alias("description"))
+    nodes = told.select(F.col("n_name").alias("id"), F.lit("Tactic").alias("node_type"), F.col("n_name").alias("name"), F.lit("").alias("shortname"), "description")
+    first = customer.groupBy("c_nationkey").agg(F.min("c_custkey").alias("first"))
+    other = F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey") + 1).otherwise(F.col("first"))
+    named = customer.select(F.col("c_custkey").alias("other"), F.lower("c_name").alias("other_name"))
+    text = F.concat(F.lit("tell of "), F.lower("c_name"), F.lit(" and "), "other_name")
+    asked = customer.join(first, "c_nationkey").withColumn("other", other).join(named, "other").select(F.col("c_custkey").alias("query_id"), text.alias("query"))
+    return entities.tactics_by_context(asked, nodes).select("query_id", "value", "score")
 
 
 # --- reranking and context --------------------------------------------------------------------------------------------
@@ -521,3 +722,134 @@ def bundle_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bundle_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     objects = _objects(spark, sf_dir)
     return bundle.edge_report(bundle.parse_nodes(objects), bundle.parse_relationships(objects))
+
+
+def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects with lists: phases, analytics of strategies, data components of analytics; some of what they name is missing."""
+    t = lambda name: table(spark, sf_dir, name)
+    made = lambda df, kind, key, name, **more: df.select(F.lit(kind).alias("type"), F.concat(F.lit(f"{kind}--"), F.col(key).cast("string")).alias("id"), F.col(name).cast("string").alias("name"), *[c.alias(n) for n, c in more.items()])
+    part = t("part")
+    sizes = part.select("p_size").distinct()
+    phase = lambda c: F.struct(c.alias("phase_name"))
+    ref = lambda c: F.struct(c.alias("x_mitre_data_component_ref"))
+    named = F.concat(F.lit("x-mitre-data-component--"), (F.col("p_size") % 7).cast("string"))
+    phases = F.array(phase(F.concat(F.lit("r"), (F.col("p_size") % 6).cast("string"))), phase(F.lit("nowhere")))
+    listed = part.groupBy("p_type").agg(F.sort_array(F.collect_set(F.concat(F.lit("x-mitre-analytic--"), F.col("p_size").cast("string")))).alias("refs"))
+    source = F.when(F.col("p_size") % 2 == 0, F.array(F.create_map(F.lit("name"), F.lit("syslog"))))
+    parts = [
+        made(t("region"), "x-mitre-tactic", "r_regionkey", "r_name", x_mitre_shortname=F.concat(F.lit("r"), "r_regionkey")),
+        made(part, "attack-pattern", "p_partkey", "p_name", kill_chain_phases=phases, x_mitre_is_subtechnique=F.when(F.col("p_partkey") % 3 == 0, F.lit(True)), x_mitre_platforms=F.when(F.col("p_partkey") % 2 == 0, F.array(F.lit("Linux"), "p_brand"))),
+        made(sizes, "x-mitre-analytic", "p_size", "p_size", x_mitre_log_source_references=F.array(ref(named), ref(F.lit(None).cast("string")))),
+        made(sizes.where("p_size < 5"), "x-mitre-data-component", "p_size", "p_size", x_mitre_log_sources=source),
+        made(listed, "x-mitre-detection-strategy", "p_type", "p_type", x_mitre_analytic_refs=F.array_append("refs", F.lit("x-mitre-analytic--999"))),
+    ]
+    empty = spark.createDataFrame([], bundle.OBJECT)
+    for df in parts:
+        empty = empty.unionByName(df, True)
+    return empty
+
+
+@query("""WITH s(src, rel, dst) AS (
+    SELECT 'attack-pattern--' || p_partkey, 'BELONGS_TO_TACTIC', 'x-mitre-tactic--' || (p_size % 6) FROM part WHERE (p_size % 6) IN (SELECT r_regionkey FROM region)
+    UNION ALL SELECT 'x-mitre-analytic--' || p_size, 'USES_DATA_COMPONENT', 'x-mitre-data-component--' || (p_size % 7) FROM part WHERE (p_size % 7) IN (SELECT p_size FROM part WHERE p_size < 5)
+    UNION ALL SELECT 'x-mitre-detection-strategy--' || p_type, 'HAS_ANALYTIC', 'x-mitre-analytic--' || p_size FROM part) SELECT DISTINCT * FROM s""")
+def bundle_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    objects = _listing(spark, sf_dir)
+    return bundle.edges(bundle.parse_nodes(objects), bundle.parse_relationships(objects))
+
+
+@query("""SELECT 'x-mitre-tactic--' || r_regionkey AS id, 'r' || r_regionkey AS shortname, NULL AS phases, NULL AS platforms, NULL::BOOLEAN AS is_subtechnique, NULL AS log_sources, NULL AS components, NULL::BIGINT AS analytics FROM region
+    UNION ALL SELECT 'attack-pattern--' || p_partkey, NULL, 'r' || (p_size % 6) || '|nowhere', CASE WHEN p_partkey % 2 = 0 THEN 'Linux|' || p_brand ELSE '' END, p_partkey % 3 = 0, NULL, NULL, NULL FROM part
+    UNION ALL SELECT DISTINCT 'x-mitre-analytic--' || p_size, NULL, NULL, '', NULL, NULL, 'x-mitre-data-component--' || (p_size % 7), NULL FROM part
+    UNION ALL SELECT DISTINCT 'x-mitre-data-component--' || p_size, NULL, NULL, NULL, NULL, CASE WHEN p_size % 2 = 0 THEN '[{"name":"syslog"}]' ELSE '[]' END, NULL, NULL FROM part WHERE p_size < 5
+    UNION ALL SELECT 'x-mitre-detection-strategy--' || p_type, NULL, NULL, NULL, NULL, NULL, NULL, count(DISTINCT p_size) + 1 FROM part GROUP BY p_type""")
+def bundle_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = bundle.parse_nodes(_listing(spark, sf_dir))
+    return nodes.select("id", "shortname", joined(F.col("kill_chain_phases")).alias("phases"), joined(F.col("platforms")).alias("platforms"), "is_subtechnique", "log_sources", joined(F.col("data_component_refs")).alias("components"), F.when(F.col("analytic_refs").isNotNull(), F.size("analytic_refs").cast("long")).alias("analytics"))
+
+
+# --- more of search, validation, reranking and answers ------------------------------------------------------------------
+RESEMBLING = [("What does APT29 do", "APT41"), ("What does APT29 do", "APT29"), ("compare apt29 and apt3", "APT30"), ("about FooBar7", "FooBarista"), ("about FooBar7", "FooBar77"), ("about FooBar7", "Else"), ("DoorPick and T1078", "Door"), ("DoorPick and T1078", "DoorPicker Deluxe"), ("nothing named", "DoorPick"), ("about FooBar7", ""), ("about FooBar7", None)]
+
+
+@query(f"""WITH q(place, query, name) AS (VALUES {", ".join(f"({i}, {_literal(q)}, {_literal(n) if n is not None else 'NULL'})" for i, (q, n) in enumerate(RESEMBLING))}),
+    c AS (SELECT *, regexp_replace(lower(query), '[^a-z0-9]+', '', 'g') AS a, regexp_replace(lower(coalesce(name, '')), '[^a-z0-9]+', '', 'g') AS n,
+             list_transform(list_filter({_sql_all(V.ENTITY_REFERENCE)}, lambda t: NOT regexp_full_match(t, {_literal(V.EXTERNAL_ID)})), lambda t: lower(t)) AS named FROM q)
+    SELECT place, n <> '' AND contains(a, n) AS said, n <> '' AND NOT contains(a, n) AND (
+        regexp_full_match(n, 'apt[0-9]+') AND NOT list_contains(named, n) AND len(list_filter(named, lambda t: regexp_full_match(t, 'apt[0-9]+'))) > 0
+        OR len(list_filter(named, lambda t: t <> n AND length(t) >= 4 AND length(n) >= 4 AND t[:4] = n[:4] AND least(length(t), length(n)) < 0.8 * greatest(length(t), length(n)))) > 0) AS partial FROM c""")
+def partial_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(i, q, n) for i, (q, n) in enumerate(RESEMBLING)], "place int, query string, name string")
+    args = F.col("query"), F.col("name"), F.lit(None).cast("string")
+    return rows.select("place", search.named_in_query(*args).alias("said"), search.partial_match(*args).alias("partial"))
+
+
+@query(f"WITH {ASKED} SELECT query_id, 0 AS part, query FROM q WHERE query <> '' UNION ALL SELECT query_id, 1, query || ' more' FROM q WHERE query <> '' UNION ALL SELECT query_id, 2, 'see ' || query FROM q WHERE query <> '' UNION ALL SELECT query_id, 3, 'also ' || query FROM q WHERE query <> ''")
+def expansions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    class Wordy:
+        def expand(self, query: str) -> str:
+            return f'- {query} more\n2) T9999 {query}\n{query}\n\n"see {query}"\n* {query.upper()} MORE\nalso {query}\nlast {query}'
+
+    return search.expansions(questions(spark).where("query <> ''"), Wordy())
+
+
+@query("""SELECT p_partkey::INT AS query_id, 'tool' AS field, min(lower(p_name)) AS value FROM part GROUP BY p_partkey""")
+def validated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A name in capitals under another field is found as a tool; a generic word and one that nothing has are refused."""
+    parts = table(spark, sf_dir, "part")
+    name = F.lower("p_name")
+    null = F.lit(None).cast("string")
+    nodes = parts.groupBy(name.alias("name")).agg(F.min("p_partkey").cast("string").alias("id")).select("id", F.lit("Tool").alias("node_type"), "name", F.lit("").alias("description"), null.alias("external_id"), null.alias("shortname"), X.empty_strings().alias("aliases"), X.empty_strings().alias("platforms"))
+    key = F.col("p_partkey").cast("int").alias("query_id")
+    asked = parts.select(key, F.concat(F.lit("what of "), F.upper("p_name"), F.lit("?")).alias("query"))
+    named = parts.select(key, F.lit("malware").alias("field"), F.upper("p_name").alias("value"), F.lit(0).alias("pos"))
+    others = [parts.select(key, F.lit("tool").alias("field"), value.alias("value"), F.lit(i).alias("pos")) for i, value in enumerate([F.substring_index("p_name", " ", 1), F.lit("zzzqqqq"), null], 1)]
+    return entities.validate(union([named, *others]), asked, nodes).select("query_id", "field", "value")
+
+
+LIKE = [("abc", "abc", 100.0, 100.0), ("ab cd", "cd ab", 95.0, None), ("abc", "abc def", 90.0, 100.0), ("abc", "x" * 24 + "abc", 60.0, 100.0), ("", "x", 0.0, 0.0), ("abc", "xxabcxx", 90.0, 100.0), ("abcd", "abxd", 75.0, 75.0), ("ab", "xyz", 0.0, 0.0)]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {w}::DOUBLE, {p if p is not None else 'NULL'}::DOUBLE)" for i, (_, _, w, p) in enumerate(LIKE)) + ") t(place, weighted, windows)")
+def fuzzy_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores worked out by hand from the definitions."""
+    rows = spark.createDataFrame([(i, a, b, p is None) for i, (a, b, _, p) in enumerate(LIKE)], "place int, a string, b string, skip boolean")
+    return rows.select("place", F.round(fuzzy.weighted_ratio("a", "b"), 6).alias("weighted"), F.when(~F.col("skip"), F.round(fuzzy.partial_ratio("a", "b"), 6)).alias("windows"))
+
+
+@query("""WITH r AS (SELECT s_suppkey, lower(s_name) AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'Actor' ELSE 'Tool' END AS kind, s_suppkey % 3 = 0 AS asked, s_suppkey % 5 = 0 AS excluding,
+             CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE s_suppkey / 50.0 - 0.2 END::DOUBLE AS a, CASE WHEN s_suppkey % 8 = 0 THEN NULL ELSE s_suppkey::DOUBLE END AS b FROM supplier),
+    s AS (SELECT *, coalesce(a, b, 0.5) AS base FROM r)
+    SELECT s_suppkey, round(least(10, greatest(0, CASE WHEN excluding AND kind = 'Tool' THEN 3 ELSE 0 END + CASE WHEN asked AND (kind = 'Actor' AND NOT excluding) THEN 2 ELSE 0 END
+        + CASE WHEN base <= 0 THEN 0 WHEN base <= 1 THEN 2 * base ELSE least(base, 10) * 0.2 END)), 6) AS score FROM s""")
+def det_self(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An actor asked for by name matches itself, unless only another type is wanted; scores stand in for one another."""
+    key, name = F.col("s_suppkey"), F.col("s_name")
+    filters = F.create_map(F.lit("threat_actor"), F.when(key % 3 == 0, F.array(F.upper(name))).otherwise(F.array(F.lit("nobody"))), F.lit("node_type"), F.when(key % 5 == 0, F.array(F.lit("tool"))).otherwise(X.empty_strings()))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.lit("who?").alias("query"), filters.alias("filters"), F.when(key % 2 == 0, "Actor").otherwise("Tool").alias("node_type"), name.alias("name"), F.when(key % 4 != 0, key / 50.0 - 0.2).alias("rrf_score"), F.when(key % 8 != 0, key.cast("double")).alias("score"), F.lit(0.5).alias("source_score"))
+    return rerank.deterministic(rows).select("s_suppkey", F.round("deterministic_score", 6).alias("score"))
+
+
+@query(f"""WITH r AS (SELECT s_nationkey AS query_id, bool_or(contains('x' || (s_suppkey % 30), 'x' || s_nationkey)) AS there FROM supplier GROUP BY 1)
+    SELECT n_nationkey AS query_id, CASE WHEN there THEN 'context' ELSE {_literal(V.NO_ANSWER)} END AS answer FROM nation LEFT JOIN r ON query_id = n_nationkey""")
+def answers_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question whose name no row has, or that has no rows, is not answered; another is, by its context."""
+    asked = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("query_id"), F.concat(F.lit("what of X"), "n_nationkey", F.lit("?")).alias("query"))
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("query_id"), F.col("s_suppkey").alias("pos"), F.lit("Tool").alias("node_type"), F.concat(F.lit("X"), F.col("s_suppkey") % 30).alias("name"), F.lit("id").alias("external_id"), F.lit("").alias("description"))
+    told = context.answers(asked, rows)
+    return told.select("query_id", F.when(F.col("answer") == F.col("context"), "context").otherwise(F.col("answer")).alias("answer"))
+
+
+_EXAMPLES = lambda items: f"CASE WHEN len({items}) = 0 THEN 'None shown in context' ELSE array_to_string({items}[1:5], ', ') || CASE WHEN len({items}) > 5 THEN ', ...' ELSE '' END END"
+
+
+@query(f"""WITH {SUPPLIED}, c AS (SELECT a.s_suppkey AS query_id, a.s_name AS l, b.s_name AS r, a.parts AS x, b.parts AS y, list_filter(a.parts, lambda v: list_contains(b.parts, v)) AS z FROM p a JOIN p b ON b.s_suppkey = a.s_suppkey + 1)
+    SELECT query_id, 'Comparison: ' || l || ' (S' || query_id || ') vs ' || r || ' (S' || (query_id + 1) || ')' || chr(10) || chr(10) || l || ': of ' || l || chr(10) || r || ': of ' || r || chr(10) || chr(10) || 'Techniques:' || chr(10)
+        || '- Shared examples: ' || {_EXAMPLES("z")} || chr(10) || '- ' || l || ' examples: ' || {_EXAMPLES("x")} || chr(10) || '- ' || r || ' examples: ' || {_EXAMPLES("y")} || chr(10) || chr(10) || {_literal(V.COMPARISON_NOTE)} AS answer FROM c""")
+def comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each supplier as an actor beside the next one."""
+    rows = _supplied(spark, sf_dir).select("s_suppkey", F.col("s_name").alias("name"), F.concat(F.lit("S"), "s_suppkey").alias("external_id"), F.col("parts").alias("techniques"), F.concat(F.lit("of "), "s_name").alias("description"), F.lit("Actor").alias("node_type"))
+    pair = rows.select(F.col("s_suppkey").alias("query_id"), F.lower("name").alias("a")).join(rows.select((F.col("s_suppkey") - 1).alias("query_id"), F.col("name").alias("b")), "query_id")
+    asked = pair.select("query_id", F.concat(F.lit("Compare "), "a", F.lit(" with "), "b").alias("query"))
+    each = rows.withColumn("query_id", F.explode(F.array("s_suppkey", F.col("s_suppkey") - 1))).withColumn("pos", F.col("s_suppkey")).drop("s_suppkey")
+    return context.comparisons(each.join(asked, "query_id"))

@@ -5,21 +5,25 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet under spark.checkpoint.dir and read it back: computed once, its plan cut, and safe from lost
-    executors. Where the setting is unset, a local master (tests) gets a folder of our own; any other raises, as executors
-    would each write to a disk of their own."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path under spark.checkpoint.dir. Where that is unset, a local master (tests) gets a folder of our own; any
+    other raises, as executors would each write to a disk of their own."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file:///tmp/checkpoints/graphloom"
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/graphloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+        shared = "file:///tmp/checkpoints/graphloom"
+        spark.conf.set("spark.checkpoint.dir", shared)
+        spark.sparkContext.setCheckpointDir(shared)
+    return f"{shared.rstrip('/')}/graphloom/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write df as Parquet in a folder() and read it back: computed once, its plan cut, and safe from lost executors. With
+    a column given, each of its values (which should be few) has a folder that readers of other values leave out."""
+    path = folder(df.sparkSession, name)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

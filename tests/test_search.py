@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -9,7 +10,7 @@ from graphloom.functions import fuzzy
 from graphloom.functions import text as X
 from graphloom.operators import context, entities, guard, rerank, search
 from graphloom.operators.ports import HashEmbedder
-from graphloom.sources import bundle
+from graphloom.sources import bundle, scratch
 
 
 @pytest.fixture(scope="module")
@@ -73,7 +74,9 @@ def test_legs(spark, nodes):
     index = search.FullText(nodes, ["name", "description", "external_id"])
     best = {(r.query_id, r.pos): r.id for r in index.search(q, 3).collect()}
     assert best[(3, 0)] == "intrusion-set--1" and (2, 0) not in best
-    assert index.postings.where("term = 'accounts' and field = 'name'").count() == 3
+    written = index.write(scratch.folder(spark, "index"))
+    assert written.words.where("term = 'accounts' and field = 'name'").count() == 3
+    assert sorted(map(str, written.search(q, 3).collect())) == sorted(map(str, index.search(q, 3).collect()))
 
 
 
@@ -256,3 +259,68 @@ def test_long_lists(spark):
     df = spark.createDataFrame([(["a" * 900, "b" * 650, "c" * 50, "d" * 60], "x ccc"), (["e" * 2000, "f"], ""), ([], "")], "v array<string>, q string")
     got = [r.t for r in df.select(context.listed(X.F.col("v"), X.F.col("q"), X.F.lit(False)).alias("t")).collect()]
     assert got[0] == "a" * 900 + ", " + "b" * 650 + ", ..." and got[1] == "e" * 2000 + ", ..." and got[2] == ""
+
+
+def test_first_k_are_taken_before_the_shuffle(spark):
+    rows = spark.range(100).selectExpr("id % 3 AS query_id", "id", "id * 1.0 AS score")
+    for k in (1, 7):
+        plan = search.top(rows, k, [search.F.desc("score")])._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("WindowGroupLimit") >= 2
+
+
+def test_vectors_in_many_batches_equal_numpy(spark):
+    rng = np.random.default_rng(4)
+    vectors = [(f"n{i % 700}", (rng.integers(-2, 3, 8) * 1.0).tolist()) for i in range(900)] + [("z", [0.0] * 8), ("y", None), ("x", [1.0] * 3)]
+    nodes = spark.createDataFrame(vectors, "id string, embedding array<double>").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        asked_ = nodes.where("id < 'n12' and size(embedding) = 8").dropDuplicates(["id"]).select(search.F.col("id").alias("query_id"), "embedding").cache()
+        got = {}
+        for r in search.vector_search(asked_, nodes, 6).collect():
+            got.setdefault(r.query_id, []).append((r.pos, r.id, r.score))
+        queries = {r.query_id: np.array(r.embedding) for r in asked_.collect() if any(r.embedding)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    held = [(i, np.array(v)) for i, v in vectors if v and len(v) == 8 and any(v)]
+    assert set(got) == set(queries) and len(got) > 5
+    for q, v in queries.items():
+        scored = sorted((-round(float(x @ v / np.linalg.norm(x) / np.linalg.norm(v)), 9), i) for i, x in held)[:6]
+        assert [(p, i, -round(s, 9)) for p, i, s in sorted(got[q])] == [(p, i, s) for p, (s, i) in enumerate(scored)]
+
+
+def test_what_a_model_states_has_to_be_grounded(spark):
+    answers = [
+        (1, '```json\n{"threat_actor": [{"value": "Velvet Bear", "source_text": "velvet bear"}, {"extracted_value": "Ghost Bear", "exact_query_substring": "ghost"}], "is_subtechnique": true, "shoe_size": "9"}```'),
+        (2, '{"platform": "Windows, Linux", "tool": {"value": "null", "source_text": "tools"}, "malware": ["stealer"]}'),
+        (3, "no json"),
+        (4, '{"tactic": {"value": "Exfiltration", "source_text": "exfiltraton"}, "campaign": null, "malware": {"source_text": "x"}}'),
+        (5, '{"tool": "Doorpick", "threat_actor": []}'),
+        (6, "[1, 2]"),
+    ]
+    asked_ = [(1, "What does Velvet Bear do?"), (2, "tools for Windows, Linux and a stealer"), (3, "q"), (4, "about exfiltraton"), (5, "dorpick users"), (6, "x")]
+    queries_ = spark.createDataFrame(asked_, "query_id int, query string")
+    found = spark.createDataFrame([(5, "tool", "Doorpick", "Doorpick")], "query_id int, field string, value string, source_text string")
+
+    class Known:
+        keys = spark.createDataFrame([("velvet bear",)], "key string")
+        generic_list = spark.createDataFrame([(["stealer"],)], "generic array<string>")
+
+    told = entities.told_entities(spark.createDataFrame(answers, "query_id int, answer string"))
+    stated = {(r.query_id, r.field, r.value, r.source) for r in told.collect()}
+    assert {(1, "threat_actor", "Ghost Bear", "ghost"), (2, "platform", "Linux", "Windows, Linux"), (2, "malware", "stealer", "stealer"), (5, "tool", "Doorpick", "Doorpick")} <= stated
+    assert not {r[0] for r in stated} & {3, 6}
+    got = sorted((r.query_id, r.pos, r.field, r.value) for r in entities.grounded(told, queries_, found, Known).collect())
+    assert got == [(1, 0, "threat_actor", "Velvet Bear"), (1, 1, "is_subtechnique", "true"), (2, 0, "platform", "Windows"), (2, 1, "platform", "Linux"), (4, 0, "tactic", "Exfiltration")]
+
+
+def test_scratch_needs_a_shared_folder():
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://there:7077"
+            getConf = staticmethod(dict)
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        scratch.folder(Cluster, "x")
