@@ -768,6 +768,18 @@ def bundle_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.select("id", "shortname", joined(F.col("kill_chain_phases")).alias("phases"), joined(F.col("platforms")).alias("platforms"), "is_subtechnique", "log_sources", joined(F.col("data_component_refs")).alias("components"), F.when(F.col("analytic_refs").isNotNull(), F.size("analytic_refs").cast("long")).alias("analytics"))
 
 
+@query("SELECT 'intrusion-set--' || s_suppkey AS id, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE '' END AS aliases FROM supplier WHERE s_suppkey % 7 <> 0")
+def bundle_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers written as a bundle in JSON, a document for each nation, and read back."""
+    path = scratch.folder(spark, "bundle")
+    rows = _objects(spark, sf_dir).where("type = 'intrusion-set'")
+    name = F.substring_index("id", "--", -1).cast("long") % 5
+    documents = rows.groupBy(name.alias("part")).agg(F.collect_list(F.struct(*rows.columns)).alias("objects"))
+    documents.write.partitionBy("part").json(path)
+    found = bundle.parse_nodes(bundle.read_bundle(spark, path))
+    return found.select("id", "name", joined(F.col("aliases")).alias("aliases"))
+
+
 # --- more of search, validation, reranking and answers ------------------------------------------------------------------
 RESEMBLING = [("What does APT29 do", "APT41"), ("What does APT29 do", "APT29"), ("compare apt29 and apt3", "APT30"), ("about FooBar7", "FooBarista"), ("about FooBar7", "FooBar77"), ("about FooBar7", "Else"), ("DoorPick and T1078", "Door"), ("DoorPick and T1078", "DoorPicker Deluxe"), ("nothing named", "DoorPick"), ("about FooBar7", ""), ("about FooBar7", None)]
 

@@ -56,9 +56,12 @@ TABLES = {
 }
 
 
-def read_bundle(spark: SparkSession, path: str) -> DataFrame:
-    """Objects of the bundle documents at a path, one row each; the schema is given, never inferred."""
-    return spark.read.schema(BUNDLE).json(path, multiLine=True).selectExpr("inline(objects)")
+def read_bundle(spark: SparkSession, path: str, malformed: str = "FAILFAST") -> DataFrame:
+    """Objects of the bundle documents at a path, one row each; the schema is given, never inferred.
+
+    A document that is no JSON, or has a field of another type, raises; with malformed as DROPMALFORMED it is left out.
+    """
+    return spark.read.schema(BUNDLE).json(path, multiLine=True, mode=malformed).selectExpr("inline(objects)")
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

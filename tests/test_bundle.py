@@ -100,3 +100,21 @@ def test_upsert_stream(spark, tmp_path):
 def test_read_array(spark, tmp_path):
     (tmp_path / "t.json").write_text('[\n{"id": "1", "name": "a"},\n{"id": "2"}\n]')
     assert bundle.read_array(spark, str(tmp_path / "t.json"), bundle._struct(id=bundle.S, name=bundle.S)).count() == 2
+
+
+def test_malformed_bundles(spark, tmp_path):
+    (tmp_path / "good.json").write_text('{"objects": [{"type": "tool", "id": "tool--1", "name": "x", "unknown": {"a": 1}}]}')
+    assert [r.id for r in bundle.read_bundle(spark, str(tmp_path)).collect()] == ["tool--1"]
+    (tmp_path / "bad.json").write_text('{"objects": [{"type": "tool", "id": ')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        bundle.read_bundle(spark, str(tmp_path)).collect()
+    assert [r.id for r in bundle.read_bundle(spark, str(tmp_path), "DROPMALFORMED").collect()] == ["tool--1"]
+
+
+def test_settings():
+    from graphloom.config import Settings
+
+    assert Settings.from_env({}) == Settings()
+    assert Settings.from_env({"GRAPHLOOM_TOP_K": "3", "GRAPHLOOM_FOLDER": "s3a://x"}) == Settings(folder="s3a://x", top_k=3)
+    with pytest.raises(ValueError, match="invalid"):
+        Settings.from_env({"GRAPHLOOM_SHOWN": "many"})
