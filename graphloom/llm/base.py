@@ -73,13 +73,16 @@ def heavy_from(rows: int) -> int:
     return max(HEAVY, -(-rows // BROADCAST_ROWS))
 
 
-def join_counted(rows: DataFrame, keyed: DataFrame, key: str, count: str, total: int) -> DataFrame:
+def join_counted(rows: DataFrame, keyed: DataFrame, key: str, count: str, total: int, keys: int | None = None) -> DataFrame:
     """rows joined with keyed, which has one row for each key and, as count, how many of the total rows have that key.
 
-    Heavy keys are broadcast, so that their rows stay where they are; only rows of the others are shuffled by the key.
-    Both must be cheap to read again.
+    Heavy keys are broadcast, so that their rows stay where they are; only rows of the others are shuffled by the key. If
+    keys, the number of rows of keyed, is given and within BROADCAST_ROWS, all are broadcast. Both must be cheap to read
+    again.
     """
     least = heavy_from(total)
+    if keys is not None and keys <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(keyed.drop(count)), key)
     if total < least:
         return rows.join(keyed.drop(count), key)
     heavy = F.broadcast(keyed.where(F.col(count) >= least).drop(count))  # at most BROADCAST_ROWS by the bound above

@@ -85,7 +85,7 @@ class Groups:
         self.state = materialise(digest_state(path, schema, files_per_batch, stores), "dedup-state")
         # hits: rows of a digest that more than one row has; only their texts move
         repeated = self.state.where("group_size > 1").select("digest", "group_size", F.col("at.rid").alias("first"), F.ceil(F.col("group_size") / SALTED).alias("salts"))
-        hits = join_counted(self.content, repeated, "digest", "group_size", self.rows).withColumn("norm", normalised(F.col("text")))
+        hits = join_counted(self.content, repeated, "digest", "group_size", self.rows, repeated.count()).withColumn("norm", normalised(F.col("text")))
         # a kept text meets its hits in as many tasks as the group has thousands of rows
         keeper = hits.where("rid = first").select("digest", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("norm").alias("kept_norm"))
         self.later = hits.where("rid <> first")
@@ -99,7 +99,7 @@ class Groups:
     def collided(self) -> DataFrame:
         """Rows of shared digests with what their own text's group keeps."""
         counted = self.state.join(sized_broadcast(self.wrong, self.collisions), "digest").select("digest", "group_size")
-        rows = join_counted(self.content, counted, "digest", "group_size", self.rows).withColumn("norm", normalised(F.col("text")))
+        rows = join_counted(self.content, counted, "digest", "group_size", self.rows, self.collisions).withColumn("norm", normalised(F.col("text")))
         at = F.struct(F.coalesce("id", F.lit(2**63 - 1)).alias("first"), "rid")
         sizes = rows.groupBy("digest", "norm").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"), F.min(at).alias("at"))
         return rows.join(sizes, ["digest", "norm"])

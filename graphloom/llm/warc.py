@@ -122,10 +122,11 @@ def records(parts: DataFrame) -> DataFrame:
     rows = parts.where("last").select("rid", "id", "bytes", "sha1", "sha256")
     groups = rows.groupBy("sha256", "sha1", "bytes").agg(F.max("id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
     groups = materialise(groups, "warc-repeats")
-    total = groups.agg(F.sum("n")).first()[0] or 0
+    keys, total = groups.agg(F.count("*"), F.sum("n")).first()
+    total = total or 0
     key = F.struct("sha256", "sha1", "bytes")
     repeats = groups.select(key.alias("key"), "refers_to", "n")
-    known = join_counted(rows.withColumn("key", key).select("key", "rid", "id"), repeats, "key", "n", total) if total else rows.select("rid", "id").withColumn("refers_to", F.lit(None).cast("long")).limit(0)
+    known = join_counted(rows.withColumn("key", key).select("key", "rid", "id"), repeats, "key", "n", total, keys) if total else rows.select("rid", "id").withColumn("refers_to", F.lit(None).cast("long")).limit(0)
     revisits = known.where(F.col("refers_to").isNotNull() & ~F.col("id").eqNullSafe(F.col("refers_to"))).select("rid", "refers_to")
     out = rows.join(sized_broadcast(revisits, total), "rid", "left")
     return out.select("rid", "id", "bytes", "sha1", F.when(F.col("refers_to").isNotNull(), F.lit("revisit")).otherwise(F.lit("response")).alias("type"), "refers_to")
