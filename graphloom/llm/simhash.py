@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from graphloom.llm.base import Links, blocks_for, components, materialise, sized_broadcast
 
 SEED = 42
-#: Distinct fingerprints in a tile, on average at most; and at least, where a table is dealt into TILES of them.
-TILE, LEAST_TILE, TILES = 262_144, 2048, 96
+#: Distinct fingerprints in a tile, on average at most; a table of fewer is dealt into so many tiles (and one a cell more).
+TILE, TILES = 262_144, 24
 #: Fingerprints in a block inside a meeting of two tiles, and those that a block is compared with at a time.
 BLOCK, WIDE = 64, 4096
 #: Standard deviations by which the radius of candidates is wider than a similarity is expected to need.
@@ -145,7 +145,7 @@ def link_components(prints: DataFrame, radius: int = 4, min_ratio: float | None
         cell, reach = F.floor(F.log(F.greatest("shingles", F.lit(1))) / math.log(1 / min_ratio)).cast("int"), 1
     nodes = materialise(nodes.where("id is not null").withColumn("cell", cell), "simhash-nodes")
     counts = {r.cell: r["count"] for r in nodes.groupBy("cell").count().collect()}  # a row for each cell: few
-    size = tile or min(TILE, max(LEAST_TILE, sum(counts.values()) // TILES))
+    size = tile or min(TILE, sum(counts.values()) // TILES + 1)
     first, ends = {}, {}
     for c in sorted(counts):
         first[c] = max(ends.values(), default=0)
