@@ -70,6 +70,7 @@ def pack(rows: DataFrame, id_col: str = "id", length_col: str = "length", longes
     length = F.greatest(F.coalesce(F.col(length_col), F.lit(0)), F.lit(0)).cast("long")
     # equal rows are counted first, and written out in parts, as one id (or null) may have very many
     counted = rows.select(F.col(id_col).alias("id"), length.alias("length")).groupBy("id", "length").agg(F.count("*").alias("n"))
+    counted = materialise(counted, "pack-counts")
     parts = counted.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES))))
     if (counted.agg(F.max("n")).first()[0] or 0) > COPIES:
         parts = parts.repartition("id", "length", "part")
