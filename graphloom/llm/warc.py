@@ -25,9 +25,9 @@ from graphloom.llm.base import join_counted, materialise, scratch, sized_broadca
 
 #: Bytes in a chunk, and bytes of chunks in a batch of rows.
 CHUNK, HELD = 1 << 18, 1 << 23
-#: Bytes of payload that a writing task gets, on average at most.
+#: Bytes of payload, of records of several chunks, that a writing task gets, on average at most.
 TASK_BYTES = 1 << 26
-#: Records that a writing task gets, on average at most.
+#: Records of several chunks that a writing task gets, on average at most.
 TASK_RECORDS = 4000
 #: Bytes of payload after which a task begins another archive.
 ARCHIVE_BYTES = 1 << 30
@@ -136,19 +136,22 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     """Write a record for each row into gzipped archives under folder; (archive, records) of those that are complete.
 
     Archives have names of their own for each attempt of a task; only those that the returned table lists count. Null
-    payloads are empty. Rows that repeat an id and a payload are all responses, if that id is the largest. A record's
-    chunks come to one task in order, which streams them; a revisit's chunks but the first stay behind.
+    payloads are empty. Rows that repeat an id and a payload are all responses, if that id is the largest. The chunks of a
+    record that has several come to one task in order, which streams them; a revisit's chunks but the first stay behind.
     """
     parts = materialise(chunks(pages, id_col, url_col, payload_col), "warc-chunks")
     about = materialise(records(parts), "warc-records")
     # what a record's first chunk needs to know of the whole
     about = about.select("rid", "type", "refers_to", F.col("sha1").alias("whole_sha1"), F.col("bytes").alias("whole"))
-    size, count = about.agg(F.sum(F.when(F.col("type") == "response", F.col("whole")).otherwise(0)), F.count("*")).first()
-    tasks = max(-(-(size or 0) // TASK_BYTES), -(-count // TASK_RECORDS), 1)
+    several = (F.col("type") == "response") & (F.col("whole") > CHUNK)
+    size, count, long = about.agg(F.sum(F.when(several, F.col("whole"))), F.count("*"), F.count(F.when(several, 1))).first()
+    tasks = max(-(-(size or 0) // TASK_BYTES), -(-long // TASK_RECORDS), 1)
     rows = parts.select("rid", "id", "url", "chunk", "data").join(sized_broadcast(about, count), "rid").where("type = 'response' or chunk = 0")
     data = F.when(F.col("type") == "response", F.col("data")).otherwise(F.lit(b""))
     rows = rows.select("id", "url", "type", "refers_to", F.col("whole_sha1").alias("sha1"), F.col("whole").alias("bytes"), "rid", "chunk", data.alias("data"))
-    rows = rows.repartition(min(tasks, TASKS), "rid").sortWithinPartitions("rid", "chunk")
+    # only records of several chunks move, to have theirs in one task and in order
+    several = (F.col("type") == "response") & (F.col("bytes") > CHUNK)
+    rows = rows.where(~several).unionByName(rows.where(several).repartition(min(tasks, TASKS), "rid").sortWithinPartitions("rid", "chunk"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = open_folder(folder)
