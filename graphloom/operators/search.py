@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from graphloom.functions import text as X
 from graphloom.functions import values as V
 from graphloom.operators.ports import Embedder, Expander
+from graphloom.operators.substrings import containing
 from graphloom.sources.scratch import materialise
 
 #: Queries in a batch are broadcast up to so many rows; a larger batch is cut by the caller or shuffled.
@@ -217,9 +218,10 @@ def exact_ids(queries: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def exact_names(queries: DataFrame, nodes: DataFrame, k: int = 10) -> DataFrame:
     """Nodes whose name (3 characters or more) is part of a query, or one of whose aliases is a word of it; the first k by
-    id. The words are an equi-join; names, which may begin inside a word, are looked for in each broadcast query."""
-    asked = queries.select("query_id", F.lower("query").alias("__low"))
-    named = nodes.where("length(name) >= 3").select("id", F.lower("name").alias("__name")).join(sized(asked), F.contains("__low", "__name"))
+    id. The words are an equi-join; names, which may begin inside a word, are joined by their rarest trigram."""
+    asked = queries.select("query_id", F.lower("query").alias("text"))
+    names = nodes.where("length(name) >= 3").select("id", F.lower("name").alias("needle"))
+    named = names.join(containing(names, asked), "needle").join(asked, "text")
     word = queries.select("query_id", F.explode(F.array_distinct(F.transform(X.find_all(F.col("query"), "[A-Za-z0-9_.-]+"), F.lower))).alias("key"))
     alias = nodes.select("id", F.explode(X.or_empty(F.col("aliases"))).alias("alias")).where("length(alias) >= 3")
     called = alias.select("id", F.lower("alias").alias("key")).join(sized(word), "key")

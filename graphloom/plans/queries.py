@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from graphloom.functions import fuzzy
 from graphloom.functions import text as X
 from graphloom.functions import values as V
-from graphloom.operators import context, entities, guard, rerank, search, traverse
+from graphloom.operators import context, entities, fuzzy_join, guard, rerank, search, substrings, traverse
+from graphloom.operators.vector_index import VectorIndex
 from graphloom.sources import bundle, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,6 +93,29 @@ def vector_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.vector_search(asked, rows, 10, id_col="vec_id").select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
+def _written_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, VectorIndex]:
+    rows = table(spark, sf_dir, "embeddings")
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return asked, VectorIndex.build(rows, scratch.folder(spark, "vector-index"), "vec_id")
+
+
+@query(f"""SELECT q.vec_id AS query_id, e.vec_id, round({COSINE}, 6) AS score
+           FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q
+           QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE} DESC, e.vec_id) <= 10""")
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a written index: lists that no bound rules out are read."""
+    asked, index = _written_index(spark, sf_dir)
+    return index.search(asked, 10).select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
+@query()
+def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten of the nearest lists, widened until the audited recall is 0.95, which is a column."""
+    asked, index = _written_index(spark, sf_dir)
+    found = index.nearest(asked, 10, recall=0.95)
+    return found.select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), F.round("recall", 6).alias("recall"), "probes")
+
+
 # --- full text --------------------------------------------------------------------------------------------------------
 WORDS = [(0, "the thing of erwh and mail"), (1, "la que todo"), (2, "sch (und) der!"), (3, "+++")]
 
@@ -311,6 +335,51 @@ def fuzzy_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.best_matches(words, keys, 60).select("candidate", "key", F.round("score", 6).alias("score"))
 
 
+# a part's name without one of its characters, for each supplier
+MADE = """m AS (SELECT s_suppkey, substr(k, 1, s_suppkey % length(k)) || substr(k, s_suppkey % length(k) + 2) AS word
+          FROM (SELECT s_suppkey, lower(p_name) AS k FROM supplier JOIN part ON p_partkey = s_suppkey * 7 % (SELECT count(*) FROM part) + 1)),
+    p AS (SELECT DISTINCT lower(p_name) AS k FROM part)"""
+
+
+def _misspelt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(s_suppkey, word)"""
+    parts, suppliers = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
+    of = suppliers.select("s_suppkey", (F.col("s_suppkey") * 7 % parts.count() + 1).alias("p_partkey"))
+    made = of.join(parts, "p_partkey").select("s_suppkey", F.lower("p_name").alias("k"))
+    at = (F.col("s_suppkey") % F.length("k")).cast("int")
+    return made.select("s_suppkey", F.concat(F.substr("k", F.lit(1), at), F.substr("k", at + 2)).alias("word"))
+
+
+@query(f"""WITH {MADE}, s AS (SELECT word, k, 200.0 * list_last({LCS.format(a="word", b="k")}) / (length(word) + length(k)) AS ratio FROM (SELECT DISTINCT word FROM m), p)
+           SELECT word, k AS p_name, round(ratio, 6) AS ratio FROM s WHERE ratio >= 82""")
+def fuzzy_join_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every name of a part that a misspelt one resembles, by the similarity join."""
+    names = table(spark, sf_dir, "part").select(F.lower("p_name").alias("text"))
+    found = fuzzy_join.ratio_join(_misspelt(spark, sf_dir).select(F.col("word").alias("text")), names, 82)
+    return found.select(F.col("a").alias("word"), F.col("b").alias("p_name"), F.round("score", 6).alias("ratio"))
+
+
+@query(f"""WITH {MADE}, s AS (SELECT s_suppkey, word, k, 200.0 * list_last({LCS.format(a="word", b="k")}) / (length(word) + length(k)) AS score FROM m, p),
+           t AS (SELECT * FROM s WHERE score >= 60 QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY score DESC, k) <= 10),
+           c AS (SELECT *, len(string_split(word, ' ')) AS n, len(string_split(k, ' ')) AS m, regexp_replace(word, '[^a-z0-9]+', '', 'g') AS a, regexp_replace(k, '[^a-z0-9]+', '', 'g') AS b FROM t),
+           g AS (SELECT * FROM c WHERE length(replace(k, ' ', '')) / length(replace(word, ' ', '')) >= 0.65
+                 AND NOT (n = 1 AND ((a <> b AND (contains(a, b) OR contains(b, a))) OR m > 1)) AND score >= CASE WHEN n = 1 THEN 86 ELSE 82 END)
+           SELECT s_suppkey, k AS key, round(score, 6) AS score FROM g QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY score DESC, k) = 1""")
+def fuzzy_best_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The name that is believed to be meant by each misspelt one."""
+    keys = table(spark, sf_dir, "part").select(F.lower("p_name").alias("key"), F.lit(0).alias("pos")).distinct()
+    return entities.best_matches(_misspelt(spark, sf_dir).withColumnRenamed("word", "candidate"), keys, 60).select("s_suppkey", "key", F.round("score", 6).alias("score"))
+
+
+@query("""WITH n AS (SELECT DISTINCT unnest(list_concat(string_split(lower(p_name), ' '), [substr(p_type, 1, 2), substr(p_brand, 7)])) AS needle FROM part)
+          SELECT doc_id, needle FROM documents JOIN n ON needle <> '' AND contains(text, needle)""")
+def substring_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that contains a word, a prefix or a number of a part."""
+    needles = table(spark, sf_dir, "part").select(F.explode(F.concat(F.split(F.lower("p_name"), " "), F.array(F.substring("p_type", 1, 2), F.substring("p_brand", 7, 99)))).alias("needle"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.join(substrings.containing(needles, docs), "text").select("doc_id", "needle")
+
+
 # --- graph ------------------------------------------------------------------------------------------------------------
 NODES = """n(id, node_type, name) AS (
     SELECT 'R' || r_regionkey, 'Region', r_name FROM region UNION ALL SELECT 'N' || n_nationkey, 'Nation', n_name FROM nation

@@ -303,7 +303,7 @@ def test_what_a_model_states_has_to_be_grounded(spark):
 
     class Known:
         keys = spark.createDataFrame([("velvet bear",)], "key string")
-        generic_list = spark.createDataFrame([(["stealer"],)], "generic array<string>")
+        generic = spark.createDataFrame([("stealer",)], "token string")
 
     told = entities.told_entities(spark.createDataFrame(answers, "query_id int, answer string"))
     stated = {(r.query_id, r.field, r.value, r.source) for r in told.collect()}
