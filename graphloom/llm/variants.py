@@ -12,6 +12,7 @@ import heapq
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import groupby
+from operator import eq, or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -63,32 +64,47 @@ def grams(word: str) -> list[str]:
 
 
 class Index:
-    """Words of one length and their postings: for each (q-gram, place) the numbers of the words that have it, ascending."""
+    """Words of one length and their postings: for each place the q-grams there, and the numbers of the words that have it,
+    ascending."""
 
-    def __init__(self, words: list[tuple]) -> None:
-        self.words = words
-        self.postings: dict[tuple[str, int], list[int]] = defaultdict(list)
-        for n, w in enumerate(words):
-            for k, g in enumerate(grams(w[0])):
-                self.postings[g, k].append(n)
+    def __init__(self, places: int) -> None:
+        self.words: list[tuple] = []
+        self.grams: list[list[str]] = []
+        self.postings: list[dict[str, list[int]]] = [defaultdict(list) for _ in range(places)]
 
-    def near(self, word: str, shift: int) -> Iterator[int]:
-        """Numbers of words one edit from word, which are longer by shift (0 or 1).
+    def add(self, word: tuple, own: list[str]) -> None:
+        n = len(self.words)
+        self.words.append(word)
+        self.grams.append(own)
+        for held, g in zip(self.postings, own, strict=True):
+            held[g].append(n)
+
+    def near(self, word: str, own: list[str], shift: int) -> Iterator[tuple]:
+        """Words one edit from word, whose q-grams are own; those here are longer by shift (0 or 1).
 
         The words must share all q-grams but Q of the longer one's, at places that differ by shift at most. Of the lists of
         the word's q-grams, each the union of its places, so many shortest ones are merged that a word in none of them
-        cannot share enough; the rest is counted in its own q-grams.
+        cannot share enough; what they hold is then counted in all.
         """
-        own = grams(word)
-        need = len(own) + shift - Q
-        lists = [[p for p in (self.postings.get((g, k + s)) for s in range(shift + 1)) if p] for k, g in enumerate(own)]
-        order = sorted(range(len(own)), key=lambda k: sum(map(len, lists[k])))
-        merged = order[: max(1, len(own) - need + 1)] if need > 0 else order
-        for n, _ in groupby(heapq.merge(*[p for k in merged for p in lists[k]])):
-            other = self.words[n][0]
-            shared = sum(any(other[k + s : k + s + Q] == own[k] for s in range(shift + 1)) for k in order)
-            if shared >= need and one_edit(word, other):
-                yield n
+        need, none = len(own) + shift - Q, ()
+        lists = [[p.get(g, none)] for p, g in zip(self.postings, own, strict=False)]
+        if shift:
+            lists = [[*x, p.get(g, none)] for x, p, g in zip(lists, self.postings[1:], own, strict=True)]
+            lists.sort(key=lambda x: len(x[0]) + len(x[1]))
+        else:
+            lists.sort(key=lambda x: len(x[0]))
+        merged = [p for x in lists[: len(own) - need + 1] for p in x if p]
+        if not merged:
+            return
+        last = -1
+        for n in merged[0] if len(merged) == 1 else heapq.merge(*merged):
+            if n == last:
+                continue
+            last = n
+            other = self.grams[n]
+            same = map(eq, own, other)
+            if sum(map(or_, same, map(eq, own, other[1:])) if shift else same) >= need and one_edit(word, self.words[n][0]):
+                yield self.words[n]
 
 
 def _rarest(word: str, often: dict[str, int]) -> list[tuple[str, int]]:
@@ -143,12 +159,17 @@ def near_pairs(words: DataFrame) -> DataFrame:
         base, more = [m for m in members if not m[2]], [m for m in members if m[2]]
         if not base or len(base) + len(more) == 1:
             return
-        for shift, index in ((0, Index(base)), (1, Index(more))):
-            for w in base:
-                for n in index.near(w[0], shift):
-                    x = index.words[n]
-                    if (shift or w[0] < x[0]) and (not apart or w[3] != x[3]):
-                        yield w[0], w[1], x[0], x[1]
+        length = len(base[0][0])
+        same, longer = Index(length - Q + 1), Index(length - Q + 2)
+        for m in more:
+            longer.add(m, grams(m[0]))
+        for w in base:  # a word meets those that came before it, and all longer ones
+            own = grams(w[0])
+            for index, shift in ((same, 0), (longer, 1)):
+                for x in index.near(w[0], own, shift):
+                    if not apart or w[3] != x[3]:
+                        yield (w[0], w[1], x[0], x[1]) if w[0] < x[0] else (x[0], x[1], w[0], w[1])
+            same.add(w, own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def members() -> Iterator[tuple]:
