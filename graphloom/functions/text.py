@@ -46,6 +46,29 @@ def full_text_query(text: Column) -> Column:
     return F.trim(F.regexp_replace(plain, r"\s+", " "))
 
 
+#: Words of full-text syntax; in capitals only.
+AND, OR, NOT = "AND", "OR", "NOT"
+
+
+def clauses(text: Column) -> Column:
+    """Words of a full-text query with what is asked of each: 1 if it must be there, -1 if it must not, else 0.
+
+    Both sides of AND must be there, a word after NOT must not, OR asks nothing; an operator without a word on a side that
+    needs one asks nothing either.
+    """
+    w = F.filter(F.split(full_text_query(text), " "), lambda x: x != "")
+    operator = lambda x: F.coalesce(x.isin(AND, OR, NOT), F.lit(False))
+    at = lambda i: F.get(w, i)
+
+    def occur(x: Column, i: Column) -> Column:
+        banned = F.coalesce(at(i - 1) == NOT, F.lit(False))
+        before = F.when(banned, i - 2).otherwise(i - 1)
+        joined = (F.coalesce(at(before) == AND, F.lit(False)) & (before > 0)) | (F.coalesce(at(i + 1) == AND, F.lit(False)) & at(i + 2).isNotNull())
+        return F.when(~operator(x), F.struct(x.alias("word"), F.when(banned, -1).when(joined, 1).otherwise(0).alias("occur")))
+
+    return F.filter(F.transform(w, occur), lambda c: c.isNotNull())
+
+
 def clean_expansion(text: Column) -> Column:
     """An expanded query without bullet, number and quotes."""
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(blank(text), r"^\s+|\s+$", ""), r"^\s*(?:[-*]|\d+[).])\s*", ""), "^[ \"']+|[ \"']+$", "")

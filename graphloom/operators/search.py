@@ -185,23 +185,49 @@ class FullText:
         return self
 
     def search(self, queries: DataFrame, k: int | None = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-        """BM25 of query(query_id, query), summed over fields and the query's distinct terms; the k best, ties by id.
+        """BM25 of query(query_id, query), summed over fields and the query's distinct terms; the k best, ties by id. AND, OR
+        and NOT in capitals say what must be there and what must not.
 
         Only the terms of the batch leave the rows, which are read once for them; what they leave is kept.
         """
-        asked = queries.select("query_id", F.explode(F.array_distinct(terms(X.full_text_query(F.col("query"))))).alias("term"))
+        asked = asked_terms(queries)
         only = sized(asked.select("term", _bucket("term").alias("bucket")).distinct())
         hit = self.words.join(only, ["bucket", "term"])
         if not self.counted:
             hit = hit.groupBy("id", "field", "dl", "term").agg(F.count("*").alias("tf"))
         hit = materialise(hit.select("id", "field", "dl", "term", F.col("tf").cast("long").alias("tf")), "postings")
         df = hit.groupBy("field", "term").agg(F.count("*").alias("df"))
-        idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-        weighed = hit.join(F.broadcast(self.totals), "field").join(df, ["field", "term"]).select("id", "term", part.alias("part"))  # totals: a row for each field
-        scored = weighed.join(sized(asked), "term").groupBy("query_id", "id").agg(F.sum("part").alias("score"))
-        # sums in another order differ in their last digits, which must not decide between equal texts
-        return top(scored, k, [F.desc(F.round("score", 9)), F.asc("id")])
+        return ranked(hit, df, self.totals, asked, k, k1, b)
+
+
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term, must, banned, need) of each distinct term of queries(query_id, query); need counts what must be there."""
+    each = queries.select("query_id", F.explode(X.clauses(F.col("query"))).alias("c")).select("query_id", F.explode(terms(F.col("c.word"))).alias("term"), "c.occur")
+    each = each.groupBy("query_id", "term").agg((F.max("occur") == 1).alias("must"), (F.min("occur") == -1).alias("banned"))
+    return each.withColumn("need", F.sum(F.col("must").cast("int")).over(Window.partitionBy("query_id")).cast("int"))
+
+
+def idf(n: Column, df: Column) -> Column:
+    return F.log(1 + (n - df + 0.5) / (df + 0.5))
+
+
+def weight(tf: Column, dl: Column, avgdl: Column, k1: float, b: float) -> Column:
+    """What a term's frequency counts in a text of a length: more with tf, less with dl."""
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+
+
+def scored(hit: DataFrame, df: DataFrame, totals: DataFrame, asked: DataFrame, k1: float, b: float) -> DataFrame:
+    """(query_id, id, score) of hit(id, field, term, tf, dl) with df(field, term, df), totals(field, n, avgdl) and asked_terms()."""
+    part = idf(F.col("n"), F.col("df")) * weight(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
+    weighed = hit.join(F.broadcast(totals), "field").join(df, ["field", "term"]).select("id", "term", part.alias("part"))  # totals: a row for each field
+    met = weighed.join(sized(asked), "term").groupBy("query_id", "id").agg(F.sum("part").alias("score"), F.size(F.collect_set(F.when(F.col("must"), F.col("term")))).alias("held"), F.max("need").alias("need"), F.max("banned").alias("banned"))
+    return met.where("held = need and not banned").select("query_id", "id", "score")
+
+
+def ranked(hit: DataFrame, df: DataFrame, totals: DataFrame, asked: DataFrame, k: int | None, k1: float, b: float) -> DataFrame:
+    """scored(), the k best of each query."""
+    # sums in another order differ in their last digits, which must not decide between equal texts
+    return top(scored(hit, df, totals, asked, k1, b), k, [F.desc(F.round("score", 9)), F.asc("id")])
 
 
 def _bucket(term: str) -> Column:

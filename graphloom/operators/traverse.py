@@ -107,46 +107,73 @@ def steps(nodes: DataFrame, edges: DataFrame, hops: set[tuple[str, str, str]]) -
     return (sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1])).join(ends, "next")
 
 
-def follow(starts: DataFrame, nodes: DataFrame, edges: DataFrame, paths: list[Path]) -> DataFrame:
-    """(start, field, value) of every way along the paths from starts(id, node_type).
+#: Edges of one relation and way that make a node a hub, at least.
+HUB = 10_000
+#: Rows of a frontier on hubs that are broadcast at most.
+FRONTIER = 200_000
 
-    All paths take a step together: one join for each step of the longest path, whatever the number of paths. Nodes and
-    edges should be written tables, edges in folders by relation.
+
+def degrees(edges: DataFrame, least: int = HUB) -> DataFrame:
+    """(at, rel, way) of the hubs: written once beside a graph and given to follow()."""
+    ends = [edges.select(F.col(end).alias("at"), "rel", F.lit(way).alias("way")) for way, end in (("out", "src"), ("in", "dst"))]
+    return ends[0].unionByName(ends[1]).groupBy("at", "rel", "way").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("at", "rel", "way")
+
+
+def _step(now: DataFrame, edge: DataFrame, hubs: DataFrame | None) -> DataFrame:
+    """now joined with edge. The edges of a hub stay where they are, if the frontier on hubs is small enough to come to them."""
+    on = ["at", "rel", "way", "kind"]
+    if hubs is not None:
+        now = materialise(now, "frontier")
+        crowded = now.join(hubs, ["at", "rel", "way"], "left_semi")
+        n = crowded.limit(FRONTIER + 1).count()
+        if 0 < n <= FRONTIER:
+            rest = now.join(hubs, ["at", "rel", "way"], "left_anti").join(edge, on)
+            return rest.unionByName(edge.join(F.broadcast(crowded), on).select(*rest.columns))
+    return now.join(edge, on)
+
+
+def follow(starts: DataFrame, nodes: DataFrame, edges: DataFrame, paths: list[Path], hubs: DataFrame | None = None) -> DataFrame:
+    """(start, field, value) of all that paths lead to from starts(id, node_type).
+
+    All paths take a step together: one join for each step of the longest path, whatever the number of paths. A node that
+    several ways lead to is in the next frontier once for each start, path and value. Nodes and edges should be written
+    tables, edges in folders by relation; hubs is what degrees() tells of them.
     """
     spark = starts.sparkSession
-    table = [(p.start, p.field, [{"rel": r, "way": w, "kind": k} for r, w, k in p.hops], p.value, (p.after or len(p.hops)) - 1) for p in paths]
-    schema = "node_type string, field string, hops array<struct<rel: string, way: string, kind: string>>, column string, value_hop int"
-    known = F.broadcast(spark.createDataFrame(table, schema))  # a row for each path
-    at = starts.select(F.col("id").alias("start"), "node_type").join(known, "node_type").drop("node_type")
-    at = at.withColumn("at", F.col("start")).withColumn("value", F.lit(None).cast("string"))
+    rows = [(i, p.start, p.field, len(p.hops), p.value, (p.after or len(p.hops)) - 1) for i, p in enumerate(paths)]
+    known = spark.createDataFrame(rows, "path int, node_type string, field string, length int, column string, value_hop int")
+    at = starts.select(F.col("id").alias("start"), "node_type").join(F.broadcast(known.select("path", "node_type")), "node_type")  # known: a row for each path
+    at = at.select("start", "path", F.col("start").alias("at"), F.lit(None).cast("string").alias("value"))
     out = None
     for i in range(max(len(p.hops) for p in paths)):
         edge = steps(nodes, edges, {p.hops[i] for p in paths if len(p.hops) > i})
+        hops = [(n, *p.hops[i]) for n, p in enumerate(paths) if len(p.hops) > i]
+        hop = spark.createDataFrame(hops, "path int, rel string, way string, kind string").join(known, "path")
         seen = F.when(F.col("column") == "id", F.col("next"))
         for c in ("name", "description"):
             if c in edge.columns:
                 seen = seen.when(F.col("column") == c, F.col(c))
-        hop = F.get("hops", F.lit(i))
-        now = at.where(F.size("hops") > i).withColumns({"rel": hop.rel, "way": hop.way, "kind": hop.kind})
-        now = now.join(edge, ["at", "rel", "way", "kind"])
+        now = _step(at.join(F.broadcast(hop.select("path", "rel", "way", "kind", "column", "length", "value_hop")), "path"), edge, hubs)
         value = F.when(F.col("value_hop") == i, seen).otherwise(F.col("value"))
-        at = now.select("start", "field", "hops", "column", "value_hop", F.col("next").alias("at"), value.alias("value"))
-        done = at.where(F.size("hops") == i + 1).select("start", "field", "value")
+        at = now.select("start", "path", "length", F.col("next").alias("at"), value.alias("value"))
+        done = at.where(F.col("length") == i + 1).select("start", "path", "value")
         out = done if out is None else out.unionByName(done)
-    return out
+        at = at.where(F.col("length") > i + 1).select("start", "path", "at", "value").distinct()
+    return out.join(F.broadcast(known.select("path", "field")), "path").select("start", "field", "value")
 
 
-def neighbourhoods(starts: DataFrame, nodes: DataFrame, edges: DataFrame, paths: list[Path] | None = None) -> DataFrame:
+def neighbourhoods(starts: DataFrame, nodes: DataFrame, edges: DataFrame, paths: list[Path] | None = None, hubs: DataFrame | None = None) -> DataFrame:
     """(id, and a sorted list of distinct values for each field) of starts(id, node_type); null values are left out."""
     paths = PATHS if paths is None else paths
     fields = sorted({p.field for p in paths})
-    out = follow(starts, nodes, edges, paths)
-    lists = out.groupBy("start").agg(*[F.sort_array(F.collect_set(F.when(F.col("field") == f, F.col("value")))).alias(f) for f in fields])
+    lists = follow(starts, nodes, edges, paths, hubs).groupBy("start", "field").agg(F.sort_array(F.collect_set("value")).alias("values"))
+    # a field of a start is one row by now
+    lists = lists.groupBy("start").agg(F.map_from_entries(F.collect_list(F.struct("field", "values"))).alias("lists"))
     joined = starts.select("id").distinct().join(lists, F.col("id") == F.col("start"), "left")
-    return joined.select("id", *[F.coalesce(f, empty_strings()).alias(f) for f in fields])
+    return joined.select("id", *[F.coalesce(F.try_element_at("lists", F.lit(f)), empty_strings()).alias(f) for f in fields])
 
 
-def traverse(hits: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def traverse(hits: DataFrame, nodes: DataFrame, edges: DataFrame, hubs: DataFrame | None = None) -> DataFrame:
     """hits(query_id, pos, id, node_type[, external_id, score, source_score, rrf_score]) with what surrounds each node.
 
     node_id is the node's own identifier, external_id the hit's or else the node's. Hits whose node does not exist, or is
@@ -157,7 +184,7 @@ def traverse(hits: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     hits = materialise(hits, "hits")
     known = hits.select("id", "node_type").distinct()
     found = known.join(nodes, ["id", "node_type"])
-    about = neighbourhoods(known.where(F.col("node_type").isin(types)), nodes, edges)
+    about = neighbourhoods(known.where(F.col("node_type").isin(types)), nodes, edges, hubs=hubs)
     shown = lambda c: F.when(F.col("node_type").isin([t for t, cols in SHOWN.items() if c in cols]), F.col(c)).alias(c)
     scalars = ["platforms", "is_subtechnique", "aliases", "shortname", "first_seen", "last_seen", "log_sources"]
     rows = found.select("id", "node_type", "name", F.when(F.col("node_type") != "DetectionStrategy", F.col("description")).alias("description"), F.col("external_id").alias("__external"), *[shown(c) for c in scalars if c in nodes.columns])

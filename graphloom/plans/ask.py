@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.config import Settings
 from graphloom.operators import context, entities, guard, rerank, search, traverse
 from graphloom.operators.ports import Embedder, Expander, Extractor, Generator, HashEmbedder, Judge, Scorer
 from graphloom.sources import bundle
@@ -15,9 +16,9 @@ from graphloom.sources.scratch import materialise
 
 @dataclass
 class Models:
-    """What is plugged in; without a model the defaults decide."""
+    """What is plugged in; without a model the defaults decide. Vectors are as long as the settings say."""
 
-    embedder: Embedder = field(default_factory=HashEmbedder)
+    embedder: Embedder = field(default_factory=lambda: HashEmbedder(Settings.from_env().vector_size))
     expander: Expander | None = None
     judge: Judge | None = None
     extractor: Extractor | None = None
@@ -25,8 +26,10 @@ class Models:
     generator: Generator | None = None
 
 
-def ingest(spark: SparkSession, path: str, folder: str, models: Models | None = None) -> tuple[DataFrame, DataFrame]:
-    """Read bundles, and write nodes (by type, with embeddings) and edges as Parquet; both as tables."""
+def ingest(spark: SparkSession, path: str, folder: str | None = None, models: Models | None = None) -> tuple[DataFrame, DataFrame]:
+    """Read bundles, and write nodes (by type, with embeddings) and edges as Parquet under folder, or else under that of the
+    settings; both as tables."""
+    folder = folder or Settings.from_env().folder
     objects = bundle.read_bundle(spark, path)
     parsed = bundle.require_unique(bundle.upsert(bundle.parse_nodes(objects).limit(0), bundle.parse_nodes(objects), ["id"], ["external_id", "name"]))
     embedded = search.embed_missing(parsed.withColumn("embedding", F.lit(None).cast("array<float>")), (models or Models()).embedder)
@@ -36,12 +39,14 @@ def ingest(spark: SparkSession, path: str, folder: str, models: Models | None =
     return nodes, spark.read.parquet(f"{folder}/edges")
 
 
-def ask(queries: DataFrame, nodes: DataFrame, edges: DataFrame, models: Models | None = None, top_k: int = 10, shown: int = 5) -> DataFrame:
+def ask(queries: DataFrame, nodes: DataFrame, edges: DataFrame, models: Models | None = None, top_k: int | None = None, shown: int | None = None) -> DataFrame:
     """(query_id, answer, context) of queries(query_id, query): guarded, filtered, searched, traversed, reranked, answered.
 
-    A query that the guard stops is answered by its message.
+    A query that the guard stops is answered by its message. top_k nodes are searched for and shown of them are shown; both
+    are as the settings say unless given.
     """
-    m = models or Models()
+    m, given = models or Models(), Settings.from_env()
+    top_k, shown = top_k or given.top_k, shown or given.shown
     guarded = guard.guard(queries.select("query_id", "query"), m.judge)
     live = guarded.where("allowed").select("query_id", "query")
     lists = materialise(entities.filter_lists(entities.filters(live, nodes, m.extractor)), "filters")

@@ -15,8 +15,11 @@ from graphloom.functions import fuzzy
 from graphloom.functions import text as X
 from graphloom.functions import values as V
 from graphloom.operators import context, entities, fuzzy_join, guard, rerank, search, substrings, traverse
+from graphloom.operators.backfill import EmbeddingStore
+from graphloom.operators.text_index import SegmentedIndex
 from graphloom.operators.vector_index import VectorIndex
 from graphloom.sources import bundle, scratch
+from graphloom.streaming import constraint, upsert
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -155,6 +158,41 @@ def bm25_written_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "pos")
 
 
+@query(f"WITH {BM25} SELECT query_id, id AS doc_id, round(score, 6) AS score, pos FROM b WHERE pos < 10")
+def bm25_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from an index in segments: a third of the texts, another with changed texts, and the last with these mended;
+    some texts are taken out and put back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = SegmentedIndex(spark, scratch.folder(spark, "segments"), ["text"], "doc_id", "long")
+    third = F.col("doc_id") % 3
+    index.add(docs.where(third == 0))
+    index.add(docs.where(third == 1).withColumn("text", F.concat(F.lit("the la sch "), "text")))
+    index.remove(docs.where("doc_id % 5 = 0").select(F.col("doc_id").alias("id")))
+    index.compact()
+    index.add(docs.where((third != 0) | (F.col("doc_id") % 5 == 0)))
+    found = index.search(spark.createDataFrame(WORDS, "query_id int, query string"), 10)
+    return found.select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "pos")
+
+
+SYNTAX = [(0, "der AND und"), (1, "the NOT of"), (2, "la OR que AND todo"), (3, "NOT the"), (4, "AND sch"), (5, "the OR"), (6, "und AND NOT der")]
+
+
+@query("""WITH a(query_id, term, must, banned) AS (VALUES (0, 'der', true, false), (0, 'und', true, false), (1, 'the', false, false), (1, 'of', false, true),
+              (2, 'la', false, false), (2, 'que', true, false), (2, 'todo', true, false), (3, 'the', false, true), (4, 'sch', false, false), (5, 'the', false, false), (6, 'und', true, false), (6, 'der', false, true)),
+          l AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS terms FROM documents),
+          d AS (SELECT id, len(terms) AS dl, terms FROM l WHERE len(terms) > 0), s AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM d),
+          p AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, dl, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM a) GROUP BY ALL),
+          f AS (SELECT term, count(*) AS df FROM p GROUP BY term), need AS (SELECT query_id, count(*) FILTER (must) AS need FROM a GROUP BY query_id),
+          m AS (SELECT a.query_id, p.id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score, count(*) FILTER (must) AS held, bool_or(banned) AS banned
+                FROM p JOIN f USING (term) JOIN a USING (term), s GROUP BY ALL)
+          SELECT query_id, id AS doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id)::INT - 1 AS pos
+          FROM m JOIN need USING (query_id) WHERE held = need AND NOT banned QUALIFY pos < 50""")
+def bm25_boolean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must be there and what must not."""
+    found = _bm25(spark, sf_dir, spark.createDataFrame(SYNTAX, "query_id int, query string"), 50)
+    return found.select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "pos")
+
+
 #: One of the texts above for each vector that is a query.
 FUSED = f"""{_bm25_sql("SELECT vec_id::INT, CASE (vec_id // 50) % 4 " + " ".join(f"WHEN {i} THEN {_literal(t)}" for i, t in WORDS) + " END FROM embeddings WHERE vec_id % 50 = 0")},
     v AS (SELECT query_id, vec_id AS id, pos FROM (SELECT q.vec_id::INT AS query_id, e.vec_id,
@@ -634,6 +672,56 @@ def node_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bundle.upsert(current, changes, ["id"], ["ts", "event_id"])
 
 
+@query("""WITH w AS (SELECT user_id, event_type, value, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
+          SELECT coalesce(c_custkey, user_id) AS id, c_name AS name, w.event_type, w.value FROM customer FULL JOIN w ON c_custkey = user_id""")
+def node_upsert_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in batches that come in another order than their changes have, merged for good in between."""
+    current = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    changes = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), "event_type", "value", "ts", "event_id")
+    kept = upsert.KeptTable.create(current, changes.schema, scratch.folder(spark, "kept"), ["id"], ["ts", "event_id"])
+    for number, part in enumerate((2, 0, 3, 1)):
+        kept.apply(changes.where(F.col("event_id") % 4 == part), number)
+        if number == 1:
+            kept.compact(number)
+    return kept.read()
+
+
+@query("""SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 2 DESC, o_orderkey) = 1 AS accepted FROM orders""")
+def unique_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a stream, those of odd keys first: of a customer's orders the first is accepted, all others are routed away."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    path, out = scratch.folder(spark, "unique-in"), scratch.folder(spark, "unique-out")
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", constraint.ROCKSDB)
+    for odd in (1, 0):  # the stream ends, and goes on from its marks when there is more
+        orders.where(F.col("o_orderkey") % 2 == odd).write.mode("append").parquet(path)
+        rows = own.readStream.schema(orders.schema).parquet(path)
+        constraint.unique_stream(rows, out, f"{out}/marks", "o_custkey", ["o_orderkey"]).awaitTermination()
+    each = [spark.read.schema(orders.schema).parquet(f"{out}/{name}").select("o_orderkey", F.lit(name == "accepted").alias("accepted")) for name in ("accepted", "rejected")]
+    return union(each)
+
+
+class _Lengths:
+    """A stand-in for a model: a text's vector is its length."""
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return [[float(len(t))] for t in texts]
+
+
+@query("""SELECT doc_id, length(CASE WHEN text <> '' THEN coalesce(source, 'None') || '. ' || text ELSE source END)::FLOAT AS length,
+                 CASE WHEN doc_id % 3 = 0 OR doc_id % 7 = 0 THEN 2 ELSE 1 END AS run
+          FROM (SELECT doc_id, source, doc_id || CASE WHEN doc_id % 7 = 0 THEN ' changed: ' ELSE ' ' END || text AS text FROM documents)""")
+def embed_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two thirds of the texts are embedded first; then all, of which some have changed: only new and changed ones are."""
+    docs = table(spark, sf_dir, "documents").withColumn("plain", F.concat_ws(" ", "doc_id", "text"))
+    changed = F.when(F.col("doc_id") % 7 == 0, F.concat(F.col("doc_id").cast("string"), F.lit(" changed: "), "text")).otherwise(F.col("plain"))
+    nodes = lambda text, rows: rows.select("doc_id", F.col("source").alias("name"), text.alias("description"))
+    store = EmbeddingStore(spark, scratch.folder(spark, "embeddings"))
+    store.update(nodes(F.col("plain"), docs.where("doc_id % 3 <> 0")), _Lengths(), 1)
+    found = store.update(nodes(changed, docs), _Lengths(), 2)
+    return found.select("doc_id", F.get("embedding", F.lit(0)).alias("length"), F.col("embedded").alias("run"))
+
+
 @query("SELECT c_nationkey::BIGINT AS key, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) > 1")
 def unique_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("key"))

@@ -140,10 +140,14 @@ def tables(objects: DataFrame) -> dict[str, DataFrame]:
 def upsert(current: DataFrame, changes: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """current with changes merged in: of a key's changes the last by order counts; it replaces each property it sets.
 
-    Columns that only one side has are kept. A change sets all columns it has, null values too. Null keys never match.
+    Columns that only one side has are kept. A change sets all columns it has, null values too. A null key matches nothing,
+    so that each change with one is a row of its own.
     """
+    changes = changes.withColumn("__loose", F.greatest(*[F.col(c).isNull() for c in key], F.lit(False)))
+    drop = [c for c in order if c not in current.columns]
+    loose = changes.where("__loose").drop("__loose", *drop)
     last = F.expr(f"row_number() over (partition by {', '.join(key)} order by {', '.join(f'{c} desc' for c in order)})")
-    changes = changes.withColumn("__rn", last).where("__rn = 1").drop("__rn", *[c for c in order if c not in current.columns])
+    changes = changes.where("not __loose").withColumn("__rn", last).where("__rn = 1").drop("__rn", "__loose", *drop)
     sets = [c for c in changes.columns if c not in key]
     new = changes.select(*key, F.struct(*[F.col(c) for c in sets], F.lit(1).alias("__")).alias("__new"))
     both = current.select(*key, F.struct(*[c for c in current.columns if c not in key], F.lit(1).alias("__")).alias("__old")).join(new, key, "full")
@@ -153,7 +157,7 @@ def upsert(current: DataFrame, changes: DataFrame, key: list[str], order: list[s
         old = F.col("__old").getField(c) if c in current.columns else F.lit(None)
         return F.when(F.col("__new").isNotNull(), F.col("__new").getField(c)).otherwise(old) if c in sets else old
 
-    return both.select(*[F.col(c) if c in key else value(c).alias(c) for c in columns])
+    return both.select(*[F.col(c) if c in key else value(c).alias(c) for c in columns]).unionByName(loose, allowMissingColumns=True)
 
 
 def broken_keys(nodes: DataFrame, key: str = "id") -> DataFrame:

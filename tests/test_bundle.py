@@ -86,15 +86,11 @@ def test_upsert(spark):
         bundle.require_unique(change)
 
 
-def test_upsert_stream(spark, tmp_path):
-    from graphloom.streaming.upsert import upsert_stream
-
-    for k, rows in enumerate([[("a", 1, 1)], [("a", 3, 2), ("b", 2, 1)]]):
-        spark.createDataFrame(rows, "id string, n int, at int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("id string, n int, at int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    upsert_stream(stream, str(tmp_path / "out"), str(tmp_path / "marks"), ["id"], ["at"], spark.createDataFrame([], "id string, n int")).awaitTermination()
-    last = spark.read.parquet(str(tmp_path / "out" / f"version={1}"))
-    assert sorted((r.id, r.n) for r in last.collect()) == [("a", 3), ("b", 2)]
+def test_null_keys_match_nothing(spark):
+    now = spark.createDataFrame([("a", 1, "x"), (None, 2, "y")], "id string, n int, s string")
+    change = spark.createDataFrame([(None, 5, 1), (None, 6, 2), ("a", 7, 1)], "id string, n int, at int")
+    got = bundle.upsert(now, change, ["id"], ["at"]).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([("a", 7, "x"), (None, 2, "y"), (None, 5, None), (None, 6, None)], key=str)
 
 
 def test_read_array(spark, tmp_path):
