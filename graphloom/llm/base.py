@@ -5,17 +5,21 @@ from __future__ import annotations
 import math
 import re
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.dataset as pads
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: A side of a join is broadcast only up to so many rows of at most about 100 bytes; beyond, it is shuffled.
 BROADCAST_ROWS = 200_000
 #: Rows of a key, at least, that make it a heavy one: those of a join that must not all go to one task.
 HEAVY = 10_000
-#: Characters of a document that training takes at most, and the pieces, evenly spread, that it takes of a longer one.
-TRAINED, PIECES = 65_536, 16
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,12 +53,6 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def trained_part(text: Column, most: int = TRAINED, pieces: int = PIECES) -> Column:
-    """A text of at most so many characters; of a longer one, evenly spread pieces with so many characters in all."""
-    at = lambda i: F.floor((F.length(text) - most // pieces) * i / max(1, pieces - 1)).cast("int") + 1
-    return F.when(F.length(text) <= most, text).otherwise(F.concat(*[F.substr(text, at(i), F.lit(most // pieces)) for i in range(pieces)]))
-
-
 def sized_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if its counted rows are within BROADCAST_ROWS, else as it is (a shuffled join)."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
@@ -90,6 +88,72 @@ def join_counted(rows: DataFrame, keyed: DataFrame, key: str, count: str, total:
     return light.unionByName(rows.join(heavy, key))
 
 
+#: Names that Hadoop has for file systems, and Arrow's.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "abfss": "abfss", "wasbs": "abfss"}
+
+
+def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder and its path there: any scheme that Arrow knows or that is another name of one, or a
+    local path."""
+    scheme, _, rest = uri.partition(":")
+    if scheme == "dbfs":  # a mount on every machine
+        return pafs.LocalFileSystem(), "/dbfs/" + rest.lstrip("/")
+    if "://" in uri:
+        return pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
+    return pafs.LocalFileSystem(), uri.removeprefix("file:")
+
+
+#: Bits of a row's number that count rows in a partition; those above number the partition.
+WITHIN = 33
+#: Partitions whose verdicts a task holds at a time.
+OPEN = 2
+
+
+def meet_by_number(rows: DataFrame, verdicts: DataFrame, name: str) -> DataFrame:
+    """rows joined with verdicts by rid, a number that monotonically_increasing_id() gave rows when they were written; rid is
+    unique in verdicts, rows may repeat theirs.
+
+    Rows, however long, stay where they are: verdicts are written in folders by the partition that numbered them, and a task
+    reads those of the partitions whose rows it reads. Works alike at any size.
+    """
+    path = scratch(rows.sparkSession, name)
+    part = F.shiftright("rid", WITHIN)
+    verdicts.withColumn("__part", part).repartition("__part").sortWithinPartitions("__part", "rid").write.partitionBy("__part").parquet(path)
+    more = [f for f in verdicts.schema.fields if f.name != "rid"]
+    at, arrow = rows.columns.index("rid"), to_arrow_schema(StructType([f for f in verdicts.schema.fields]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, folder = open_folder(path)
+        held: dict[int, pa.Table] = {}
+
+        def of(k: int) -> pa.Table:
+            if k not in held:
+                while len(held) >= OPEN:
+                    held.pop(next(iter(held)))
+                info = fs.get_file_info(f"{folder}/__part={k}")
+                there = info.type == pafs.FileType.Directory
+                found = pads.dataset(info.path, filesystem=fs, format="parquet", schema=arrow).to_table() if there else arrow.empty_table()
+                held[k] = found.sort_by("rid").combine_chunks()
+            return held[k]
+
+        for batch in batches:
+            rid = batch.column(at).to_numpy(zero_copy_only=False)
+            parts = rid >> WITHIN
+            cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(rid)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                known = of(int(parts[a]))
+                keys = known.column("rid").to_numpy()
+                place = np.searchsorted(keys, rid[a:b])
+                ok = np.flatnonzero(keys[np.minimum(place, len(keys) - 1)] == rid[a:b]) if len(keys) else np.zeros(0, np.int64)
+                if len(ok):
+                    mine, found = batch.take(pa.array(ok + a)), known.take(pa.array(place[ok]))
+                    yield pa.RecordBatch.from_arrays([*mine.columns, *[found.column(f.name).combine_chunks() for f in more]], [*mine.schema.names, *[f.name for f in more]])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, *more]))
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links a-b as a spanning star forest: (node, smallest node of its component) for every node but the roots."""
     nodes, index = np.unique(np.concatenate([a, b]), return_inverse=True)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from graphloom.llm.base import join_counted, materialise, scratch, sized_broadcast
+from graphloom.llm.base import join_counted, materialise, meet_by_number, scratch, sized_broadcast
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -83,13 +83,15 @@ class Groups:
         self.rows = self.content.count()
         stores = max(STORES, -(-self.rows // STORE_ROWS))
         self.state = materialise(digest_state(path, schema, files_per_batch, stores), "dedup-state")
-        # hits: rows of a digest that more than one row has; only their texts move
+        # hits: rows of a digest that more than one row has. Keys are joined; only the hits' own texts move after that
         repeated = self.state.where("group_size > 1").select("digest", "group_size", F.col("at.rid").alias("first"), F.ceil(F.col("group_size") / SALTED).alias("salts"))
-        hits = join_counted(self.content, repeated, "digest", "group_size", self.rows, repeated.count()).withColumn("norm", normalised(F.col("text")))
+        found = join_counted(self.content.select("rid", "digest"), repeated, "digest", "group_size", self.rows).select("rid", "first", "salts")
+        self.hits = materialise(found, "dedup-hits")
+        hits = meet_by_number(self.content.select("rid", "digest", "text"), self.hits, "dedup-verdicts").withColumn("norm", normalised(F.col("text")))
         # a kept text meets its hits in as many tasks as the group has thousands of rows
         keeper = hits.where("rid = first").select("digest", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("norm").alias("kept_norm"))
-        self.later = hits.where("rid <> first")
-        wrong = self.later.select("digest", F.pmod("rid", "salts").alias("salt"), "norm").join(keeper, ["digest", "salt"]).where("norm <> kept_norm").select("digest").distinct()
+        later = hits.where("rid <> first")
+        wrong = later.select("digest", F.pmod("rid", "salts").alias("salt"), "norm").join(keeper, ["digest", "salt"]).where("norm <> kept_norm").select("digest").distinct()
         self.wrong = materialise(wrong, "dedup-collisions")
         self.collisions = self.wrong.count()
 
@@ -99,7 +101,8 @@ class Groups:
     def collided(self) -> DataFrame:
         """Rows of shared digests with what their own text's group keeps."""
         counted = self.state.join(sized_broadcast(self.wrong, self.collisions), "digest").select("digest", "group_size")
-        rows = join_counted(self.content, counted, "digest", "group_size", self.rows, self.collisions).withColumn("norm", normalised(F.col("text")))
+        found = join_counted(self.content.select("rid", "digest"), counted, "digest", "group_size", self.rows, self.collisions).select("rid")
+        rows = meet_by_number(self.content.select("rid", "id", "digest", "text"), found, "dedup-shared").withColumn("norm", normalised(F.col("text"))).drop("text")
         at = F.struct(F.coalesce("id", F.lit(2**63 - 1)).alias("first"), "rid")
         sizes = rows.groupBy("digest", "norm").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"), F.min(at).alias("at"))
         return rows.join(sizes, ["digest", "norm"])
@@ -129,9 +132,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Nulls are as in exact_groups(), but of a group of null ids only, one row stays too.
     """
     found = Groups(docs, id_col, text_col, digest, files_per_batch, docs.columns)
-    gone = found.without_collisions(found.later.select("digest", "rid")).select("rid")
+    # state tells the row that stays of each group; rows of shared digests are told by their texts
+    stays = found.without_collisions(found.state.select("digest", F.col("at.rid").alias("rid"))).select("rid")
     if found.collisions:
-        gone = gone.unionByName(found.collided().where("rid <> at.rid").select("rid"))
-    gone = materialise(gone, "dedup-gone")
-    kept = found.content.join(sized_broadcast(gone, gone.count()), "rid", "left_anti")
+        stays = stays.unionByName(found.collided().where("rid = at.rid").select("rid"))
+    kept = meet_by_number(found.content, stays, "dedup-stays")
     return kept.select(*[F.col("carried").getField(c).alias(c) for c in docs.columns])

@@ -1,9 +1,9 @@
 """Embedding near-duplicates over hierarchical navigable small-world graphs.
 
 Vectors of a label are dealt into shards of bounded size, each with a graph of its own, kept as a table. Every vector
-queries the graph of every shard of its label. Equal vectors of a shard are one node with a weight. A search widens its
-beam until an audit of queries against all vectors of the shard, which goes on until it knows of enough true links, finds
-nothing missed; every link is verified by its cosine in double precision.
+queries the graph of every shard of its label. Equal vectors of a shard are one node with a weight. The beam of a meeting's
+searches widens until an audit passes: queries that are also compared with all vectors of the shard find enough of their
+true neighbours and all of their true links. Every link is verified by its cosine in double precision.
 """
 
 from __future__ import annotations
@@ -23,10 +23,9 @@ from graphloom.llm.base import Links, components, materialise
 SHARD = 4096
 #: Neighbours a node chooses in a layer (twice as many in the lowest), and the beam that finds them.
 CHOSEN, BUILD_BEAM = 12, 40
-#: The first beam of a search, queries that an audit of a meeting starts with, and the recall asked of them.
-BEAM, AUDITED, RECALL = 24, 48, 1.0
-#: True links that an audit must know of, those of a node with itself aside; it goes on until then or to the last query.
-WANTED = 1000
+#: The first beam of a search; queries that an audit draws from all, and as many of the heaviest at most; how many true
+#: neighbours of each it asks for, and the recall of these that it asks for. Of links it asks for all.
+BEAM, AUDITED, NEIGHBOURS, RECALL = 24, 48, 10, 0.95
 #: Tasks at most in a stage that builds or asks.
 TASKS = 20_000
 #: How far below the threshold a search still follows neighbours.
@@ -124,12 +123,19 @@ class Graph:
         if level > self.top:
             self.entry, self.top = i, level
 
-    def within(self, q: np.ndarray, least: float, beam: int) -> np.ndarray:
-        """Nodes of similarity least or more: a beam search, then all that neighbours of near nodes lead to."""
+    def _beam(self, q: np.ndarray, beam: int) -> list[tuple[float, int]]:
         entries = [self.entry]
         for layer in range(self.top, 0, -1):
             entries = [self.search(q, entries, 1, layer)[0][1]]
-        found = self.search(q, entries, beam, 0)
+        return self.search(q, entries, beam, 0)
+
+    def nearest(self, q: np.ndarray, beam: int, k: int) -> np.ndarray:
+        """The k nearest nodes that a beam search finds."""
+        return np.array([e for _, e in self._beam(q, beam)[:k]], np.int64)
+
+    def within(self, q: np.ndarray, least: float, beam: int) -> np.ndarray:
+        """Nodes of similarity least or more: a beam search, then all that neighbours of near nodes lead to."""
+        found = self._beam(q, beam)
         edge = np.array([e for s, e in found if s >= least - SLACK], np.int64)
         hits = [np.array([e for s, e in found if s >= least], np.int64)]
         # what a search has seen and left behind is looked at once more
@@ -164,38 +170,33 @@ def links_between(graph: Graph, vectors: np.ndarray, queries: np.ndarray, least:
     return audited_links(graph, vectors, queries, least, beam, recall)[:2]
 
 
-def audited_links(graph: Graph, vectors: np.ndarray, queries: np.ndarray, least: float, beam: int = BEAM, recall: float = RECALL, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """(query, node) of cosine least or more, and how many true links the audit knew of and the search found of these.
+def audited_links(graph: Graph, vectors: np.ndarray, queries: np.ndarray, least: float, beam: int = BEAM, recall: float = RECALL, weights: np.ndarray | None = None, compare_all: bool = False) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(query, node) of cosine least or more; how many true neighbours and links the audit asked for, and how many of these
+    the search found.
 
-    The audit begins with AUDITED queries spread over all and as many of the heaviest nodes of copies, and takes more until
-    it has WANTED true links; if it has come to compare all queries, these comparisons are the result. The beam doubles until the audited
-    queries miss no more than recall allows; at a beam of the whole shard the remaining way is to compare all, too.
+    The audit compares AUDITED queries spread over all, and as many of the heaviest nodes of copies, with all vectors: the
+    first NEIGHBOURS of each always exist, so that no audit is empty. The beam doubles until the searches of these queries
+    find the share recall of their neighbours and every link; then all queries search with it. Only if a beam of the whole
+    shard does not do, or with compare_all, all queries are compared instead.
     """
     slack = 1e-5  # of single against double precision
-    n = len(queries)
+    n, k = len(queries), min(NEIGHBOURS, len(vectors))
     heavy = np.zeros(0, int) if weights is None else np.argsort(-weights, kind="stable")[:AUDITED]
-    begin = np.unique(np.concatenate([np.linspace(0, n - 1, AUDITED).astype(int), heavy[weights[heavy] > 1] if len(heavy) else heavy]))
-    rest = np.random.default_rng(n).permutation(n)
-    order = np.concatenate([begin, rest[~np.isin(rest, begin)]])
-    itself = vectors is queries
-    truth, want, take = [], 0, len(begin)
-    while len(truth) < n and want < WANTED:
-        more = exact(vectors, queries[order[len(truth) : len(truth) + take]], least - 1e-9)
-        truth += more
-        want += sum(map(len, more)) - itself * len(more)
-        take = len(truth)
-    single = queries.astype(np.float32)
-    found = None
-    while len(truth) < n and beam < len(vectors):
-        got = [graph.within(single[k], least - slack, beam) for k in order[: len(truth)]]
-        hits = sum(len(np.intersect1d(a, b)) for a, b in zip(truth, got, strict=True)) - itself * sum(k in b for k, b in zip(order, got, strict=False))
-        if hits >= recall * want:
-            found = [graph.within(q, least - slack, beam) for q in single]
+    asked = np.unique(np.concatenate([np.linspace(0, n - 1, AUDITED).astype(int), heavy[weights[heavy] > 1] if len(heavy) else heavy]))
+    cosines = queries[asked] @ vectors.T
+    near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
+    true = [np.flatnonzero(c >= least - 1e-9) for c in cosines]
+    want = near.size + sum(map(len, true))
+    single, found = queries.astype(np.float32), None
+    while not compare_all and beam < len(vectors):
+        neighbours = sum(len(np.intersect1d(a, graph.nearest(single[q], beam, k))) for q, a in zip(asked, near, strict=True))
+        links = sum(len(np.intersect1d(a, graph.within(single[q], least - slack, beam))) for q, a in zip(asked, true, strict=True))
+        if neighbours >= recall * near.size and links == sum(map(len, true)):
+            hits, found = neighbours + links, [graph.within(q, least - slack, beam) for q in single]
             break
         beam *= 2
     if found is None:
-        hits = want
-        found = exact(vectors, queries, least - 1e-9)
+        hits, found = want, exact(vectors, queries, least - 1e-9)
     x = np.repeat(np.arange(len(queries)), [len(f) for f in found])
     y = np.concatenate([*found, np.zeros(0, np.int64)]).astype(np.int64)
     ok = np.zeros(len(x), bool)
@@ -205,7 +206,7 @@ def audited_links(graph: Graph, vectors: np.ndarray, queries: np.ndarray, least:
     return x[ok], y[ok], want, hits
 
 
-def near_duplicates(rows: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", shard: int = SHARD, report: dict | None = None) -> DataFrame:
+def near_duplicates(rows: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", shard: int = SHARD, report: dict | None = None, compare_all: bool = False) -> DataFrame:
     """(id, n_links, component) of every row: how many other rows of its label have a cosine of least or more to it, and
     the smallest id that links reach, its own included.
 
@@ -252,7 +253,7 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, id_col: str = "vec_id"
         v, rids, weights = opened(mine)
         asked = held.get(False)
         qv, qr, qw = (v, rids, weights) if asked is None else opened(asked)
-        a, b, want, hits = audited_links(Graph.load(mine.graph, v), v, qv, least, weights=qw)
+        a, b, want, hits = audited_links(Graph.load(mine.graph, v), v, qv, least, weights=qw, compare_all=compare_all)
         first, q_first = np.cumsum(weights) - weights, np.cumsum(qw) - qw
         links = Links()
         if asked is None:  # one shard: a link found from either end counts once for each end

@@ -16,12 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from graphloom.llm.base import fresh, held_out, trained_part
+from graphloom.llm.base import fresh, held_out
 
 #: Bytes in a window; the symbol that fills the last one; hidden units in each direction.
 WINDOW, PAD, HIDDEN = 64, 256, 8
-#: Documents that training takes of each language at most, and of all languages (but at least one of each).
-SAMPLE, SAMPLE_ALL = 160, 10_240
+#: Documents that training takes of each language at most, and of all languages (but at least one of each); windows that it
+#: draws of a document at most, evenly from the whole text.
+SAMPLE, SAMPLE_ALL, DRAWN = 160, 10_240, 1024
 #: Windows in a training step, steps, and windows read at a time afterwards.
 BATCH, STEPS, READ = 256, 260, 4096
 #: The language of a text that is null or has no letter.
@@ -87,6 +88,14 @@ def windows_of(text: bytes) -> np.ndarray:
     return out.reshape(n, WINDOW)
 
 
+def drawn_windows(text: bytes, most: int) -> bytes:
+    """At most so many windows of a text, evenly spread over all of it, one after the other."""
+    n = -(-len(text) // WINDOW)
+    if n <= most:
+        return text
+    return b"".join(text[WINDOW * i : WINDOW * (i + 1)] for i in np.linspace(0, n - 1, most).astype(int).tolist())
+
+
 def train(texts: list[bytes], labels: list[str], steps: int = STEPS, seed: int = 1) -> Model:
     """A model of the labels' languages; each language has the same share of the windows in every step. Without labels it
     knows no language, and a single one is certain."""
@@ -145,23 +154,29 @@ def train(texts: list[bytes], labels: list[str], steps: int = STEPS, seed: int =
     return m
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE, sample_all: int = SAMPLE_ALL, drawn: int = DRAWN) -> Model:
     """Train on at most sample documents of each language among rows with a label and a text that are not held out.
 
     The sample is by hash of the identifier, so it depends neither on partitions nor on order: for each language and each
-    of its buckets the row with the smallest hash. The buckets of a language are sample, or fewer where SAMPLE_ALL does not
-    go round. Of rows that repeat an id and label, the smallest text counts; of a long text, trained_part(). Without a
-    labelled text the model knows no language.
+    of its buckets the row with the smallest hash. The buckets of a language are sample, or fewer where sample_all does not
+    go round. Of rows that repeat an id and label, the smallest text counts. The windows that a step may take of a document
+    are drawn where the document is, evenly from its whole text, so that no more than drawn of each come to the driver
+    (DRAWN of 64 bytes of SAMPLE_ALL documents: 670 MB at most). Without a labelled text the model knows no language.
     """
     mark = F.xxhash64(F.lit("langid"), F.col(id_col))
     rows = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     rows = rows.select(F.col(label_col).cast("string").alias("label"), mark.alias("mark"), F.col(text_col).alias("text"))
     found = rows.agg(F.countDistinct("label")).first()[0]
-    buckets = max(1, min(sample, SAMPLE_ALL // max(1, found)))
+    buckets = max(1, min(sample, sample_all // max(1, found)))
     few = rows.groupBy("label", F.pmod("mark", F.lit(buckets)).alias("bucket")).agg(F.min("mark").alias("mark")).select("label", "mark")
-    # a row for each bucket of a language: SAMPLE_ALL, or a row for each language
-    picked = rows.join(F.broadcast(few), ["label", "mark"]).groupBy("label", "mark").agg(F.min(trained_part(F.col("text"))).alias("text"))
-    got = sorted((r.label, r.text.encode("utf-8", "replace")) for r in picked.collect())
+    # a row for each bucket of a language: sample_all, or a row for each language
+    picked = rows.join(F.broadcast(few), ["label", "mark"]).groupBy("label", "mark").agg(F.min("text").alias("text"))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([drawn_windows(t.as_buffer().to_pybytes(), drawn) for t in batch.column(1)], pa.binary())], ["label", "windows"])
+
+    got = sorted((r.label, bytes(r.windows)) for r in picked.select("label", F.col("text").cast("binary")).mapInArrow(draw, "label string, windows binary").collect())
     return train([t for _, t in got], [y for y, _ in got])
 
 

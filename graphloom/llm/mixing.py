@@ -4,8 +4,11 @@ A classifier learned from a labelled table gives each document a posterior over
 then fits a rate for each document, never below a floor (zero, if not asked otherwise), such that the tokens expected of
 each domain meet its target. Main path: DataFrame functions only; what reaches the driver is a few numbers a domain.
 
-A rate depends on a document only through its posterior and on the corpus only through the gradients of all steps, so it
-is an expression of the document's own text: no join brings it back.
+The gradient of a document's rate is its posterior times a vector that all documents share, so that steps add up to one such
+vector: a rate is max(floor, 1 - posterior * steps), projected anew from where it began. Each step takes one aggregate over
+the documents, which gives the gradient and, of the rates that the floor does not hold, the matrix that scales it; plain
+steps would need thousands where targets are harsh. A rate depends on the corpus only through the vector, so it is an
+expression of the document's own text: no join brings it back.
 """
 
 from __future__ import annotations
@@ -14,22 +17,23 @@ import math
 import warnings
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.base import materialise, trained_part
+from graphloom.llm.base import materialise
 
 #: Character n-grams that the classifier counts, and their lengths.
 FEATURES, GRAMS = 20, (1, 2, 3)
-#: Labelled documents that the classifier learns from: of each domain at most, and of all (but at least one of each); and
-#: characters of each at most.
-SAMPLE, SAMPLE_ALL, TRAINED = 256, 8192, 1024
+#: Labelled documents that the classifier learns from: of each domain at most, and of all (but at least one of each).
+SAMPLE, SAMPLE_ALL = 256, 8192
 #: Counts' worth of doubt that every text has, so that short ones stay near the prior.
 DOUBT = 20.0
-#: Steps of the fit at most, and those between two written tables.
-STEPS, WRITTEN = 64, 8
-#: The fit ends at this largest relative miss of a target, or when a step takes less than this share off the squares.
-MISS, GAIN = 1e-3, 5e-3
+#: What keeps rates near 1 where targets leave a choice, against the squares of relative misses: less and less, the last one
+#: being what counts; the norm of the gradient at which a fit has ended; and steps for each, beyond which it is an error.
+HOLDS, ENDED, STEPS = (1e-2, 1e-4, 1e-6, 1e-8), 1e-7, 200
+#: A miss of a target by more than this share is warned of.
+MISS = 1e-2
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -47,8 +51,8 @@ def counts(text: Column, features: list[str]) -> Column:
 
 @dataclass
 class Mix:
-    """Features, domains, for each the weights of features and its prior, how much evidence counts, and the fit: gradients
-    of the steps so far, floor, and the domains' tokens: present, wanted and reached."""
+    """Features, domains, for each the weights of features and its prior, how much evidence counts, and the fit: the sum of
+    its steps, floor, and the domains' tokens: present, wanted and reached."""
 
     features: list[str]
     domains: list
@@ -56,7 +60,7 @@ class Mix:
     priors: list[float]
     scale: float = 1.0
     floor: float = 0.0
-    steps: list[list[float]] = field(default_factory=list)
+    steps: list[float] = field(default_factory=list)
     totals: list[float] = field(default_factory=list)
     targets: list[float] = field(default_factory=list)
     reached: list[float] = field(default_factory=list)
@@ -73,13 +77,10 @@ class Mix:
         most = F.array_max(F.array(*logits))
         return [F.exp(x - most) for x in logits]
 
-    def rate(self, p: list[Column], start: Column | None = None, done: int = 0) -> Column:
-        """The rate after all steps, from the rate after the first done steps."""
-        r = F.lit(1.0) if start is None else start
-        for g in self.steps[done:]:
-            move = sum((c * F.lit(x) for c, x in zip(p, g, strict=True)), F.lit(0.0))
-            r = F.greatest(F.lit(self.floor), r - move)
-        return r
+    def rate(self, p: list[Column]) -> Column:
+        """The rate of a document with these posteriors."""
+        move = sum((c * F.lit(float(x)) for c, x in zip(p, self.steps, strict=False)), F.lit(0.0))
+        return F.greatest(F.lit(float(self.floor)), F.lit(1.0) - move)
 
 
 def _columns(k: int) -> list[str]:
@@ -120,20 +121,20 @@ def grams(text: Column) -> Column:
     return F.concat(*[F.filter(runs[n - 1], lambda g: g.isNotNull()) for n in GRAMS])
 
 
-def learn(docs: DataFrame, labelled: DataFrame, most: int = FEATURES) -> Mix:
+def learn(docs: DataFrame, labelled: DataFrame, most: int = FEATURES, sample: int = SAMPLE, sample_all: int = SAMPLE_ALL) -> Mix:
     """docs(id, text) and labelled(id, domain) -> a classifier; null ids and domains teach nothing.
 
-    Of each domain at most SAMPLE labelled documents are learned from, chosen by hash of the id; of an id's several texts
-    the smallest, of a long text trained_part(). Features are the n-grams whose share of a text tells most of its domain.
+    Of each domain at most sample labelled documents are learned from, and of all sample_all or one of each, chosen by hash
+    of the id; of an id's several texts the smallest, and all of it. Features are the n-grams whose share of a text tells most of its domain.
     Half of the documents give the features and their weights (logarithms of shares, against their mean over domains), the
     other half how much weights are to count. Without any labelled text there is one domain, null, that all are in.
     """
     known = labelled.where("id is not null and domain is not null").select("id", "domain")
     mark = F.xxhash64(F.lit("mix"), F.col("id"))
-    sample = max(1, min(SAMPLE, SAMPLE_ALL // max(1, known.agg(F.countDistinct("domain")).first()[0])))
-    few = known.groupBy("domain", F.pmod(mark, F.lit(sample)).alias("slot")).agg(F.min_by("id", mark).alias("id"))
-    # SAMPLE_ALL rows, or one for each domain
-    picked = docs.where("text is not null").join(F.broadcast(few), "id").groupBy("id", "domain", "slot").agg(F.min(trained_part(F.col("text"), TRAINED)).alias("text"))
+    slots = max(1, min(sample, sample_all // max(1, known.agg(F.countDistinct("domain")).first()[0])))
+    few = known.groupBy("domain", F.pmod(mark, F.lit(slots)).alias("slot")).agg(F.min_by("id", mark).alias("id"))
+    # sample_all rows, or one for each domain
+    picked = docs.where("text is not null").join(F.broadcast(few), "id").groupBy("id", "domain", "slot").agg(F.min("text").alias("text"))
     picked = materialise(picked.withColumn("teaches", F.col("slot") % 2 == 0), "mix-sample")
     halves = picked.groupBy("domain").agg(F.sum(F.col("teaches").cast("int")).alias("n")).collect()  # a row for each domain
     if not halves:
@@ -160,7 +161,7 @@ def learn(docs: DataFrame, labelled: DataFrame, most: int = FEATURES) -> Mix:
     means = [sum(x) / len(logs) for x in zip(*logs.values(), strict=True)]
     mix = Mix(features, domains, [[x - m for x, m in zip(logs[d], means, strict=True)] for d in domains], priors)
     place = {d: i for i, d in enumerate(domains)}
-    judged = found.where("not teaches").select("domain", F.array(*mix.evidence(F.col("c"))).alias("e")).collect()  # SAMPLE_ALL rows at most
+    judged = found.where("not teaches").select("domain", F.array(*mix.evidence(F.col("c"))).alias("e")).collect()  # sample_all rows at most
     if judged and len(domains) > 1:
         mix.scale = _scale([(place[r.domain], list(r.e)) for r in judged], priors)
     return mix
@@ -173,8 +174,8 @@ def _priors(known: DataFrame, domains: list) -> list[float]:
     return [count[d] / total for d in domains]
 
 
-def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict | None = None, temperature: float = 0.7, total: float | None = None, floor: float = 0.0, most: int = FEATURES) -> tuple[Mix, DataFrame]:
-    """The fitted mix, and (id, n, __p0, __p1, ..., rate, done) of every row, rate being that after done steps.
+def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict | None = None, temperature: float = 0.7, total: float | None = None, floor: float = 0.0, most: int = FEATURES, sample: int = SAMPLE, sample_all: int = SAMPLE_ALL) -> tuple[Mix, DataFrame]:
+    """The fitted mix, and (id, n, __p0, __p1, ..., rate) of every row.
 
     targets: a weight for each domain (those left out get none); without it, weights are as the domains' present tokens
     to the power of temperature. total: tokens wanted in all; without it as many as there are, or with a floor above zero
@@ -183,19 +184,19 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
     posteriors are soft and rates not negative, are missed by as little as least squares can; a miss is a warning.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    mix = learn(texts, labelled, most)
+    mix = learn(texts, labelled, most, sample, sample_all)
     mix.floor = floor
     k = len(mix.domains)
     names = _columns(k)
     seen = materialise(texts.select("id", tokens(F.col("text")).alias("n"), counts(F.col("text"), mix.features).cast("array<double>").alias("seen")), "mix-counts")
-    rows = with_posteriors(seen, mix, "seen").select("id", "n", *names, F.lit(1.0).alias("rate"), F.lit(0).alias("done"))
+    rows = with_posteriors(seen, mix, "seen").select("id", "n", *names)
     rows = materialise(rows, "mix-posteriors")
     first = rows.agg(*[F.sum(F.col("n") * F.col(c)).alias(c) for c in names]).first()
     mix.totals = [first[c] or 0.0 for c in names]
     all_ = sum(mix.totals)
     if not all_:
-        mix.targets = mix.reached = [0.0] * k
-        return mix, rows
+        mix.targets = mix.reached = mix.steps = [0.0] * k
+        return mix, rows.withColumn("rate", mix.rate([F.col(c) for c in names]))
     weight = [float(targets.get(d, 0.0)) for d in mix.domains] if targets else [t**temperature for t in mix.totals]
     if min(weight) < 0 or not sum(weight):
         raise ValueError("targets are weights of which one at least is positive")
@@ -205,34 +206,55 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
     mix.targets = [w * total for w in weight]
     # misses are relative to the target (to the present tokens, if nothing is wanted), so that domains count alike
     scale = [b if b > 0 else max(t, 1.0) for b, t in zip(mix.targets, mix.totals, strict=True)]
-    # no eigenvalue of the relative misses' matrix is above its largest sum of a row, so steps by that are never too long
-    spread = sum((F.col(c) / x for c, x in zip(names, scale, strict=True)), F.lit(0.0))
-    sums = rows.withColumn("__s", F.col("n") * spread).agg(*[(F.sum(F.col("__s") * F.col(c)) / x).alias(c) for c, x in zip(names, scale, strict=True)]).first()
-    steep = max(sums[c] for c in names)
-    now = list(mix.totals)
-    done = 0
-    for step in range(STEPS):
-        miss = [(a - b) / s for a, b, s in zip(now, mix.targets, scale, strict=True)]
-        if max(map(abs, miss)) <= MISS:
-            break
-        mix.steps.append([m / s / steep for m, s in zip(miss, scale, strict=True)])
-        if len(mix.steps) - done > WRITTEN:
-            at = len(mix.steps) - 1
-            held = Mix(mix.features, mix.domains, mix.weights, mix.priors, mix.scale, floor, mix.steps[:at])
-            rows = materialise(rows.withColumn("rate", held.rate([F.col(c) for c in names], F.col("rate"), done)).withColumn("done", F.lit(at)), "mix-rates")
-            done = at
-        rate = mix.rate([F.col(c) for c in names], F.col("rate"), done)
-        got = rows.withColumn("__r", rate * F.col("n")).agg(*[F.sum(F.col("__r") * F.col(c)).alias(c) for c in names]).first()
-        before, now = now, [got[c] for c in names]
-        squares = [sum(((a - b) / s) ** 2 for a, b, s in zip(x, mix.targets, scale, strict=True)) for x in (before, now)]
-        if squares[1] > (1 - GAIN) * squares[0]:
-            break
-    mix.reached = now
-    missed = {d: a / b for d, a, b, s in zip(mix.domains, now, mix.targets, scale, strict=True) if abs(a - b) > 10 * MISS * s and b}
+    mix.steps, mix.reached = _descend(rows, names, np.array(mix.targets), np.array(scale), all_, floor)
+    missed = {d: a / b for d, a, b, s in zip(mix.domains, mix.reached, mix.targets, scale, strict=True) if abs(a - b) > MISS * s and b}
     if missed:
-        warnings.warn(f"the mix has these shares of its targets: {missed}", stacklevel=2)
-    rows = rows.withColumn("rate", mix.rate([F.col(c) for c in names], F.col("rate"), done)).withColumn("done", F.lit(len(mix.steps)))
-    return mix, rows
+        warnings.warn(f"no rates meet all targets; the nearest mix has these shares of them: {missed}", stacklevel=2)
+    return mix, rows.withColumn("rate", mix.rate([F.col(c) for c in names]))
+
+
+def _descend(rows: DataFrame, names: list[str], targets: np.ndarray, scale: np.ndarray, tokens_: float, floor: float) -> tuple[list[float], list[float]]:
+    """The sum of all steps, and the tokens reached, at the least sum of squared relative misses plus hold times the mean
+    squared change of rates.
+
+    At the optimum the steps are the misses times 1 / hold, which is what the gradient here measures. Steps are scaled by the
+    matrix of the rates that are above the floor, halved until the dual objective grows, and taken until the gradient is
+    zero. A fit that does not end raises.
+    """
+    k = len(names)
+    p = [F.col(c) for c in names]
+
+    def at(y: np.ndarray, hold: float) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """Objective, gradient, matrix and tokens for the multipliers y."""
+        move = sum((c * F.lit(float(x)) for c, x in zip(p, y * tokens_ / hold / scale, strict=True)), F.lit(0.0))
+        r = rows.select("n", *names, F.greatest(F.lit(float(floor)), 1 - move).alias("r"), (1 - move > floor).cast("int").alias("free"))
+        sums = [F.sum(F.col("n") * F.col("r") * c).alias(f"t{i}") for i, c in enumerate(p)]
+        sums += [F.sum(F.col("n") * F.col("free") * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)]
+        got = r.agg(F.sum(F.col("n") * (F.col("r") - 1) ** 2).alias("change"), *sums).first()
+        reached = np.array([got[f"t{i}"] for i in range(k)])
+        matrix = np.array([[got[f"m{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) / np.outer(scale, scale)
+        miss = (reached - targets) / scale
+        return float(y @ miss + hold / 2 / tokens_ * got["change"] - y @ y / 2), miss - y, matrix, reached
+
+    y = np.zeros(k)
+    for n, hold in enumerate(HOLDS):
+        if n:  # begin with the steps that the last ones ended with
+            y = y * hold / HOLDS[n - 1]
+        value, gradient, matrix, reached = at(y, hold)
+        for _ in range(STEPS):
+            if np.abs(gradient).max() <= ENDED:
+                break
+            step, size = np.linalg.solve(np.eye(k) + tokens_ / hold * matrix, gradient), 1.0
+            while True:
+                tried = at(y + size * step, hold)
+                if tried[0] >= value + 1e-4 * size * float(gradient @ step) - 1e-13 * max(1.0, abs(value)) or size < 1e-6:
+                    break
+                size /= 2
+            y = y + size * step
+            value, gradient, matrix, reached = tried
+        else:
+            raise RuntimeError(f"the fit of the mix has not ended after {STEPS} steps: its gradient is {gradient.tolist()}")
+    return (y * tokens_ / HOLDS[-1] / scale).tolist(), reached.tolist()
 
 
 def rates(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -246,12 +268,13 @@ def rates(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
 
 def mixed(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, **options) -> DataFrame:
     """docs with each row as often as its rate says: the whole part, and once more with the rest as probability, which a
-    hash of the identifier decides. Text and the other columns do not move between machines."""
+    hash of the identifier and the text decides: rows with a null identifier are rounded each by its text, and only rows that
+    repeat both are all rounded alike, on any cluster. Text and the other columns do not move between machines."""
     mix, _ = fit(docs, labelled, id_col, text_col, **options)
     row = F.struct(*[F.col(c) for c in docs.columns], F.lit(0).alias("__"))
     rows = docs.select(row.alias("row"), counts(F.col(text_col), mix.features).cast("array<double>").alias("seen"))
     rows = with_posteriors(rows, mix, "seen").withColumn("rate", mix.rate([F.col(c) for c in _columns(len(mix.domains))]))
-    unit = F.pmod(F.xxhash64(F.lit(seed), F.col("row").getField(id_col).cast("string")), F.lit(1 << 30)) / float(1 << 30)
+    unit = F.pmod(F.xxhash64(F.lit(seed), F.col("row").getField(id_col).cast("string"), F.col("row").getField(text_col)), F.lit(1 << 30)) / float(1 << 30)
     copies = (F.floor("rate") + (unit < F.col("rate") - F.floor("rate")).cast("int")).cast("int")
     rows = rows.withColumn("copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))))
     return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -14,10 +14,10 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.base import held_out, trained_part
+from graphloom.llm.base import held_out, materialise
 
 #: Hash buckets (a power of two of them), vector length, lengths of character n-grams.
 BITS, DIM, GRAMS = 18, 8, (3, 5)
@@ -26,8 +26,9 @@ BUCKETS = 1 << BITS
 SAME = 1
 #: Bytes of words that are hashed at a time.
 PIECE = 1 << 20
-#: Labelled documents that training takes at most, passes over them, first learning rate.
-SAMPLE, EPOCHS, RATE = 4000, 10, 0.6
+#: Labelled documents that training takes at most, and different features of all of them together (8 bytes each), passes
+#: over them, first learning rate.
+SAMPLE, FEATURES, EPOCHS, RATE = 4000, 1 << 25, 10, 0.6
 
 
 ODD, ODD32 = np.uint64(0x9E3779B97F4A7C15), np.uint32(0x85EBCA6B)
@@ -91,10 +92,15 @@ def _bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and their shares."""
     ids = buckets(text)
     found, counts = np.unique(ids, return_counts=True)
-    return found, (counts / max(1, len(ids))).astype(np.float32)
+    return found.astype(np.int32), (counts / max(1, len(ids))).astype(np.float32)
 
 
 def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 3) -> Model:
+    """train_bags() of texts."""
+    return train_bags([_bag(t) for t in texts], labels, epochs, seed)
+
+
+def train_bags(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epochs: int = EPOCHS, seed: int = 3) -> Model:
     """Learn vectors and softmax weights for two classes, one document at a time. With texts of one class or none there is
     nothing to tell apart, and the bias is that of the labels' shares with one more of each."""
     if len(set(labels)) < 2:
@@ -102,7 +108,6 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     rng = np.random.default_rng(seed)
     vectors = ((rng.random((BUCKETS, DIM)) - 0.5) / DIM).astype(np.float32)
     weights, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
-    bags = [_bag(t) for t in texts]
     total, step = epochs * len(bags), 0
     for _ in range(epochs):
         for i in rng.permutation(len(bags)):
@@ -122,21 +127,32 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     return Model((vectors @ (weights[:, 1] - weights[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
-    """Train on at most sample rows that are labelled and not held out.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, features: int = FEATURES) -> Model:
+    """Train on at most sample rows that are labelled and not held out, and on no more than have features different features.
 
     The sample is by hash of the identifier: of each of sample buckets the row with the smallest hash. Labels other than
-    0 and 1, and identifiers with both, are not learned from; of rows that repeat an identifier the smallest text counts,
-    and of a long text trained_part(). Where only one label is left to learn from, or none, all texts get the prior.
+    0 and 1, and identifiers with both, are not learned from; of rows that repeat an identifier the smallest text counts.
+    Features are counted where a document is, over its whole text; should those of all exceed features, documents count in
+    the order of their hashes as far as it goes. Where only one label is left to learn from, or none, all texts get the
+    prior.
     """
     mark = lambda c: F.xxhash64(F.lit("quality"), F.col(c))
     marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     marked = marked.groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.min(label_col).alias("low"), F.max(label_col).alias("high"))
     few = marked.where("low = high").groupBy(F.pmod(mark("__id"), F.lit(sample)).alias("__bucket")).agg(F.min_by(F.struct("__id", F.col("low").cast("int").alias("label")), mark("__id")).alias("r")).select("r.__id", "r.label")
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text"))
-    rows = rows.join(F.broadcast(few), "__id").groupBy("__id", "label").agg(F.min(trained_part(F.col("text"))).alias("text"))  # at most sample rows
-    got = sorted((r.text, r.label) for r in rows.collect())
-    return train([t for t, _ in got], [y for _, y in got])
+    rows = rows.join(F.broadcast(few), "__id").groupBy("__id", "label").agg(F.min("text").alias("text"))  # few: at most sample rows
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_bag(t) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(i) for i, _ in found], pa.int64()), pa.array([i.tobytes() for i, _ in found], pa.binary()), pa.array([s.tobytes() for _, s in found], pa.binary())], ["id", "label", "n", "ids", "shares"])
+
+    found = materialise(rows.select("__id", "label", "text").mapInArrow(bags, "id long, label int, n long, ids binary, shares binary"), "quality-bags")
+    so_far = F.sum("n").over(Window.orderBy(mark("id"), "id"))  # at most sample rows
+    kept = found.join(F.broadcast(found.select("id", "n").withColumn("upto", so_far).where(F.col("upto") <= features).select("id")), "id", "left_semi")
+    got = sorted((r.id, r.label, bytes(r.ids), bytes(r.shares)) for r in kept.collect())
+    return train_bags([(np.frombuffer(i, np.int32), np.frombuffer(s, np.float32)) for _, _, i, s in got], [y for _, y, _, _ in got])
 
 
 def score_text(text: str | None, model: Model) -> float:

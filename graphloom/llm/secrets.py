@@ -37,7 +37,11 @@ B64_AT = re.compile(r"M")
 B64_SSH = re.compile(r"b3BlbnNzaC1rZXktdjE[A-Za-z0-9+/_-]*={0,2}")
 HEX_DER = re.compile(r"30[0-9A-Fa-f]{46,}")
 JSON_AT = re.compile(rb"\{[ \t\r\n]*(\"|$)")
-JWT = re.compile(r"e[wy][A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+#: Three parts of a run: what stands before a dot, between dots and behind; and where a head may begin in the first.
+TOKEN_PART = re.compile(r"[A-Za-z0-9_-]+")
+HEAD_AT = re.compile(r"e[wy]")
+#: Characters of a head that are looked at before all of it is, a multiple of 4; how near their end an error may be its doing.
+AHEAD, CUT = 256, 16
 SSH_MAGIC = b"openssh-key-v1\x00"
 
 
@@ -166,15 +170,36 @@ def _hex_der_in(run: str) -> tuple[int, int] | None:
     return None
 
 
+def _no_head(text: str) -> bool:
+    """Whether the beginning of a long head tells that it is no JSON, so that the rest need not be decoded."""
+    if len(text) <= AHEAD or (data := _b64(text[:AHEAD])) is None:
+        return False
+    begin = data.decode("utf-8", "replace")
+    try:
+        json.JSONDecoder().raw_decode(begin)
+    except json.JSONDecodeError as e:
+        return not e.msg.startswith("Unterminated") and e.pos < len(begin) - CUT
+    except RecursionError:
+        return False
+    return False
+
+
 def _tokens_in(text: str) -> Iterator[tuple[int, int]]:
-    """Signed tokens; where one does not parse, the next start may be inside of it."""
-    at = 0
-    while m := JWT.search(text, at):
-        if JSON_AT.match(_b64(m[0][:8]) or b"") and signed_token(m[0]):
-            yield m.span()
-            at = m.end()
-        else:
-            at = m.start() + 1
+    """Signed tokens; where one does not parse, the next start may be inside of it. Runs are taken apart at their dots once,
+    and starts are tried only before a dot, another part and a dot."""
+    parts, end = list(TOKEN_PART.finditer(text)) if "." in text else [], 0
+    for i, first in enumerate(parts[:-1]):
+        second = parts[i + 1]
+        if second.start() != first.end() + 1 or text[first.end()] != "." or text[second.end() : second.end() + 1] != ".":
+            continue
+        third = parts[i + 2] if i + 2 < len(parts) and parts[i + 2].start() == second.end() + 1 else None
+        stop, begin = third.end() if third else second.end() + 1, max(end, first.start())
+        for m in HEAD_AT.finditer(text, begin, max(begin, first.end() - 6)):
+            head = text[m.start() : first.end()] if JSON_AT.match(_b64(text[m.start() : m.start() + 8]) or b"") else ""
+            if head and not _no_head(head) and signed_token(text[m.start() : stop]):
+                yield m.start(), stop
+                end = stop
+                break
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:

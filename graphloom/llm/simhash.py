@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.base import Links, blocks_for, components, materialise, sized_broadcast
+from graphloom.llm.base import Links, blocks_for, components, join_counted, materialise, meet_by_number
 
 SEED = 42
 #: Distinct fingerprints in a tile, on average at most; a table of fewer is dealt into so many tiles (and one a cell more).
@@ -34,6 +34,13 @@ WIDER = 4
 CHUNK, SHINGLES = 4096, 1 << 20
 
 
+def _wide(data: bytes, seed: int) -> bytes:
+    return xxhash.xxh3_128_digest(data, seed) + xxhash.xxh3_128_digest(data, seed + 1)
+
+
+DIGESTS = {64: xxhash.xxh64_digest, 128: xxhash.xxh3_128_digest, 256: _wide}
+
+
 def _shingles(text: bytes, words: int) -> tuple[bytes, Iterable[tuple[int, int]]]:
     """The text in lower case with single spaces, and where in it each shingle starts and ends."""
     norm = b" ".join(text.lower().split())
@@ -63,7 +70,7 @@ def fingerprint(text: bytes, words: int, bits: int, distinct: bool = False) -> t
     norm, spans = _shingles(text, words)
     if not norm:
         return 0, bytes(bits // 8)
-    digest = xxhash.xxh64_digest if bits == 64 else xxhash.xxh3_128_digest
+    digest = DIGESTS[bits]
     if distinct:
         spans = {norm[a:b]: (a, b) for a, b in spans}.values()
     ones, total = np.zeros(bits, np.int64), 0
@@ -74,21 +81,23 @@ def fingerprint(text: bytes, words: int, bits: int, distinct: bool = False) -> t
     return total, np.packbits(ones * 2 > total).tobytes()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = 64, distinct: bool = False) -> DataFrame:
-    """(id, shingles, ones, fp binary) of every row's whole text. A null text counts as empty: no shingle, fingerprint zero."""
-    if bits not in (64, 128):
-        raise ValueError("bits is 64 or 128")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = 64, distinct: bool = False, rid_col: str | None = None) -> DataFrame:
+    """(id, shingles, ones, fp binary) of every row's whole text, and rid if there is a column of row numbers. A null text
+    counts as empty: no shingle, fingerprint zero. Rows that repeat are all returned, as are null ids."""
+    if bits not in DIGESTS:
+        raise ValueError("bits is 64, 128 or 256")
+    more = [rid_col] if rid_col else []
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(x.as_py() or b"", words, bits, distinct) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([int.from_bytes(f).bit_count() for _, f in found], pa.int32()), pa.array([f for _, f in found], pa.binary())],
-                ["id", "shingles", "ones", "fp"],
+                [batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([int.from_bytes(f).bit_count() for _, f in found], pa.int32()), pa.array([f for _, f in found], pa.binary()), *batch.columns[2:]],
+                ["id", "shingles", "ones", "fp", *more],
             )
 
-    return rows.mapInArrow(run, "id long, shingles long, ones int, fp binary")
+    return rows.mapInArrow(run, "id long, shingles long, ones int, fp binary" + ", rid long" * bool(more))
 
 
 def _words(fp: pd.Series) -> np.ndarray:
@@ -119,7 +128,7 @@ def meet(a: _Tile, b: _Tile, radius: int, links: Links | _Ratio) -> None:
         for k in range(0, len(at), WIDE):
             part = at[k : k + WIDE]
             others = b.fp[part]
-            differ = np.bitwise_count(fp[:, :1] ^ others[None, :, 0])
+            differ = np.bitwise_count(fp[:, :1] ^ others[None, :, 0]).astype(np.uint8 if fp.shape[1] < 4 else np.uint16)
             for w in range(1, fp.shape[1]):
                 differ += np.bitwise_count(fp[:, w : w + 1] ^ others[None, :, w])
             x, y = np.divmod(np.flatnonzero((differ <= radius).ravel()), len(part))
@@ -138,7 +147,8 @@ def link_components(prints: DataFrame, radius: int = 4, min_ratio: float | None
     """
     spark = prints.sparkSession
     key = ["fp"] if min_ratio is None else ["fp", "shingles"]
-    nodes = prints.groupBy(*key).agg(F.min("id").alias("id"), F.first("ones").alias("ones"))
+    all_nodes = materialise(prints.groupBy(*key).agg(F.min("id").alias("id"), F.first("ones").alias("ones"), F.count("*").alias("rows")), "simhash-keys")
+    nodes = all_nodes.drop("rows")
     if min_ratio is None:
         cell, reach = F.col("ones"), radius
     else:
@@ -173,8 +183,10 @@ def link_components(prints: DataFrame, radius: int = 4, min_ratio: float | None
 
     edges = dealt.groupBy("t1", "t2").applyInPandas(compare, "a long, b long")
     roots = components(edges)
-    named = nodes.join(roots, nodes.id == roots.node, "left").select(*key, F.coalesce("root", "id").alias("component"))
-    return prints.join(named, key, "left")
+    # a fingerprint of very many rows, as copies and empty texts have, is a heavy key
+    named = all_nodes.join(roots, F.col("id") == F.col("node"), "left").select(F.struct(*key).alias("key"), F.coalesce("root", "id").alias("component"), "rows")
+    total = named.agg(F.sum("rows")).first()[0] or 0
+    return join_counted(prints.withColumn("key", F.struct(*key)), named, "key", "rows", total).drop("key")
 
 
 class _Ratio:
@@ -238,22 +250,23 @@ def confirmed(sets: list[np.ndarray], least: float, first: int = 0) -> tuple[np.
     return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
 
-def confirmed_components(docs: DataFrame, candidates: DataFrame, similarity: float, words: int) -> DataFrame:
-    """docs(id, text binary), candidates(id, component, shingles) -> (node, root), linking texts of a component whose sets of shingles are of that similarity or more.
+def confirmed_components(texts: DataFrame, candidates: DataFrame, similarity: float, words: int) -> DataFrame:
+    """texts(rid, text), candidates(rid, id, component, shingles) -> (node, root), linking ids of a component whose sets of shingles are of that similarity or more.
 
-    Large components are dealt into chunks of which each two meet; small ones are confirmed many at a time. candidates
-    must be a table that can be read again cheaply.
+    Large components are dealt into chunks of which each two meet; small ones are confirmed many at a time. Both must be
+    tables that can be read again cheaply, with the row numbers that the texts were written with. Only the sets of texts in
+    components of several move.
     """
     sizes = candidates.groupBy("component").agg(F.count("*").alias("m"), F.sum("shingles").alias("s")).where("m > 1")
     sizes = materialise(sizes.withColumn("chunks", F.ceil(F.greatest(F.col("m") / CHUNK, F.col("s") / SHINGLES)).cast("int")), "near-sizes")
-    groups, members, shingles = sizes.agg(F.count("*"), F.sum("m"), F.sum("s")).first()
+    members, shingles = sizes.agg(F.sum("m"), F.sum("s")).first()
     batches = max((members or 0) // CHUNK, (shingles or 0) // SHINGLES) + 1
     # a batch of small components, or a large one by itself
-    sizes = sizes.select("component", F.greatest("chunks", F.lit(1)).alias("chunks"))
+    sizes = sizes.select("component", F.greatest("chunks", F.lit(1)).alias("chunks"), "m")
     batch = F.when(F.col("chunks") > 1, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(batches)))
-    chosen = candidates.join(sized_broadcast(sizes, groups), "component").select("id", "component", "chunks", batch.alias("batch"), (F.col("chunks") > 1).alias("large")).distinct()
+    chosen = join_counted(candidates.select("rid", "id", "component"), sizes, "component", "m", members or 0).select("rid", "id", "component", "chunks", batch.alias("batch"), (F.col("chunks") > 1).alias("large"))
     chosen = materialise(chosen, "near-candidates")
-    rows = docs.join(sized_broadcast(chosen, members or 0), "id").select("id", "component", "chunks", "batch", "large", "text")
+    rows = meet_by_number(texts.select("rid", "text"), chosen, "near-chosen").select("id", "component", "chunks", "batch", "large", "text")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,17 +292,35 @@ def confirmed_components(docs: DataFrame, candidates: DataFrame, similarity: flo
     return components(rows.groupBy("large", "batch", "t1", "t2").applyInPandas(confirm, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 128) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 256) -> DataFrame:
     """(id, component) of every document, linking texts whose Jaccard similarity on sets of word shingles is that much or more.
 
-    Fingerprints give candidates, of which each link is confirmed on the whole sets (as 64-bit hashes). Null and empty
+    Fingerprints give candidates, of which each link is confirmed on the whole sets (as 64-bit hashes). With 256 bits, two
+    unrelated ones lie within the radius with a probability of some 1e-17, so that components of candidates are groups of
+    like texts even among 1e10 of them (with 128 bits it was 1.5e-7, and they would all hang together). Null and empty
     texts have no shingle and link with each other. A null id links with nothing and keeps a null component.
     """
-    prints = materialise(fingerprints(docs, id_col, text_col, words, bits, distinct=True), "simhash")
-    candidates = link_components(prints, radius_for(similarity, bits), similarity).where("id is not null").select("id", "component", "shingles")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    roots = confirmed_components(rows, materialise(candidates, "near-linked"), similarity, words)
-    return prints.select("id").join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("component"))
+    _, found = _near(docs, id_col, text_col, words, similarity, bits)
+    return found.select("id", "component")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 256) -> DataFrame:
+    """docs without those that near_duplicates() has under another component than their own id. Rows with a null id stay, as
+    do rows that repeat the id that stays. Whole rows are written once and do not move."""
+    texts, found = _near(docs, id_col, text_col, words, similarity, bits)
+    stays = found.where("id is null or id = component").select("rid")
+    return meet_by_number(texts.select("rid", "carried"), stays, "near-stays").select(*[F.col("carried").getField(c).alias(c) for c in docs.columns])
+
+
+def _near(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, bits: int) -> tuple[DataFrame, DataFrame]:
+    """The rows as they were written and numbered, and (rid, id, component) of each."""
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("id"), F.struct(*[F.col(c) for c in docs.columns]).alias("carried"))
+    texts = materialise(rows, "near-texts").withColumn("text", F.col("carried").getField(text_col).cast("binary"))
+    prints = materialise(fingerprints(texts, "id", "text", words, bits, distinct=True, rid_col="rid"), "simhash")
+    candidates = link_components(prints, radius_for(similarity, bits), similarity).where("id is not null").select("rid", "id", "component", "shingles")
+    roots = confirmed_components(texts, materialise(candidates, "near-linked"), similarity, words)
+    named = prints.select("rid", "id").join(roots, F.col("id") == F.col("node"), "left")
+    return texts, materialise(named.select("rid", "id", F.coalesce("root", "id").alias("component")), "near-components")
 
 
 def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:

@@ -17,11 +17,10 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.base import join_counted, materialise, scratch, sized_broadcast
+from graphloom.llm.base import join_counted, materialise, meet_by_number, open_folder, scratch
 
 #: Bytes in a chunk, and bytes of chunks in a batch of rows.
 CHUNK, HELD = 1 << 18, 1 << 23
@@ -36,21 +35,6 @@ TASKS = 20_000
 CRLF = b"\r\n"
 
 
-#: Names that Hadoop has for file systems, and Arrow's.
-SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "abfss": "abfss", "wasbs": "abfss"}
-
-
-def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a folder and its path there: any scheme that Arrow knows or that is another name of one, or a
-    local path."""
-    scheme, _, rest = uri.partition(":")
-    if scheme == "dbfs":  # a mount on every machine
-        return pafs.LocalFileSystem(), "/dbfs/" + rest.lstrip("/")
-    if "://" in uri:
-        return pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
-    return pafs.LocalFileSystem(), uri.removeprefix("file:")
-
-
 def record_id(number: int | None) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'record:{number}')}>"
 
@@ -122,13 +106,12 @@ def records(parts: DataFrame) -> DataFrame:
     rows = parts.where("last").select("rid", "id", "bytes", "sha1", "sha256")
     groups = rows.groupBy("sha256", "sha1", "bytes").agg(F.max("id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
     groups = materialise(groups, "warc-repeats")
-    keys, total = groups.agg(F.count("*"), F.sum("n")).first()
-    total = total or 0
+    total = groups.agg(F.sum("n")).first()[0] or 0
     key = F.struct("sha256", "sha1", "bytes")
     repeats = groups.select(key.alias("key"), "refers_to", "n")
-    known = join_counted(rows.withColumn("key", key).select("key", "rid", "id"), repeats, "key", "n", total, keys) if total else rows.select("rid", "id").withColumn("refers_to", F.lit(None).cast("long")).limit(0)
+    known = join_counted(rows.withColumn("key", key).select("key", "rid", "id"), repeats, "key", "n", total) if total else rows.select("rid", "id").withColumn("refers_to", F.lit(None).cast("long")).limit(0)
     revisits = known.where(F.col("refers_to").isNotNull() & ~F.col("id").eqNullSafe(F.col("refers_to"))).select("rid", "refers_to")
-    out = rows.join(sized_broadcast(revisits, total), "rid", "left")
+    out = rows.join(revisits, "rid", "left")
     return out.select("rid", "id", "bytes", "sha1", F.when(F.col("refers_to").isNotNull(), F.lit("revisit")).otherwise(F.lit("response")).alias("type"), "refers_to")
 
 
@@ -144,9 +127,9 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     # what a record's first chunk needs to know of the whole
     about = about.select("rid", "type", "refers_to", F.col("sha1").alias("whole_sha1"), F.col("bytes").alias("whole"))
     several = (F.col("type") == "response") & (F.col("whole") > CHUNK)
-    size, count, long = about.agg(F.sum(F.when(several, F.col("whole"))), F.count("*"), F.count(F.when(several, 1))).first()
+    size, long = about.agg(F.sum(F.when(several, F.col("whole"))), F.count(F.when(several, 1))).first()
     tasks = max(-(-(size or 0) // TASK_BYTES), -(-long // TASK_RECORDS), 1)
-    rows = parts.select("rid", "id", "url", "chunk", "data").join(sized_broadcast(about, count), "rid").where("type = 'response' or chunk = 0")
+    rows = meet_by_number(parts.select("rid", "id", "url", "chunk", "data"), about, "warc-about").where("type = 'response' or chunk = 0")
     data = F.when(F.col("type") == "response", F.col("data")).otherwise(F.lit(b""))
     rows = rows.select("id", "url", "type", "refers_to", F.col("whole_sha1").alias("sha1"), F.col("whole").alias("bytes"), "rid", "chunk", data.alias("data"))
     # only records of several chunks move, to have theirs in one task and in order

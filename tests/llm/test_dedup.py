@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from graphloom.llm import base, exact_dedup, hnsw, simhash
+from graphloom.llm import base, exact_dedup, hnsw, simhash, warc
 
 
 class Roots:
@@ -284,16 +284,16 @@ def test_a_narrow_beam_widens():
     assert len(a) == len(x)
 
 
-def test_an_audit_without_links_does_not_pass():
-    # two shards that share one pair of vectors, which no few queries meet; the graph finds nothing by itself
+def test_an_audit_is_never_empty():
+    # two shards that share one pair of vectors, which no few queries meet; the graph finds nothing by itself, and so fails
     rng = np.random.default_rng(9)
     v, q = hnsw.unit(rng.standard_normal((400, 32))), hnsw.unit(rng.standard_normal((400, 32)))
     q[211] = v[97]
     graph = hnsw.Graph(v)
     graph.count[0][:] = 0
     graph.near[0][:] = -1
-    a, b = hnsw.links_between(graph, v, q, 0.93)
-    assert (211, 97) in set(zip(a.tolist(), b.tolist(), strict=True))
+    a, b, want, hits = hnsw.audited_links(graph, v, q, 0.93)
+    assert (211, 97) in set(zip(a.tolist(), b.tolist(), strict=True)) and want == hits >= 10 * hnsw.AUDITED
 
 
 def test_equal_vectors_over_shards(spark):
@@ -311,18 +311,63 @@ def test_equal_vectors_over_shards(spark):
     assert report["recall"] == 1.0 and report["wanted"] > 0
 
 
-def test_rare_links_between_large_shards_are_all_found():
-    # as many vectors as a shard has, and no more links than an audit by few queries would meet
+def test_links_of_a_full_shard_come_from_the_graph(monkeypatch):
+    # as many vectors as a shard has, with few links between two shards
     rng = np.random.default_rng(12)
     v, q = hnsw.unit(rng.standard_normal((hnsw.SHARD, 24))), hnsw.unit(rng.standard_normal((hnsw.SHARD, 24)))
     for k in range(90):
         noise = rng.standard_normal(24)
         q[37 * k] = hnsw.unit((v[41 * k] + 0.078 * noise)[None])[0]
     x, y = np.nonzero(q @ v.T >= 0.93)
-    graph = hnsw.Graph(v[:50])  # never asked here: with so few links all queries are compared
-    graph.v = v.astype(np.float32)
-    a, b, want, hits = hnsw.audited_links(graph, v, q, 0.93)
-    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == sorted(zip(x.tolist(), y.tolist(), strict=True)) and want == hits == len(x) > 50
+    searched, within = [], hnsw.Graph.within
+    monkeypatch.setattr(hnsw.Graph, "within", lambda self, *a: searched.append(1) or within(self, *a))
+    monkeypatch.setattr(hnsw, "exact", None)  # nothing is compared but the audit
+    a, b, want, hits = hnsw.audited_links(hnsw.Graph(v), v, q, 0.93)
+    assert len(searched) >= hnsw.SHARD + hnsw.AUDITED and hits >= hnsw.RECALL * want > 0
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == sorted(zip(x.tolist(), y.tolist(), strict=True)) and len(x) > 50
+
+
+def test_meeting_by_number(spark, monkeypatch):
+    """Long rows stay where they are: the plan has no exchange of them, and the result is that of a join."""
+    monkeypatch.setattr(base, "OPEN", 1)
+    rows = base.materialise(spark.range(0, 5000, 1, 7).select(F.monotonically_increasing_id().alias("rid"), "id", F.repeat(F.lit("x"), 50).alias("text")), "t")
+    twice = rows.unionByName(rows.where("id % 9 = 0"))
+    told = rows.where("id % 3 = 0 and id < 4000").select("rid", (F.col("id") * 2).alias("twice"), F.when(F.col("id") % 2 == 0, F.struct("id")).alias("s")).orderBy(F.rand(1))
+    got = base.meet_by_number(twice, told, "t")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    want = twice.join(told, "rid")
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 1300
+    assert base.meet_by_number(rows, told.limit(0), "t").count() == 0 and base.meet_by_number(rows.limit(0), told, "t").count() == 0
+
+
+def test_texts_do_not_move_whatever_the_number_of_copies(spark, monkeypatch):
+    """With no side small enough for a broadcast, only texts that hit a digest are shuffled, and no payload of one chunk."""
+    monkeypatch.setattr(base, "BROADCAST_ROWS", 1)
+    rng = random.Random(3)
+    body = lambda: "".join(rng.choice("abcdefghij ") for _ in range(4000))
+    rows = [(i, body()) for i in range(300)] + [(1000 + i, f"copy {i // 2}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    texts = sum(len(t) for _, t in rows)
+
+    def written(run):
+        seen = {s.stageId() for s in _stages(spark)}
+        run()
+        return sum(s.shuffleWriteBytes() for s in _stages(spark) if s.stageId() not in seen)
+
+    docs = base.materialise(docs, "t")
+    assert written(lambda: exact_dedup.deduplicate(docs).write.format("noop").mode("overwrite").save()) < 0.15 * texts
+    assert written(lambda: exact_dedup.exact_groups(docs).write.format("noop").mode("overwrite").save()) < 0.2 * texts
+    pages = base.materialise(docs.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html")), "t")
+    assert written(lambda: warc.round_trip(pages).count()) < 0.3 * texts
+    assert written(lambda: simhash.deduplicate(docs).write.format("noop").mode("overwrite").save()) < 0.5 * texts
+    assert exact_dedup.deduplicate(docs).count() == 330
+
+
+def _stages(spark):
+    gateway = spark.sparkContext._gateway
+    none = gateway.jvm.java.util.ArrayList()
+    found = spark.sparkContext._jsc.sc().statusStore().stageList(none, False, False, gateway.new_array(gateway.jvm.double, 0), none)
+    return [found.apply(i) for i in range(found.size())]
 
 
 def test_components_with_heavy_hubs(spark, monkeypatch):

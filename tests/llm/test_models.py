@@ -58,12 +58,27 @@ def test_the_sample_is_bounded(spark, monkeypatch):
     langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=160)
     (texts, labels), = seen
     assert labels == ["x", "y"] and len(texts) == 2
-    from graphloom.llm.base import trained_part
-
-    df = spark.createDataFrame([("0123456789" * 10,), ("short",)], "text string")
-    text = "0123456789" * 10
-    assert df.select(trained_part(F.col("text"), 20, 4)).first()[0] == "".join(text[a : a + 5] for a in (0, 31, 63, 95))
-    assert [len(r[0]) for r in df.select(trained_part(F.col("text"), 20, 4)).collect()] == [20, 5]
+    # windows are drawn evenly from all of a text
+    text = bytes(range(64)) * 3 + b"middle" + bytes(64 * 996 - 6) + b"end"
+    assert langid.drawn_windows(text, 1000) == text
+    few = langid.drawn_windows(text, 5)
+    assert len(few) == 4 * 64 + 3 and few.startswith(bytes(range(64))) and few.endswith(b"end")
+    assert few[64:128] == text[64 * 249 : 64 * 250]
+
+
+def test_training_reads_whole_texts(spark):
+    """What tells the classes apart stands behind a megabyte of what does not."""
+    same = "the of and " * 90_000
+    docs = [(i, same + (" zug zig zag" if i % 2 else " bim bam bum") * 4000, "x" if i % 2 else "y") for i in range(12)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = quality.fit(df, df.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")))
+    got = [quality.score_text(t, model) for t in ("zug zig zag " * 50, "bim bam bum " * 50)]
+    assert got[0] > 0.5 > got[1]
+    mix = mixing.learn(df.select(F.col("doc_id").alias("id"), "text"), df.select(F.col("doc_id").alias("id"), F.col("lang").alias("domain")))
+    assert any("z" in f for f in mix.features) and any("b" in f for f in mix.features)
+    # documents count in the order of their hashes as far as the bound on features goes
+    few = quality.fit(df, df.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")), features=30)
+    assert not few.part.any()
 
 
 def test_language_equals_a_plain_forward_pass():
@@ -191,14 +206,7 @@ def test_mixing_meets_targets(spark):
         reached = sum(r["n"] * r["rate"] * r[f"__p{k}"] for r in n)
         assert math.isclose(reached, mix.targets[k], rel_tol=0.03) and math.isclose(reached, mix.reached[k], rel_tol=1e-6)
     assert min(r["rate"] for r in n) >= 0 and all(math.isclose(sum(r[f"__p{k}"] for k in range(4)), 1) for r in n)
-    # the same steps in numpy
-    t, p = np.array([r["n"] for r in n]), np.array([[r[f"__p{k}"] for k in range(4)] for r in n])
-    b = np.array(mix.targets)
-    steep = ((p * t[:, None] / b).T @ (p / b)).sum(axis=1).max()
-    r = np.ones(len(n))
-    for _ in mix.steps:
-        r = np.maximum(0, r - p @ (((p * (t * r)[:, None]).sum(axis=0) - b) / b / b / steep))
-    assert np.allclose(r, [x["rate"] for x in n])
+    assert all(math.isclose(r["rate"], max(0.0, 1 - sum(r[f"__p{k}"] * mix.steps[k] for k in range(4))), abs_tol=1e-6) for r in n)
     best = {r.id: r.domain for r in mixing.rates(docs, labelled, targets=want).collect()}
     held = [i for i in best if zlib.crc32(str(i).encode()) % 5 == 0]
     taught = labelled.where(~F.col("id").isin(held))
@@ -206,6 +214,40 @@ def test_mixing_meets_targets(spark):
     assert sum(best[i] == truth[i] for i in held) >= 0.95 * len(held)
 
 
+@pytest.mark.parametrize("want", [(8, 1, 1, 1), (50, 1, 1, 1), (1, 0, 0, 0), (1, 1, 1, 1), (1, 1000, 1, 1)])
+@pytest.mark.parametrize("floor", [0.0, 0.5])
+def test_mixing_reaches_the_optimum(spark, want, floor):
+    """Harsh targets, on soft posteriors, against the least squares that numpy finds."""
+    rng = np.random.default_rng(1)
+    p = rng.dirichlet([0.7] * 4, 400) * 0.8 + 0.05
+    t = rng.integers(1, 200, 400).astype(float)
+    totals = t @ p
+    targets = np.array(want) / sum(want) * totals.sum()
+    scale = np.where(targets > 0, targets, totals)
+    rows = spark.createDataFrame([(float(n), *map(float, x)) for n, x in zip(t, p, strict=True)], "n double, __p0 double, __p1 double, __p2 double, __p3 double")
+    steps, reached = mixing._descend(rows, [f"__p{i}" for i in range(4)], targets, scale, float(totals.sum()), floor)
+    got = np.maximum(floor, 1 - p @ np.array(steps))
+    assert np.allclose((t * got) @ p, reached, rtol=1e-6)
+    # plain projected gradient with momentum, for as long as it takes
+    a = (p * t[:, None] / scale).T
+    size = 1 / np.linalg.norm(a @ a.T, 2)
+    r, before = np.ones(400), np.ones(400)
+    for k in range(60_000):
+        y = r + k / (k + 3) * (r - before)
+        before, r = r, np.maximum(floor, y - size * (a.T @ (a @ y - targets / scale)))
+    loss = lambda x: np.sum((a @ x - targets / scale) ** 2)
+    assert loss(got) <= loss(r) * 1.001 + 1e-5 and np.allclose(a @ got, a @ r, atol=1e-2)
+
+
+def test_null_and_repeated_ids_are_rounded_by_their_texts(spark):
+    rows = [(None, f"aaa bbb {i}", "x") for i in range(200)] + [(1, f"zz yy {i}", "y") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labelled = spark.createDataFrame([(1, "y")], "id long, domain string")
+    out = mixing.mixed(docs, labelled, total=600.0, targets={"y": 1.0})
+    kept = out.groupBy("text").count().count()
+    assert 0.3 < kept / 400 < 0.7  # a rate of a half, each row by itself
+
+
 def test_mixing_features_equal_brute_force(spark):
     docs, truth = rows_of(spark, 60)
     labelled = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("domain"))

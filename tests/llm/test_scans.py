@@ -9,6 +9,7 @@ import json
 import os
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -57,6 +58,16 @@ def test_structure_is_confirmed():
     assert kinds("M" * 5000 + " " + "eyJ" * 3000) == [] and secrets.spans(None) == []
 
 
+def test_time_grows_with_the_text():
+    """A megabyte of what may begin a token is no more than a megabyte."""
+    for text in ("ey" * 500_000, "ey" * 500_000 + ".a.b", "eyJ" * 300_000 + ".eyJ9.x", "ey" * 200_000 + "." + "ey" * 200_000, "M" * 1_000_000):
+        began = time.process_time()
+        assert [k for k, *_ in secrets.spans(text) if k == "jwt"] == []
+        assert time.process_time() - began < 8
+    long = ".".join([url64(b'{"alg":"HS256","pad":"' + b"x" * 50_000 + b'"}'), url64(b'{"sub":"me"}'), url64(b"signature")])
+    assert kinds(f"eyeyey-{long}") == [("jwt", long)]
+
+
 def brute(text):
     """The base kinds by the contract's words, straight on."""
     out = []
