@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import exact_dedup, langid, mixing, packing, simhash, tokens
-from graphloom.llm.base import fresh, materialise, sized_broadcast
+from graphloom.llm.base import fresh, materialise
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -39,9 +39,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each component of near-duplicates: sets of five-word shingles, similarity 0.8 or
     more. Rows with a null doc_id are in no component and stay."""
-    found = simhash.near_duplicates(docs)
-    gone = materialise(found.where("id <> component").select(F.col("id").alias("doc_id")).distinct(), "near-gone")
-    return docs.join(sized_broadcast(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
+    return simhash.deduplicate(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
