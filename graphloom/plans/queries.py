@@ -1,7 +1,7 @@
 """Queries over the given tables, each with the same result as SQL for DuckDB.
 
 The tables hold no threat data, so graph operators run on a stand-in graph of the star schema, and operators on questions
-on the literal questions below (the same rows in both engines).
+on questions made of the rows of tables: each supplier asks one of the wordings below, two of three name itself and its nation.
 """
 
 from __future__ import annotations
@@ -60,15 +60,29 @@ QUESTIONS = [
 ]
 
 
-def questions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(QUESTIONS)), "query_id int, query string")
+def chosen(items: list[str], at: F.Column) -> F.Column:
+    """The item of that number."""
+    return F.get(F.array(*map(F.lit, items)), at.cast("int"))
+
+
+def sql_chosen(items: list[str], at: str) -> str:
+    return f"[{', '.join(map(_literal, items))}][{at} + 1]"
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, query) of each supplier."""
+    key, nation = F.col("s_suppkey"), table(spark, sf_dir, "nation")
+    named = F.concat(F.lit(" "), "n_name", F.lit(" T"), (1000 + key % 8000).cast("string"), F.lit(" and "), "s_name")
+    rows = table(spark, sf_dir, "supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))  # nation: a row for each nation
+    return rows.select(key.cast("int").alias("query_id"), F.trim(F.concat(chosen(QUESTIONS, key % len(QUESTIONS)), F.when(key % 3 == 0, F.lit("")).otherwise(named))).alias("query"))
 
 
 def _literal(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-ASKED = "q(query_id, query) AS (VALUES " + ", ".join(f"({i}, {_literal(t)})" for i, t in enumerate(QUESTIONS)) + ")"
+ASKED = f"""q AS (SELECT s_suppkey::INT AS query_id, trim({sql_chosen(QUESTIONS, f"s_suppkey % {len(QUESTIONS)}")}
+    || CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE ' ' || n_name || ' T' || (1000 + s_suppkey % 8000) || ' and ' || s_name END) AS query FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
 
 
 def joined(items) -> F.Column:
@@ -287,7 +301,7 @@ def _sql_ids(pattern: str) -> str:
 def entity_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("query")
     text = lambda items: F.when(F.size(items) > 0, joined(items))
-    return guard.blacklist(questions(spark)).select("query_id", text(X.external_ids(q)).alias("ids"), text(X.referenced_ids(q)).alias("referenced"), text(X.reference_tokens(q)).alias("tokens"), X.low_signal(q).alias("low_signal"), F.col("category").alias("blocked"))
+    return guard.blacklist(questions(spark, sf_dir)).select("query_id", text(X.external_ids(q)).alias("ids"), text(X.referenced_ids(q)).alias("referenced"), text(X.reference_tokens(q)).alias("tokens"), X.low_signal(q).alias("low_signal"), F.col("category").alias("blocked"))
 
 
 def _sql_types(table_: list[tuple[str, str]]) -> str:
@@ -304,7 +318,7 @@ def _sql_types(table_: list[tuple[str, str]]) -> str:
 def node_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("query")
     text = lambda items: F.when(F.size(items) > 0, joined(items))
-    return questions(spark).select("query_id", text(X.node_types(q)).alias("types"), text(X.node_types(q, in_search=True)).alias("search_types"), text(X.query_platforms(q)).alias("platforms"), X.is_comparison(q).alias("compares"))
+    return questions(spark, sf_dir).select("query_id", text(X.node_types(q)).alias("types"), text(X.node_types(q, in_search=True)).alias("search_types"), text(X.query_platforms(q)).alias("platforms"), X.is_comparison(q).alias("compares"))
 
 
 @query(f"""WITH {ASKED}, e AS (
@@ -315,7 +329,7 @@ def node_types(spark: SparkSession, sf_dir: str) -> DataFrame:
               UNION ALL SELECT query_id, 'node_type', CASE WHEN len({_sql_types(V.REQUESTED_TYPES)}) > 0 THEN {_sql_types(V.REQUESTED_TYPES)} ELSE {_sql_types(V.QUALIFIER_TYPES)} END FROM q)
            SELECT query_id, field, unnest(v) AS value, generate_subscripts(v, 1)::INT - 1 AS pos FROM e""")
 def filter_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entities.pattern_entities(questions(spark))
+    return entities.pattern_entities(questions(spark, sf_dir))
 
 
 # in SQL a letter beside a token has to be of ASCII to count as one
@@ -941,25 +955,32 @@ def bundle_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 RESEMBLING = [("What does APT29 do", "APT41"), ("What does APT29 do", "APT29"), ("compare apt29 and apt3", "APT30"), ("about FooBar7", "FooBarista"), ("about FooBar7", "FooBar77"), ("about FooBar7", "Else"), ("DoorPick and T1078", "Door"), ("DoorPick and T1078", "DoorPicker Deluxe"), ("nothing named", "DoorPick"), ("about FooBar7", ""), ("about FooBar7", None)]
 
 
-@query(f"""WITH q(place, query, name) AS (VALUES {", ".join(f"({i}, {_literal(q)}, {_literal(n) if n is not None else 'NULL'})" for i, (q, n) in enumerate(RESEMBLING))}),
+_ASK, _NAME = [q for q, _ in RESEMBLING], [n or "" for _, n in RESEMBLING]
+
+
+@query(f"""WITH q AS (SELECT s_suppkey AS place, {sql_chosen(_ASK, "s_suppkey % 11")} || ' in ' || n_name AS query, nullif({sql_chosen(_NAME, "(s_suppkey // 11) % 11")}, '') AS name
+              FROM supplier JOIN nation ON s_nationkey = n_nationkey),
     c AS (SELECT *, regexp_replace(lower(query), '[^a-z0-9]+', '', 'g') AS a, regexp_replace(lower(coalesce(name, '')), '[^a-z0-9]+', '', 'g') AS n,
              list_transform(list_filter({_sql_all(V.ENTITY_REFERENCE)}, lambda t: NOT regexp_full_match(t, {_literal(V.EXTERNAL_ID)})), lambda t: lower(t)) AS named FROM q)
     SELECT place, n <> '' AND contains(a, n) AS said, n <> '' AND NOT contains(a, n) AND (
         regexp_full_match(n, 'apt[0-9]+') AND NOT list_contains(named, n) AND len(list_filter(named, lambda t: regexp_full_match(t, 'apt[0-9]+'))) > 0
         OR len(list_filter(named, lambda t: t <> n AND length(t) >= 4 AND length(n) >= 4 AND t[:4] = n[:4] AND least(length(t), length(n)) < 0.8 * greatest(length(t), length(n)))) > 0) AS partial FROM c""")
 def partial_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, q, n) for i, (q, n) in enumerate(RESEMBLING)], "place int, query string, name string")
+    """Each supplier asks one of the wordings about one of the names."""
+    key, nation = F.col("s_suppkey"), table(spark, sf_dir, "nation")
+    rows = table(spark, sf_dir, "supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))  # nation: a row for each nation
+    rows = rows.select(key.alias("place"), F.concat(chosen(_ASK, key % 11), F.lit(" in "), "n_name").alias("query"), F.nullif(chosen(_NAME, F.floor(key / 11) % 11), F.lit("")).alias("name"))
     args = F.col("query"), F.col("name"), F.lit(None).cast("string")
     return rows.select("place", search.named_in_query(*args).alias("said"), search.partial_match(*args).alias("partial"))
 
 
-@query(f"WITH {ASKED} SELECT query_id, 0 AS part, query FROM q WHERE query <> '' UNION ALL SELECT query_id, 1, query || ' more' FROM q WHERE query <> '' UNION ALL SELECT query_id, 2, 'see ' || query FROM q WHERE query <> '' UNION ALL SELECT query_id, 3, 'also ' || query FROM q WHERE query <> ''")
+@query(f"WITH {ASKED} SELECT query_id, 0 AS part, query FROM q WHERE query <> '' UNION ALL SELECT query_id, 1, trim(query || ' more') FROM q WHERE query <> '' UNION ALL SELECT query_id, 2, 'see ' || query FROM q WHERE query <> '' UNION ALL SELECT query_id, 3, 'also ' || query FROM q WHERE query <> ''")
 def expansions(spark: SparkSession, sf_dir: str) -> DataFrame:
     class Wordy:
         def expand(self, query: str) -> str:
             return f'- {query} more\n2) T9999 {query}\n{query}\n\n"see {query}"\n* {query.upper()} MORE\nalso {query}\nlast {query}'
 
-    return search.expansions(questions(spark).where("query <> ''"), Wordy())
+    return search.expansions(questions(spark, sf_dir).where("query <> ''"), Wordy())
 
 
 @query("""SELECT p_partkey::INT AS query_id, 'tool' AS field, min(lower(p_name)) AS value FROM part GROUP BY p_partkey""")
@@ -976,14 +997,35 @@ def validated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.validate(union([named, *others]), asked, nodes).select("query_id", "field", "value")
 
 
-LIKE = [("abc", "abc", 100.0, 100.0), ("ab cd", "cd ab", 95.0, None), ("abc", "abc def", 90.0, 100.0), ("abc", "x" * 24 + "abc", 60.0, 100.0), ("", "x", 0.0, 0.0), ("abc", "xxabcxx", 90.0, 100.0), ("abcd", "abxd", 75.0, 75.0), ("ab", "xyz", 0.0, 0.0)]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {w}::DOUBLE, {p if p is not None else 'NULL'}::DOUBLE)" for i, (_, _, w, p) in enumerate(LIKE)) + ") t(place, weighted, windows)")
+_RATIO = lambda a, b: f"CASE WHEN {a} = '' AND {b} = '' THEN 100.0 WHEN {a} = '' OR {b} = '' THEN 0.0 ELSE 200.0 * list_last({LCS.format(a=a, b=b)}) / (length({a}) + length({b})) END"
+
+
+@query(f"""WITH {MADE}, w AS (SELECT s_suppkey AS place, word AS a, CASE s_suppkey % 4 WHEN 0 THEN k WHEN 1 THEN array_to_string(list_reverse(string_split(k, ' ')), ' ') WHEN 2 THEN k || ' of ' || lower(p_type) || ' ' || k ELSE word || ' x' END AS b
+              FROM m JOIN (SELECT *, lower(p_name) AS k FROM part) ON p_partkey = s_suppkey * 13 % (SELECT count(*) FROM part) + 1),
+           s AS (SELECT *, list_sort(regexp_extract_all(a, '[^ ]+')) AS x, list_sort(regexp_extract_all(b, '[^ ]+')) AS y, greatest(length(a), length(b)) >= 1.5 * least(length(a), length(b)) AS far,
+                        greatest(length(a), length(b)) <= 8 * least(length(a), length(b)) AS near FROM w),
+           t AS (SELECT *, array_to_string(list_sort(list_distinct(list_intersect(x, y))), ' ') AS o, array_to_string(list_sort(list_distinct(list_filter(x, lambda v: NOT list_contains(y, v)))), ' ') AS l,
+                        array_to_string(list_sort(list_distinct(list_filter(y, lambda v: NOT list_contains(x, v)))), ' ') AS r FROM s),
+           u AS (SELECT place, far, near, unnest([{{'kind': 'plain', 'a': a, 'b': b}}, {{'kind': 'sort', 'a': array_to_string(x, ' '), 'b': array_to_string(y, ' ')}},
+                        {{'kind': 'rest', 'a': l, 'b': r}}, {{'kind': 'set', 'a': trim(o || ' ' || l), 'b': trim(o || ' ' || r)}},
+                        {{'kind': CASE WHEN o = '' THEN 'none' ELSE 'set' END, 'a': o, 'b': trim(o || ' ' || l)}}, {{'kind': CASE WHEN o = '' THEN 'none' ELSE 'set' END, 'a': o, 'b': trim(o || ' ' || r)}}]) AS p,
+                        o <> '' AND (l = '' OR r = '') AS within, o <> '' AS shared FROM t),
+           v AS (SELECT place, far, near, within, shared, p.kind AS kind, CASE WHEN length(p.a) <= length(p.b) THEN p.a ELSE p.b END AS a, CASE WHEN length(p.a) <= length(p.b) THEN p.b ELSE p.a END AS b FROM u),
+           g AS (SELECT *, {_RATIO("a", "b")} AS ratio, CASE WHEN a = '' THEN CASE WHEN b = '' THEN 100.0 ELSE 0.0 END WHEN kind IN ('plain', 'sort', 'rest') THEN list_max(list_transform(
+                        list_concat(list_transform(range(length(b) - length(a) + 1), lambda i: substr(b, i + 1, length(a))), list_transform(range(1, length(a)), lambda i: substr(b, 1, i)), list_transform(range(1, length(a)), lambda i: right(b, i))),
+                        lambda c: {_RATIO("a", "c")})) END AS part FROM v),
+           f AS (SELECT place, any_value(far) AS far, any_value(near) AS near, max(ratio) FILTER (kind = 'plain') AS plain, max(part) FILTER (kind = 'plain') AS windows, max(ratio) FILTER (kind = 'sort') AS sorted, max(part) FILTER (kind = 'sort') AS sorted_part,
+                        CASE WHEN any_value(within) THEN 100.0 ELSE max(ratio) FILTER (kind = 'set') END AS sets, CASE WHEN any_value(shared) THEN 100.0 ELSE max(part) FILTER (kind = 'rest') END AS sets_part FROM g GROUP BY place)
+           SELECT place, round(CASE WHEN NOT far THEN greatest(plain, 0.95 * greatest(sorted, sets)) ELSE greatest(plain, CASE WHEN near THEN 0.9 ELSE 0.6 END * windows, 0.95 * CASE WHEN near THEN 0.9 ELSE 0.6 END * greatest(sorted_part, sets_part)) END, 6) AS weighted,
+                  round(windows, 6) AS windows FROM f""")
 def fuzzy_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores worked out by hand from the definitions."""
-    rows = spark.createDataFrame([(i, a, b, p is None) for i, (a, b, _, p) in enumerate(LIKE)], "place int, a string, b string, skip boolean")
-    return rows.select("place", F.round(fuzzy.weighted_ratio("a", "b"), 6).alias("weighted"), F.when(~F.col("skip"), F.round(fuzzy.partial_ratio("a", "b"), 6)).alias("windows"))
+    """Misspelt names beside other names, names turned round, long ones that hold a name, and themselves with a word more."""
+    parts, key = table(spark, sf_dir, "part"), F.col("s_suppkey")
+    at = _misspelt(spark, sf_dir).withColumn("p_partkey", key * 13 % parts.count() + 1)
+    k = F.lower("p_name")
+    other = F.when(key % 4 == 0, k).when(key % 4 == 1, F.array_join(F.reverse(F.split(k, " ")), " ")).when(key % 4 == 2, F.concat_ws(" ", k, F.lit("of"), F.lower("p_type"), k)).otherwise(F.concat("word", F.lit(" x")))
+    rows = at.join(parts, "p_partkey").select(key.alias("place"), F.col("word").alias("a"), other.alias("b"))
+    return rows.select("place", F.round(fuzzy.weighted_ratio("a", "b"), 6).alias("weighted"), F.round(fuzzy.partial_ratio("a", "b"), 6).alias("windows"))
 
 
 @query("""WITH r AS (SELECT s_suppkey, lower(s_name) AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'Actor' ELSE 'Tool' END AS kind, s_suppkey % 3 = 0 AS asked, s_suppkey % 5 = 0 AS excluding,
@@ -1022,3 +1064,6 @@ def comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = pair.select("query_id", F.concat(F.lit("Compare "), "a", F.lit(" with "), "b").alias("query"))
     each = rows.withColumn("query_id", F.explode(F.array("s_suppkey", F.col("s_suppkey") - 1))).withColumn("pos", F.col("s_suppkey")).drop("s_suppkey")
     return context.comparisons(each.join(asked, "query_id"))
+
+
+from graphloom.plans import answers  # noqa: E402, F401  registers its queries beside these
