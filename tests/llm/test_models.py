@@ -67,9 +67,9 @@ def test_the_sample_is_bounded(spark, monkeypatch):
 
 
 def test_training_reads_whole_texts(spark):
-    """What tells the classes apart stands behind a megabyte of what does not."""
-    same = "the of and " * 90_000
-    docs = [(i, same + (" zug zig zag" if i % 2 else " bim bam bum") * 4000, "x" if i % 2 else "y") for i in range(12)]
+    """What tells the classes apart stands far behind what does not."""
+    same = "the of and " * 20_000
+    docs = [(i, same + (" zug zig zag" if i % 2 else " bim bam bum") * 4000, "x" if i % 2 else "y") for i in range(60)]
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
     model = quality.fit(df, df.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")))
     got = [quality.score_text(t, model) for t in ("zug zig zag " * 50, "bim bam bum " * 50)]
