@@ -93,12 +93,12 @@ def joined(items) -> F.Column:
 COSINE = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
 
 
-@query(f"""SELECT e.vec_id, round({COSINE}, 6) AS score, row_number() OVER (ORDER BY {COSINE} DESC, e.vec_id)::INT - 1 AS pos
-           FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY score DESC, e.vec_id LIMIT 10""")
+@query(f"""SELECT q.vec_id AS query_id, e.vec_id, round({COSINE}, 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE} DESC, e.vec_id)::INT - 1 AS pos
+           FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q QUALIFY pos < 10""")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
-    asked = rows.where("vec_id = 0").select(F.lit(0).alias("query_id"), "embedding")
-    return search.vector_search(asked, rows, 10, id_col="vec_id").select(F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), "pos")
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return search.vector_search(asked, rows, 10, id_col="vec_id").select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), "pos")
 
 
 @query(f"""SELECT q.vec_id AS query_id, e.vec_id, round({COSINE}, 6) AS score
@@ -158,9 +158,11 @@ def _bm25(spark: SparkSession, sf_dir: str, asked: DataFrame, k: int) -> DataFra
     return search.FullText(table(spark, sf_dir, "documents"), ["text"], "doc_id").search(asked, k)
 
 
-@query(f"WITH {BM25} SELECT query_id, id AS doc_id, round(score, 6) AS score, pos FROM b WHERE pos < 10")
+@query(f"WITH {_bm25_sql('SELECT item_id::INT, text FROM benchmark WHERE item_id % 50 = 0')} SELECT query_id, id AS doc_id, round(score, 6) AS score, pos FROM b WHERE pos < 10")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _bm25(spark, sf_dir, spark.createDataFrame(WORDS, "query_id int, query string"), 10)
+    """Whole texts of the benchmark as queries."""
+    asked = table(spark, sf_dir, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").cast("int").alias("query_id"), F.col("text").alias("query"))
+    found = _bm25(spark, sf_dir, asked, 10)
     return found.select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "pos")
 
 
@@ -369,8 +371,7 @@ LCS = """list_reduce(list_prepend([0 FOR x IN range(length({b}) + 1)], [[ord(c)]
            SELECT word, p_name, round(200.0 * list_last({LCS.format(a="word", b="p_name")}) / (length(word) + length(p_name)), 6) AS ratio FROM m, p""")
 def fuzzy_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "part").select("p_name").distinct()
-    words = spark.createDataFrame([(w,) for w in MISSPELT], "word string")
-    pairs = names.join(F.broadcast(words), F.length("word") > 0)
+    pairs = names.select("p_name", F.explode(X.strings(MISSPELT)).alias("word"))
     return pairs.select("word", "p_name", F.round(fuzzy.ratio(F.col("word"), F.col("p_name")), 6).alias("ratio"))
 
 
@@ -787,8 +788,9 @@ ASKED_PARTS = [(0, "Which parts of Brand#12?", ["Brand#12"], ["Region"], []), (1
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as nodes: brand as platform, words of the name as tools."""
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), F.lit("Part").alias("node_type"), F.col("p_name").alias("name"), F.array("p_brand").alias("platforms"), F.split("p_name", " ").alias("tools"), (F.col("p_size") / 50.0).alias("score"))
-    asked = spark.createDataFrame([(i, q, {"platform": p, "node_type": t, "tool": w}) for i, q, p, t, w in ASKED_PARTS], "query_id int, query string, filters map<string, array<string>>")
-    return rows.join(F.broadcast(asked), F.col("pos") >= 0)
+    filters = lambda p, t, w: F.create_map(F.lit("platform"), X.strings(p), F.lit("node_type"), X.strings(t), F.lit("tool"), X.strings(w))
+    asked = [F.struct(F.lit(i).alias("query_id"), F.lit(q).alias("query"), filters(p, t, w).alias("filters")) for i, q, p, t, w in ASKED_PARTS]
+    return rows.withColumn("asked", F.explode(F.array(*asked))).select("*", "asked.*").drop("asked")
 
 
 def _sql_list(items: list[str]) -> str:
