@@ -82,9 +82,14 @@ def listed(items: Column, query: Column, comparing: Column) -> Column:
     characters of a field (the first always), with ... after a cut."""
     said = F.filter(items, lambda x: X.mentions(x, query))
     ordered = F.concat(said, F.filter(items, lambda x: ~F.array_contains(said, x)))
-    # sizes that the text reaches with each value; values up to the first that does not fit are kept
-    reached = F.aggregate(ordered, F.array().cast("array<int>"), lambda acc, x: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)) + 2, F.lit(0)) + F.length(x)))
-    fits = F.size(F.filter(reached, lambda n: n <= V.FIELD_CHARS))
+    # the size that the text reaches with each value only grows, so that values are kept up to the first that does not fit
+    none = F.struct(F.lit(0).alias("size"), F.lit(0).alias("fits"), F.lit(False).alias("begun"))
+
+    def reach(acc: Column, x: Column) -> Column:
+        size = acc.size + F.when(acc.begun, F.lit(2)).otherwise(F.lit(0)) + F.length(x)
+        return F.struct(size.alias("size"), (acc.fits + F.when(size <= V.FIELD_CHARS, F.lit(1)).otherwise(F.lit(0))).alias("fits"), F.lit(True).alias("begun"))
+
+    fits = F.aggregate(ordered, none, reach).getField("fits")
     count = F.when(comparing, F.lit(V.COMPARED_ITEMS)).otherwise(F.greatest(fits, F.lit(1)))
     return F.concat(F.array_join(F.slice(ordered, 1, count), ", "), F.when(F.size(ordered) > count, F.lit(", ...")).otherwise(F.lit("")))
 
