@@ -170,9 +170,11 @@ def _hex_der_in(run: str) -> tuple[int, int] | None:
     return None
 
 
-def _no_head(text: str) -> bool:
+def _no_head(text: str, at: int, end: int) -> bool:
     """Whether the beginning of a long head tells that it is no JSON, so that the rest need not be decoded."""
-    if len(text) <= AHEAD or (data := _b64(text[:AHEAD])) is None:
+    if not JSON_AT.match(_b64(text[at : at + 8]) or b""):
+        return True
+    if end - at <= AHEAD or (data := _b64(text[at : at + AHEAD])) is None:
         return False
     begin = data.decode("utf-8", "replace")
     try:
@@ -195,8 +197,7 @@ def _tokens_in(text: str) -> Iterator[tuple[int, int]]:
         third = parts[i + 2] if i + 2 < len(parts) and parts[i + 2].start() == second.end() + 1 else None
         stop, begin = third.end() if third else second.end() + 1, max(end, first.start())
         for m in HEAD_AT.finditer(text, begin, max(begin, first.end() - 6)):
-            head = text[m.start() : first.end()] if JSON_AT.match(_b64(text[m.start() : m.start() + 8]) or b"") else ""
-            if head and not _no_head(head) and signed_token(text[m.start() : stop]):
+            if not _no_head(text, m.start(), first.end()) and signed_token(text[m.start() : stop]):
                 yield m.start(), stop
                 end = stop
                 break
