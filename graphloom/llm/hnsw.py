@@ -22,7 +22,7 @@ from graphloom.llm.base import Links, components, materialise
 #: Vectors in a shard, on average at most.
 SHARD = 4096
 #: Neighbours a node chooses in a layer (twice as many in the lowest), and the beam that finds them.
-CHOSEN, BUILD_BEAM = 12, 40
+CHOSEN, BUILD_BEAM = 16, 64
 #: The first beam of a search; queries that an audit draws from all, and as many of the heaviest at most; how many true
 #: neighbours of each it asks for, and the recall of these that it asks for. Of links it asks for all.
 BEAM, AUDITED, NEIGHBOURS, RECALL = 24, 48, 10, 0.95
