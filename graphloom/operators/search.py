@@ -245,14 +245,18 @@ def exact_ids(queries: DataFrame, nodes: DataFrame) -> DataFrame:
 def exact_names(queries: DataFrame, nodes: DataFrame, k: int = 10) -> DataFrame:
     """Nodes whose name (3 characters or more) is part of a query, or one of whose aliases is a word of it; the first k by
     id. The words are an equi-join; names, which may begin inside a word, are joined by their rarest trigram."""
-    asked = queries.select("query_id", F.lower("query").alias("text"))
-    names = nodes.where("length(name) >= 3").select("id", F.lower("name").alias("needle"))
-    named = names.join(containing(names, asked), "needle").join(asked, "text")
-    word = queries.select("query_id", F.explode(F.array_distinct(F.transform(X.find_all(F.col("query"), "[A-Za-z0-9_.-]+"), F.lower))).alias("key"))
+    asked = materialise(queries.select("query_id", "query"), "asked")
+    texts = asked.select("query").distinct()
+    # of the nodes that share a name, an alias or a text only the first k can be among the first k of a query
+    first = lambda rows, by: top(rows.distinct(), k, [F.asc("id")], by).drop("pos")
+    lower = texts.select("query", F.lower("query").alias("text"))
+    names = materialise(first(nodes.where("length(name) >= 3").select("id", F.lower("name").alias("needle")), "needle"), "names")
+    named = names.join(containing(names, lower), "needle").join(lower, "text")
+    word = texts.select("query", F.explode(F.array_distinct(F.transform(X.find_all(F.col("query"), "[A-Za-z0-9_.-]+"), F.lower))).alias("key"))
     alias = nodes.select("id", F.explode(X.or_empty(F.col("aliases"))).alias("alias")).where("length(alias) >= 3")
-    called = alias.select("id", F.lower("alias").alias("key")).join(sized(word), "key")
-    both = named.select("query_id", "id").unionByName(called.select("query_id", "id")).distinct()
-    return top(both.withColumn("score", F.lit(1.0)), k, [F.asc("id")])
+    called = first(alias.select("id", F.lower("alias").alias("key")), "key").join(sized(word), "key")
+    both = materialise(first(named.select("query", "id").unionByName(called.select("query", "id")), "query"), "named")
+    return top(asked.join(both, "query").select("query_id", "id").distinct().withColumn("score", F.lit(1.0)), k, [F.asc("id")])
 
 
 # --- fusion -----------------------------------------------------------------------------------------------------------

@@ -90,6 +90,17 @@ def test_large_batches_are_not_broadcast(spark, monkeypatch):
     assert sorted(map(tuple, search.vector_search(asked_, rows, 4).collect())) == want and len(want) == 20
 
 
+def test_names_that_many_nodes_share(spark, monkeypatch):
+    nodes = spark.createDataFrame([(i, "Gloom" if i % 2 else "no such name", [f"al-{i % 3}", "x"]) for i in range(300)], "id int, name string, aliases array<string>")
+    texts = ["of AL-1 and al-2", "gloom", "al-0 or x", "what of gloomy al-1", "nothing"]
+    seen, top = [], search.top
+    monkeypatch.setattr(search, "top", lambda rows, k, order, by="query_id": (seen.append(rows.count()) if by == "query_id" else 0) or top(rows, k, order, by))
+    got = {(r.query_id, r.id, r.pos) for r in search.exact_names(asked(spark, *texts * 8), nodes, 4).collect()}
+    fits = [lambda i: i % 3 > 0, lambda i: i % 2, lambda i: i % 3 == 0, lambda i: i % 2 or i % 3 == 1, lambda i: False]
+    assert got == {(q, i, p) for q in range(40) for p, i in enumerate([i for i in range(300) if fits[q % 5](i)][:4])}
+    assert seen == [len(got)]
+
+
 def test_fusion_adds_ranks(spark):
     leg = lambda rows: spark.createDataFrame([(0, i, s, p) for i, s, p in rows], "query_id int, id string, score double, pos int")
     types = spark.createDataFrame([("a", "T"), ("b", "U"), ("c", "T")], "id string, node_type string")
