@@ -188,16 +188,18 @@ class FullText:
         """BM25 of query(query_id, query), summed over fields and the query's distinct terms; the k best, ties by id. AND, OR
         and NOT in capitals say what must be there and what must not.
 
-        Only the terms of the batch leave the rows, which are read once for them; what they leave is kept.
+        Only the terms of the batch leave the rows, which are read once for them; what they leave is kept. Queries that ask
+        for the same are searched for once.
         """
-        asked = asked_terms(queries)
+        asked, alike = asked_once(queries)
         only = sized(asked.select("term", _bucket("term").alias("bucket")).distinct())
         hit = self.words.join(only, ["bucket", "term"])
         if not self.counted:
             hit = hit.groupBy("id", "field", "dl", "term").agg(F.count("*").alias("tf"))
         hit = materialise(hit.select("id", "field", "dl", "term", F.col("tf").cast("long").alias("tf")), "postings")
         df = hit.groupBy("field", "term").agg(F.count("*").alias("df"))
-        return ranked(hit, df, self.totals, asked, k, k1, b)
+        found = ranked(hit, df, self.totals, asked, k, k1, b).withColumnRenamed("query_id", "of")
+        return found.join(sized(alike), "of").select("query_id", "id", "score", "pos")
 
 
 def asked_terms(queries: DataFrame) -> DataFrame:
@@ -207,6 +209,14 @@ def asked_terms(queries: DataFrame) -> DataFrame:
     return each.withColumn("need", F.sum(F.col("must").cast("int")).over(Window.partitionBy("query_id")).cast("int"))
 
 
+def asked_once(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """asked_terms() of one query of all that ask for the same terms in the same way, and (query_id, of): whose terms each has."""
+    each = asked_terms(queries).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", "must", "banned", "need"))).alias("all"))
+    each = materialise(each, "asked")
+    first = materialise(each.groupBy("all").agg(F.min("query_id").alias("of")), "asked-once")
+    return first.select(F.col("of").alias("query_id"), F.inline("all")), each.join(first, "all").select("query_id", "of")
+
+
 def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
@@ -219,8 +229,11 @@ def weight(tf: Column, dl: Column, avgdl: Column, k1: float, b: float) -> Column
 def scored(hit: DataFrame, df: DataFrame, totals: DataFrame, asked: DataFrame, k1: float, b: float) -> DataFrame:
     """(query_id, id, score) of hit(id, field, term, tf, dl) with df(field, term, df), totals(field, n, avgdl) and asked_terms()."""
     part = idf(F.col("n"), F.col("df")) * weight(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
-    weighed = hit.join(F.broadcast(totals), "field").join(df, ["field", "term"]).select("id", "term", part.alias("part"))  # totals: a row for each field
-    met = weighed.join(sized(asked), "term").groupBy("query_id", "id").agg(F.sum("part").alias("score"), F.size(F.collect_set(F.when(F.col("must"), F.col("term")))).alias("held"), F.max("need").alias("need"), F.max("banned").alias("banned"))
+    weighed = hit.join(F.broadcast(totals), "field").join(sized(df), ["field", "term"]).select("id", "term", part.alias("part"))  # totals: a row for each field
+    # dealt by node once: what a query meets in a node is summed, and its first nodes are ranked, where the node is
+    weighed = weighed.repartition("id").groupBy("id", "term").agg(F.sum("part").alias("part"))
+    must = F.coalesce(F.col("must").cast("int"), F.lit(0))
+    met = weighed.join(sized(asked), "term").groupBy("query_id", "id").agg(F.sum("part").alias("score"), F.sum(must).alias("held"), F.max("need").alias("need"), F.max("banned").alias("banned"))
     return met.where("held = need and not banned").select("query_id", "id", "score")
 
 

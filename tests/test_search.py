@@ -90,6 +90,37 @@ def test_large_batches_are_not_broadcast(spark, monkeypatch):
     assert sorted(map(tuple, search.vector_search(asked_, rows, 4).collect())) == want and len(want) == 20
 
 
+def met_by_ranking(monkeypatch):
+    """Counts of the queries that each ranking of texts gets."""
+    seen, ranked = [], search.ranked
+    monkeypatch.setattr(search, "ranked", lambda hit, df, totals, asked, *a: seen.append(asked.select("query_id").distinct().count()) or ranked(hit, df, totals, asked, *a))
+    return seen
+
+
+def test_texts_that_ask_alike_are_searched_once(spark, monkeypatch):
+    index = search.FullText(spark.createDataFrame([(i, f"red {'bolt ' * (i % 5)} {'gear' * (i % 2)}") for i in range(40)], "id int, body string"), ["body"])
+    words = ["red bolt", "bolt, RED red", "gear AND red", "red AND gear", "red NOT gear", "+++", None]
+    seen = met_by_ranking(monkeypatch)
+    got = index.search(asked(spark, *words * 6), 7).collect()
+    assert seen == [3] and len(got) == len({(r.query_id, r.pos) for r in got}) == 6 * 5 * 7
+    for i, w in enumerate(words):
+        alone = [(r.id, r.pos, round(r.score, 9)) for r in index.search(asked(spark, w), 7).orderBy("pos").collect()]
+        for j in range(i, 6 * len(words), len(words)):
+            assert sorted(((r.id, r.pos, round(r.score, 9)) for r in got if r.query_id == j), key=lambda x: x[1]) == alone
+
+
+@pytest.mark.parametrize("name", ["rrf_hybrid"])
+def test_fused_queries_search_each_wording_once(spark, tmp_path, monkeypatch, name):
+    from graphloom.plans import queries
+
+    words = [t for _, t in queries.WORDS]
+    spark.createDataFrame([(i, f"{words[i % 3]} x{i}", "de") for i in range(30)], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, [float(i % 9), 1.0]) for i in range(1000)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    seen = met_by_ranking(monkeypatch)
+    rows = queries.QUERIES[name](spark, str(tmp_path)).collect()
+    assert seen == [3] and {r.query_id for r in rows} == set(range(0, 1000, 50))  # the fourth wording has no term
+
+
 def test_names_that_many_nodes_share(spark, monkeypatch):
     nodes = spark.createDataFrame([(i, "Gloom" if i % 2 else "no such name", [f"al-{i % 3}", "x"]) for i in range(300)], "id int, name string, aliases array<string>")
     texts = ["of AL-1 and al-2", "gloom", "al-0 or x", "what of gloomy al-1", "nothing"]
