@@ -430,7 +430,7 @@ def substring_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that contains a word, a prefix or a number of a part."""
     needles = table(spark, sf_dir, "part").select(F.explode(F.concat(F.split(F.lower("p_name"), " "), F.array(F.substring("p_type", 1, 2), F.substring("p_brand", 7, 99)))).alias("needle"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.join(substrings.containing(needles, docs), "text").select("doc_id", "needle")
+    return substrings.held(needles, docs, "doc_id").select(F.col("id").alias("doc_id"), "needle")
 
 
 # --- graph ------------------------------------------------------------------------------------------------------------

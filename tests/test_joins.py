@@ -31,6 +31,23 @@ def test_containing_equals_brute_force(spark):
     assert substrings.containing(empty, got).count() == 0 and substrings.containing(got, empty.withColumnRenamed("needle", "text")).count() == 0
 
 
+@pytest.mark.parametrize("piece", [1, 40, 1 << 22])
+def test_held_equals_brute_force(spark, monkeypatch, piece):
+    monkeypatch.setattr(substrings, "PIECE", piece)
+    needles = [*made(1, 120, most=6), "a", "é", "zz", "abc", "%", None, "", "a.b", "\u20ac", "\U0001f600b"]
+    texts = [*made(2, 150, most=40), "a.b", "aXb", "ABC", "abc" * 4000, "", None, "ab\u20ac\U0001f600b", "b\U0001f600"] * 2
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc int, body string")
+    frame = spark.createDataFrame([(n,) for n in needles * 2], "needle string")
+    got = substrings.held(frame, rows, "doc", "body")
+    want = sorted((i, n) for i, t in enumerate(texts) for n in set(needles) if n and t and n in t)
+    assert sorted((r.id, r.needle) for r in got.collect()) == want and len(want) > 1000
+    assert not any(x in plan(got) for x in ("Exchange", "Join"))  # no text moves
+    assert substrings.held(frame.limit(0), rows, "doc", "body").count() == 0 and substrings.held(frame, rows.limit(0), "doc", "body").count() == 0
+    if piece == 40:
+        monkeypatch.setattr(substrings, "NEEDLES", 5)
+        assert sorted((r.id, r.needle) for r in substrings.held(frame, rows, "doc", "body").collect()) == want
+
+
 @pytest.mark.parametrize("least", [50, 65, 76, 82, 85, 100])
 def test_ratio_join_loses_no_pair(spark, monkeypatch, least):
     monkeypatch.setattr(fuzzy_join, "TOLD", 9)
