@@ -1,23 +1,32 @@
 """A full-text index in immutable segments, whose postings lie in blocks that a search may skip.
 
-A segment holds the texts of one addition: postings in folders by a hash of the term and by level, in blocks of a term's
-postings that count about as much; what each block counts at most; the terms of each text; and tombstones of the texts
+A segment holds the texts of one addition: the terms of each text and how often it has them; postings in folders by a hash of the term and by level, in blocks of a term's
+postings that count about as much; what each block counts at most; and tombstones of the texts
 that it replaces in older segments. Statistics are merged over segments, less what tombstones take away, so that scores are
 those of an index made at once. Compaction writes what is left as one segment.
 """
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.search import asked_terms, idf, scored, sized, terms, top, weight
+from graphloom.functions import text as X
+from graphloom.operators.search import TERM, asked_terms, idf, scored, sized, top, weight
 from graphloom.sources.scratch import materialise
 
 #: Folders that terms, and identifiers, are dealt into by hash; blocks of a term in a segment at most.
 BUCKETS, LEVELS = 16, 8
 #: What tells a block.
 PLACE = ["segment", "bucket", "level", "field", "term", "often"]
+#: Postings that a task sorts into folders, about: every task writes a file in each, and files cost more than their rows.
+SORTED = 1 << 23
 #: BM25's parameters that levels are made by; a search may take others, its bounds hold for any.
 K1, B = 1.2, 0.75
 #: How far apart scores may be that count as equal.
@@ -28,13 +37,34 @@ def _hashed(c: str) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
 
 
+def counted(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """(id, row, mark, field, dl, terms, tfs) of each field of rows(id, x): distinct terms and how often each is there; row
+    tells rows apart, mark is a hash of x. A row is counted where it is."""
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile(TERM).findall
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                for i, field in enumerate(fields, 3):
+                    each = [Counter(find(t)) for t in part.column(i).to_pylist()]
+                    lengths = pa.array([sum(c.values()) for c in each], pa.int32())
+                    said, often = [list(c) for c in each], [list(c.values()) for c in each]
+                    columns = [*part.columns[:3], pa.array([field] * len(part), pa.string()), lengths, pa.array(said, pa.list_(pa.string())), pa.array(often, pa.list_(pa.int32()))]
+                    yield pa.RecordBatch.from_arrays(columns, ["id", "row", "mark", "field", "dl", "terms", "tfs"])
+
+    texts = rows.select("id", F.monotonically_increasing_id().alias("row"), F.xxhash64("x").alias("mark"), *[F.lower(X.blank(F.col("x")[f])).alias(f"text{i}") for i, f in enumerate(fields)])
+    return texts.mapInArrow(run, f"id {kind}, row long, mark long, field string, dl int, terms array<string>, tfs array<int>")
+
+
 class SegmentedIndex:
     """The index under a folder. fields and the name of the identifier are those of the rows that are added."""
 
     def __init__(self, spark: SparkSession, folder: str, fields: list[str], id_col: str = "id", id_type: str = "string") -> None:
         self.spark, self.folder, self.fields, self.id_col, self.id_type = spark, folder, fields, id_col, id_type
         self.schemas = {
-            "docs": f"id {id_type}, field string, dl int, terms array<string>, segment int, part int",
+            "docs": f"id {id_type}, row long, mark long, field string, dl int, terms array<string>, tfs array<int>, segment int, part int",
             "gone": f"id {id_type}, of int, field string, dl int, terms array<string>, segment int",
             "postings": f"id {id_type}, field string, term string, tf long, dl int, often int, segment int, bucket int, level int",
             "blocks": "field string, term string, often int, n long, max_tf long, min_dl int, level int, segment int, bucket int",
@@ -56,6 +86,10 @@ class SegmentedIndex:
     def _live(self, name: str, base: int, last: int) -> DataFrame:
         return self._read(name).where(F.col("segment").between(base, last))
 
+    def _docs(self, base: int, last: int) -> DataFrame:
+        """Texts with a term; a segment keeps a row of those without, too."""
+        return self._live("docs", base, last).where("dl > 0")
+
     def _tombstones(self, base: int, last: int) -> DataFrame:
         """Of what segments from base on have replaced in each other; what was before base has gone with it."""
         return self._live("gone", base, last).where(F.col("of") >= base)
@@ -69,14 +103,22 @@ class SegmentedIndex:
         writer = df.write.mode("overwrite")
         (writer.partitionBy(*by) if by else writer).parquet(f"{self.folder}/{name}/segment={segment}")
 
-    def _put_texts(self, docs: DataFrame, counted: DataFrame, segment: int, base: int) -> None:
-        """docs(id, field, dl, terms) and counted(id, field, dl, term, tf) as a segment."""
+    def _put_docs(self, docs: DataFrame, segment: int) -> DataFrame:
+        """counted() as the segment's texts; as they are written."""
         self._put(docs.withColumn("part", _hashed("id")), "docs", segment, ("part",))
-        stats = materialise(docs.groupBy("field").agg(F.count("*").alias("n"), F.sum("dl").cast("long").alias("dl")), "index-stats")
-        self._put(stats, "stats", segment)
+        return self._read("docs").where(F.col("segment") == segment)
+
+    def _put_postings(self, segment: int) -> None:
+        """Statistics, postings and blocks of the texts that a segment has."""
+        docs = self._docs(segment, segment)
+        stats = materialise(docs.groupBy("field").agg(F.count("*").alias("n"), F.sum("dl").cast("long").alias("dl"), F.sum(F.size("tfs")).alias("postings")), "index-stats")
+        self._put(stats.select("field", "n", "dl"), "stats", segment)
+        rows = stats.agg(F.sum("postings")).first()[0] or 0
+        tasks = max(math.ceil(rows / SORTED), min(self.spark.sparkContext.defaultParallelism, math.ceil(8 * rows / SORTED)), 1)
         mean = stats.select("field", (F.col("dl") / F.col("n")).alias("avgdl"))
         share = weight(F.col("tf"), F.col("dl"), F.col("avgdl"), K1, B) / (K1 + 1)
-        postings = counted.join(F.broadcast(mean), "field")  # a row for each field
+        each = docs.coalesce(tasks).join(F.broadcast(mean), "field")  # a row for each field
+        postings = each.select("id", "field", "dl", "avgdl", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select("id", "field", "dl", "avgdl", F.col("x.terms").alias("term"), F.col("x.tfs").cast("long").alias("tf"))
         # postings of a level that have about as many occurrences differ in length alone, which keeps their bound near
         often = F.when(F.col("tf") < 4, F.col("tf")).otherwise(F.floor(F.log2("tf")) + 2).cast("int").alias("often")
         postings = postings.select("id", "field", "term", "tf", "dl", often, _hashed("term").alias("bucket"), F.least(F.floor(share * LEVELS), F.lit(LEVELS - 1)).cast("int").alias("level"))
@@ -92,7 +134,7 @@ class SegmentedIndex:
     def _bury(self, ids: DataFrame, base: int, last: int, segment: int) -> None:
         """Tombstones of the texts that ids have in the segments so far; only the folders of ids are read."""
         parts = [r.part for r in ids.select(_hashed("id").alias("part")).distinct().collect()]  # BUCKETS at most
-        old = self._live("docs", base, last).where(F.col("part").isin(parts)).join(ids, "id", "left_semi")
+        old = self._docs(base, last).where(F.col("part").isin(parts)).join(ids, "id", "left_semi")
         old = self._without(old, self._tombstones(base, last))
         self._put(old.select("id", F.col("segment").alias("of"), "field", "dl", "terms"), "gone", segment)
 
@@ -101,12 +143,16 @@ class SegmentedIndex:
         greatest by hash counts. What is not marked as done, as an addition failed, is not read and is written over."""
         base, last = self._state()
         rows = rows.where(F.col(self.id_col).isNotNull()).select(F.col(self.id_col).cast(self.id_type).alias("id"), F.struct(*self.fields).alias("x"))
-        rows = materialise(rows.groupBy("id").agg(F.max_by("x", F.xxhash64("x")).alias("x")).select("id", "x.*"), "index-rows")
-        each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), terms(F.col(f)).alias("all")) for f in self.fields])).alias("y")
-        docs = rows.select("id", each).select("id", "y.*").where("size(all) > 0").withColumn("dl", F.size("all"))
-        counted = docs.select("id", "field", "dl", F.explode("all").alias("term")).groupBy("id", "field", "dl", "term").agg(F.count("*").alias("tf"))
-        self._bury(rows.select("id"), base, last, last + 1)
-        self._put_texts(docs.select("id", "field", "dl", F.array_distinct("all").alias("terms")), counted, last + 1, base)
+        docs = self._put_docs(counted(rows, self.fields), last + 1)
+        ids = docs.where(F.col("field") == self.fields[0])  # a row for each that was added
+        repeated = ids.groupBy("id").agg(F.count("*").alias("n"), F.max(F.struct("mark", "row")).getField("row").alias("best")).where("n > 1")
+        repeated = materialise(repeated.select("id", "best"), "index-repeated")
+        if not repeated.isEmpty():
+            left = docs.join(sized(repeated), "id", "left").where("best is null or best = row").drop("best", "segment", "part")
+            docs = self._put_docs(materialise(left, "index-docs"), last + 1)
+            ids = docs.where(F.col("field") == self.fields[0])
+        self._bury(ids.select("id"), base, last, last + 1)
+        self._put_postings(last + 1)
         self._finish(last + 1, base)
 
     def remove(self, ids: DataFrame) -> None:
@@ -119,9 +165,8 @@ class SegmentedIndex:
         """Write what counts as one segment, which all searches after that read alone."""
         base, last = self._state()
         gone = materialise(self._tombstones(base, last), "index-gone")
-        docs = self._without(self._live("docs", base, last), gone).select("id", "field", "dl", "terms")
-        counted = self._without(self._live("postings", base, last), gone).select("id", "field", "dl", "term", "tf")
-        self._put_texts(docs, counted, last + 1, last + 1)
+        self._put_docs(self._without(self._docs(base, last), gone).drop("segment", "part"), last + 1)
+        self._put_postings(last + 1)
         self._finish(last + 1, last + 1)
 
     # --- searching ------------------------------------------------------------------------------------------------------

@@ -140,6 +140,33 @@ def test_segments_equal_one_index(spark, tmp_path, monkeypatch):
     same(rows)
 
 
+def test_terms_are_counted_where_texts_are(spark, tmp_path, monkeypatch):
+    shuffled, put = {}, SegmentedIndex._put
+
+    def watched(self, df, name, *a):
+        # a stray shuffle of postings, or of texts on their way to the index, costs several times the input
+        shuffled.setdefault(name, []).append("Exchange hashpartitioning" in df._jdf.queryExecution().executedPlan().toString())
+        put(self, df, name, *a)
+
+    monkeypatch.setattr(SegmentedIndex, "_put", watched)
+    rows = [(i, b, t) for i, b, t in texts(5, 60)] + [("e", "", None), ("k", "\u212aelvin \u0130x w1 W1", "A-b_c")]
+    frame = lambda r: spark.createDataFrame(r, "id string, row string, mark string")
+    asked = spark.createDataFrame([(0, "w1"), (1, "w39 w0"), (2, "kelvin x b"), (3, "x AND c")], "query_id int, query string")
+    index = SegmentedIndex(spark, str(tmp_path / "index"), ["row", "mark"])
+    index.add(frame(rows))
+    index.compact()
+    assert not any(shuffled["docs"][:1] + shuffled["postings"]) and len(shuffled["postings"]) == 2  # identifiers of what is gone are dealt
+
+    def same(kept):
+        want = {(r.query_id, r.id, r.pos, round(r.score, 9)) for r in search.FullText(frame(kept), ["row", "mark"]).search(asked).collect()}
+        assert {(r.query_id, r.id, r.pos, round(r.score, 9)) for r in index.search(asked).collect()} == want and len(want) > 12
+
+    same(rows)
+    twice = [("d1", "w1 w2", None), ("d2", "", "w0"), ("d2", "", "w0")]
+    index.add(frame(twice + [("k", "", None), ("k", "", "")]))  # of rows that repeat an identifier one counts, and none is left of what was there
+    same([r for r in rows if r[0] not in ("d1", "d2", "k")] + twice[:2])
+
+
 def test_blocks_that_cannot_reach_are_not_read(spark, tmp_path):
     rows = texts(2, 1500)
     frame = spark.createDataFrame([r[:2] for r in rows], "id string, body string")
