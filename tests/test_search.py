@@ -109,7 +109,7 @@ def test_texts_that_ask_alike_are_searched_once(spark, monkeypatch):
             assert sorted(((r.id, r.pos, round(r.score, 9)) for r in got if r.query_id == j), key=lambda x: x[1]) == alone
 
 
-@pytest.mark.parametrize("name", ["rrf_hybrid", "rrf_order"])
+@pytest.mark.parametrize("name", ["rrf_hybrid", "rrf_order", "rrf_type_bonus"])
 def test_fused_queries_search_each_wording_once(spark, tmp_path, monkeypatch, name):
     from graphloom.plans import queries
 
