@@ -121,6 +121,24 @@ def test_fused_queries_search_each_wording_once(spark, tmp_path, monkeypatch, na
     assert seen == [3] and {r.query_id for r in rows} == set(range(0, 1000, 50))  # the fourth wording has no term
 
 
+def shuffled(spark):
+    """Bytes that tasks have written for other tasks so far."""
+    context_ = spark.sparkContext._jsc.sc()
+    context_.listenerBus().waitUntilEmpty(30_000)
+    return context_.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+
+@pytest.mark.parametrize("name", ["rrf_order"])
+def test_fused_queries_shuffle_no_pair_of_query_and_text(spark, tmp_path, name):
+    from graphloom.plans import queries
+
+    spark.range(4000).selectExpr("id AS doc_id", "concat('the la und x', id) AS text", "'de' AS lang").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.range(10000).selectExpr("id AS vec_id", "array(float(id % 9), float(1)) AS embedding").write.parquet(str(tmp_path / "embeddings.parquet"))
+    before = shuffled(spark)
+    rows = queries.QUERIES[name](spark, str(tmp_path)).collect()
+    assert len({r.query_id for r in rows}) == 200 and shuffled(spark) - before < 2 * 200 * 4000  # each text has words of 150 queries
+
+
 def test_names_that_many_nodes_share(spark, monkeypatch):
     nodes = spark.createDataFrame([(i, "Gloom" if i % 2 else "no such name", [f"al-{i % 3}", "x"]) for i in range(300)], "id int, name string, aliases array<string>")
     texts = ["of AL-1 and al-2", "gloom", "al-0 or x", "what of gloomy al-1", "nothing"]
