@@ -128,7 +128,7 @@ def shuffled(spark):
     return context_.statusStore().executorList(True).apply(0).totalShuffleWrite()
 
 
-@pytest.mark.parametrize("name", ["rrf_order"])
+@pytest.mark.parametrize("name", ["rrf_order", "rrf_type_bonus"])
 def test_fused_queries_shuffle_no_pair_of_query_and_text(spark, tmp_path, name):
     from graphloom.plans import queries
 
