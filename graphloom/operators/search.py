@@ -5,11 +5,12 @@ Every leg answers a batch of queries (query_id, query) at once and returns (quer
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,8 +23,8 @@ from graphloom.sources.scratch import materialise
 
 #: Queries in a batch are broadcast up to so many rows; a larger batch is cut by the caller or shuffled.
 QUERIES = 10_000  # checked by a count before the hint is given
-#: Shares that nodes are dealt into for a larger batch of vectors.
-SHARES = 512
+#: Shares that nodes are dealt into for a larger batch of vectors, at most; nodes in a share, about; those that are multiplied at a time.
+SHARES, SHARE, PART = 512, 1 << 15, 1 << 13
 #: Queries that are multiplied with a batch of nodes at a time, and digits of a score that count when scores are compared.
 BLOCK, DIGITS = 512, 12
 #: Folders that a written full-text index deals its terms into.
@@ -78,48 +79,69 @@ class _Best:
                 self.held[j] = score[order], of[order]
 
 
+def _matrix(vectors: pa.Array, at: np.ndarray, size: int) -> np.ndarray:
+    """The vectors of these numbers, all of that size, as rows."""
+    return vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), size)
+
+
+def _nearest(tables: dict[int, np.ndarray], numbers: dict[int, Sequence[int]], batches: Iterable[pa.RecordBatch], k: int) -> tuple[np.ndarray, tuple[pa.Array, pa.Array]]:
+    """The k best of batches(id, vector, norm) for each query: its number, and (id, score). tables has a matrix of unit
+    vectors for each size, numbers which queries these are."""
+    best, ids_type = {d: _Best(t, k) for d, t in tables.items()}, pa.null()
+    for batch in batches:
+        ids_type = batch.column(0).type
+        ids, vectors = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+        sizes = vectors.value_lengths().to_numpy(zero_copy_only=False)
+        for d in set(sizes.tolist()) & set(best):
+            at = np.flatnonzero(sizes == d)
+            best[d].add(_matrix(vectors, at, d) / batch.column(2).to_numpy()[at][:, None], ids[at])
+    out = [(numbers[d][j], score, of) for d, b in best.items() for j, (score, of) in enumerate(b.held)]
+    which = np.concatenate([np.zeros(0, np.int32), *[np.full(len(s), j, np.int32) for j, s, _ in out]])
+    return which, (pa.array([x for *_, o in out for x in o.tolist()], ids_type), pa.array(np.concatenate([np.zeros(0), *[s for _, s, _ in out]])))
+
+
 def vector_search(queries: DataFrame, nodes: DataFrame, k: int = 10, normalized: bool = False, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
     """The k nodes of greatest cosine for each query(query_id, embedding): an exact scan, ties (to DIGITS digits) by id.
 
     Nodes without an embedding, or with a zero one or one of another length, are not found. normalized gives
     (1 + cosine) / 2. Nodes are read once: a batch of them is multiplied with all queries of their length, and each task
-    keeps its own first k for a query. A batch of more than QUERIES queries is joined instead.
+    keeps its own first k for a query. A batch of more than QUERIES queries is dealt into blocks, nodes into shares, and
+    each block meets each share in the same way.
     """
     q = with_norm(queries.select("query_id", F.col("embedding").alias("__q")), "__q").withColumnRenamed("__norm", "__qn")
     n = with_norm(nodes.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("__v")), "__v")
     n, q = n.where("__norm > 0 and not isnan(__norm)"), q.where("__qn > 0 and not isnan(__qn)")
     asked = q.limit(QUERIES + 1).collect()
+    schema = nodes.schema[id_col].dataType.simpleString()
     if len(asked) <= QUERIES:
         by_size: dict[int, list[int]] = {}
         for i, r in enumerate(asked):
             by_size.setdefault(len(r["__q"]), []).append(i)
         tables = {d: np.array([asked[i]["__q"] for i in at], np.float64) / np.array([[asked[i]["__qn"]] for i in at]) for d, at in by_size.items()}
-        spark, schema = nodes.sparkSession, nodes.schema[id_col].dataType.simpleString()
+        spark = nodes.sparkSession
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = {d: _Best(t, k) for d, t in tables.items()}
-            ids_type = None
-            for batch in batches:
-                ids_type = batch.column(0).type
-                ids, vectors = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-                sizes = vectors.value_lengths().to_numpy(zero_copy_only=False)
-                for d in set(sizes.tolist()) & set(best):
-                    at = np.flatnonzero(sizes == d)
-                    rows = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), d)
-                    best[d].add(rows / batch.column(2).to_numpy()[at][:, None], ids[at])
-            out = [(by_size[d][j], score, of) for d, b in best.items() for j, (score, of) in enumerate(b.held)]
-            if ids_type is not None and out:
-                which = np.concatenate([np.full(len(s), j, np.int32) for j, s, _ in out])
-                yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(np.concatenate([o for *_, o in out]).tolist(), ids_type), pa.array(np.concatenate([s for _, s, _ in out]))], ["query", "id", "score"])
+            which, found = _nearest(tables, by_size, batches, k)
+            if len(which):
+                yield pa.RecordBatch.from_arrays([pa.array(which), *found], ["query", "id", "score"])
 
         found = n.select("id", "__v", "__norm").mapInArrow(run, f"query int, id {schema}, score double")
         named = spark.createDataFrame([(i, r["query_id"]) for i, r in enumerate(asked)], T.StructType([T.StructField("query", T.IntegerType()), T.StructField("query_id", queries.schema["query_id"].dataType)]))
         scored = found.join(F.broadcast(named), "query").select("query_id", "id", "score")  # named: at most QUERIES rows
-    else:  # all rows have the one length as key: nodes are dealt over shares, and every share gets the queries
-        shares = n.withColumn("__share", F.pmod(F.xxhash64("id"), F.lit(SHARES)).cast("int"))
-        each = q.withColumn("__share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
-        pairs = shares.join(each, "__share").where(F.size("__v") == F.size("__q"))
-        scored = pairs.select("query_id", "id", F.round(dot(F.col("__v"), F.col("__q")) / (F.col("__norm") * F.col("__qn")), DIGITS).alias("score"))
+    else:  # each block of queries meets each share of nodes in a task, so that no pair becomes a row
+        shares, blocks = max(1, min(SHARES, -(-nodes.count() // SHARE))), -(-q.count() // QUERIES)
+        every, dealt = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1))), lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+        there = n.select(dealt("id", shares).alias("__share"), every(blocks).alias("__block"), "id", "__v", "__norm").groupBy("__share", "__block")
+        each = q.select(every(shares).alias("__share"), dealt("query_id", blocks).alias("__block"), "query_id", "__q", "__qn").groupBy("__share", "__block")
+
+        def meet(there: pa.Table, each: pa.Table) -> pa.Table:
+            sizes, q = pa.compute.list_value_length(each["__q"]).to_numpy(), each["__q"].combine_chunks()
+            at = {d: np.flatnonzero(sizes == d) for d in set(sizes.tolist())}
+            tables = {d: _matrix(q, of, d) / each["__qn"].to_numpy()[of][:, None] for d, of in at.items()}
+            which, found = _nearest(tables, at, there.select(["id", "__v", "__norm"]).combine_chunks().to_batches(PART), k)
+            return pa.table([each["query_id"].take(pa.array(which)), *found], ["query_id", "id", "score"])
+
+        scored = there.cogroup(each).applyInArrow(meet, f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {schema}, score double")
     found = top(scored, k, [F.desc("score"), F.asc("id")])
     return found.withColumn("score", (1 + F.col("score")) / 2) if normalized else found
 

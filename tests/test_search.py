@@ -139,6 +139,23 @@ def test_fused_queries_shuffle_no_pair_of_query_and_text(spark, tmp_path, name):
     assert len({r.query_id for r in rows}) == 200 and shuffled(spark) - before < 2 * 200 * 4000  # each text has words of 150 queries
 
 
+@pytest.mark.parametrize("name", ["rrf_order"])
+def test_fused_queries_in_large_batches_make_no_row_of_each_pair(spark, tmp_path, monkeypatch, name):
+    from graphloom.plans import queries
+
+    spark.range(400).selectExpr("id AS doc_id", "concat('the la und x', id) AS text", "'de' AS lang").write.parquet(str(tmp_path / "documents.parquet"))
+    vectors = np.random.default_rng(5).normal(size=(10000, 8)).tolist()
+    spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    want = sorted(map(tuple, queries.QUERIES[name](spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(search, "QUERIES", 100)
+    monkeypatch.setattr(search, "SHARE", 3000, raising=False)
+    seen, top = [], search.top
+    monkeypatch.setattr(search, "top", lambda rows, *a: seen.append(rows.count()) or top(rows, *a))
+    got = sorted(map(tuple, queries.QUERIES[name](spark, str(tmp_path)).collect()))
+    assert got == want and len({r[0] for r in got}) == 200
+    assert max(seen) == 4 * 200 * 20  # the first 20 of each query in each of four shares, not 200 * 10000
+
+
 def test_names_that_many_nodes_share(spark, monkeypatch):
     nodes = spark.createDataFrame([(i, "Gloom" if i % 2 else "no such name", [f"al-{i % 3}", "x"]) for i in range(300)], "id int, name string, aliases array<string>")
     texts = ["of AL-1 and al-2", "gloom", "al-0 or x", "what of gloomy al-1", "nothing"]
