@@ -18,12 +18,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.llm.base import join_counted, materialise
+from graphloom.llm.base import join_counted, materialise, small_batches
 
 #: Bytes of text that are encoded at a time (a piece is never cut), and pairs that are counted before they become rows.
-BLOCK, PAIRS = 1 << 22, 1 << 21
+BLOCK, PAIRS = 1 << 21, 1 << 21
+#: Bytes of a batch of texts that a worker takes, and rows of one that it gives: JVM and worker hold both, for each task.
+TAKEN, GIVEN = 1 << 21, 100_000
 #: Bits of the table that tells which pairs may be frequent; its size does not grow with the data.
 BITS = 26
+#: Bytes that a text which waits for others takes besides its own.
+OBJECT = 64
 #: Shares that phrases of a language are ranked in before the last ranking.
 SHARES = 64
 UNDETERMINED = "und"
@@ -33,23 +37,28 @@ ROWS = [("lang", pa.string()), ("phrase", pa.string()), ("c", pa.int64())]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
-    """(language, text) of rows (lang, text binary), normalised by TABLE, in blocks that end where a piece ends."""
+    """(language, text) of rows (lang, text binary), normalised by TABLE, in blocks that end where a piece ends. Texts wait for
+    more of their language; those of all languages are no more than four blocks."""
+    held: dict[str, list[bytes]] = {}
+    sizes: dict[str, int] = {}
+    total = 0
     for batch in batches:
-        langs, held = batch.column(0).to_pylist(), {}
+        langs, texts = batch.column(0).to_pylist(), batch.column(1)
         for i, lang in enumerate(langs):
-            text = bytes(batch.column(1)[i].as_buffer() or b"").translate(TABLE)
+            text = bytes(texts[i].as_buffer() or b"").translate(TABLE)
             while len(text) > BLOCK:
                 cut = text.rfind(b"\n", 0, BLOCK) + 1 or text.find(b"\n", BLOCK) + 1 or len(text)
                 yield lang, text[:cut]
                 text = text[cut:]
-            parts = held.setdefault(lang, [[], 0])
-            parts[0].append(text)
-            parts[1] += len(text)
-            if parts[1] >= BLOCK:
-                yield lang, b"\n".join(parts[0])
-                del held[lang]
-        for lang, (parts, _) in held.items():
-            yield lang, b"\n".join(parts)
+            held.setdefault(lang, []).append(text)
+            sizes[lang] = sizes.get(lang, 0) + len(text) + OBJECT
+            total += len(text) + OBJECT
+            for full in [lang] if sizes[lang] >= BLOCK else list(held) if total >= 4 * BLOCK else []:
+                total -= sizes.pop(full)
+                yield full, b"\n".join(held.pop(full))
+    while held:
+        lang, parts = held.popitem()
+        yield lang, b"\n".join(parts)
 
 
 class Words:
@@ -57,14 +66,15 @@ class Words:
 
     def __init__(self, lang: str, data: bytes) -> None:
         a = np.frombuffer(data, np.uint8)
-        ends_piece = a == 10
-        word = ~(ends_piece | (a == 32))
-        edge = np.diff(word.astype(np.int8), prepend=0, append=0)
+        word = (a != 10) & (a != 32)
+        edge = np.diff(word.view(np.int8), prepend=np.int8(0), append=np.int8(0))
         starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        piece = np.cumsum(ends_piece, dtype=np.int32)[starts]
-        self.joined = piece[1:] == piece[:-1]
-        offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
-        found = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(a[word])]).dictionary_encode()
+        # what lies from a word's start to the next one's holds an end of a piece
+        self.joined = ~np.logical_or.reduceat(a == 10, starts)[:-1] if len(starts) else np.zeros(0, bool)
+        offsets = np.zeros(len(starts) + 1, np.int32)
+        np.cumsum(ends - starts, out=offsets[1:])
+        del edge, starts, ends
+        found = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(a[word])]).dictionary_encode()
         self.codes, self.words = found.indices.to_numpy().astype(np.int64), found.dictionary.to_pylist()
         seed = xxhash.xxh32_intdigest(lang)
         self.hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in self.words], np.uint64)
@@ -88,23 +98,32 @@ def frequent_pairs(texts: DataFrame, least: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
-        def out() -> pa.RecordBatch:
-            x, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(c)], ["h", "c"])
+        def out() -> Iterator[pa.RecordBatch]:
+            x = np.concatenate(held)
+            held.clear()
+            x.sort()
+            first = np.flatnonzero(np.diff(x, prepend=~x[:1], append=~x[-1:]))  # where each different one begins, and the end
+            for k in range(0, len(first) - 1, GIVEN):
+                at = first[k : k + GIVEN + 1]
+                yield pa.RecordBatch.from_arrays([pa.array(x[at[:-1]].view(np.int64)), pa.array(np.diff(at))], ["h", "c"])
 
         for lang, data in _blocks(batches):
             words = Words(lang, data)
             held.append(words.pairs()[words.joined])
             n += len(held[-1])
+            del words
             if n >= PAIRS:
-                yield out()
-                held, n = [], 0
+                yield from out()
+                n = 0
         if n:
-            yield out()
+            yield from out()
 
-    counts = texts.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+    # a pair seldom comes twice from a task: counting there as well would only hold its rows
+    pairs = texts.mapInArrow(run, "h long, c long").repartition("h")
+    counts = pairs.groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
     bits = counts.selectExpr(f"shiftrightunsigned(h, {64 - BITS}) as at").selectExpr("shiftright(at, 3) as byte", "shiftleft(1, int(at % 8)) as bit")
-    found = bits.groupBy("byte").agg(F.bit_or("bit").alias("bits")).toArrow()  # 2 ** BITS / 8 rows at most
+    with small_batches(texts.sparkSession, TAKEN):
+        found = bits.groupBy("byte").agg(F.bit_or("bit").alias("bits")).toArrow()  # 2 ** BITS / 8 rows at most
     table = np.zeros(1 << (BITS - 3), np.uint8)
     table[found["byte"].to_numpy()] = found["bits"].to_numpy().astype(np.uint8)
     return table
@@ -140,14 +159,15 @@ def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
                 _, first, part, c = np.unique(part * len(single) + codes[at + size - 1], return_index=True, return_inverse=True, return_counts=True)
                 phrases += [" ".join([single[k] for k in codes[i : i + size].tolist()]) for i in at[first].tolist()]
                 counts += c.tolist()
-            for k in range(0, len(phrases), 100_000):
-                some = phrases[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some), pa.array(counts[k : k + 100_000], pa.int64())], [x for x, _ in ROWS])
+            for k in range(0, len(phrases), GIVEN):
+                some = phrases[k : k + GIVEN]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some), pa.array(counts[k : k + GIVEN], pa.int64())], [x for x, _ in ROWS])
 
     counted = texts.mapInArrow(run, "lang string, phrase string, c long").groupBy("lang", "phrase").agg(F.sum("c").alias("c"))
     single = F.when(F.instr("phrase", " ") == 0, F.col("c")).otherwise(0)
     kept = counted.groupBy("lang", F.when(F.col("c") >= least, F.col("phrase")).alias("phrase")).agg(F.sum("c").alias("c"), F.sum(single).alias("words"))
-    return materialise(kept, "phrases")
+    with small_batches(spark, TAKEN):
+        return materialise(kept, "phrases")
 
 
 def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_n: int = 5, least: int = 100, top: int = 2000) -> DataFrame:

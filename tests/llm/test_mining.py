@@ -110,6 +110,29 @@ def test_collocations_of_nothing(spark):
     assert collocations.collocations(docs.limit(0)).count() == 0 and collocations.collocations(docs).count() == 0
 
 
+def test_workers_hold_batches_of_a_few_mb(spark, monkeypatch, tmp_path):
+    """12 MB of texts in one partition, with above half a million different pairs: no batch of them goes to or comes from a worker."""
+    kind, log, key = type(spark.range(0)), str(tmp_path / "batches"), "spark.sql.execution.arrow.maxBytesPerBatch"
+    plain, before = kind.mapInArrow, spark.conf.get(key)
+
+    def watched(df, run, *args, **options):
+        def noted(way, batch):
+            with open(log, "a") as file:
+                file.write(f"{way} {batch.nbytes}\n")
+            return batch
+
+        return plain(df, lambda batches: (noted("given", out) for out in run(noted("taken", b) for b in batches)), *args, **options)
+
+    monkeypatch.setattr(kind, "mapInArrow", watched)
+    word = "hex(1024 + (xxhash64(id * 2000 + i) & 1023))"
+    docs = spark.range(0, 1000, 1, 1).selectExpr("'en' as lang", f"concat_ws(' ', transform(sequence(1, 2000), i -> {word})) as text")
+    counted = collocations.phrase_counts(docs)
+    assert counted.agg({"words": "sum"}).first()[0] == 2_000_000 and counted.where("phrase is not null").count() == 1024
+    sizes = [line.split() for line in (tmp_path / "batches").read_text().splitlines()]
+    assert {way for way, _ in sizes} == {"taken", "given"}
+    assert max(int(n) for _, n in sizes) < 4_000_000 and spark.conf.get(key) == before
+
+
 def test_products_beyond_64_bits(spark):
     """Counts as a large corpus has them are exact: the same expression on made counts."""
     a, n, l, r = 9_000_000_000, 8_000_000_000_000_000, 9_500_000_001, 9_100_000_007
